@@ -11,8 +11,26 @@ from loam.session import written
 SLOTS = 1 << 24
 
 
-def _slot(length: Column, prefix: Column) -> Column:
-    return F.pmod(F.xxhash64(length, prefix), F.lit(SLOTS)) + 1
+def _slot(*keys: Column) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(SLOTS)) + 1
+
+
+def _bitmap(survivors: DataFrame, *keys: str) -> DataFrame:
+    """The survivors' slots, 32768 to a row."""
+    slots = survivors.select(_slot(*[F.col(k) for k in keys]).alias("slot"))
+    return slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")
+    )
+
+
+def _probed(rows: DataFrame, bitmap: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with ``candidate``: whether the slot of its keys is set."""
+    slot = _slot(*[F.col(k) for k in keys])
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    joined = rows.withColumn("bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bitmap), "bucket", "left")
+    hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    return joined.withColumn("candidate", hit).drop("bucket", "bits")
 
 
 def refined_hashes(
@@ -22,45 +40,27 @@ def refined_hashes(
 
     Rows are grouped by byte length, rows of shared lengths by a hash of their first characters,
     and only rows that still share both get a SHA-256 of the whole normalised text. Survivors
-    reach the second scan as a bitmap of fixed size, so texts are never shuffled; a slot shared
+    reach the next scan as a bitmap of fixed size, so nothing but counts is shuffled; a slot shared
     by chance costs one needless hash and changes no result. ``digest_all`` hashes the other
     rows too, for callers that report digests.
     """
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    keyed = rows.select(
-        F.octet_length("text").alias("length"),
-        F.xxhash64(ascii_lower(F.substring("text", 1, prefix_chars))).alias("prefix"),
-    )
-    by_length = keyed.groupBy("length").count().where("count > 1").select("length")
-    by_prefix = keyed.join(by_length, "length", "left_semi").groupBy("length", "prefix").count().where("count > 1")
-    bitmap = (
-        by_prefix.select(_slot(F.col("length"), F.col("prefix")).alias("slot"))
-        .groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    prefix = F.xxhash64(ascii_lower(F.substring("text", 1, prefix_chars)))
+    by_length = rows.groupBy(F.octet_length("text").alias("length")).count().where("count > 1")
+    same_length = _probed(rows.withColumn("length", F.octet_length("text")), _bitmap(by_length, "length"), "length")
+    keyed = same_length.where("candidate").select("length", prefix.alias("prefix"))
+    by_prefix = keyed.groupBy("length", "prefix").count().where("count > 1")
+    same_prefix = _probed(
+        rows.select("id", "text", F.octet_length("text").alias("length"), prefix.alias("prefix")),
+        _bitmap(by_prefix, "length", "prefix"),
+        "length",
+        "prefix",
     )
-    probed = rows.select(
-        "id",
-        "text",
-        F.octet_length("text").alias("length"),
-        F.xxhash64(ascii_lower(F.substring("text", 1, prefix_chars))).alias("prefix"),
-    ).withColumn("slot", _slot(F.col("length"), F.col("prefix")))
-    at = F.bitmap_bit_position("slot")
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    candidate = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
     digest = F.sha2(ascii_lower(F.col("text")), 256)
-    hashed = (
-        probed.withColumn("bucket", F.bitmap_bucket_number("slot"))
-        .join(F.broadcast(bitmap), "bucket", "left")
-        .withColumn("candidate", candidate)
-        .select(
-            "id",
-            "length",
-            "prefix",
-            "candidate",
-            (digest if digest_all else F.when(F.col("candidate"), digest)).alias("digest"),
-        )
-    )
+    if not digest_all:
+        digest = F.when(F.col("candidate"), digest)
+    hashed = same_prefix.select("id", "length", "prefix", "candidate", digest.alias("digest"))
     return written(hashed, "exact")
 
 

@@ -45,12 +45,41 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, scale=64)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loam.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loam.llm.warc import archive_pages
+
+    found = archive_pages(table(spark, sf_dir, "pages"), min_revisit_bytes=0)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loam.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), capacity=4096, per_source=4)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loam.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mixing": op3_mixing,
     "op4_line_dedup": op4_line_dedup,
     "op5_topk": op5_topk,
+    "op6_language_id": op6_language_id,
+    "op8_warc": op8_warc,
+    "op9_packing": op9_packing,
+    "op10_quality": op10_quality,
 }
 
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -116,4 +145,16 @@ ORACLE_SQL = {
         ranked AS (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
         SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 20""",
+    "op8_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        d AS (
+            SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS hex,
+                   max(page_id) OVER (PARTITION BY body) AS keep FROM p)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform([15, 10, 5, 0], lambda b:
+                   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (5 * g + 1)::INT, 5))::BIGINT >> b) & 31)::INT + 1, 1)), '')), '')
+                   AS payload_digest,
+               CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = keep THEN NULL ELSE keep END AS refers_to
+        FROM d""",
 }
