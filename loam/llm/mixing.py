@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loam.llm.common import n_words, text_or_empty
 from loam.session import written
@@ -39,41 +39,37 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
     )
 
 
-def mix(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    source_col: str = "source",
-    text_col: str = "text",
-    weights: Sequence[float] = (5, 2, 1),
-    share: float = 1.5,
-    cap: float = 2.0,
-    bits: int = 10,
-) -> DataFrame:
-    """How often the mix takes each document: (id_col, size, source_size, target, copies, taken).
+def _hash(id_col: str) -> Column:
+    """60 bits of an id's MD5; a null id hashes as an empty text."""
+    text = F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
-    A document's size is its number of words (null text: 0). Of each source, every document is
-    taken ``floor(target / source_size)`` times, and those below a threshold of their id's hash
-    once more. Thresholds come from histograms: sizes are summed by source and hash bucket, and
-    only the bucket in which the budget runs out is cut into finer ones, ``bits`` at a time, until
-    it holds one document; that one is taken if this brings the sum nearer. Nothing is sorted,
-    and the result depends on the ids alone, so reruns agree.
 
-    A null source is a source of its own and comes last; a null id hashes as an empty text; rows
-    that repeat an id are taken or left together. Sources without words have target 0. An empty
-    table gives an empty result.
-    """
-    hashed = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10)
-    sizes = written(
+def _copies(h: Column, copies: Column, edge: Column, shift: Column, nearer: Column) -> Column:
+    """How often a document is taken: the source's whole copies, and once more below its threshold."""
+    place = F.call_function("shiftright", h, shift)
+    return copies + ((place < edge) | ((place == edge) & nearer)).cast("long")
+
+
+def _sizes(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    """(id, size, h, unnamed, name), written: all that the histograms need."""
+    return written(
         docs.select(
             F.col(id_col).alias("id"),
-            F.col(source_col).cast("string").alias("source"),
             n_words(text_or_empty(text_col)).alias("size"),
-            hashed.cast("long").alias("h"),
+            _hash(id_col).alias("h"),
+            F.col(source_col).isNull().alias("unnamed"),
+            F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("name"),
         ),
         "sizes",
     )
+
+
+def _thresholds(sizes: DataFrame, weights: Sequence[float], share: float, cap: float, bits: int) -> DataFrame:
+    """One written row per source: (unnamed, name, total, target, copies, edge, shift, nearer)."""
+    key = ["unnamed", "name"]
     plan = written(
-        targets(sizes, weights, share, cap)
+        targets(sizes.select(F.when(~F.col("unnamed"), F.col("name")).alias("source"), "size"), weights, share, cap)
         .withColumn("copies", F.when(F.col("total") > 0, F.floor(F.col("target") / F.col("total"))).otherwise(F.lit(0)).cast("long"))
         .select(
             F.col("source").isNull().alias("unnamed"),
@@ -81,44 +77,65 @@ def mix(
             "total",
             "target",
             "copies",
-            (F.col("target") - F.col("copies") * F.col("total")).alias("budget"),
+            (F.col("target") - F.col("copies") * F.col("total")).alias("left"),
         ),
         "targets",
     )
-    named = sizes.select(
-        "id", "size", "h", F.col("source").isNull().alias("unnamed"), F.coalesce("source", F.lit("")).alias("name")
-    )
-    key = ["unnamed", "name"]
-    cut = plan.select(*key, F.lit(0).cast("long").alias("edge"), F.col("budget").alias("left"), F.lit(True).alias("open"))
+    cut = plan.select(*key, F.lit(0).cast("long").alias("edge"), "left", F.lit(True).alias("open"))
     shift = HASH_BITS
     while shift > 0:
         step = min(bits, shift)
-        inside = named.join(cut.where("open").select(*key, "edge"), key).where(F.shiftright("h", shift) == F.col("edge"))
+        inside = sizes.join(cut.where("open").select(*key, "edge"), key).where(F.shiftright("h", shift) == F.col("edge"))
         shift -= step
         buckets = inside.groupBy(*key, F.shiftright("h", shift).alias("bucket")).agg(
-            F.sum("size").alias("words"), F.countDistinct("h").alias("ids")
+            F.sum("size").alias("words"), F.min("h").alias("low"), F.max("h").alias("high")
         )
         upto = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         summed = buckets.withColumn("upto", F.sum("words").over(upto)).join(cut.select(*key, "left"), key)
         boundary = summed.where(F.col("upto") > F.col("left")).groupBy(*key).agg(
-            F.min(F.struct("bucket", (F.col("left") - F.col("upto") + F.col("words")).alias("left"), "words", "ids")).alias("b")
+            F.min(F.struct("bucket", (F.col("left") - F.col("upto") + F.col("words")).alias("left"), "words", "low", "high")).alias("b")
         )
         finer = cut.where("open").select(*key).join(boundary, key, "left").select(
             *key,
             F.coalesce("b.bucket", F.lit(1 << HASH_BITS)).alias("edge"),  # no boundary: the budget covers all
             F.coalesce("b.left", F.lit(0.0)).alias("left"),
             F.coalesce(F.col("b.left") * 2 >= F.col("b.words"), F.lit(False)).alias("nearer"),
-            F.coalesce(F.col("b.ids") > 1, F.lit(False)).alias("open"),
+            F.coalesce(F.col("b.low") < F.col("b.high"), F.lit(False)).alias("open"),
             F.lit(shift).alias("shift"),
         )
-        done = cut.where("not open") if "nearer" in cut.columns else None
-        cut = written(finer if done is None else finer.unionByName(done), "cut")
+        cut = written(finer.unionByName(cut.where("not open")) if "nearer" in cut.columns else finer, "cut")
         if not cut.where("open").limit(1).count():
             break
-    edge = F.expr("shiftright(h, shift)")
-    once_more = (edge < F.col("edge")) | ((edge == F.col("edge")) & F.col("nearer"))
-    copies = F.col("copies") + once_more.cast("long")
-    return named.join(plan, key).join(cut.select(*key, "edge", "nearer", "shift"), key).select(
+    return written(plan.drop("left").join(cut.select(*key, "edge", "shift", "nearer"), key), "thresholds")
+
+
+def mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    text_col: str = "text",
+    weights: Sequence[float] = (5, 2, 1),
+    share: float = 1.5,
+    cap: float = 2.0,
+    bits: int = 10,
+) -> DataFrame:
+    """How often the mix takes each document: (id_col, size, source_size, target, copies, taken).
+
+    A document's size is its number of words (null text: 0). Of each source, every document is
+    taken ``floor(target / source_size)`` times, and those below a threshold of their id's hash
+    once more. Thresholds come from histograms: sizes are summed by source and hash bucket, and
+    only the bucket in which the budget runs out is cut into finer ones, ``bits`` at a time, until
+    it holds one document; that one is taken if this brings the sum nearer. Nothing is sorted,
+    and the result depends on the ids alone, so reruns agree.
+
+    A null source is a source of its own and comes last; a null id hashes as an empty text; rows
+    that repeat an id are taken or left together. Sources without words have target 0. An empty
+    table gives an empty result.
+    """
+    sizes = _sizes(docs, id_col, source_col, text_col)
+    plan = _thresholds(sizes, weights, share, cap, bits)
+    copies = _copies(*[F.col(c) for c in ("h", "copies", "edge", "shift", "nearer")])
+    return sizes.join(plan, ["unnamed", "name"]).select(
         F.col("id").alias(id_col),
         "size",
         F.col("total").alias("source_size"),
@@ -126,3 +143,27 @@ def mix(
         copies.alias("copies"),
         (copies * F.col("size")).alias("taken"),
     )
+
+
+def mixed(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    text_col: str = "text",
+    weights: Sequence[float] = (5, 2, 1),
+    share: float = 1.5,
+    cap: float = 2.0,
+    bits: int = 10,
+) -> DataFrame:
+    """``docs`` as the mix takes them, in the columns of ``docs``: each row as often as ``copies`` says.
+
+    Cases as in :func:`mix`. Texts meet one row per source, by a broadcast where the measured size
+    of that table allows it.
+    """
+    plan = _thresholds(_sizes(docs, id_col, source_col, text_col), weights, share, cap, bits)
+    plan = plan.select(*[F.col(c).alias(f"__{c}") for c in plan.columns])
+    name = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
+    named = docs.withColumns({"__h": _hash(id_col), "__unnamed": F.col(source_col).isNull(), "__name": name})
+    copies = _copies(*[F.col(f"__{c}") for c in ("h", "copies", "edge", "shift", "nearer")])
+    taken = named.join(plan, ["__unnamed", "__name"]).withColumn("__taken", copies).where("__taken > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__taken")))).select(*docs.columns)

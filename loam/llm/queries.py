@@ -51,6 +51,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loam.llm.suffix import remove_repeats
+
+    found = remove_repeats(table(spark, sf_dir, "documents"), window=200)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loam.llm.warc import archive_pages
 
@@ -77,6 +84,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_topk": op5_topk,
     "op6_language_id": op6_language_id,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
