@@ -69,21 +69,23 @@ def _segments(lanes: int, segments: int) -> list[tuple[int, int, int]]:
 
 
 def _linked(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among some fingerprints, without a list of all pairs."""
-    left, right, unseen = [], [], np.arange(len(fps))
+    """A least spanning forest of the links among some fingerprints, without a list of all pairs.
+
+    It links nearest fingerprints first, so it connects what any smaller distance connects, too.
+    """
+    left, right, unseen = [], [], np.arange(1, len(fps))
+    node, near, by = 0, np.full(len(unseen), 1 << 30), np.zeros(len(unseen), np.int64)
     while len(unseen):
-        stack, unseen = [unseen[0]], unseen[1:]
-        while stack and len(unseen):
-            node = stack.pop()
-            near = np.bitwise_count(fps[unseen] ^ fps[node]).sum(axis=1) <= most
-            if near.any():
-                found = unseen[near]
-                left.append(np.full(len(found), node))
-                right.append(found)
-                stack += list(found)
-                unseen = unseen[~near]
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+        away = np.bitwise_count(fps[unseen] ^ fps[node]).sum(axis=1)
+        closer = away < near
+        near, by = np.where(closer, away, near), np.where(closer, node, by)
+        at = int(near.argmin())
+        node = int(unseen[at])
+        if near[at] <= most:
+            left.append(int(by[at]))
+            right.append(node)
+        unseen, near, by = (np.delete(x, at) for x in (unseen, near, by))
+    return np.array(left, np.int64), np.array(right, np.int64)
 
 
 def _link_runs(lanes: int, most: int):
@@ -193,6 +195,37 @@ def linked_fingerprints(
     )
 
 
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, grams): the different word shingles of (id, text) as 64-bit hashes; no words give none."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            out = []
+            for text in batch.column(1):
+                words = _WORD.findall(text.as_py())
+                grams = {xxhash.xxh64_intdigest(" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))}
+                out.append(np.fromiter(grams if words else (), np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["id", "grams"])
+
+    return docs.select("id", ascii_lower(F.col("text")).alias("text")).mapInArrow(batches, "id long, grams array<long>")
+
+
+def similar_links(links: DataFrame, nodes: DataFrame, docs: DataFrame, names: list[str], shingle: int, least: float) -> DataFrame:
+    """The links between whose texts the Jaccard similarity of the shingles is ``least`` or more.
+
+    A node's smallest id stands for it. Only texts that some link needs are cut into shingles, once.
+    """
+    by_node = nodes.where(F.col("least").isNotNull()).select(F.struct(*names).alias("node"), "least")
+    ids = links.join(by_node.select(F.col("node").alias("a"), F.col("least").alias("ia")), "a")
+    ids = written(ids.join(by_node.select(F.col("node").alias("b"), F.col("least").alias("ib")), "b"), "pairs")
+    needed = ids.select(F.explode(F.array("ia", "ib")).alias("id")).distinct()
+    sets = written(shingle_sets(docs.join(needed, "id", "left_semi").dropDuplicates(["id"]), shingle), "shingles")
+    both = ids.join(sets.select(F.col("id").alias("ia"), F.col("grams").alias("ga")), "ia")
+    both = both.join(sets.select(F.col("id").alias("ib"), F.col("grams").alias("gb")), "ib")
+    shared = F.size(F.array_intersect("ga", "gb"))
+    return both.where(shared >= F.lit(float(least)) * (F.size("ga") + F.size("gb") - shared)).select("a", "b")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -202,10 +235,12 @@ def near_duplicates(
     max_distance: int = 4,
     segments: int = 3,
     tile_rows: int = 4096,
+    min_similarity: float | None = None,
 ) -> DataFrame:
     """(id_col, f0 .. , component_id): each row's fingerprint and the smallest id that it reaches.
 
-    Rows link where their fingerprints differ in ``max_distance`` bits or fewer. Rows of one
+    Rows link where their fingerprints differ in ``max_distance`` bits or fewer and, with
+    ``min_similarity``, where also their shingle sets are as similar as that. Rows of one
     fingerprint are one node of the graph from the start, so a group of copies costs one row.
 
     A null or blank text has fingerprint zero and is linked like any other. Rows with a null id get
@@ -217,6 +252,9 @@ def near_duplicates(
     prints = written(fingerprints(docs, id_col, text_col, shingle, lanes), "prints")
     nodes = written(prints.groupBy(*names).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
     links = written(linked_fingerprints(nodes.select(*names), lanes, max_distance, segments, tile_rows).distinct(), "links")
+    if min_similarity is not None:
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+        links = written(similar_links(links, nodes, texts, names, shingle, min_similarity), "similar")
     reached = connected_components(links, "a", "b")
     labelled = nodes.select(F.struct(*names).alias("node"), "least").join(reached, "node", "left")
     root = F.coalesce("component", "node")
@@ -233,19 +271,20 @@ def drop_near_duplicates(
     text_col: str = "text",
     shingle: int = 5,
     lanes: int = 2,
-    max_distance: int = 24,
+    max_distance: int = 28,
     segments: int = 8,
+    min_similarity: float = 0.8,
 ) -> DataFrame:
     """``docs`` with one row of each class of near-duplicates, in the columns of ``docs``.
 
-    The defaults are for shingles of five words and a similarity of 0.8: two texts that share 0.8 of
-    their shingles differ in about 19 of 128 bits, and 24 leave room for chance. Eight segments
-    don't guarantee that such a pair shares a key; README states the measured recall.
+    Two texts that share 0.8 of their shingles of five words differ in about 19 of 128 bits, give or
+    take 4; up to 28 are candidates, and the similarity itself decides. Eight segments don't
+    guarantee that a pair 28 bits apart shares a key; README states the measured recall.
 
     Rows are told apart by a hash of id and text, so ids may be null or repeat; of rows that repeat
     both, one stays. Texts without words are one class.
     """
     rows = docs.withColumn("__uid", F.xxhash64(F.col(id_col), text_or_empty(text_col)))
-    found = near_duplicates(rows, "__uid", text_col, shingle, lanes, max_distance, segments)
+    found = near_duplicates(rows, "__uid", text_col, shingle, lanes, max_distance, segments, min_similarity=min_similarity)
     kept = found.where(F.col("__uid") == F.col("component_id")).select("__uid").distinct()
     return rows.join(kept, "__uid", "left_semi").dropDuplicates(["__uid"]).select(*docs.columns)
