@@ -1,4 +1,549 @@
-"""The registered queries over the driver's tables and their SQL."""
+"""The registered queries over the driver's tables, each with its SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Operators take tables with named columns, so the same code serves Markdown bundles and the tables
+here: documents and conversations are read as file contents, pages as linked files, and concepts
+are generated from region, nation and supplier rows and parsed back.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from loam.functions import text as T
+from loam.functions.paths import is_private_host, resource_host
+from loam.operators import diff as D, exchange as X, graph as G, packing as P, parsing, rules as R, search as S
+from loam.session import written
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+#: The time that rules on age take as now.
+NOW = "2024-07-01 00:00:00"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- scalar functions and row rules -------------------------------------------------------------
+
+
+@query("SELECT doc_id, 'sha256:' || sha256(text) AS content_hash FROM documents")
+def content_hash(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query(
+    r"""SELECT p_partkey,
+        regexp_replace(trim(regexp_replace(regexp_replace(lower(p_name), '[`*_~]', '', 'g'), '[^\p{L}\p{N} -]+', '', 'g')), '[ -]+', '-', 'g') AS slug,
+        CASE WHEN regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g') = '' THEN 'item' ELSE trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '-') END AS type_slug
+        FROM part"""
+)
+def slugs(spark, sf):
+    return table(spark, sf, "part").select(
+        "p_partkey", T.slugify(F.col("p_name")).alias("slug"), T.ascii_slug(F.col("p_type")).alias("type_slug")
+    )
+
+
+@query(
+    r"""WITH f AS (SELECT doc_id, regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') AS k,
+            regexp_matches(text, '\bAKIA[0-9A-Z]{16}\b') OR regexp_matches(text, '(?i)\b(?:api[_-]?key|secret|token)[ \t]*[:=][ \t]*[''"]?[A-Za-z0-9_./+=-]{20,}') AS t,
+            regexp_matches(text, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b') AS e FROM documents)
+        SELECT doc_id, 'private-key' AS finding FROM f WHERE k UNION ALL SELECT doc_id, 'token' FROM f WHERE t UNION ALL SELECT doc_id, 'email' FROM f WHERE e"""
+)
+def secret_findings(spark, sf):
+    text = F.col("text")
+    kinds = {"private-key": T.has_private_key(text), "token": T.has_token(text), "email": T.has_email(text)}
+    hits = F.array(*[F.when(hit, F.lit(kind)) for kind, hit in kinds.items()])
+    return table(spark, sf, "documents").select("doc_id", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("finding"))
+
+
+@query(
+    r"""SELECT conv_id, turn, CASE WHEN b = '' THEN '' ELSE b || chr(10) END AS body FROM (
+        SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n|\r', e'\n', 'g'), '[ \t]+(\n|$)', '\1', 'g'), '\n{3,}', e'\n\n', 'g'), '^\n+|\n+$', '', 'g') AS b
+        FROM conversations)"""
+)
+def normalized_bodies(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.normalized_body(F.coalesce("text", F.lit(""))).alias("body"))
+
+
+@query(
+    r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '/?$', '.md') AS path FROM pages)
+        SELECT page_id, NOT regexp_matches(path, '^[a-z0-9][a-z0-9_./-]*\.md$') AS bad_name FROM p"""
+)
+def file_name_format(spark, sf):
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "/?$", ".md")
+    return table(spark, sf, "pages").select("page_id", (~path.rlike(T.FILE_NAME)).alias("bad_name"))
+
+
+@query(
+    r"""SELECT p_partkey, tag FROM (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS tag FROM part) WHERE NOT regexp_matches(tag, '^[a-z0-9]+(?:-[a-z0-9]+)*$')
+        UNION ALL SELECT p_partkey, tag FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS tag FROM part) WHERE NOT regexp_matches(tag, '^[a-z0-9]+(?:-[a-z0-9]+)*$')"""
+)
+def tag_format(spark, sf):
+    words = table(spark, sf, "part").select("p_partkey", F.explode(F.concat(F.split("p_type", " "), F.split("p_name", " "))).alias("tag"))
+    return words.where(~F.col("tag").rlike(T.TAG))
+
+
+@query(
+    f"""SELECT o_orderkey, epoch_ms(o_orderdate) AS ts_ms,
+        epoch_ms(TIMESTAMP '{NOW}') - epoch_ms(o_orderdate) > 180 * 86400000::BIGINT AS stale FROM orders"""
+)
+def stale_timestamps(spark, sf):
+    stamp = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    now = F.unix_millis(F.lit(NOW).cast("timestamp"))
+    rows = table(spark, sf, "orders").select("o_orderkey", T.iso_utc_ms(stamp).alias("ts_ms"))
+    return rows.withColumn("stale", now - F.col("ts_ms") > F.lit(T.STALE_DAYS * 86_400_000))
+
+
+@query(
+    """SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, array_to_string(json_keys(props), ',') AS keys,
+        json_extract_string(props, '$.k') IS NULL AS missing FROM events"""
+)
+def front_fields(spark, sf):
+    k = F.get_json_object("props", "$.k")
+    return table(spark, sf, "events").select(
+        "event_id", k.cast("long").alias("k"), F.array_join(F.json_object_keys("props"), ",").alias("keys"), k.isNull().alias("missing")
+    )
+
+
+@query("SELECT event_id, true AS equal FROM events")
+def json_equality(spark, sf):
+    swapped = F.concat(F.lit('{"b":1,"a":'), "props", F.lit("}"))
+    straight = F.concat(F.lit('{ "a": '), "props", F.lit(', "b": 1 }'))
+    return table(spark, sf, "events").select("event_id", (T.canonical_json(swapped) == T.canonical_json(straight)).alias("equal"))
+
+
+# ---- groups, duplicates and search -----------------------------------------------------------
+
+
+@query("SELECT doc_id, count(*) OVER (PARTITION BY sha256(text)) AS copies FROM documents")
+def duplicate_content(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.unhex(F.sha2("text", 256)).alias("key"))
+    groups = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "groups")
+    return rows.join(groups, "key", "left").select("doc_id", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
+
+
+@query("SELECT p_partkey FROM part QUALIFY count(*) OVER (PARTITION BY lower(trim(p_name))) > 1")
+def duplicate_titles(spark, sf):
+    rows = table(spark, sf, "part").select("p_partkey", F.lower(T.trimmed(F.col("p_name"))).alias("key"))
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows.join(shared, "key", "left_semi").select("p_partkey")
+
+
+TERMS = r"list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}\p{{M}}_-]+'), lambda t: length(t) >= 2))"
+
+
+@query(f"SELECT term, count(*) AS df FROM (SELECT unnest({TERMS.format('text')}) AS term FROM documents) GROUP BY term")
+def term_frequencies(spark, sf):
+    return S.term_frequencies(S.terms(table(spark, sf, "documents"), "doc_id", "text"))
+
+
+@query(
+    f"SELECT term, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS ids FROM (SELECT item_id, unnest({TERMS.format('text')}) AS term FROM benchmark) GROUP BY term"
+)
+def postings(spark, sf):
+    found = S.postings(S.terms(table(spark, sf, "benchmark"), "item_id", "text"))
+    return found.select("term", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, unnest({TERMS.format('text')}) AS term FROM documents),
+        q AS (SELECT item_id, unnest({TERMS.format('text')}) AS term FROM benchmark),
+        s AS (SELECT item_id AS query, doc_id AS id, count(*) AS score FROM q JOIN d USING (term) GROUP BY ALL)
+        SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id)::INT AS rank FROM s
+        QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 10"""
+)
+def search_top(spark, sf):
+    pairs = S.terms(table(spark, sf, "documents"), "doc_id", "text")
+    return S.search(pairs, table(spark, sf, "benchmark"), "item_id", "text", 10)
+
+
+# ---- diagnostics over documents as concepts ---------------------------------------------------
+
+
+def _document_context(spark, sf) -> R.Context:
+    """Documents as concept files in a folder for each source; the first line is the title."""
+    docs = table(spark, sf, "documents")
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    front = F.concat(F.lit("---\ntype: Document\ntags: ["), "lang", F.lit("]\n---\n"))
+    parsed = parsing.parse(docs.select(path.alias("path"), F.concat(front, F.coalesce("text", F.lit(""))).alias("content")))
+    return R.Context(parsed, parsing.resolved_links(parsed), R.Config(rules={"graph/orphan-concept": "off", "graph/circular-reference": "off"}))
+
+
+DIAGNOSTICS = r"""f AS (SELECT source || '/' || doc_id || '.md' AS path, source, text FROM documents),
+    t AS (SELECT *, regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') AS k,
+            regexp_matches(text, '\bAKIA[0-9A-Z]{16}\b') OR regexp_matches(text, '(?i)\b(?:api[_-]?key|secret|token)[ \t]*[:=][ \t]*[''"]?[A-Za-z0-9_./+=-]{20,}') AS t,
+            regexp_matches(text, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b') AS e FROM f),
+    g AS (SELECT 'hygiene/missing-title' AS code, 'warning' AS severity, path, source FROM t UNION ALL
+          SELECT 'hygiene/missing-description', 'warning', path, source FROM t UNION ALL
+          SELECT 'hygiene/empty-body', 'warning', path, source FROM t WHERE length(trim(text, e' \t\n\r')) = 0 UNION ALL
+          SELECT 'security/suspicious-secret', 'error', path, source FROM t WHERE k OR t UNION ALL
+          SELECT 'security/private-key', 'error', path, source FROM t WHERE k UNION ALL
+          SELECT 'security/token-looking-value', 'warning', path, source FROM t WHERE t UNION ALL
+          SELECT 'security/unredacted-email', 'warning', path, source FROM t WHERE e)"""
+
+
+@query(f"WITH {DIAGNOSTICS} SELECT code, severity, path FROM g")
+def lint_union(spark, sf):
+    return R.lint(_document_context(spark, sf)).select("code", "severity", "path")
+
+
+@query(f"""WITH {DIAGNOSTICS} SELECT count(*) FILTER (severity = 'error') AS error, count(*) FILTER (severity = 'warning') AS warning,
+    count(*) FILTER (severity = 'advice') AS advice, count(*) FILTER (severity = 'info') AS info,
+    greatest(0, 100 - 20 * count(*) FILTER (severity = 'error') - 8 * count(*) FILTER (severity = 'warning') - 3 * count(*) FILTER (severity = 'advice'))::BIGINT AS score FROM g""")
+def readiness_score(spark, sf):
+    return R.readiness(R.severity_counts(R.lint(_document_context(spark, sf))))
+
+
+@query(f"WITH {DIAGNOSTICS} SELECT count(*) FILTER (severity = 'error') > 0 AS exceeds FROM g")
+def threshold_exceeded(spark, sf):
+    return R.exceeds(R.lint(_document_context(spark, sf)), "error")
+
+
+@query(f"""WITH {DIAGNOSTICS} SELECT source, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings FROM g GROUP BY source""")
+def diagnostics_by_source(spark, sf):
+    found = R.lint(_document_context(spark, sf)).withColumn("source", F.regexp_extract("path", "^[^/]+", 0))
+    return found.groupBy("source").agg(
+        F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings")
+    )
+
+
+# ---- links and hosts of pages -------------------------------------------------------------------
+
+HREF = r'href="([^"]*)"'
+
+
+def _page_links(spark, sf) -> DataFrame:
+    hrefs = F.regexp_extract_all("html", F.lit(HREF), F.lit(1))
+    rows = table(spark, sf, "pages").select("page_id", F.posexplode(hrefs).alias("ordinal", "target"))
+    return rows.withColumn("kind", T.link_kind(F.col("target")))
+
+
+HREFS = r"""h AS (SELECT page_id, unnest(l) AS target, generate_subscripts(l, 1) - 1 AS ordinal FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages)),
+    k AS (SELECT page_id, ordinal, target, CASE WHEN trim(target) = '' THEN 'unknown' WHEN target LIKE '#%' THEN 'anchor'
+          WHEN regexp_matches(trim(target), '^(?:[A-Za-z][A-Za-z0-9+.-]*:|//)') THEN 'external' ELSE 'internal' END AS kind FROM h)"""
+PAGE_PATH = r"regexp_replace(url, '^[a-z]+://[^/]*', '')"
+
+
+@query(f"WITH {HREFS} SELECT page_id, ordinal::INT AS ordinal, target, kind FROM k")
+def page_links(spark, sf):
+    return _page_links(spark, sf)
+
+
+@query(f"WITH {HREFS} SELECT kind, count(*) AS links, count(DISTINCT target) AS targets FROM k GROUP BY kind")
+def link_kinds(spark, sf):
+    return _page_links(spark, sf).groupBy("kind").agg(F.count(F.lit(1)).alias("links"), F.countDistinct("target").alias("targets"))
+
+
+@query(f"WITH {HREFS} SELECT page_id, ordinal::INT AS ordinal, target FROM k WHERE kind = 'internal' AND target NOT IN (SELECT {PAGE_PATH} FROM pages)")
+def broken_links(spark, sf):
+    paths = table(spark, sf, "pages").select(F.regexp_replace("url", "^[a-z]+://[^/]*", "").alias("target")).distinct()
+    return _page_links(spark, sf).where("kind = 'internal'").join(paths, "target", "left_anti").select("page_id", "ordinal", "target")
+
+
+@query(f"WITH {HREFS} SELECT target AS id, count(DISTINCT page_id) AS \"references\" FROM k WHERE kind = 'internal' GROUP BY target ORDER BY 2 DESC, 1 LIMIT 10")
+def top_referenced(spark, sf):
+    return G.top_referenced(_page_links(spark, sf).where("kind = 'internal'").select(F.col("page_id").alias("source"), "target"))
+
+
+@query(
+    r"""WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host FROM pages),
+        common AS (SELECT host FROM h GROUP BY host ORDER BY count(*) DESC, host LIMIT 3)
+        SELECT page_id, host, host NOT IN (SELECT host FROM common) AS not_allowed,
+               host = 'localhost' OR host LIKE '%.local' OR host LIKE '10.%' OR host LIKE '127.%' OR host LIKE '192.168.%' AS private FROM h"""
+)
+def resource_hosts(spark, sf):
+    rows = table(spark, sf, "pages").select("page_id", resource_host("url").alias("host"))
+    allowed = rows.groupBy("host").count().orderBy(F.desc("count"), "host").limit(3).select("host", F.lit(True).alias("allowed"))
+    joined = rows.join(allowed, "host", "left")
+    return joined.select("page_id", "host", F.col("allowed").isNull().alias("not_allowed"), is_private_host("host").alias("private"))
+
+
+@query(
+    rf"""WITH d AS (SELECT DISTINCT regexp_extract({PAGE_PATH}, '^(.*)/[^/]*$', 1) AS dir FROM pages)
+        SELECT dir FROM d EXCEPT SELECT regexp_extract({PAGE_PATH}, '^(.*)/[^/]*$', 1) FROM pages WHERE regexp_matches({PAGE_PATH}, '(^|/)index\.md$')"""
+)
+def missing_indexes(spark, sf):
+    return G.missing_indexes(table(spark, sf, "pages").select(F.regexp_replace("url", "^[a-z]+://[^/]*", "").alias("path")))
+
+
+# ---- concepts generated from rows, and parsed back --------------------------------------------
+
+
+def _generated(spark, sf) -> DataFrame:
+    """(path, content): a Markdown file for each region, nation and supplier that links to its parent."""
+
+    def files(rows: DataFrame, folder: str, key: str, name: str, parent: str) -> DataFrame:
+        number = lambda c: F.format_string("%06d", F.col(c).cast("long"))
+        link = F.concat(F.lit(f"\nPart of [its parent](../{parent}/"), number("up"), F.lit(".md).\n")) if parent else F.lit("\n")
+        content = F.concat(
+            F.lit('---\ntype: Table\ntitle: "'), F.col(name), F.lit(f'"\nresource: "db://{folder}/'), F.col(key).cast("string"),
+            F.lit(f'"\ntags: [{folder}, generated]\n---\n\n# '), F.col(name), F.lit("\n"), link, F.lit("\n```\n[not](../a/link.md)\n```\n"),
+        )
+        return rows.select(F.concat(F.lit(f"{folder}/"), number(key), F.lit(".md")).alias("path"), content.alias("content"))
+
+    region = files(table(spark, sf, "region").withColumn("up", F.lit(0)), "region", "r_regionkey", "r_name", "")
+    nation = files(table(spark, sf, "nation").withColumn("up", F.col("n_regionkey")), "nation", "n_nationkey", "n_name", "region")
+    supplier = files(table(spark, sf, "supplier").withColumn("up", F.col("s_nationkey")), "supplier", "s_suppkey", "s_name", "nation")
+    return region.union(nation).union(supplier)
+
+
+NAMES = """n AS (SELECT 'region/' || printf('%06d', r_regionkey::BIGINT) AS id, r_name AS title, NULL AS parent, 'region' AS folder, r_regionkey::VARCHAR AS key FROM region UNION ALL
+    SELECT 'nation/' || printf('%06d', n_nationkey::BIGINT), n_name, 'region/' || printf('%06d', n_regionkey::BIGINT), 'nation', n_nationkey::VARCHAR FROM nation UNION ALL
+    SELECT 'supplier/' || printf('%06d', s_suppkey::BIGINT), s_name, 'nation/' || printf('%06d', s_nationkey::BIGINT), 'supplier', s_suppkey::VARCHAR FROM supplier)"""
+
+
+@query(f"WITH {NAMES} SELECT c.id, coalesce(string_agg(l.id, ',' ORDER BY l.id), '') AS sources FROM n c LEFT JOIN n l ON l.parent = c.id GROUP BY c.id")
+def gen_backlinks(spark, sf):
+    parsed = parsing.parse(_generated(spark, sf))
+    found = G.backlinks(parsed.select("id"), parsing.resolved_links(parsed).where("resolved").select("source", "target"))
+    return found.select("id", F.array_join("sources", ",").alias("sources"))
+
+
+@query(f"WITH {NAMES} SELECT l.id AS source, p.id AS target, p.id IS NOT NULL AS resolved FROM n l LEFT JOIN n p ON l.parent = p.id WHERE l.parent IS NOT NULL")
+def gen_links(spark, sf):
+    return parsing.resolved_links(parsing.parse(_generated(spark, sf))).select("source", "target", "resolved")
+
+
+@query(
+    f"""WITH {NAMES} SELECT id, 'Table' AS type, title, 'db://' || folder || '/' || key AS resource, folder || ',generated' AS tags,
+        'type,title,resource,tags' AS keys, '1 ' || title AS headings FROM n"""
+)
+def gen_roundtrip(spark, sf):
+    heading = F.transform("headings", lambda h: F.concat(h["level"].cast("string"), F.lit(" "), h["title"]))
+    return parsing.parse(_generated(spark, sf)).select(
+        "id", "type", "title", F.col("resource")[0].alias("resource"), F.array_join("tags", ",").alias("tags"),
+        F.array_join("keys", ",").alias("keys"), F.array_join(heading, ",").alias("headings"),
+    )
+
+
+@query(f"WITH {NAMES} SELECT count(*) AS concepts, 0::BIGINT AS indexes, 0::BIGINT AS logs, count(parent) AS links, 0::BIGINT AS broken_links FROM n")
+def gen_stats(spark, sf):
+    parsed = parsing.parse(_generated(spark, sf))
+    return parsing.bundle_stats(parsed, parsing.resolved_links(parsed))
+
+
+@query(f"WITH {NAMES} SELECT c.code, n.id FROM n, (VALUES ('agent/missing-summary'), ('hygiene/missing-description')) c(code) UNION ALL SELECT 'graph/no-backlinks', id FROM n WHERE folder = 'supplier' UNION ALL SELECT 'graph/high-degree-hub', p.id FROM n p JOIN n l ON l.parent = p.id GROUP BY p.id, p.parent HAVING count(*) + (p.parent IS NOT NULL)::INT >= 25 UNION ALL SELECT 'graph/no-backlinks', p.id FROM n p WHERE p.parent IS NOT NULL AND folder <> 'supplier' AND NOT EXISTS (FROM n l WHERE l.parent = p.id) UNION ALL SELECT 'agent/missing-index', NULL")
+def gen_doctor(spark, sf):
+    parsed = written(parsing.parse(_generated(spark, sf)), "parsed")
+    found, _ = R.doctor(R.Context(parsed, written(parsing.resolved_links(parsed), "links"), R.Config(rules={"graph/orphan-concept": "off"})))
+    return found.select("code", F.col("concept_id").alias("id"))
+
+
+@query(
+    """SELECT 'tables/' || regexp_replace(lower('wh.' || r_name || '.' || n_name), '[^a-z0-9]+', '-', 'g') || '.md' AS path, 'wh.' || r_name || '.' || n_name AS identity
+        FROM nation JOIN region ON n_regionkey = r_regionkey"""
+)
+def imported_tables(spark, sf):
+    rows = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    column = F.struct(F.lit("key").alias("name"), F.lit("INT64").alias("type"), F.lit(None).cast("string").alias("description"))
+    tables = rows.select(
+        F.lit("wh").alias("project"), F.col("r_name").alias("dataset"), F.col("n_name").alias("table"), F.lit("A nation").alias("description"), F.array(column).alias("columns")
+    )
+    return X.table_concepts(tables).select("path", "identity")
+
+
+# ---- graphs over foreign keys ---------------------------------------------------------------------
+
+
+def _supply(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Suppliers and parts, and an edge from each supplier to the parts it delivered."""
+    lines = table(spark, sf, "lineitem")
+    edges = lines.select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"))
+    nodes = table(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id")).union(
+        table(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"))
+    )
+    return nodes, edges
+
+
+SUPPLY = """e AS (SELECT DISTINCT 's' || l_suppkey AS source, 'p' || l_partkey AS target FROM lineitem),
+    n AS (SELECT 's' || s_suppkey AS id FROM supplier UNION ALL SELECT 'p' || p_partkey FROM part),
+    d AS (SELECT id, (SELECT count(*) FROM e WHERE target = id AND target IN (SELECT id FROM n)) AS indegree,
+                 (SELECT count(*) FROM e WHERE source = id AND target IN (SELECT id FROM n)) AS outdegree FROM n)"""
+
+
+@query(f"WITH {SUPPLY} SELECT id, indegree, outdegree FROM d")
+def degrees(spark, sf):
+    return G.degrees(*_supply(spark, sf))
+
+
+@query(f"WITH {SUPPLY} SELECT id FROM d WHERE indegree = 0 AND outdegree = 0")
+def orphans(spark, sf):
+    return G.orphans(G.degrees(*_supply(spark, sf)))
+
+
+@query(f"WITH {SUPPLY} SELECT id FROM d WHERE indegree = 0 AND outdegree > 0")
+def no_backlinks(spark, sf):
+    return G.no_backlinks(G.degrees(*_supply(spark, sf)))
+
+
+@query(f"WITH {SUPPLY} SELECT id, indegree + outdegree AS degree FROM d WHERE indegree + outdegree >= 25")
+def hubs(spark, sf):
+    return G.hubs(G.degrees(*_supply(spark, sf)))
+
+
+def _places(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Customers link to their nation, nations to their region."""
+    customer, nation, region = (table(spark, sf, t) for t in ("customer", "nation", "region"))
+    edges = customer.select(F.concat(F.lit("c"), "c_custkey").alias("source"), F.concat(F.lit("n"), "c_nationkey").alias("target")).union(
+        nation.select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"))
+    )
+    nodes = customer.select(F.concat(F.lit("c"), "c_custkey").alias("id")).union(nation.select(F.concat(F.lit("n"), "n_nationkey"))).union(
+        region.select(F.concat(F.lit("r"), "r_regionkey"))
+    )
+    return nodes, edges
+
+
+PLACES = """m AS (SELECT 'c' || c_custkey AS id, n_regionkey AS region FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL
+    SELECT 'n' || n_nationkey, n_regionkey FROM nation UNION ALL SELECT 'r' || r_regionkey, r_regionkey FROM region)"""
+
+
+@query(f"WITH {PLACES} SELECT id, min(id) OVER (PARTITION BY region) AS cluster FROM m")
+def clusters(spark, sf):
+    return G.clusters(*_places(spark, sf))
+
+
+@query(
+    f"""WITH {PLACES}, o AS (SELECT 'c' || o_custkey AS id, max(epoch_ms(o_orderdate)) AS ts FROM orders GROUP BY 1),
+        g AS (SELECT min(m.id) AS cluster, count(*) AS members, max(ts) AS newest FROM m LEFT JOIN o USING (id) GROUP BY region)
+        SELECT * FROM g WHERE newest < epoch_ms(TIMESTAMP '{NOW}') - 180 * 86400000::BIGINT"""
+)
+def stale_clusters(spark, sf):
+    times = table(spark, sf, "orders").groupBy(F.concat(F.lit("c"), "o_custkey").alias("id")).agg(F.max(F.unix_millis(F.col("o_orderdate").cast("timestamp"))).alias("ts_ms"))
+    now = 1719792000000  # NOW in milliseconds
+    return G.stale_clusters(G.clusters(*_places(spark, sf)), times, now, T.STALE_DAYS)
+
+
+@query(
+    f"""WITH {PLACES} SELECT count(*) AS nodes, (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation) AS edges, 0::BIGINT AS broken, 0::BIGINT AS orphans FROM m"""
+)
+def graph_stats(spark, sf):
+    nodes, edges = _places(spark, sf)
+    return G.graph_stats(nodes, edges.withColumn("resolved", F.lit(True)), G.degrees(nodes, edges))
+
+
+@query(
+    """SELECT 'c' || c_custkey || '->n' || c_nationkey || ':fk:0' AS id, '  "c' || c_custkey || '" -> "n' || c_nationkey || '";' AS line FROM customer UNION ALL
+       SELECT 'n' || n_nationkey || '->r' || n_regionkey || ':fk:0', '  "n' || n_nationkey || '" -> "r' || n_regionkey || '";' FROM nation"""
+)
+def rendered_edges(spark, sf):
+    edges = _places(spark, sf)[1].withColumns({"kind": F.lit("fk"), "resolved": F.lit(True)})
+    ids = X.cytoscape_edges(edges).select("id", F.concat(F.lit('  "'), "source", F.lit('" -> "'), "target", F.lit('";')).alias("line"))
+    return ids.join(X.dot_lines(edges), "line")
+
+
+def _transitions(spark, sf) -> DataFrame:
+    from pyspark.sql import Window
+
+    step = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = table(spark, sf, "events").select(F.col("event_type").alias("source"), step.alias("target"))
+    return rows.where("target IS NOT NULL").distinct()
+
+
+STEPS = """t AS (SELECT DISTINCT event_type AS source, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS target FROM events),
+    e AS (SELECT * FROM t WHERE target IS NOT NULL),
+    r AS (SELECT source, target FROM e UNION SELECT r.source, e.target FROM r JOIN e ON r.target = e.source)"""
+
+
+@query(f"WITH RECURSIVE {STEPS} SELECT a.source AS node, min(a.target) AS scc FROM r a JOIN r b ON a.source = b.target AND a.target = b.source GROUP BY a.source")
+def strong_components(spark, sf):
+    return G.strong_components(_transitions(spark, sf))
+
+
+@query(
+    f"""WITH RECURSIVE {STEPS}, c AS (SELECT a.source AS node, min(a.target) AS scc FROM r a JOIN r b ON a.source = b.target AND a.target = b.source GROUP BY a.source),
+        i AS (SELECT ca.scc, e.source, e.target FROM e JOIN c ca ON e.source = ca.node JOIN c cb ON e.target = cb.node AND ca.scc = cb.scc),
+        w AS (SELECT scc, min(target) AS node, [scc, min(target)] AS path FROM i WHERE source = scc GROUP BY scc
+              UNION ALL SELECT w.scc, i.target, list_append(w.path, i.target) FROM w JOIN i ON i.scc = w.scc AND i.source = w.node
+              WHERE w.node <> w.scc AND (i.target = w.scc OR NOT list_contains(w.path, i.target)))
+        SELECT scc, array_to_string(arg_min(path, (len(path), path)), ' -> ') AS cycle FROM w WHERE node = scc GROUP BY scc"""
+)
+def representative_cycles(spark, sf):
+    steps = _transitions(spark, sf)
+    found = G.representative_cycles(steps, G.strong_components(steps))
+    return found.select("scc", F.array_join("cycle", " -> ").alias("cycle"))
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (FROM orders WHERE o_custkey = c_custkey)")
+def missing_sources(spark, sf):
+    sourced = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf, "customer").join(sourced, "c_custkey", "left_anti").select("c_custkey")
+
+
+# ---- differences of snapshots and manifests -------------------------------------------------------
+
+
+def _snapshots(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Documents before and after a move of other languages than English to folders and a trim of the English ones."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("n"), F.coalesce("text", F.lit("")).alias("text"), "lang")
+    before = docs.select(F.concat(F.lit("doc/"), F.lpad("n", 12, "0")).alias("id"), F.sha2("text", 256).alias("content_hash"), F.length("text").alias("chars"))
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    folder = F.when(english, F.lit("doc")).otherwise(F.coalesce("lang", F.lit("none")))
+    text = F.when(english, F.regexp_replace("text", r"\n[^\n]*\z", "")).otherwise(F.col("text"))
+    after = docs.select(F.concat(folder, F.lit("/"), F.lpad("n", 12, "0")).alias("id"), F.sha2(text, 256).alias("content_hash"), F.length(text).alias("chars"))
+    return before, after
+
+
+CHANGES = r"""d AS (SELECT lpad(doc_id::VARCHAR, 12, '0') AS n, coalesce(text, '') AS text, coalesce(lang, 'none') AS lang FROM documents),
+    b AS (SELECT 'doc/' || n AS id, sha256(text) AS h, length(text) AS chars FROM d),
+    a AS (SELECT CASE WHEN lang = 'en' THEN 'doc/' ELSE lang || '/' END || n AS id, sha256(t) AS h, length(t) AS chars
+          FROM (SELECT *, CASE WHEN lang = 'en' THEN regexp_replace(text, '\n[^\n]*\z', '') ELSE text END AS t FROM d)),
+    gone AS (SELECT id, h, row_number() OVER (PARTITION BY h ORDER BY id) AS k FROM b WHERE id NOT IN (SELECT id FROM a)),
+    come AS (SELECT id, h, row_number() OVER (PARTITION BY h ORDER BY id) AS k FROM a WHERE id NOT IN (SELECT id FROM b)),
+    c AS (SELECT 'changed' AS change, id, NULL AS old_id, CASE WHEN a.chars <> b.chars THEN 'content_hash,chars' ELSE 'content_hash' END AS changed FROM a JOIN b USING (id) WHERE a.h <> b.h UNION ALL
+          SELECT CASE WHEN come.id IS NULL THEN 'removed' WHEN gone.id IS NULL THEN 'added' ELSE 'renamed' END, coalesce(come.id, gone.id), CASE WHEN come.id IS NOT NULL THEN gone.id END, ''
+          FROM gone FULL JOIN come ON gone.h = come.h AND gone.k = come.k)"""
+
+
+@query(f"WITH {CHANGES} SELECT * FROM c")
+def snapshot_diff(spark, sf):
+    found = D.diff(*_snapshots(spark, sf), fields=["chars"])
+    return found.withColumn("changed", F.array_join("changed", ","))
+
+
+@query(f"""WITH {CHANGES} SELECT count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'removed') AS removed,
+    count(*) FILTER (change = 'renamed') AS renamed, count(*) FILTER (change = 'changed') AS changed FROM c""")
+def diff_summary(spark, sf):
+    return D.summary(D.diff(*_snapshots(spark, sf), fields=["chars"]))
+
+
+@query(
+    """WITH b AS (SELECT DISTINCT o_custkey AS id, o_orderpriority AS target FROM orders WHERE o_orderstatus = 'F'),
+        a AS (SELECT DISTINCT o_custkey AS id, o_orderpriority AS target FROM orders WHERE o_orderstatus <> 'F'),
+        ids AS (SELECT id FROM a INTERSECT SELECT id FROM b),
+        plus AS (SELECT * FROM a EXCEPT SELECT * FROM b), minus AS (SELECT * FROM b EXCEPT SELECT * FROM a)
+        SELECT id, coalesce((SELECT string_agg(target, ',' ORDER BY target) FROM plus p WHERE p.id = ids.id), '') AS added,
+               coalesce((SELECT string_agg(target, ',' ORDER BY target) FROM minus m WHERE m.id = ids.id), '') AS removed
+        FROM ids WHERE added <> '' OR removed <> ''"""
+)
+def link_changes(spark, sf):
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("source"), F.col("o_orderpriority").alias("target"), "o_orderstatus")
+    found = D.link_changes(rows.where("o_orderstatus = 'F'"), rows.where("o_orderstatus <> 'F'"))
+    return found.select("id", F.array_join("added", ",").alias("added"), F.array_join("removed", ",").alias("removed"))
+
+
+@query(
+    """WITH l AS (SELECT 'doc/' || doc_id || '.md' AS path, sha256(coalesce(text, '')) AS sha, 'doc/' || doc_id AS id FROM documents)
+        SELECT substr(sha256(path), 1, 2) AS bucket, count(*) AS files,
+               sha256('manifest-v1' || chr(10) || string_agg(path || chr(0) || sha || chr(0) || id || chr(10), '' ORDER BY path)) AS hash
+        FROM l GROUP BY bucket"""
+)
+def manifest_hashes(spark, sf):
+    number = F.col("doc_id").cast("string")
+    files = table(spark, sf, "documents").select(
+        F.concat(F.lit("doc/"), number, F.lit(".md")).alias("path"), F.col("text").alias("content"), F.concat(F.lit("doc/"), number).alias("id")
+    )
+    return P.manifest_hash(files, buckets_hex=2)
