@@ -12,8 +12,9 @@ _FRONT = r"(?s)\A---(?:\r\n|\n|\r)(.*?)(?<=[\r\n])---[ \t]*(?:\r\n|\n|\r|\z)"
 _FENCE = r"(?ms)^ {0,3}(`{3,}|~{3,})[^\n]*(?:\n.*?(?:^ {0,3}\1[`~]*[ \t]*$|\z)|\z)"
 _CODE = r"(?s)(?<![`\\])(`+)(?!`)(?:.*?[^`])\1(?!`)"
 _HEADING = r"(?m)^ {0,3}(#{1,6})(?:[ \t]+(.*?))??(?:[ \t]+#+)?[ \t]*$"
-_LABEL = r"(?:[^\[\]\\]|\\.|\[[^\[\]]*\])*"
-_DESTINATION = r"<[^<>\n]*>|(?:[^()\s\\<]|\\.|\((?:[^()\s\\]|\\.)*\))*"
+# Runs are possessive and repeats bounded, so that hostile texts neither backtrack nor nest deeply.
+_LABEL = r"(?:[^\[\]\\]++|\\.|\[[^\[\]]*+\]){0,200}"
+_DESTINATION = r"<[^<>\n]*+>|(?:[^()\s\\<]++|\\.|\((?:[^()\s\\]++|\\.){0,64}\)){0,64}"
 _LINK = rf"(?<![!\\])\[({_LABEL})\]\([ \t]*({_DESTINATION})(?:[ \t]+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?[ \t]*\)"
 
 
@@ -32,7 +33,7 @@ def scalar(front: Column, key: str) -> Column:
 def sequence(front: Column, key: str) -> Column:
     """A top-level list of the front matter, inline or in lines; null if absent or empty."""
     inline = F.regexp_extract(front, rf"(?m)^{key}:[ \t]*\[(.*?)\][ \t]*$", 1)
-    block = F.regexp_extract(front, rf"(?m)^{key}:[ \t]*\n((?:[ \t]*-[ \t].*\n?)+)", 1)
+    block = F.regexp_extract(front, rf"(?ms)^{key}:[ \t]*\n(.*?)(?=^[^\s-]|\z)", 1)
     items = F.when(inline != "", F.split(inline, ",")).otherwise(F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]*-[ \t]+(.*?)[ \t]*$"), F.lit(1)))
     bare = F.filter(F.transform(items, lambda x: F.regexp_replace(F.trim(x), r"^[\"']|[\"']$", "")), lambda x: x != "")
     return F.when(F.size(bare) > 0, bare)
