@@ -108,3 +108,36 @@ def resource_host(url: pd.Series) -> pd.Series:
 @F.pandas_udf(BooleanType())
 def is_private_host(host: pd.Series) -> pd.Series:
     return host.map(private_one)
+
+
+def relative_one(source: str, target: str) -> str:
+    return posixpath.relpath(target, posixpath.dirname(source) or ".")
+
+
+@F.pandas_udf(StringType())
+def relative_target(source: pd.Series, target: pd.Series) -> pd.Series:
+    """How a link in ``source`` spells the path ``target``."""
+    return pd.Series([None if s is None or t is None else relative_one(s, t) for s, t in zip(source, target)], dtype=object)
+
+
+@F.pandas_udf(StringType())
+def path_key(path: pd.Series) -> pd.Series:
+    """Equal for paths that some file system can't tell apart: composed characters in lower case."""
+    return path.str.normalize("NFC").str.lower()
+
+
+def identity_one(identity: str) -> str:
+    """Fowler-Noll-Vo 1a of the UTF-16 units in 32 bits, in base 36 of seven digits at least."""
+    units, value = identity.encode("utf-16-le", "surrogatepass"), 0x811C9DC5
+    for i in range(0, len(units), 2):
+        value = (value ^ int.from_bytes(units[i : i + 2], "little")) * 0x01000193 % (1 << 32)
+    digits = ""
+    while value:
+        value, d = divmod(value, 36)
+        digits = "0123456789abcdefghijklmnopqrstuvwxyz"[d] + digits
+    return digits.rjust(7, "0")
+
+
+@F.pandas_udf(StringType())
+def identity_hash(identity: pd.Series) -> pd.Series:
+    return identity.map(identity_one, na_action="ignore")

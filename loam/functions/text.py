@@ -137,3 +137,21 @@ def escape_html(c: Column) -> Column:
 def canonical_json(c: Column) -> Column:
     """JSON text with keys in order at every level, so that equal values are equal texts."""
     return F.to_json(F.try_parse_json(c))
+
+
+def code_span(c: Column) -> Column:
+    """The text as an inline code span, in more backticks than it holds in a row."""
+    runs = F.transform(F.regexp_extract_all(c, F.lit("(`+)"), F.lit(1)), F.length)
+    ticks = F.repeat(F.lit("`"), F.coalesce(F.array_max(runs), F.lit(0)) + 1)
+    pad = F.when(c.startswith("`") | c.endswith("`"), F.lit(" ")).otherwise(F.lit(""))
+    return F.concat(ticks, pad, c, pad, ticks)
+
+
+def title_from_path(path: Column) -> Column:
+    """A file's name as a title: words for dashes and underscores, capitals at their start."""
+    return F.initcap(F.regexp_replace(F.regexp_replace(base_name(path), r"\.md$", ""), "[-_]+", " "))
+
+
+def terminal_safe(c: Column) -> Column:
+    """Control characters, which could steer a terminal, as question marks."""
+    return F.regexp_replace(c, r"[\x00-\x08\x0B-\x1F\x7F-\x9F]", "?")

