@@ -18,6 +18,8 @@ _WORD = re.compile(WORD)
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 #: Shingles that are hashed at once.
 _CHUNK = 1 << 16
+#: Where a key holds the number of its deleted bit.
+_BIT = 40
 #: Runs up to this length are compared by shifting, longer ones node by node.
 _SHORT_RUN = 32
 
@@ -88,11 +90,47 @@ def _linked(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def _link_runs(lanes: int, most: int):
-    """For rows sorted by (key, tile): verified links within each run of equal keys."""
+def _nearest(fps: np.ndarray, most: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each fingerprint to its k nearest ones: spares for a later test that may refuse links."""
+    left, right, k = [], [], min(k, len(fps) - 1)
+    for at in range(0, len(fps), 256):
+        away = np.bitwise_count(fps[at : at + 256, None] ^ fps[None]).sum(axis=2)
+        row = np.arange(len(away))
+        away[row, row + at] = 1 << 30
+        best = np.argpartition(away, k - 1, axis=1)[:, :k]
+        i, n = np.nonzero(np.take_along_axis(away, best, axis=1) <= most)
+        left.append(i + at)
+        right.append(best[i, n])
+    a, b = np.concatenate(left), np.concatenate(right)
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _first_shared(x: np.ndarray, y: np.ndarray, cuts: list[tuple[int, int, int]]) -> np.ndarray:
+    """The number of the first deleted bit under which each pair of fingerprints shares a key."""
+    differ, found, bit = x ^ y, np.full(len(x), -1), 0
+    for lane, first, width in cuts:
+        part = (differ[:, lane] >> np.uint64(first)) & np.uint64((1 << width) - 1)
+        near = (found < 0) & (np.bitwise_count(part) <= 1)
+        found[near] = bit + np.where(part[near] > 0, np.log2(np.maximum(part[near], np.uint64(1))).astype(np.int64), 0)
+        bit += width
+    return found
+
+
+def _link_runs(lanes: int, most: int, cuts: list[tuple[int, int, int]], spares: int):
+    """For rows sorted by key: verified links within each run of equal keys.
+
+    A link counts under the first key that its ends share only. Under a later one the forest may
+    skip it: in the earlier run the two are linked, or connected by links no longer than theirs.
+    """
     names = [f"f{i}" for i in range(lanes)]
 
     def links(keys: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for bits, a, b in all_links(keys, fps):
+            own = _first_shared(a, b, cuts) == bits
+            yield a[own], b[own]
+
+    def all_links(keys: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        bit = keys >> _BIT
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         lengths = np.diff(np.r_[starts, len(keys)])
         run = np.repeat(np.arange(len(starts)), lengths)
@@ -102,11 +140,13 @@ def _link_runs(lanes: int, most: int):
             if not len(i):
                 break
             i = i[np.bitwise_count(fps[i] ^ fps[i + step]).sum(axis=1) <= most]
-            yield fps[i], fps[i + step]
+            yield bit[i], fps[i], fps[i + step]
         for r in np.flatnonzero(lengths > _SHORT_RUN):
             own = fps[starts[r] : starts[r] + lengths[r]]
             a, b = _linked(own, most)
-            yield own[a], own[b]
+            if spares:
+                a, b = (np.concatenate(x) for x in zip((a, b), _nearest(own, most, spares)))
+            yield np.full(len(a), bit[starts[r]]), own[a], own[b]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_keys, held = [], []
@@ -139,7 +179,7 @@ def _link_runs(lanes: int, most: int):
 
 
 def linked_fingerprints(
-    distinct: DataFrame, lanes: int = 1, max_distance: int = 4, segments: int = 3, tile_rows: int = 4096
+    distinct: DataFrame, lanes: int = 1, max_distance: int = 4, segments: int = 3, tile_rows: int = 4096, spares: int = 0
 ) -> DataFrame:
     """(a, b) structs of linked distinct fingerprints: enough links to connect all that reach each other.
 
@@ -150,7 +190,8 @@ def linked_fingerprints(
     segments the search misses some pairs.
 
     Keys that very many fingerprints share are dealt in tiles: rows get a block by hash, and a
-    task compares two blocks. Long runs of equal keys give a spanning forest, not all pairs.
+    task compares two blocks. Long runs of equal keys give a spanning forest, not all pairs, and each
+    row's ``spares`` nearest neighbours.
     """
     names = [f"f{i}" for i in range(lanes)]
     cuts = _segments(lanes, segments)
@@ -168,8 +209,8 @@ def linked_fingerprints(
         own = []
         for i in range(width):
             deleted = F.lit(~(1 << i) & ((1 << width) - 1))
-            variants.append(value.bitwiseAND(deleted) + F.lit(bit << 40))
-            own.append(F.col("v").bitwiseAND(deleted) + F.lit(bit << 40))
+            variants.append(value.bitwiseAND(deleted) + F.lit(bit << _BIT))
+            own.append(F.col("v").bitwiseAND(deleted) + F.lit(bit << _BIT))
             bit += 1
         crowded_variants = F.when(F.col("n") == n, F.array(*own)).otherwise(crowded_variants)
     crowded = written(
@@ -185,11 +226,13 @@ def linked_fingerprints(
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)).cast("long") - 1))
         tiled = tiled.withColumn("other", other)
         tile = F.least("block", "other") * 65536 + F.greatest("block", "other")
-        rows = tiled.select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", tile)).alias("key"), *names)
+        mixed = F.xxhash64("key", tile).bitwiseAND(F.lit((1 << _BIT) - 1))
+        tile_key = F.shiftleft(F.shiftright("key", _BIT), _BIT).bitwiseOR(mixed)  # keys that meet by chance only compare more
+        rows = tiled.select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(tile_key).alias("key"), *names)
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartition(parts, "key").sortWithinPartitions("key")
     schema = ", ".join(f"{side}{n} long" for side in "ab" for n in names)
-    pairs = ordered.mapInArrow(_link_runs(lanes, max_distance), schema)
+    pairs = ordered.mapInArrow(_link_runs(lanes, max_distance, cuts, spares), schema)
     return pairs.select(
         F.struct(*[F.col(f"a{n}").alias(n) for n in names]).alias("a"), F.struct(*[F.col(f"b{n}").alias(n) for n in names]).alias("b")
     )
@@ -251,17 +294,18 @@ def near_duplicates(
     names = [f"f{i}" for i in range(lanes)]
     prints = written(fingerprints(docs, id_col, text_col, shingle, lanes), "prints")
     nodes = written(prints.groupBy(*names).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
-    links = written(linked_fingerprints(nodes.select(*names), lanes, max_distance, segments, tile_rows).distinct(), "links")
+    spares = 0 if min_similarity is None else 8
+    found = linked_fingerprints(nodes.select(*names), lanes, max_distance, segments, tile_rows, spares)
+    links = written(found.distinct(), "links")
     if min_similarity is not None:
         texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
         links = written(similar_links(links, nodes, texts, names, shingle, min_similarity), "similar")
     reached = connected_components(links, "a", "b")
     labelled = nodes.select(F.struct(*names).alias("node"), "least").join(reached, "node", "left")
     root = F.coalesce("component", "node")
-    smallest = labelled.groupBy(root.alias("root")).agg(F.min("least").alias("component_id"))
-    classes = written(
-        labelled.select(root.alias("root"), "node").join(smallest, "root").select("node.*", "component_id"), "classes"
-    )
+    labelled = written(labelled.select(root.alias("root"), "node", "least"), "labelled")
+    smallest = written(labelled.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
+    classes = written(labelled.select("root", "node").join(smallest, "root").select("node.*", "component_id"), "classes")
     return prints.join(classes, names).select(F.col("id").alias(id_col), *names, "component_id")
 
 
