@@ -72,7 +72,7 @@ class Bundle:
             "source", F.coalesce("target", "target_raw").alias("target"), F.lit("markdown-link").alias("kind"), "resolved", F.col("text").alias("label")
         )
         for column, kind in (("resource", "resource"), ("tags", "tag")):
-            values = F.array_distinct(F.filter(F.transform(column, F.trim), lambda v: v != ""))
+            values = F.array_distinct(F.filter(F.transform(column, lambda v: F.trim(v)), lambda v: v != ""))
             rows = self.context.concepts.select(F.col("id").alias("source"), F.explode(values).alias("label"))
             links = links.unionByName(
                 rows.select("source", F.concat(F.lit(f"{kind}:"), "label").alias("target"), F.lit(kind).alias("kind"), F.lit(True).alias("resolved"), "label")

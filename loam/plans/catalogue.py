@@ -547,3 +547,52 @@ def manifest_hashes(spark, sf):
         F.concat(F.lit("doc/"), number, F.lit(".md")).alias("path"), F.col("text").alias("content"), F.concat(F.lit("doc/"), number).alias("id")
     )
     return P.manifest_hash(files, buckets_hex=2)
+
+
+# ---- exports and the whole edge set -----------------------------------------------------------------
+
+
+@query(
+    f"""WITH {NAMES} SELECT id AS source, parent AS target, 'markdown-link' AS kind, 'its parent' AS label FROM n WHERE parent IS NOT NULL
+        UNION ALL SELECT id, 'resource:db://' || folder || '/' || key, 'resource', 'db://' || folder || '/' || key FROM n
+        UNION ALL SELECT id, 'tag:' || t, 'tag', t FROM (SELECT id, unnest([folder, 'generated']) AS t FROM n)"""
+)
+def edge_union(spark, sf):
+    from loam.bundle import Bundle
+
+    return Bundle(_generated(spark, sf), R.Config()).edges().select("source", "target", "kind", "label")
+
+
+@query(
+    f"""WITH {DIAGNOSTICS} SELECT code || ' ' || path AS key, '{{"ruleId":"' || code || '","level":"' || severity || '","uri":"' || path || '"}}' AS result
+        FROM g WHERE severity IN ('error', 'warning')"""
+)
+def sarif_rows(spark, sf):
+    found = R.lint(_document_context(spark, sf))
+    rows = X.sarif_results(found).select(F.from_json("result", "ruleId string, level string, uri string").alias("r"))
+    return rows.select(F.concat_ws(" ", "r.ruleId", "r.uri").alias("key"), F.to_json("r").alias("result"))
+
+
+@query(
+    """SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS safe FROM pages"""
+)
+def escaped_html(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.escape_html(F.col("html")).alias("safe"))
+
+
+@query(
+    r"""SELECT doc_id, CASE WHEN b = '' THEN '' ELSE b || chr(10) END AS formatted FROM (
+        SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n|\r', e'\n', 'g'), '[ \t]+(\n|$)', '\1', 'g'), '\n{3,}', e'\n\n', 'g'), '^\n+|\n+$', '', 'g') AS b
+        FROM documents)"""
+)
+def formatted_documents(spark, sf):
+    from loam.operators.formatting import formatted
+
+    files = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    return formatted(files).select(F.col("path").cast("long").alias("doc_id"), "formatted")
+
+
+@query("SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS title FROM part")
+def titles_from_paths(spark, sf):
+    path = F.concat(F.lit("parts/"), F.regexp_replace("p_name", " ", "-"), F.lit(".md"))
+    return table(spark, sf, "part").select("p_partkey", T.title_from_path(path).alias("title"))
