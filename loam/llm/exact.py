@@ -18,19 +18,36 @@ def _slot(*keys: Column) -> Column:
 def _bitmap(survivors: DataFrame, *keys: str) -> DataFrame:
     """The survivors' slots, 32768 to a row."""
     slots = survivors.select(_slot(*[F.col(k) for k in keys]).alias("slot"))
-    return slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")
+    return slots.groupBy(F.bitmap_bucket_number("slot").alias("__bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("__bits")
     )
 
 
-def _probed(rows: DataFrame, bitmap: DataFrame, *keys: str) -> DataFrame:
-    """``rows`` with ``candidate``: whether the slot of its keys is set."""
-    slot = _slot(*[F.col(k) for k in keys])
+def _probed(rows: DataFrame, bitmap: DataFrame, *keys: Column) -> DataFrame:
+    """``rows`` with ``__candidate``: whether the slot of its keys is set."""
+    slot = _slot(*keys)
     at = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    joined = rows.withColumn("bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bitmap), "bucket", "left")
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    joined = rows.withColumn("__bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bitmap), "__bucket", "left")
     hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
-    return joined.withColumn("candidate", hit).drop("bucket", "bits")
+    return joined.withColumn("__candidate", hit).drop("__bucket", "__bits")
+
+
+def _keys(text: Column, prefix_chars: int) -> tuple[Column, Column]:
+    """What the first two refinements group by: bytes of the text, and a hash of its first characters."""
+    return F.octet_length(text), F.xxhash64(ascii_lower(F.substring(text, 1, prefix_chars)))
+
+
+def survivors(docs: DataFrame, text_col: str = "text", prefix_chars: int = 256) -> DataFrame:
+    """The bitmap, written, of rows that share both length and prefix with another row."""
+    text = text_or_empty(text_col)
+    length, prefix = _keys(text, prefix_chars)
+    by_length = docs.groupBy(length.alias("length")).count().where("count > 1")
+    same_length = _probed(docs.select(text.alias("text")), _bitmap(by_length, "length"), F.octet_length("text"))
+    length, prefix = _keys(F.col("text"), prefix_chars)
+    keyed = same_length.where("__candidate").select(length.alias("length"), prefix.alias("prefix"))
+    by_prefix = keyed.groupBy("length", "prefix").count().where("count > 1")
+    return written(_bitmap(by_prefix, "length", "prefix"), "survivors")
 
 
 def refined_hashes(
@@ -44,23 +61,14 @@ def refined_hashes(
     by chance costs one needless hash and changes no result. ``digest_all`` hashes the other
     rows too, for callers that report digests.
     """
-    text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    prefix = F.xxhash64(ascii_lower(F.substring("text", 1, prefix_chars)))
-    by_length = rows.groupBy(F.octet_length("text").alias("length")).count().where("count > 1")
-    same_length = _probed(rows.withColumn("length", F.octet_length("text")), _bitmap(by_length, "length"), "length")
-    keyed = same_length.where("candidate").select("length", prefix.alias("prefix"))
-    by_prefix = keyed.groupBy("length", "prefix").count().where("count > 1")
-    same_prefix = _probed(
-        rows.select("id", "text", F.octet_length("text").alias("length"), prefix.alias("prefix")),
-        _bitmap(by_prefix, "length", "prefix"),
-        "length",
-        "prefix",
-    )
+    bitmap = survivors(docs, text_col, prefix_chars)
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    length, prefix = _keys(F.col("text"), prefix_chars)
+    probed = _probed(rows.withColumns({"length": length, "prefix": prefix}), bitmap, F.col("length"), F.col("prefix"))
     digest = F.sha2(ascii_lower(F.col("text")), 256)
     if not digest_all:
-        digest = F.when(F.col("candidate"), digest)
-    hashed = same_prefix.select("id", "length", "prefix", "candidate", digest.alias("digest"))
+        digest = F.when(F.col("__candidate"), digest)
+    hashed = probed.select("id", "length", "prefix", F.col("__candidate").alias("candidate"), digest.alias("digest"))
     return written(hashed, "exact")
 
 
@@ -102,18 +110,19 @@ def exact_dedup(
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 256) -> DataFrame:
     """``docs`` with one row of each text, in the columns of ``docs``.
 
-    Rows as in :func:`exact_dedup`; of rows that repeat both id and text, one stays.
+    Rows as in :func:`exact_dedup`; of rows that repeat both id and text, one stays. Texts whose length
+    or prefix nobody shares pass straight through; only the others meet their groups in a join.
     """
-    hashed = refined_hashes(docs, id_col, text_col, prefix_chars)
-    groups = duplicate_groups(hashed)
+    bitmap = survivors(docs, text_col, prefix_chars)
     text = text_or_empty(text_col)
-    marked = docs.withColumn("__digest", F.sha2(ascii_lower(text), 256)).join(
-        groups.select(F.col("digest").alias("__digest"), F.col("keep").alias("__keep"), F.col("size").alias("__size")),
-        "__digest",
-        "left",
+    probed = _probed(docs, bitmap, *_keys(text, prefix_chars))
+    alone = probed.where(~F.col("__candidate")).select(*docs.columns)
+    shared = probed.where("__candidate").withColumn("__digest", F.sha2(ascii_lower(text), 256))
+    counts = shared.groupBy("__digest", F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
+    groups = written(
+        counts.groupBy("__digest").agg(F.max(F.struct("__id", "__n")).alias("__last")).select("__digest", "__last.*"), "groups"
     )
-    stays = marked.where(F.col("__size").isNull() | F.col(id_col).eqNullSafe(F.col("__keep")))
-    repeated = hashed.where("candidate").groupBy("digest", "id").count().where("count > 1").limit(1)
-    if repeated.count():
+    stays = shared.join(groups, "__digest").where(F.col(id_col).eqNullSafe(F.col("__id")))
+    if groups.where("__n > 1").limit(1).count():
         stays = stays.dropDuplicates(["__digest"])
-    return stays.select(*docs.columns)
+    return alone.union(stays.select(*docs.columns))
