@@ -107,13 +107,12 @@ def pack(
     id are packed each, and conflict. An empty table gives an empty result.
     """
     text = text_or_empty(text_col)
-    cluster = F.xxhash64(ascii_lower(text)) if cluster_col is None else F.xxhash64(F.col(cluster_col))
-    known = F.lit(True) if cluster_col is None else F.col(cluster_col).isNotNull()
+    own = F.col(cluster_col) if cluster_col else ascii_lower(text)
     sized = docs.select(
         F.col(id_col).cast("long").alias("id"),
         n_words(text).alias("size"),
         F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("")).alias("source"),
-        F.when(known, F.hex(cluster)).otherwise(F.concat(F.lit("-"), F.uuid())).alias("cluster"),
+        F.when(own.isNotNull(), F.hex(F.xxhash64(own))).alias("cluster"),
     )
     shards = -(-docs.select(F.count(F.lit(1)).alias("n")).first()["n"] // shard_docs) or 1
     dealt = sized.withColumn("shard", F.pmod(F.xxhash64("id", "size", "cluster"), F.lit(shards)).cast("int"))
