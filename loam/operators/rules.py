@@ -143,27 +143,27 @@ def _cycles(c: Context) -> DataFrame:
     return cycles.join(c.concepts.select(F.col("id").alias("scc"), "path"), "scc").withColumnRenamed("scc", "id")
 
 
-def _stale(c: Context) -> DataFrame:
-    now = F.lit(c.config.now_ms).cast("long") if c.config.now_ms is not None else F.unix_millis(F.current_timestamp())
-    return c.concepts.where(now - T.iso_utc_ms(F.col("timestamp")) > c.config.stale_days * 86_400_000)
+def _stale(config: Config) -> Column:
+    now = F.lit(config.now_ms).cast("long") if config.now_ms is not None else F.unix_millis(F.current_timestamp())
+    return now - T.iso_utc_ms(F.col("timestamp")) > config.stale_days * 86_400_000
 
 
-def _deprecated(c: Context) -> DataFrame:
+def _deprecated(config: Config) -> Column:
     old = (F.lower("status") == "deprecated") | F.exists("tags", lambda t: F.lower(t) == "deprecated")
     named = F.arrays_overlap("keys", F.array(*[F.lit(k) for k in REPLACEMENT_KEYS]))
-    return c.concepts.where(F.coalesce(old, F.lit(False)) & ~F.coalesce(named, F.lit(False)) & ~_has_heading("replacement|migration|deprecation"))
+    return F.coalesce(old, F.lit(False)) & ~F.coalesce(named, F.lit(False)) & ~_has_heading("replacement|migration|deprecation")
 
 
-def _key_order(c: Context) -> DataFrame:
-    order = F.array(*[F.lit(k) for k in c.config.key_order])
+def _key_order(config: Config) -> Column:
+    order = F.array(*[F.lit(k) for k in config.key_order])
     rank = lambda k: F.coalesce(F.nullif(F.array_position(order, k), F.lit(0)), F.lit(1 << 30))
     wanted = F.transform(F.array_sort(F.transform("keys", lambda k: F.struct(rank(k).alias("r"), k.alias("k")))), lambda x: x["k"])
-    return c.concepts.where(wanted != F.col("keys"))
+    return wanted != F.col("keys")
 
 
-def _bad_path(c: Context) -> DataFrame:
+def _bad_path(config: Config) -> Column:
     good = r"^(?!/)(?!.*//)(?!(?:.*/)?\.{1,2}/)(?:.*/)?(?!\.{0,2}\.md$)[^/]+\.md$"
-    return c.concepts.where(~F.col("path").rlike(good))
+    return ~F.col("path").rlike(good)
 
 
 def _version(c: Context) -> DataFrame:
@@ -173,56 +173,66 @@ def _version(c: Context) -> DataFrame:
     )
 
 
+#: Rules that decide on a concept alone: the condition and the message. Lint reads the concepts once for all of them.
+ROW_RULES: dict[str, tuple[Callable[[Config], Column], str]] = {
+    "spec/missing-frontmatter": (lambda c: F.col("front").isNull(), "The file has no front matter."),
+    "spec/missing-type": (lambda c: F.col("front").isNotNull() & T.blank(F.col("type")), "The concept has no type."),
+    "spec/invalid-concept-path": (_bad_path, "The path is no normal relative path of a Markdown file."),
+    "hygiene/missing-title": (lambda c: T.blank(F.col("title")), "The concept has no title."),
+    "hygiene/missing-description": (lambda c: T.blank(F.col("description")), "The concept has no description."),
+    "hygiene/empty-body": (lambda c: T.blank(F.col("body")), "The body is empty."),
+    "style/frontmatter-key-order": (_key_order, "The front matter's keys are out of order."),
+    "style/timestamp-format": (
+        lambda c: F.col("timestamp").isNotNull() & T.iso_utc_ms(F.col("timestamp")).isNull(),
+        "The time stamp is not ISO 8601 in UTC.",
+    ),
+    "style/file-name-format": (lambda c: ~F.col("path").rlike(T.FILE_NAME), "The file name has other characters than it should."),
+    "agent/missing-summary": (
+        lambda c: T.blank(F.col("description")) & ~_has_heading(r"^(?:.* )?summary$"),
+        "There is neither a summary nor a description.",
+    ),
+    "agent/missing-usage": (lambda c: _typed("api", "metric") & ~_has_heading("usage"), "There is no heading on usage."),
+    "agent/missing-owner": (lambda c: _typed("api", "metric", "runbook") & T.blank(F.col("owner")), "There is no owner."),
+    "agent/runbook-missing-symptoms": (lambda c: _typed("runbook") & ~_has_heading("symptom"), "There is no heading on symptoms."),
+    "agent/api-missing-auth-notes": (
+        lambda c: _typed("api") & ~_has_heading(r"(?<![a-z0-9_])(?:auth(?:entication|orization|n|z)?|oauth2?)(?![a-z0-9_])"),
+        "There is no heading on authentication.",
+    ),
+    "security/suspicious-secret": (lambda c: T.has_private_key(_scanned()) | T.has_token(_scanned()), "The text seems to hold a secret."),
+    "security/private-key": (lambda c: T.has_private_key(_scanned()), "The text holds a private key."),
+    "security/token-looking-value": (lambda c: T.has_token(_scanned()), "The text holds what looks like a token."),
+    "security/unredacted-email": (lambda c: T.has_email(_scanned()), "The text holds an e-mail address."),
+    "agent/stale-timestamp": (_stale, "The time stamp is old."),
+    "agent/deprecated-missing-replacement": (_deprecated, "Deprecated without a replacement."),
+}
+
+#: Rules that need groups, links or several rows of a concept.
 RULES: dict[str, Callable[[Context], DataFrame]] = {
     "spec/unsupported-version": lambda c: found(_version(c), "The bundle's version is not supported."),
-    "spec/missing-frontmatter": lambda c: found(c.concepts.where("front IS NULL"), "The file has no front matter."),
-    "spec/missing-type": lambda c: found(c.concepts.where(F.col("front").isNotNull() & T.blank(F.col("type"))), "The concept has no type."),
-    "spec/invalid-concept-path": lambda c: found(_bad_path(c), "The path is no normal relative path of a Markdown file."),
-    "hygiene/missing-title": lambda c: found(c.concepts.where(T.blank(F.col("title"))), "The concept has no title."),
-    "hygiene/missing-description": lambda c: found(c.concepts.where(T.blank(F.col("description"))), "The concept has no description."),
-    "hygiene/empty-body": lambda c: found(c.concepts.where(T.blank(F.col("body"))), "The body is empty."),
     "hygiene/duplicate-title": lambda c: _shared(
-        c.concepts.where(~T.blank(F.col("title"))).select(F.lower(T.trimmed(F.col("title"))).alias("key"), "path", "id"), "Another concept has this title."
+        c.concepts.where(~T.blank(F.col("title"))).select(F.lower(T.trimmed(F.col("title"))).alias("key"), "path", "id"),
+        "Another concept has this title.",
     ),
     "hygiene/duplicate-resource": lambda c: _shared(
-        c.concepts.select("path", "id", F.explode(F.array_distinct(F.transform("resource", lambda r: F.lower(T.trimmed(r))))).alias("key")).where("key <> ''"),
+        c.concepts.select(
+            "path", "id", F.explode(F.array_distinct(F.transform("resource", lambda r: F.lower(T.trimmed(r))))).alias("key")
+        ).where("key <> ''"),
         "Another concept has this resource.",
     ),
     "graph/broken-internal-link": lambda c: found(
         c.links.where("kind = 'internal' AND NOT resolved"), F.concat(F.lit("No file for the link to "), "target_raw"), "source_path", "source"
     ),
-    "graph/orphan-concept": lambda c: found(G.orphans(c.degree).join(c.concepts.select("id", "path"), "id"), "Nothing links here or from here."),
-    "graph/no-backlinks": lambda c: found(G.no_backlinks(c.degree).join(c.concepts.select("id", "path"), "id"), "Nothing links here."),
-    "graph/high-degree-hub": lambda c: found(
-        G.hubs(c.degree, c.config.hub_degree).join(c.concepts.select("id", "path"), "id"), "The concept has very many neighbours."
-    ),
+    "graph/orphan-concept": lambda c: found(_placed(c, G.orphans(c.degree)), "Nothing links here or from here."),
+    "graph/no-backlinks": lambda c: found(_placed(c, G.no_backlinks(c.degree)), "Nothing links here."),
+    "graph/high-degree-hub": lambda c: found(_placed(c, G.hubs(c.degree, c.config.hub_degree)), "The concept has very many neighbours."),
     "graph/circular-reference": lambda c: found(_cycles(c), F.concat(F.lit("Links go round: "), F.array_join("cycle", " -> "))),
-    "style/frontmatter-key-order": lambda c: found(_key_order(c), "The front matter's keys are out of order."),
-    "style/timestamp-format": lambda c: found(
-        c.concepts.where(F.col("timestamp").isNotNull() & T.iso_utc_ms(F.col("timestamp")).isNull()), "The time stamp is not ISO 8601 in UTC."
-    ),
     "style/tag-format": lambda c: found(
         c.concepts.select("path", "id", F.explode("tags").alias("tag")).where(~F.col("tag").rlike(T.TAG)), F.concat(F.lit("Not a tag: "), "tag")
     ),
-    "style/file-name-format": lambda c: found(c.concepts.where(~F.col("path").rlike(T.FILE_NAME)), "The file name has other characters than it should."),
-    "agent/missing-summary": lambda c: found(
-        c.concepts.where(T.blank(F.col("description")) & ~_has_heading(r"^(?:.* )?summary$")), "There is neither a summary nor a description."
-    ),
-    "agent/missing-usage": lambda c: found(c.concepts.where(_typed("api", "metric") & ~_has_heading("usage")), "There is no heading on usage."),
-    "agent/missing-owner": lambda c: found(c.concepts.where(_typed("api", "metric", "runbook") & T.blank(F.col("owner"))), "There is no owner."),
     "agent/metric-missing-source": lambda c: found(_metric_source(c), "The metric links to no table."),
-    "agent/runbook-missing-symptoms": lambda c: found(c.concepts.where(_typed("runbook") & ~_has_heading("symptom")), "There is no heading on symptoms."),
-    "agent/api-missing-auth-notes": lambda c: found(
-        c.concepts.where(_typed("api") & ~_has_heading(r"(?<![a-z0-9_])(?:auth(?:entication|orization|n|z)?|oauth2?)(?![a-z0-9_])")),
-        "There is no heading on authentication.",
+    "security/internal-url": lambda c: found(
+        _urls(c).where(is_private_host(resource_host("url"))).select("path", "id").distinct(), "The text links to a private host."
     ),
-    "security/suspicious-secret": lambda c: found(
-        c.concepts.where(T.has_private_key(_scanned()) | T.has_token(_scanned())), "The text seems to hold a secret."
-    ),
-    "security/private-key": lambda c: found(c.concepts.where(T.has_private_key(_scanned())), "The text holds a private key."),
-    "security/token-looking-value": lambda c: found(c.concepts.where(T.has_token(_scanned())), "The text holds what looks like a token."),
-    "security/unredacted-email": lambda c: found(c.concepts.where(T.has_email(_scanned())), "The text holds an e-mail address."),
-    "security/internal-url": lambda c: found(_urls(c).where(is_private_host(resource_host("url"))).select("path", "id").distinct(), "The text links to a private host."),
     "security/private-url": lambda c: found(_resources(c).where(is_private_host("host")), F.concat(F.lit("Private resource: "), "url")),
     "security/non-allowlisted-resource": lambda c: found(
         _resources(c).where(F.lit(bool(c.config.allow_hosts)) & F.col("host").isNotNull() & ~F.col("host").isin(*(c.config.allow_hosts or ("",)))),
@@ -231,28 +241,40 @@ RULES: dict[str, Callable[[Context], DataFrame]] = {
     "agent/missing-index": lambda c: found(
         c.parsed.agg(F.count_if(F.col("kind") == "index").alias("n")).where("n = 0"), "The bundle has no index.", None, None
     ),
-    "agent/stale-timestamp": lambda c: found(_stale(c), "The time stamp is old."),
-    "agent/deprecated-missing-replacement": lambda c: found(_deprecated(c), "Deprecated without a replacement."),
 }
 
 
+def _placed(c: Context, ids: DataFrame) -> DataFrame:
+    return ids.join(c.concepts.select("id", "path"), "id")
+
+
+def _row_diagnostics(c: Context) -> DataFrame | None:
+    """All active row rules in one pass: an array of what a concept breaks, exploded."""
+    hits = []
+    for code, (condition, message) in ROW_RULES.items():
+        if (level := c.config.level(code)) != "off":
+            parts = {"code": code, "severity": level, "severity_rank": RANK[level], "message": message}
+            hits.append(F.when(condition(c.config), F.struct(*[F.lit(v).alias(k) for k, v in parts.items()])))
+    if not hits:
+        return None
+    broken = F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("d")
+    return c.concepts.select(broken, "path", F.col("id").alias("concept_id")).select("d.*", "path", "concept_id")
+
+
 def lint(context: Context, extra: Mapping[str, tuple[str, Callable[[Context], DataFrame]]] | None = None) -> DataFrame:
     """(code, severity, severity_rank, message, path, concept_id) of all rules that aren't off.
 
     ``extra`` adds rules: name to (severity, function of the context to (message, path, concept_id)).
     """
-    parts = []
-    for code, rule in RULES.items():
-        if (level := context.config.level(code)) != "off":
-            parts.append((code, level, rule))
+    parts = [(code, context.config.level(code), rule) for code, rule in RULES.items()]
     parts += [(code, level, rule) for code, (level, rule) in (extra or {}).items()]
-    made = [
-        rule(context).select(F.lit(code).alias("code"), F.lit(level).alias("severity"), F.lit(RANK[level]).alias("severity_rank"), "message", "path", "concept_id")
-        for code, level, rule in parts
-    ]
-    out = made[0]
-    for more in made[1:]:
-        out = out.unionByName(more)
+    out = _row_diagnostics(context)
+    for code, level, rule in parts:
+        if level == "off":
+            continue
+        head = [F.lit(code).alias("code"), F.lit(level).alias("severity"), F.lit(RANK[level]).alias("severity_rank")]
+        more = rule(context).select(*head, "message", "path", "concept_id")
+        out = more if out is None else out.unionByName(more)
     return out
 
 

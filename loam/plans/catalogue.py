@@ -179,7 +179,8 @@ def _document_context(spark, sf) -> R.Context:
     docs = table(spark, sf, "documents")
     path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
     front = F.concat(F.lit("---\ntype: Document\ntags: ["), "lang", F.lit("]\n---\n"))
-    parsed = parsing.parse(docs.select(path.alias("path"), F.concat(front, F.coalesce("text", F.lit(""))).alias("content")))
+    files = docs.select(path.alias("path"), F.concat(front, F.coalesce("text", F.lit(""))).alias("content"))
+    parsed = written(parsing.parse(files), "parsed")
     return R.Context(parsed, parsing.resolved_links(parsed), R.Config(rules={"graph/orphan-concept": "off", "graph/circular-reference": "off"}))
 
 
