@@ -33,9 +33,12 @@ def hubs(degree: DataFrame, threshold: int = HUB_DEGREE) -> DataFrame:
 
 
 def backlinks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, sources): the different sources that link to each node, sorted; an empty list for none."""
-    into = edges.groupBy(F.col("target").alias("id")).agg(F.array_sort(F.collect_set("source")).alias("sources"))
-    return nodes.select("id").join(into, "id", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
+    """(id, source): a row for each different source that links to a node, and one with a null source for nodes without.
+
+    Rows, not lists, since a node may have any number of backlinks.
+    """
+    into = edges.select(F.col("target").alias("id"), "source").distinct()
+    return nodes.select("id").join(into, "id", "left")
 
 
 def top_referenced(edges: DataFrame, k: int = 10) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loam.functions.text import tokens
 
@@ -16,9 +16,14 @@ def term_frequencies(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def postings(pairs: DataFrame) -> DataFrame:
-    """(term, ids): the sorted ids that hold each term."""
-    return pairs.groupBy("term").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+def postings(pairs: DataFrame, block: Column | None = None, blocks: int = 1) -> DataFrame:
+    """(term, block, ids): the sorted ids that hold each term, in blocks of bounded size.
+
+    A block is a range of ids (``block``, say id div 4096) or, for ids that aren't numbers, one of
+    ``blocks`` hash buckets, so that a term that every document holds is no single list.
+    """
+    at = F.pmod(F.xxhash64("id"), F.lit(blocks)) if block is None else block
+    return pairs.groupBy("term", at.alias("block")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
 def search(pairs: DataFrame, queries: DataFrame, query_col: str, text_col: str, limit: int = 10) -> DataFrame:

@@ -152,11 +152,11 @@ def term_frequencies(spark, sf):
 
 
 @query(
-    f"SELECT term, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS ids FROM (SELECT item_id, unnest({TERMS.format('text')}) AS term FROM benchmark) GROUP BY term"
+    f"SELECT term, item_id // 1024 AS block, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS ids FROM (SELECT item_id, unnest({TERMS.format('text')}) AS term FROM benchmark) GROUP BY ALL"
 )
 def postings(spark, sf):
-    found = S.postings(S.terms(table(spark, sf, "benchmark"), "item_id", "text"))
-    return found.select("term", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+    found = S.postings(S.terms(table(spark, sf, "benchmark"), "item_id", "text"), F.expr("id div 1024"))
+    return found.select("term", "block", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
 @query(
@@ -307,11 +307,10 @@ NAMES = """n AS (SELECT 'region/' || printf('%06d', r_regionkey::BIGINT) AS id,
     SELECT 'supplier/' || printf('%06d', s_suppkey::BIGINT), s_name, 'nation/' || printf('%06d', s_nationkey::BIGINT), 'supplier', s_suppkey::VARCHAR FROM supplier)"""
 
 
-@query(f"WITH {NAMES} SELECT c.id, coalesce(string_agg(l.id, ',' ORDER BY l.id), '') AS sources FROM n c LEFT JOIN n l ON l.parent = c.id GROUP BY c.id")
+@query(f"WITH {NAMES} SELECT c.id, l.id AS source FROM n c LEFT JOIN n l ON l.parent = c.id")
 def gen_backlinks(spark, sf):
     parsed = parsing.parse(_generated(spark, sf))
-    found = G.backlinks(parsed.select("id"), parsing.resolved_links(parsed).where("resolved").select("source", "target"))
-    return found.select("id", F.array_join("sources", ",").alias("sources"))
+    return G.backlinks(parsed.select("id"), parsing.resolved_links(parsed).where("resolved").select("source", "target"))
 
 
 @query(f"WITH {NAMES} SELECT l.id AS source, p.id AS target, p.id IS NOT NULL AS resolved FROM n l LEFT JOIN n p ON l.parent = p.id WHERE l.parent IS NOT NULL")

@@ -25,7 +25,7 @@ def test_bundle(spark, tmp_path):
     ranks = [r["severity_rank"] for r in b.lint().collect()]
     assert ranks == sorted(ranks, reverse=True)
     assert {(r["direction"], r["id"]) for r in b.neighbors("a").collect()} >= {("out", "x/b"), ("out", "tag:x"), ("in", "x/b"), ("in", "index")}
-    assert {r["id"]: r["sources"] for r in b.backlinks().collect()} == {"a": ["index", "x/b"], "x/b": ["a"]}
+    assert {(r["id"], r["source"]) for r in b.backlinks().collect()} == {("a", "index"), ("a", "x/b"), ("x/b", "a")}
     assert {r["cluster"] for r in b.clusters().collect()} == {"a"}
     assert b.search("part two").first()["id"] == "a"
     changed = dict(BUNDLE) | {"x/c.md": BUNDLE["x/b.md"], "a.md": BUNDLE["a.md"] + "more\n"}
