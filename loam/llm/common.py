@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word is a run of anything but the six ASCII white-space characters.
@@ -23,3 +23,29 @@ def text_or_empty(column: str) -> Column:
 
 def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
+
+
+#: Slots of a bitmap; 2**24 bits are at most 512 rows of 4 KB, whatever the input.
+SLOTS = 1 << 24
+
+
+def _slot(*keys: Column) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(SLOTS)) + 1
+
+
+def bitmap_of(rows: DataFrame, *keys: str) -> DataFrame:
+    """A set of keys as the slots that they hash to, 32768 to a row: of fixed size, so fit to broadcast."""
+    slots = rows.select(_slot(*[F.col(k) for k in keys]).alias("slot"))
+    return slots.groupBy(F.bitmap_bucket_number("slot").alias("__bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("__bits")
+    )
+
+
+def probed(rows: DataFrame, bitmap: DataFrame, *keys: Column) -> DataFrame:
+    """``rows`` with ``__candidate``: whether the slot of its keys is set, as it is for all keys of the set and a few others."""
+    slot = _slot(*keys)
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    joined = rows.withColumn("__bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bitmap), "__bucket", "left")
+    hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    return joined.withColumn("__candidate", hit).drop("__bucket", "__bits")

@@ -4,34 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loam.llm.common import ascii_lower, text_or_empty
+from loam.llm.common import ascii_lower, bitmap_of, probed, text_or_empty
 from loam.session import written
 
-#: Slots of the survivors' bitmap; 2**24 bits are at most 512 rows of 4 KB, whatever the input.
-SLOTS = 1 << 24
-
-
-def _slot(*keys: Column) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(SLOTS)) + 1
-
-
-def _bitmap(survivors: DataFrame, *keys: str) -> DataFrame:
-    """The survivors' slots, 32768 to a row."""
-    slots = survivors.select(_slot(*[F.col(k) for k in keys]).alias("slot"))
-    return slots.groupBy(F.bitmap_bucket_number("slot").alias("__bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("__bits")
-    )
-
-
-def _probed(rows: DataFrame, bitmap: DataFrame, *keys: Column) -> DataFrame:
-    """``rows`` with ``__candidate``: whether the slot of its keys is set."""
-    slot = _slot(*keys)
-    at = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring(F.col("__bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    joined = rows.withColumn("__bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bitmap), "__bucket", "left")
-    hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
-    return joined.withColumn("__candidate", hit).drop("__bucket", "__bits")
-
 
 def _keys(text: Column, prefix_chars: int) -> tuple[Column, Column]:
     """What the first two refinements group by: bytes of the text, and a hash of its first characters."""
@@ -43,11 +18,11 @@ def survivors(docs: DataFrame, text_col: str = "text", prefix_chars: int = 256)
     text = text_or_empty(text_col)
     length, prefix = _keys(text, prefix_chars)
     by_length = docs.groupBy(length.alias("length")).count().where("count > 1")
-    same_length = _probed(docs.select(text.alias("text")), _bitmap(by_length, "length"), F.octet_length("text"))
+    same_length = probed(docs.select(text.alias("text")), bitmap_of(by_length, "length"), F.octet_length("text"))
     length, prefix = _keys(F.col("text"), prefix_chars)
     keyed = same_length.where("__candidate").select(length.alias("length"), prefix.alias("prefix"))
     by_prefix = keyed.groupBy("length", "prefix").count().where("count > 1")
-    return written(_bitmap(by_prefix, "length", "prefix"), "survivors")
+    return written(bitmap_of(by_prefix, "length", "prefix"), "survivors")
 
 
 def refined_hashes(
@@ -64,11 +39,11 @@ def refined_hashes(
     bitmap = survivors(docs, text_col, prefix_chars)
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     length, prefix = _keys(F.col("text"), prefix_chars)
-    probed = _probed(rows.withColumns({"length": length, "prefix": prefix}), bitmap, F.col("length"), F.col("prefix"))
+    found = probed(rows.withColumns({"length": length, "prefix": prefix}), bitmap, F.col("length"), F.col("prefix"))
     digest = F.sha2(ascii_lower(F.col("text")), 256)
     if not digest_all:
         digest = F.when(F.col("__candidate"), digest)
-    hashed = probed.select("id", "length", "prefix", F.col("__candidate").alias("candidate"), digest.alias("digest"))
+    hashed = found.select("id", "length", "prefix", F.col("__candidate").alias("candidate"), digest.alias("digest"))
     return written(hashed, "exact")
 
 
@@ -115,9 +90,9 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     bitmap = survivors(docs, text_col, prefix_chars)
     text = text_or_empty(text_col)
-    probed = _probed(docs, bitmap, *_keys(text, prefix_chars))
-    alone = probed.where(~F.col("__candidate")).select(*docs.columns)
-    shared = probed.where("__candidate").withColumn("__digest", F.sha2(ascii_lower(text), 256))
+    found = probed(docs, bitmap, *_keys(text, prefix_chars))
+    alone = found.where(~F.col("__candidate")).select(*docs.columns)
+    shared = found.where("__candidate").withColumn("__digest", F.sha2(ascii_lower(text), 256))
     counts = shared.groupBy("__digest", F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
     groups = written(
         counts.groupBy("__digest").agg(F.max(F.struct("__id", "__n")).alias("__last")).select("__digest", "__last.*"), "groups"

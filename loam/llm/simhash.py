@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loam.llm.common import WORD, ascii_lower, text_or_empty
+from loam.llm.common import WORD, ascii_lower, bitmap_of, probed, text_or_empty
 from loam.operators.components import connected_components
 from loam.session import written
 
@@ -30,8 +30,20 @@ def _byte_counts(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate([np.bincount(lanes[:, i], minlength=256) @ _BITS for i in range(8)])
 
 
+def _hashes(grams: list[str], lanes: int) -> Iterator[np.ndarray]:
+    """A 64-bit hash of each shingle for each lane: XXH64 for one lane, halves of 128-bit XXH3 for more."""
+    if lanes == 1:
+        yield np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64, len(grams))
+        return
+    for lane in range(0, lanes, 2):
+        seed = 42 + lane
+        halves = np.frombuffer(b"".join([xxhash.xxh3_128_digest(g, seed) for g in grams]), np.uint64).reshape(-1, 2)
+        for half in range(min(2, lanes - lane)):
+            yield np.ascontiguousarray(halves[:, half])
+
+
 def fingerprint(lowered: str, shingle: int, lanes: int) -> list[int]:
-    """The SimHash of one lower-cased text, 64 bits a lane; lane i hashes with seed 42 + i."""
+    """The SimHash of one lower-cased text, 64 bits a lane."""
     words = _WORD.findall(lowered)
     if not words:
         return [0] * lanes
@@ -39,9 +51,8 @@ def fingerprint(lowered: str, shingle: int, lanes: int) -> list[int]:
     counts = np.zeros((lanes, 64), np.int64)
     for at in range(0, total, _CHUNK):
         grams = [" ".join(words[i : i + shingle]) for i in range(at, min(total, at + _CHUNK))]
-        for lane in range(lanes):
-            seed = 42 + lane
-            counts[lane] += _byte_counts(np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), np.uint64, len(grams)))
+        for lane, hashes in enumerate(_hashes(grams, lanes)):
+            counts[lane] += _byte_counts(hashes)
     return [int(np.packbits(2 * c > total, bitorder="little").view(np.uint64)[0]) for c in counts]
 
 
@@ -239,30 +250,35 @@ def linked_fingerprints(
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, grams): the different word shingles of (id, text) as 64-bit hashes; no words give none."""
+    """(id, grams): the different word shingles of (id, text) as 32-bit hashes; no words give none.
+
+    Two shingles of a text that meet by chance, one in ten thousand texts or so, shift a similarity by one shingle.
+    """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             out = []
             for text in batch.column(1):
                 words = _WORD.findall(text.as_py())
-                grams = {xxhash.xxh64_intdigest(" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))}
-                out.append(np.fromiter(grams if words else (), np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["id", "grams"])
+                grams = {xxhash.xxh32_intdigest(" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))}
+                out.append(np.fromiter(grams if words else (), np.uint32).view(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["id", "grams"])
 
-    return docs.select("id", ascii_lower(F.col("text")).alias("text")).mapInArrow(batches, "id long, grams array<long>")
+    return docs.select("id", ascii_lower(F.col("text")).alias("text")).mapInArrow(batches, "id long, grams array<int>")
 
 
 def similar_links(links: DataFrame, nodes: DataFrame, docs: DataFrame, names: list[str], shingle: int, least: float) -> DataFrame:
     """The links between whose texts the Jaccard similarity of the shingles is ``least`` or more.
 
-    A node's smallest id stands for it. Only texts that some link needs are cut into shingles, once.
+    A node's smallest id stands for it. Only texts that some link needs are cut into shingles, once; they are
+    told by a bitmap of fixed size, so that no other text is shuffled.
     """
     by_node = nodes.where(F.col("least").isNotNull()).select(F.struct(*names).alias("node"), "least")
     ids = links.join(by_node.select(F.col("node").alias("a"), F.col("least").alias("ia")), "a")
     ids = written(ids.join(by_node.select(F.col("node").alias("b"), F.col("least").alias("ib")), "b"), "pairs")
-    needed = ids.select(F.explode(F.array("ia", "ib")).alias("id")).distinct()
-    sets = written(shingle_sets(docs.join(needed, "id", "left_semi").dropDuplicates(["id"]), shingle), "shingles")
+    needed = written(bitmap_of(ids.select(F.explode(F.array("ia", "ib")).alias("id")), "id"), "needed")
+    wanted = probed(docs, needed, F.col("id")).where("__candidate").select("id", "text").dropDuplicates(["id"])
+    sets = written(shingle_sets(wanted, shingle), "shingles")
     both = ids.join(sets.select(F.col("id").alias("ia"), F.col("grams").alias("ga")), "ia")
     both = both.join(sets.select(F.col("id").alias("ib"), F.col("grams").alias("gb")), "ib")
     shared = F.size(F.array_intersect("ga", "gb"))
@@ -314,21 +330,25 @@ def drop_near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
     shingle: int = 5,
-    lanes: int = 2,
-    max_distance: int = 28,
-    segments: int = 8,
+    lanes: int = 3,
+    max_distance: int = 42,
+    segments: int = 12,
     min_similarity: float = 0.8,
 ) -> DataFrame:
     """``docs`` with one row of each class of near-duplicates, in the columns of ``docs``.
 
-    Two texts that share 0.8 of their shingles of five words differ in about 19 of 128 bits, give or
-    take 4; up to 28 are candidates, and the similarity itself decides. Eight segments don't
-    guarantee that a pair 28 bits apart shares a key; README states the measured recall.
+    Two texts that share 0.8 of their shingles of five words differ in about 29 of 192 bits, give or
+    take 5; up to 42 are candidates, and the similarity itself decides. Twelve segments don't
+    guarantee that a pair 42 bits apart shares a key; README states the measured recall.
 
     Rows are told apart by a hash of id and text, so ids may be null or repeat; of rows that repeat
     both, one stays. Texts without words are one class.
     """
     rows = docs.withColumn("__uid", F.xxhash64(F.col(id_col), text_or_empty(text_col)))
     found = near_duplicates(rows, "__uid", text_col, shingle, lanes, max_distance, segments, min_similarity=min_similarity)
-    kept = found.where(F.col("__uid") == F.col("component_id")).select("__uid").distinct()
-    return rows.join(kept, "__uid", "left_semi").dropDuplicates(["__uid"]).select(*docs.columns)
+    found = written(found.groupBy("__uid").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "found")
+    dropped = written(found.where(F.col("__uid") != F.col("component_id")).select("__uid"), "dropped")
+    stays = rows.join(dropped, "__uid", "left_anti")
+    if found.where("n > 1").limit(1).count():
+        stays = stays.dropDuplicates(["__uid"])
+    return stays.select(*docs.columns)
