@@ -12,7 +12,8 @@ A *window* is a string of ``window`` bytes. The repeated ones are found in four
 3. Merge sort. Where regions with one k-mer differ, the suffixes that start at their anchors are
    sorted, and so are the reversed prefixes that end there: tasks exchange sorted front-coded
    runs, and loser trees merge the runs of a class of k-mers. The merged order and its common
-   prefix lengths tell, for each offset, which regions share a window.
+   prefix lengths tell, for each offset, which regions share a window. A k-mer that very many
+   regions have is dealt in pairs of blocks, so that a task's share stays bounded.
 4. Removal. The ranges of repeated window starts meet their document's text again.
 """
 
@@ -85,12 +86,17 @@ REPEATED = pa.schema(
 
 
 def _find_anchors(window: int, kmer: int):
+    def rows(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        h, r, uid, a, values, lengths = (np.concatenate(x) for x in zip(*found))
+        spans = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(values, pa.int32()))
+        arrays = [pa.array(h.view(np.int64)), pa.array(r.view(np.int64)), pa.array(uid, pa.int64()), pa.array(a, pa.int32()), spans]
+        return pa.RecordBatch.from_arrays(arrays, schema=ANCHORS)
+
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(uid, data) to a row for each different region of a document, with the ranges of its starts."""
         anchors = Anchors(window, kmer)
+        held, size = [], 0
         for batch in it:
-            columns: list[list] = [[], [], [], []]
-            values, lengths = [], []
             for uid, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found = list(anchors.of(memoryview(data.as_buffer())))
                 if not found:
@@ -99,16 +105,15 @@ def _find_anchors(window: int, kmer: int):
                 order = np.lexsort((r, h))
                 first = np.r_[True, (h[order][1:] != h[order][:-1]) | (r[order][1:] != r[order][:-1])]
                 lead = order[first]
-                for column, x in zip(columns, (h[lead], r[lead], np.full(len(lead), uid), a[lead])):
-                    column.append(x)
-                values.append(np.stack([s0[order], s1[order]], axis=1).ravel())
-                lengths.append(2 * np.diff(np.r_[np.flatnonzero(first), len(first)]))
-            if values:
-                h, r, uid, a = (np.concatenate(c) for c in columns)
-                offsets = np.r_[0, np.cumsum(np.concatenate(lengths))]
-                spans = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values), pa.int32()))
-                arrays = [pa.array(h.view(np.int64)), pa.array(r.view(np.int64)), pa.array(uid, pa.int64()), pa.array(a, pa.int32()), spans]
-                yield from pa.Table.from_arrays(arrays, schema=ANCHORS).to_batches(max_chunksize=100_000)
+                spans = np.stack([s0[order], s1[order]], axis=1).ravel()
+                lengths = 2 * np.diff(np.r_[np.flatnonzero(first), len(first)])
+                held.append((h[lead], r[lead], np.full(len(lead), uid), a[lead], spans, lengths))
+                size += len(order)
+                if size > 50_000:
+                    yield rows(held)
+                    held, size = [], 0
+        if held:
+            yield rows(held)
 
     return batches
 
@@ -256,7 +261,17 @@ def merged(runs: list[Run]) -> Iterator[tuple[int, int, int]]:
             node //= 2
 
 
-RUNS = "class int, items binary, right binary, right_shared binary, right_rest binary, left binary, left_shared binary, left_rest binary"
+def _class_numbers(h: int, classes: int, blocks: int | None, item: int) -> list[int]:
+    """The classes that an item is merged in: its k-mer's, or, if very many regions have that
+    k-mer, those of its block with each block, so that any two items meet in one of them."""
+    if not blocks:
+        return [h % classes]
+    own = item * _BASE % (1 << 64) % blocks
+    pairs = ((min(own, b), max(own, b)) for b in range(blocks))
+    return [-1 - (h * 1_000_003 + x * blocks + y) % (1 << 62) for x, y in pairs]
+
+
+RUNS = "class long, items binary, right binary, right_shared binary, right_rest binary, left binary, left_shared binary, left_rest binary"
 
 
 def _sort_runs(window: int, classes: int):
@@ -269,11 +284,12 @@ def _sort_runs(window: int, classes: int):
             for uid, data, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 for item in items:
                     h, a, s0, s1 = item["h"], item["a"], item["s0"], item["s1"]
-                    table, right, left = found.setdefault(h % classes, ([], [], []))
                     head = h.to_bytes(8, "big", signed=True)
-                    table.append((uid, a, s0, s1, int(item["only"])))
-                    right.append(head + data[a : s1 + window])
-                    left.append(head + data[s0:a][::-1])
+                    for number in _class_numbers(h, classes, item["blocks"], uid ^ a):
+                        table, right, left = found.setdefault(number, ([], [], []))
+                        table.append((uid, a, s0, s1, int(item["only"])))
+                        right.append(head + data[a : s1 + window])
+                        left.append(head + data[s0:a][::-1])
             rows = []
             for number, (table, right, left) in found.items():
                 row: list = [number, np.array(table, np.int64).tobytes()]
@@ -282,7 +298,7 @@ def _sort_runs(window: int, classes: int):
                     row += [order.tobytes(), shared.tobytes(), rest]
                 rows.append(row)
             if rows:
-                kinds = [pa.int32(), *[pa.binary()] * 7]
+                kinds = [pa.int64(), *[pa.binary()] * 7]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     return batches
@@ -327,16 +343,19 @@ def _merge_runs(window: int):
         item, first = np.nonzero(edges == 1)
         _, past = np.nonzero(edges == -1)
         starts = np.stack([a[item] - (past - 1 + least), a[item] - (first + least)], axis=1)
-        return pd.DataFrame({"uid": uid[item], "spans": list(starts.astype(np.int32))})
+        return pd.DataFrame({"uid": uid[item], "spans": pd.Series(list(starts.astype(np.int32)), dtype=object)})
 
     return merge
 
 
 def _remove(window: int):
+    kinds = [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]
+
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
         for batch in it:
-            out: list[list] = [[], [], [], []]
-            for data, spans in zip(batch.column(1), batch.column(2)):
+            for id_, data, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 text = np.frombuffer(data.as_buffer(), np.uint8)
                 edges = np.zeros(len(text) + 1, np.int32)
                 if spans.is_valid and len(spans.values):
@@ -346,11 +365,13 @@ def _remove(window: int):
                 gone = np.cumsum(edges[:-1]) > 0
                 kept = text[~gone].tobytes()
                 runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                for column, value in zip(out, (len(text), int(gone.sum()), runs, kept)):
-                    column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            arrays = [batch.column(0), *[pa.array(c, k) for c, k in zip(out, kinds)]]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "n_bytes", "n_removed", "n_spans", "kept"])
+                rows.append((id_, len(text), int(gone.sum()), runs, kept))
+                size += len(kept) + 64
+                if size > 8 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows), kinds)], [n for n, _ in kinds])
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows), kinds)], [n for n, _ in kinds])
 
     return batches
 
@@ -366,15 +387,19 @@ def repeated_starts(texts: DataFrame, window: int = 200, kmer: int = 50, class_i
     )
     items = repeated.where("sorted")
     classes = -(-items.select(F.count(F.lit(1)).alias("n")).first()["n"] // class_items) or 1
-    item = F.struct("h", "a", F.col("spans")[0].alias("s0"), F.col("spans")[1].alias("s1"), (~F.col("whole")).alias("only"))
-    per_text = items.groupBy("uid").agg(F.collect_list(item).alias("items"))
+    crowded = items.groupBy("h").agg(F.ceil(F.count(F.lit(1)) * 2 / class_items).cast("int").alias("blocks"))
+    crowded = written(crowded.where("blocks > 2"), "crowded")
+    item = F.struct("h", "a", F.col("spans")[0].alias("s0"), F.col("spans")[1].alias("s1"), (~F.col("whole")).alias("only"), "blocks")
+    per_text = items.join(crowded, "h", "left").groupBy("uid").agg(F.collect_list(item).alias("items"))
     # rows that repeat a uid have no region of their own, so meeting their items twice changes nothing
     runs = texts.join(per_text, "uid").select("uid", "data", "items").mapInArrow(_sort_runs(window, classes), RUNS)
     shared = runs.groupBy("class").applyInPandas(_merge_runs(window), "uid long, spans array<int>")
     return repeated.where("whole").select("uid", "spans").union(shared)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, kmer: int = 50) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, kmer: int = 50, class_items: int = 20_000
+) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept): texts as bytes without what is repeated.
 
     A byte goes if a string of ``window`` bytes that covers it also starts anywhere else, in the same
@@ -389,7 +414,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     data = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), data.alias("data"))
     texts = texts.withColumn("uid", F.xxhash64("id", "data"))
-    marks = repeated_starts(texts.select("uid", "data"), window, kmer)
+    marks = repeated_starts(texts.select("uid", "data"), window, kmer, class_items)
     marks = written(marks.groupBy("uid").agg(F.collect_list("spans").alias("spans")), "marks")
     marked = texts.join(marks, "uid", "left").select("id", "data", "spans")
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept binary"
