@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loam.session import small_batches
+
 UNDETERMINED = "und"
 #: Characters whose n-grams are counted at once.
 _CHUNK = 1 << 18
@@ -133,6 +135,7 @@ def train(
     for the temperature. Rows with a null text or label teach nothing; without any row the
     model answers ``und``.
     """
+    small_batches(rows.sparkSession)
     labelled = rows.where(F.col("text").isNotNull() & F.col("label").isNotNull())
     counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     labels = tuple(sorted(counts))

@@ -11,6 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from loam.llm.langid import held_out
+from loam.session import small_batches
 
 #: Bytes that are compressed at once.
 PIECE = 512
@@ -140,6 +141,7 @@ def score_quality(
     ``threshold`` on. A null text is an empty one, and empty texts have the score of no difference.
     Rows that repeat an id are scored each. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, **options))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

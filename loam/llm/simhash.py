@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loam.llm.common import WORD, ascii_lower, bitmap_of, probed, text_or_empty
 from loam.operators.components import connected_components
-from loam.session import written
+from loam.session import small_batches, written
 
 _WORD = re.compile(WORD)
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 #: Shingles that are hashed at once.
 _CHUNK = 1 << 16
+#: Rows of keys that are compared at once.
+_AT_ONCE = 1 << 16
 #: Where a key holds the number of its deleted bit.
 _BIT = 40
 #: Runs up to this length are compared by shifting, longer ones node by node.
@@ -159,32 +161,27 @@ def _link_runs(lanes: int, most: int, cuts: list[tuple[int, int, int]], spares:
                 a, b = (np.concatenate(x) for x in zip((a, b), _nearest(own, most, spares)))
             yield np.full(len(a), bit[starts[r]]), own[a], own[b]
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_keys, held = [], []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held_keys:
-                pairs = [p for p in links(np.concatenate(held_keys), np.concatenate(held)) if len(p[0])]
-                if pairs:
-                    a, b = (np.concatenate(x).view(np.int64) for x in zip(*pairs))
-                    columns = [pa.array(np.ascontiguousarray(x[:, i])) for x in (a, b) for i in range(lanes)]
-                    yield pa.RecordBatch.from_arrays(columns, [f"a{n}" for n in names] + [f"b{n}" for n in names])
+    def found(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        pairs = [p for p in links(keys, fps) if len(p[0])] if len(keys) else []
+        if pairs:
+            a, b = (np.concatenate(x).view(np.int64) for x in zip(*pairs))
+            columns = [pa.array(np.ascontiguousarray(x[:, i])) for x in (a, b) for i in range(lanes)]
+            yield pa.RecordBatch.from_arrays(columns, [f"a{n}" for n in names] + [f"b{n}" for n in names])
 
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for batch in it:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            fps = np.stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(lanes)], axis=1).view(np.uint64)
-            if not len(keys):
-                continue
-            last = int(np.searchsorted(keys, keys[-1]))  # the last run may go on in the next batch
-            if last or (held_keys and held_keys[-1][-1] != keys[0]):
-                if last:
-                    held_keys.append(keys[:last])
-                    held.append(fps[:last])
-                yield from flush()
-                held_keys, held = [], []
-            held_keys.append(keys[last:])
-            held.append(fps[last:])
-        yield from flush()
+            fps = np.stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(lanes)], axis=1)
+            held.append((batch.column(0).to_numpy(zero_copy_only=False), fps.view(np.uint64)))
+            size += batch.num_rows
+            if size >= _AT_ONCE:
+                keys, fps = (np.concatenate(x) for x in zip(*held))
+                last = int(np.searchsorted(keys, keys[-1]))  # the last run may go on in the next batch
+                yield from found(keys[:last], fps[:last])
+                held, size = [(keys[last:], fps[last:])], len(keys) - last
+        if held:
+            yield from found(*(np.concatenate(x) for x in zip(*held)))
 
     return batches
 
@@ -308,6 +305,7 @@ def near_duplicates(
     gives an empty result.
     """
     names = [f"f{i}" for i in range(lanes)]
+    small_batches(docs.sparkSession)
     prints = written(fingerprints(docs, id_col, text_col, shingle, lanes), "prints")
     nodes = written(prints.groupBy(*names).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
     spares = 0 if min_similarity is None else 8
