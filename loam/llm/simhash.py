@@ -58,18 +58,36 @@ def fingerprint(lowered: str, shingle: int, lanes: int) -> list[int]:
     return [int(np.packbits(2 * c > total, bitorder="little").view(np.uint64)[0]) for c in counts]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, lanes: int = 1) -> DataFrame:
+def set_fingerprint(lowered: str, shingle: int, lanes: int) -> list[int]:
+    """The SimHash of one lower-cased text, and a hash of the set of its shingles."""
+    words = _WORD.findall(lowered)
+    if not words:
+        return [0] * (lanes + 1)
+    total, found = max(1, len(words) - shingle + 1), []
+    for at in range(0, total, _CHUNK):
+        grams = [" ".join(words[i : i + shingle]) for i in range(at, min(total, at + _CHUNK))]
+        found.append(np.stack(list(_hashes(grams, lanes))))
+    hashes = np.concatenate(found, axis=1)
+    counts = [_byte_counts(h) for h in hashes]
+    prints = [int(np.packbits(2 * c > hashes.shape[1], bitorder="little").view(np.uint64)[0]) for c in counts]
+    return [*prints, xxhash.xxh3_64_intdigest(np.unique(hashes[0]).tobytes())]
+
+
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, lanes: int = 1, sets: bool = False
+) -> DataFrame:
     """(id, f0 .. f<lanes-1>): a 64-bit SimHash a lane over word shingles, repeats included.
 
     A bit is set if it is in over half of the shingles' hashes. Fewer words than ``shingle`` are
-    one shingle; no words give zero.
+    one shingle; no words give zero. With ``sets``, a last column ``g`` is a hash of the set of shingles.
     """
-    names = [f"f{i}" for i in range(lanes)]
+    names = [f"f{i}" for i in range(lanes)] + ["g"] * sets
+    made = set_fingerprint if sets else fingerprint
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            found = np.array([fingerprint(t.as_py(), shingle, lanes) for t in batch.column(1)], np.uint64).reshape(-1, lanes)
-            columns = [pa.array(found[:, i].view(np.int64)) for i in range(lanes)]
+            found = np.array([made(t.as_py(), shingle, lanes) for t in batch.column(1)], np.uint64).reshape(-1, len(names))
+            columns = [pa.array(np.ascontiguousarray(found[:, i]).view(np.int64)) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", *names])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), ascii_lower(text_or_empty(text_col)).alias("text"))
@@ -103,9 +121,9 @@ def _linked(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def _nearest(fps: np.ndarray, most: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each fingerprint to its k nearest ones: spares for a later test that may refuse links."""
-    left, right, k = [], [], min(k, len(fps) - 1)
+def _nearest(fps: np.ndarray, most: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of each fingerprint to its k nearest ones, and which fingerprints have more than k within reach."""
+    left, right, more, k = [], [], [], min(k, len(fps) - 1)
     for at in range(0, len(fps), 256):
         away = np.bitwise_count(fps[at : at + 256, None] ^ fps[None]).sum(axis=2)
         row = np.arange(len(away))
@@ -114,8 +132,9 @@ def _nearest(fps: np.ndarray, most: int, k: int) -> tuple[np.ndarray, np.ndarray
         i, n = np.nonzero(np.take_along_axis(away, best, axis=1) <= most)
         left.append(i + at)
         right.append(best[i, n])
+        more.append((away <= most).sum(axis=1) > k)
     a, b = np.concatenate(left), np.concatenate(right)
-    return np.minimum(a, b), np.maximum(a, b)
+    return np.minimum(a, b), np.maximum(a, b), np.concatenate(more)
 
 
 def _first_shared(x: np.ndarray, y: np.ndarray, cuts: list[tuple[int, int, int]]) -> np.ndarray:
@@ -129,21 +148,45 @@ def _first_shared(x: np.ndarray, y: np.ndarray, cuts: list[tuple[int, int, int]]
     return found
 
 
-def _link_runs(lanes: int, most: int, cuts: list[tuple[int, int, int]], spares: int):
+def _held_runs(it: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and the columns after them of rows sorted by key, many at a time, no run of equal keys cut."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for batch in it:
+        rows = np.stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(columns)], axis=1)
+        held.append((batch.column(0).to_numpy(zero_copy_only=False), rows.view(np.uint64)))
+        size += batch.num_rows
+        if size >= _AT_ONCE:
+            keys, rows = (np.concatenate(x) for x in zip(*held))
+            last = int(np.searchsorted(keys, keys[-1]))  # the last run may go on in the next batch
+            yield keys[:last], rows[:last]
+            held, size = [(keys[last:], rows[last:])], len(keys) - last
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def _pair_batch(a: np.ndarray, b: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    columns = [pa.array(np.ascontiguousarray(x[:, i]).view(np.int64)) for x in (a, b) for i in range(len(names))]
+    return pa.RecordBatch.from_arrays(columns, [f"a{n}" for n in names] + [f"b{n}" for n in names])
+
+
+def _link_runs(lanes: int, most: int, cuts: list[tuple[int, int, int]], spares: int, names: list[str]):
     """For rows sorted by key: verified links within each run of equal keys.
 
     A link counts under the first key that its ends share only. Under a later one the forest may
     skip it: in the earlier run the two are linked, or connected by links no longer than theirs.
+
+    With ``spares`` there is a last column ``key``: null for links, and else the key of a row in a
+    long run that has more neighbours than its links show.
     """
-    names = [f"f{i}" for i in range(lanes)]
 
-    def links(keys: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for bits, a, b in all_links(keys, fps):
+    def links(keys: np.ndarray, fps: np.ndarray, more: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for bits, a, b in all_links(keys, fps, more):
             own = _first_shared(a, b, cuts) == bits
             yield a[own], b[own]
 
-    def all_links(keys: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        bit = keys >> _BIT
+    def all_links(keys: np.ndarray, fps: np.ndarray, more: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        bit, prints = keys >> _BIT, fps[:, :lanes]
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         lengths = np.diff(np.r_[starts, len(keys)])
         run = np.repeat(np.arange(len(starts)), lengths)
@@ -152,42 +195,42 @@ def _link_runs(lanes: int, most: int, cuts: list[tuple[int, int, int]], spares:
             i = np.flatnonzero(short[:-step] & (run[:-step] == run[step:]))
             if not len(i):
                 break
-            i = i[np.bitwise_count(fps[i] ^ fps[i + step]).sum(axis=1) <= most]
+            i = i[np.bitwise_count(prints[i] ^ prints[i + step]).sum(axis=1) <= most]
             yield bit[i], fps[i], fps[i + step]
         for r in np.flatnonzero(lengths > _SHORT_RUN):
             own = fps[starts[r] : starts[r] + lengths[r]]
-            a, b = _linked(own, most)
+            a, b = _linked(own[:, :lanes], most)
             if spares:
-                a, b = (np.concatenate(x) for x in zip((a, b), _nearest(own, most, spares)))
+                *near, crowded = _nearest(own[:, :lanes], most, spares)
+                a, b = (np.concatenate(x) for x in zip((a, b), near))
+                if crowded.any():
+                    more.append((np.full(int(crowded.sum()), keys[starts[r]]), own[crowded]))
             yield np.full(len(a), bit[starts[r]]), own[a], own[b]
 
-    def found(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-        pairs = [p for p in links(keys, fps) if len(p[0])] if len(keys) else []
-        if pairs:
-            a, b = (np.concatenate(x).view(np.int64) for x in zip(*pairs))
-            columns = [pa.array(np.ascontiguousarray(x[:, i])) for x in (a, b) for i in range(lanes)]
-            yield pa.RecordBatch.from_arrays(columns, [f"a{n}" for n in names] + [f"b{n}" for n in names])
-
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-        for batch in it:
-            fps = np.stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(lanes)], axis=1)
-            held.append((batch.column(0).to_numpy(zero_copy_only=False), fps.view(np.uint64)))
-            size += batch.num_rows
-            if size >= _AT_ONCE:
-                keys, fps = (np.concatenate(x) for x in zip(*held))
-                last = int(np.searchsorted(keys, keys[-1]))  # the last run may go on in the next batch
-                yield from found(keys[:last], fps[:last])
-                held, size = [(keys[last:], fps[last:])], len(keys) - last
-        if held:
-            yield from found(*(np.concatenate(x) for x in zip(*held)))
+        for keys, fps in _held_runs(it, len(names)):
+            more: list[tuple[np.ndarray, np.ndarray]] = []
+            pairs = [p for p in links(keys, fps, more) if len(p[0])] if len(keys) else []
+            if pairs:
+                made = _pair_batch(*(np.concatenate(x) for x in zip(*pairs)), names)
+                yield made.append_column("key", pa.nulls(made.num_rows, pa.int64())) if spares else made
+            if more:
+                at, rows = (np.concatenate(x) for x in zip(*more))
+                yield _pair_batch(rows, rows, names).append_column("key", pa.array(at))
 
     return batches
 
 
+def _pair_schema(names: list[str]) -> str:
+    return ", ".join(f"{side}{n} long" for side in "ab" for n in names)
+
+
+def _ends(names: list[str]) -> list[Column]:
+    return [F.struct(*[F.col(f"{side}{n}").alias(n) for n in names]).alias(side) for side in "ab"]
+
+
 def linked_fingerprints(
-    distinct: DataFrame, lanes: int = 1, max_distance: int = 4, segments: int = 3, tile_rows: int = 4096, spares: int = 0
+    distinct: DataFrame, lanes: int = 1, max_distance: int = 4, segments: int = 3, tile_rows: int = 4096
 ) -> DataFrame:
     """(a, b) structs of linked distinct fingerprints: enough links to connect all that reach each other.
 
@@ -198,10 +241,16 @@ def linked_fingerprints(
     segments the search misses some pairs.
 
     Keys that very many fingerprints share are dealt in tiles: rows get a block by hash, and a
-    task compares two blocks. Long runs of equal keys give a spanning forest, not all pairs, and each
-    row's ``spares`` nearest neighbours.
+    task compares two blocks. Long runs of equal keys give a spanning forest, not all pairs.
     """
     names = [f"f{i}" for i in range(lanes)]
+    ordered = _by_key(distinct, names, lanes, segments, tile_rows)
+    pairs = ordered.mapInArrow(_link_runs(lanes, max_distance, _segments(lanes, segments), 0, names), _pair_schema(names))
+    return pairs.select(*_ends(names))
+
+
+def _by_key(distinct: DataFrame, names: list[str], lanes: int, segments: int, tile_rows: int) -> DataFrame:
+    """(key, names), sorted by key in each partition: the rows of ``distinct`` under each of their keys."""
     cuts = _segments(lanes, segments)
 
     def segment(lane: int, first: int, width: int) -> Column:
@@ -228,8 +277,12 @@ def linked_fingerprints(
         .where("blocks > 1"),
         "crowded",
     )
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split = bool(crowded.limit(1).count())
+    if not split and len(names) > lanes:
+        return _late_keys(distinct, names, cuts, parts).sortWithinPartitions("key")
     rows = distinct.select(F.explode(F.array(*variants)).alias("key"), *names)
-    if crowded.limit(1).count():
+    if split:
         tiled = rows.join(crowded, "key", "left").withColumn("block", F.pmod(F.xxhash64(*names), F.coalesce("blocks", F.lit(1))))
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)).cast("long") - 1))
         tiled = tiled.withColumn("other", other)
@@ -237,13 +290,31 @@ def linked_fingerprints(
         mixed = F.xxhash64("key", tile).bitwiseAND(F.lit((1 << _BIT) - 1))
         tile_key = F.shiftleft(F.shiftright("key", _BIT), _BIT).bitwiseOR(mixed)  # keys that meet by chance only compare more
         rows = tiled.select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(tile_key).alias("key"), *names)
-    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartition(parts, "key").sortWithinPartitions("key")
-    schema = ", ".join(f"{side}{n} long" for side in "ab" for n in names)
-    pairs = ordered.mapInArrow(_link_runs(lanes, max_distance, cuts, spares), schema)
-    return pairs.select(
-        F.struct(*[F.col(f"a{n}").alias(n) for n in names]).alias("a"), F.struct(*[F.col(f"b{n}").alias(n) for n in names]).alias("b")
-    )
+    return rows.repartition(parts, "key").sortWithinPartitions("key")
+
+
+def _late_keys(distinct: DataFrame, names: list[str], cuts: list[tuple[int, int, int]], parts: int) -> DataFrame:
+    """(key, names), all rows of a key in one of ``parts`` partitions.
+
+    Keys without one bit of the same quarter of a segment agree in its other bits, so a row is dealt by
+    those once for each quarter and gets its keys after the shuffle.
+    """
+    quarters, at, bit = [], [], 0
+    for lane, first, width in cuts:
+        value = F.shiftrightunsigned(f"f{lane}", first).bitwiseAND(F.lit((1 << width) - 1))
+        edges = sorted({round(width * q / 4) for q in range(5)})
+        for low, high in zip(edges, edges[1:]):
+            at.append(value + F.lit(len(quarters) << _BIT))
+            quarters.append((bit + low, low, high - low, ~(((1 << (high - low)) - 1) << low)))
+        bit += width
+    number = F.shiftright("at", _BIT).cast("int")
+    bits, lows, widths, others = ([F.lit(q[i]).cast("long") for q in quarters] for i in range(4))
+    rows = distinct.select(F.explode(F.array(*at)).alias("at"), *names)
+    rows = rows.repartition(parts, F.col("at").bitwiseAND(F.get(F.array(*others), number)))
+    rows = rows.withColumns({n: F.get(F.array(*x), number).cast("int") for n, x in (("bit", bits), ("low", lows), ("width", widths))})
+    value = f"(at & {(1 << _BIT) - 1}L)"
+    key = f"shiftleft(cast(bit + i AS bigint), {_BIT}) | ({value} & ~shiftleft(1L, low + i))"
+    return rows.select(F.explode(F.expr(f"transform(sequence(0, width - 1), i -> {key})")).alias("key"), *names)
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -282,6 +353,30 @@ def similar_links(links: DataFrame, nodes: DataFrame, docs: DataFrame, names: li
     return both.where(shared >= F.lit(float(least)) * (F.size("ga") + F.size("gb") - shared)).select("a", "b")
 
 
+def _similar(
+    nodes: DataFrame,
+    texts: DataFrame,
+    names: list[str],
+    shingle: int,
+    lanes: int,
+    max_distance: int,
+    segments: int,
+    tile_rows: int,
+    least: float,
+    spares: int = 8,
+) -> DataFrame:
+    """(a, b): similar nodes, enough of them to connect all that share a key and are similar.
+
+    Of long runs of equal keys a forest and each row's ``spares`` nearest are tested.
+    """
+    cuts = _segments(lanes, segments)
+    ordered = _by_key(nodes.select(*names), names, lanes, segments, tile_rows)
+    found = ordered.mapInArrow(_link_runs(lanes, max_distance, cuts, spares, names), _pair_schema(names) + ", key long")
+    found = written(found, "found")
+    first = written(found.where("key IS NULL").select(*_ends(names)).distinct(), "links")
+    return written(similar_links(first, nodes, texts, names, shingle, least), "similar")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -297,7 +392,8 @@ def near_duplicates(
 
     Rows link where their fingerprints differ in ``max_distance`` bits or fewer and, with
     ``min_similarity``, where also their shingle sets are as similar as that. Rows of one
-    fingerprint are one node of the graph from the start, so a group of copies costs one row.
+    fingerprint are one node of the graph from the start, so a group of copies costs one row. With
+    ``min_similarity`` a node is the rows of one set of shingles.
 
     A null or blank text has fingerprint zero and is linked like any other. Rows with a null id get
     a fingerprint; they take part in links and in no minimum, and their component is null only
@@ -306,21 +402,22 @@ def near_duplicates(
     """
     names = [f"f{i}" for i in range(lanes)]
     small_batches(docs.sparkSession)
-    prints = written(fingerprints(docs, id_col, text_col, shingle, lanes), "prints")
-    nodes = written(prints.groupBy(*names).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
-    spares = 0 if min_similarity is None else 8
-    found = linked_fingerprints(nodes.select(*names), lanes, max_distance, segments, tile_rows, spares)
-    links = written(found.distinct(), "links")
-    if min_similarity is not None:
+    sets = min_similarity is not None
+    prints = written(fingerprints(docs, id_col, text_col, shingle, lanes, sets), "prints")
+    nodes_by = names + ["g"] * sets
+    nodes = written(prints.groupBy(*nodes_by).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
+    if sets:
         texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-        links = written(similar_links(links, nodes, texts, names, shingle, min_similarity), "similar")
+        links = _similar(nodes, texts, nodes_by, shingle, lanes, max_distance, segments, tile_rows, min_similarity)
+    else:
+        links = written(linked_fingerprints(nodes.select(*names), lanes, max_distance, segments, tile_rows).distinct(), "links")
     reached = connected_components(links, "a", "b")
-    labelled = nodes.select(F.struct(*names).alias("node"), "least").join(reached, "node", "left")
+    labelled = nodes.select(F.struct(*nodes_by).alias("node"), "least").join(reached, "node", "left")
     root = F.coalesce("component", "node")
     labelled = written(labelled.select(root.alias("root"), "node", "least"), "labelled")
     smallest = written(labelled.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
     classes = written(labelled.select("root", "node").join(smallest, "root").select("node.*", "component_id"), "classes")
-    return prints.join(classes, names).select(F.col("id").alias(id_col), *names, "component_id")
+    return prints.join(classes, nodes_by).select(F.col("id").alias(id_col), *names, "component_id")
 
 
 def drop_near_duplicates(

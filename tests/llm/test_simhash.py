@@ -5,7 +5,7 @@ import random
 import pytest
 import xxhash
 
-from loam.llm.simhash import drop_near_duplicates, fingerprint, linked_fingerprints, near_duplicates
+from loam.llm.simhash import drop_near_duplicates, fingerprint, linked_fingerprints, near_duplicates, set_fingerprint
 from tests.llm.common import docs, table, words
 
 
@@ -105,3 +105,38 @@ def test_one_of_each_class_stays(spark):
     assert sorted(base_of[t] for t in texts if t in base_of) == list(range(20))
     assert sum(not t for t in texts) == 1 and "entirely other words in here" in texts
     assert drop_near_duplicates(table(spark, rows).where("false")).count() == 0
+
+
+def own_words(rnd, n):
+    return [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+
+
+def shingles(text, k=5):
+    w = words(text)
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def similarity(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def as_rows(texts):
+    return [(i, t, None, None, 0, *"izkdh") for i, t in enumerate(texts)]
+
+
+def test_texts_of_one_print_are_compared(spark):
+    """Long texts with one word changed mostly share a print, and are less similar than is asked."""
+    rnd = random.Random(5)
+    base = own_words(rnd, 3000)
+    texts = [" ".join(base[:at] + ["changed"] + base[at + 1 :]) for at in range(100, 2900, 200)]
+    assert len({set_fingerprint(t, 5, 1)[0] for t in texts}) < len(texts)
+    assert all(0.99 < similarity(a, b) < 0.999 for a in texts for b in texts if a != b)
+    found = near_duplicates(table(spark, as_rows(texts + texts[:2])), shingle=5, min_similarity=0.999).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {i: i % len(texts) for i in range(len(texts) + 2)}
+
+
+def test_one_repeated_line_decides_nothing(spark):
+    rnd = random.Random(6)
+    texts = ["\n".join(["a line of five words"] * 200 + [" ".join(own_words(rnd, 50))]) for _ in range(40)]
+    assert drop_near_duplicates(table(spark, as_rows(texts))).count() == 40
