@@ -59,18 +59,19 @@ def fingerprint(lowered: str, shingle: int, lanes: int) -> list[int]:
 
 
 def set_fingerprint(lowered: str, shingle: int, lanes: int) -> list[int]:
-    """The SimHash of one lower-cased text, and a hash of the set of its shingles."""
+    """The SimHash of the different shingles of a lower-cased text, each counted once, and a hash of their set."""
     words = _WORD.findall(lowered)
     if not words:
         return [0] * (lanes + 1)
     total, found = max(1, len(words) - shingle + 1), []
     for at in range(0, total, _CHUNK):
-        grams = [" ".join(words[i : i + shingle]) for i in range(at, min(total, at + _CHUNK))]
-        found.append(np.stack(list(_hashes(grams, lanes))))
+        grams = {" ".join(words[i : i + shingle]) for i in range(at, min(total, at + _CHUNK))}
+        found.append(np.stack(list(_hashes(list(grams), lanes))))
     hashes = np.concatenate(found, axis=1)
+    hashes = np.ascontiguousarray(hashes[:, np.unique(hashes[0], return_index=True)[1]])
     counts = [_byte_counts(h) for h in hashes]
     prints = [int(np.packbits(2 * c > hashes.shape[1], bitorder="little").view(np.uint64)[0]) for c in counts]
-    return [*prints, xxhash.xxh3_64_intdigest(np.unique(hashes[0]).tobytes())]
+    return [*prints, xxhash.xxh3_64_intdigest(hashes[0].tobytes())]
 
 
 def fingerprints(
@@ -79,7 +80,8 @@ def fingerprints(
     """(id, f0 .. f<lanes-1>): a 64-bit SimHash a lane over word shingles, repeats included.
 
     A bit is set if it is in over half of the shingles' hashes. Fewer words than ``shingle`` are
-    one shingle; no words give zero. With ``sets``, a last column ``g`` is a hash of the set of shingles.
+    one shingle; no words give zero. With ``sets``, each different shingle counts once, and a last
+    column ``g`` is a hash of the set of shingles.
     """
     names = [f"f{i}" for i in range(lanes)] + ["g"] * sets
     made = set_fingerprint if sets else fingerprint
@@ -393,7 +395,8 @@ def near_duplicates(
     Rows link where their fingerprints differ in ``max_distance`` bits or fewer and, with
     ``min_similarity``, where also their shingle sets are as similar as that. Rows of one
     fingerprint are one node of the graph from the start, so a group of copies costs one row. With
-    ``min_similarity`` a node is the rows of one set of shingles.
+    ``min_similarity`` a node is the rows of one set of shingles, and fingerprints count each
+    different shingle once.
 
     A null or blank text has fingerprint zero and is linked like any other. Rows with a null id get
     a fingerprint; they take part in links and in no minimum, and their component is null only

@@ -140,3 +140,13 @@ def test_one_repeated_line_decides_nothing(spark):
     rnd = random.Random(6)
     texts = ["\n".join(["a line of five words"] * 200 + [" ".join(own_words(rnd, 50))]) for _ in range(40)]
     assert drop_near_duplicates(table(spark, as_rows(texts))).count() == 40
+
+
+def test_repeats_hide_no_copy(spark):
+    rnd = random.Random(7)
+    texts = []
+    for times in (5, 10, 30) * 5:
+        text, line = " ".join(own_words(rnd, 200)), " ".join(own_words(rnd, 10))
+        texts += ["\n".join([text, line, line]), "\n".join([text] + [line] * times)]
+    kept = [r["doc_id"] for r in drop_near_duplicates(table(spark, as_rows(texts))).collect()]
+    assert sorted(i // 2 for i in kept) == list(range(15))
