@@ -179,7 +179,7 @@ def _link_runs(lanes: int, most: int, cuts: list[tuple[int, int, int]], spares:
     skip it: in the earlier run the two are linked, or connected by links no longer than theirs.
 
     With ``spares`` there is a last column ``key``: null for links, and else the key of a row in a
-    long run that has more neighbours than its links show.
+    long run that has more neighbours than its links show. :func:`_apart` compares those rows in full.
     """
 
     def links(keys: np.ndarray, fps: np.ndarray, more: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -223,6 +223,29 @@ def _link_runs(lanes: int, most: int, cuts: list[tuple[int, int, int]], spares:
     return batches
 
 
+def _apart(lanes: int, most: int, cuts: list[tuple[int, int, int]], names: list[str]):
+    """For rows sorted by key, with a component after the names: all links between different components of each run."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, rows in _held_runs(it, len(names) + 1):
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else []
+            for start, end in zip(starts, np.r_[starts[1:], len(keys)]):
+                own, component = rows[start:end, :-1], rows[start:end, -1]
+                if (component == component[0]).all():
+                    continue
+                for at in range(0, len(own), 64):
+                    apart = component[at : at + 64, None] != component[None]
+                    apart &= np.arange(len(own)) > np.arange(at, min(at + 64, len(own)))[:, None]
+                    away = np.bitwise_count(own[at : at + 64, None, :lanes] ^ own[None, :, :lanes]).sum(axis=2)
+                    i, j = np.nonzero(apart & (away <= most))
+                    a, b = own[i + at], own[j]
+                    first = _first_shared(a, b, cuts) == keys[start] >> _BIT
+                    if first.any():
+                        yield _pair_batch(a[first], b[first], names)
+
+    return batches
+
+
 def _pair_schema(names: list[str]) -> str:
     return ", ".join(f"{side}{n} long" for side in "ab" for n in names)
 
@@ -369,14 +392,26 @@ def _similar(
 ) -> DataFrame:
     """(a, b): similar nodes, enough of them to connect all that share a key and are similar.
 
-    Of long runs of equal keys a forest and each row's ``spares`` nearest are tested.
+    Of long runs of equal keys a forest and each row's ``spares`` nearest are tested first. That
+    connects groups of near copies at a cost in proportion to them; then every other pair of the run
+    that is within ``max_distance`` and in different components is tested, too.
     """
     cuts = _segments(lanes, segments)
     ordered = _by_key(nodes.select(*names), names, lanes, segments, tile_rows)
     found = ordered.mapInArrow(_link_runs(lanes, max_distance, cuts, spares, names), _pair_schema(names) + ", key long")
     found = written(found, "found")
     first = written(found.where("key IS NULL").select(*_ends(names)).distinct(), "links")
-    return written(similar_links(first, nodes, texts, names, shingle, least), "similar")
+    links = written(similar_links(first, nodes, texts, names, shingle, least), "similar")
+    crowded = found.where("key IS NOT NULL").select("key", *_ends(names)[:1])
+    if not crowded.limit(1).count():
+        return links
+    reached = written(connected_components(links, "a", "b").select(F.col("node").alias("a"), F.xxhash64("component").alias("c")), "reached")
+    labelled = crowded.join(reached, "a", "left").select("key", "a.*", F.coalesce("c", F.xxhash64("a")).alias("c"))
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    again = labelled.repartition(parts, "key").sortWithinPartitions("key")
+    again = again.mapInArrow(_apart(lanes, max_distance, cuts, names), _pair_schema(names)).select(*_ends(names))
+    again = written(again.distinct(), "apart")
+    return written(links.union(similar_links(again, nodes, texts, names, shingle, least)), "similar")
 
 
 def near_duplicates(

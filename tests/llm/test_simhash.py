@@ -150,3 +150,26 @@ def test_repeats_hide_no_copy(spark):
         texts += ["\n".join([text, line, line]), "\n".join([text] + [line] * times)]
     kept = [r["doc_id"] for r in drop_near_duplicates(table(spark, as_rows(texts))).collect()]
     assert sorted(i // 2 for i in kept) == list(range(15))
+
+
+@pytest.mark.parametrize("tile_rows", [4096, 64])
+def test_pairs_among_refused_neighbours(spark, tile_rows):
+    """All texts share a passage and are not similar by that; pairs that are similar hide among them."""
+    rnd = random.Random(8)
+    passage, texts = own_words(rnd, 180), []
+    for i in range(160):
+        more = own_words(rnd, 30)
+        texts.append(" ".join(passage + (texts[-1].split()[180:192] + more[12:] if i % 4 == 1 else more)))
+    prints = [sum(p << 64 * n for n, p in enumerate(set_fingerprint(t, 5, 3)[:3])) for t in texts]
+
+    def meet(i, j):
+        differ = prints[i] ^ prints[j]
+        return differ.bit_count() <= 42 and any((differ >> at & 0xFFFF).bit_count() <= 1 for at in range(0, 192, 16))
+
+    pairs = [(i, j) for j in range(160) for i in range(j) if similarity(texts[i], texts[j]) >= 0.8]
+    assert len(pairs) == 40 and all(j == i + 1 for i, j in pairs)
+    expected = {j: i for i, j in pairs if meet(i, j)}
+    assert len(expected) >= 38
+    df = table(spark, as_rows(texts))
+    found = near_duplicates(df, shingle=5, lanes=3, max_distance=42, segments=12, tile_rows=tile_rows, min_similarity=0.8)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {i: expected.get(i, i) for i in range(160)}
