@@ -27,6 +27,10 @@ def _hashed_lines(text: Column, min_chars: int) -> Column:
     return F.filter(hashed, lambda line: line["h1"].isNotNull())
 
 
+def _uid(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), text_or_empty(text_col)).alias("uid")
+
+
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, salts: int = 32) -> DataFrame:
     """(h1, h2, keep): line keys that at least ``min_docs`` rows hold, and the largest id that does.
 
@@ -55,7 +59,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """(id_col, dropped): the lines that each document loses, as a compressed bitmap.
+    """(id_col, uid, dropped): the lines that each document loses, as a compressed bitmap.
 
     A text is cut at \\n. A line's key is the line without white space at both ends, A-Z in lower
     case. Keys of at least ``min_chars`` characters that at least ``min_docs`` documents hold lose
@@ -64,24 +68,26 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``dropped`` is array<struct<word int, bits bigint>>: bit ``i`` of word ``w`` is line
     ``63 * w + i``; words without a dropped line are left out, and so are documents without any.
     Line numbers count from 0. A null text is one empty line. Rows that repeat an id count as
-    documents of their own and share a bitmap. A null id is smaller than any other.
+    documents of their own: ``uid``, a hash of id and text, tells their bitmaps apart. A null id is
+    smaller than any other.
     """
     kept = written(repeated_lines(docs, id_col, text_col, min_chars, min_docs), "lines")
     lines = docs.select(
-        F.col(id_col).alias("id"), F.explode(_hashed_lines(text_or_empty(text_col), min_chars)).alias("line")
-    ).select("id", "line.*")
+        F.col(id_col).alias("id"), _uid(id_col, text_col), F.explode(_hashed_lines(text_or_empty(text_col), min_chars)).alias("line")
+    ).select("id", "uid", "line.*")
     lost = lines.join(kept, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keep")))
-    words = lost.groupBy("id", F.floor(F.col("pos") / WORD_BITS).cast("int").alias("word")).agg(
+    words = lost.groupBy("id", "uid", F.floor(F.col("pos") / WORD_BITS).cast("int").alias("word")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, pos % {WORD_BITS})")).alias("bits")
     )
-    return words.groupBy(F.col("id").alias(id_col)).agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
+    found = words.groupBy("id", "uid").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
+    return found.select(F.col("id").alias(id_col), "uid", "dropped")
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_lines, n_dropped, kept_text): the texts without the lines that ``bitmaps`` marks."""
-    texts = docs.select(F.col(id_col).alias("id"), F.split(text_or_empty(text_col), "\n", -1).alias("lines"))
-    marks = bitmaps.select(F.col(id_col).alias("mark_id"), "dropped")
-    joined = texts.join(marks, F.col("id").eqNullSafe(F.col("mark_id")), "left")
+    texts = docs.select(F.col(id_col).alias("id"), _uid(id_col, text_col), F.split(text_or_empty(text_col), "\n", -1).alias("lines"))
+    marks = bitmaps.select(F.col(id_col).alias("mark_id"), F.col("uid").alias("mark_uid"), "dropped")
+    joined = texts.join(marks, F.col("id").eqNullSafe(F.col("mark_id")) & (F.col("uid") == F.col("mark_uid")), "left")
     by_word = F.map_from_entries(F.col("dropped"))
     def stays(i: Column) -> Column:
         bits = F.coalesce(F.try_element_at(by_word, F.floor(i / WORD_BITS).cast("int")), F.lit(0).cast("long"))

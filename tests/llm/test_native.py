@@ -108,6 +108,15 @@ def test_lines(spark, seed):
     assert all(w["bits"] > 0 for r in bitmaps.collect() for w in r["dropped"])
 
 
+def test_lines_of_repeated_ids(spark):
+    """Two rows of one id: each loses only its own lines."""
+    shared, own = "a line of more than forty characters that all share", "a line of more than forty characters of its own"
+    texts = [(i, shared) for i in range(10, 16)] + [(1, f"{shared}\n{own} one\nend"), (1, f"{own} two\n{shared}\nend")]
+    df = table(spark, [(i, t, None, None, 0, *"izkdh") for i, t in texts])
+    found = [(r["doc_id"], r["n_dropped"], r["kept_text"]) for r in apply_bitmaps(df, line_dedup(df)).collect()]
+    assert sorted(found) == [(1, 1, f"{own} one\nend"), (1, 1, f"{own} two\nend"), *[(i, 1, "") for i in range(10, 15)], (15, 0, shared)]
+
+
 def test_awkward_lines(spark):
     df = table(spark, docs())
     assert apply_bitmaps(df, line_dedup(df, min_chars=1, min_docs=2)).count() == df.count()
