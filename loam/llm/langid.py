@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +18,16 @@ _CHUNK = 1 << 18
 _SPACE = 32
 
 
+@cache
 def _letters() -> np.ndarray:
-    return np.fromiter((chr(i).isalpha() for i in range(1 << 16)), bool, 1 << 16)
+    """Whether each code point of Unicode is a letter."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
 def characters(text: str, letters: np.ndarray) -> np.ndarray:
     """Code points in lower case, with every run of other characters than letters as one space."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    other = ~(letters[np.minimum(codes, 0xFFFF)] | (codes > 0xFFFF))
+    other = ~letters[codes]
     codes = np.where(other, np.uint32(_SPACE), codes)
     return codes[~(other & np.r_[False, other[:-1]])] if len(codes) else codes
 
@@ -239,7 +242,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", min_score: float = 0.3, **options) -> DataFrame:
-    """``docs`` without the rows whose language can't be told: ``und``, or a score under ``min_score``.
+    """``docs`` without the rows whose language can't be told: ``und``, or a score near chance.
+
+    Near chance is a score under 1.2 by the number of labels, and under ``min_score`` in any case: with
+    many labels a clean text may have a low score. Where nothing is labelled every row is ``und``.
 
     Texts pass through the prediction beside their rows, so nothing is joined or shuffled; columns
     and their names are those of ``docs``.
@@ -247,13 +253,14 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     learn = docs.where(~held_out(id_col, 4, 2)).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")
     )
-    shared = docs.sparkSession.sparkContext.broadcast(train(learn, **options))
+    model = train(learn, **options)
+    shared, least = docs.sparkSession.sparkContext.broadcast(model), min(min_score, 1.2 / max(1, len(model.labels)))
     at = docs.columns.index(text_col)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, own = _letters(), shared.value
         for batch in it:
             found = [own.predict(text.as_py(), letters) for text in batch.column(at)]
-            yield batch.filter(pa.array([label != UNDETERMINED and score >= min_score for label, score in found], pa.bool_()))
+            yield batch.filter(pa.array([label != UNDETERMINED and score >= least for label, score in found], pa.bool_()))
 
     return docs.mapInArrow(batches, docs.schema)

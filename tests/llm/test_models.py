@@ -1,5 +1,6 @@
 """Language ID and the quality classifier on held-out rows, and their cases."""
 
+import random
 import zlib
 
 import pytest
@@ -35,6 +36,22 @@ def test_language_cases(spark):
     assert identify(nothing.where("false")).count() == 0 and keep_identified(nothing).count() == 0
 
 
+def test_symbols_are_no_letters(spark):
+    """Beyond U+FFFF too, only letters tell a language; U+10400 is one."""
+    texts = ["\U0001f600\U0001f680 \U0001f4a9", "\U0001d7ce\U0001f600", "\U00010400\U00010401", "plain words"]
+    rows = [(i, t, "en", None, 0, *"izkdh") for i, t in enumerate(texts * 4)]
+    assert {(r["doc_id"] % 4 < 2, r["lang_pred"]) for r in identify(table(spark, rows)).collect()} == {(True, "und"), (False, "en")}
+    assert {r["doc_id"] % 4 for r in keep_identified(table(spark, rows)).collect()} == {2, 3}
+
+
+def test_many_labels(spark):
+    """Twelve labels, four by four of one vocabulary: a clean text has a score of about a quarter."""
+    rnd = random.Random(4)
+    words = ["alpha beta gamma delta".split(), "uno dos tres quatro".split(), "yksi kaksi kolme nelja".split()]
+    rows = [(i, " ".join(rnd.choices(words[i % 3], k=20)), f"l{i % 12}", None, 0, *"izkdh") for i in range(600)]
+    assert keep_identified(table(spark, rows)).count() >= 590
+
+
 def test_quality_accuracy(spark):
     documents, labels = load(spark, SF, "documents"), load(spark, SF, "labels")
     found = score_quality(documents, labels).join(labels, "doc_id").collect()
