@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where the tables that :func:`written` returned are.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A single-machine session with the settings that the tests and the bench use."""
@@ -25,11 +29,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the one named in ``spark.checkpoint.dir``. Where that is unset (a local session), a
-    temporary folder is made once and remembered in the session.
+    It is the one named in ``spark.checkpoint.dir``. Where that is unset a local session makes a
+    temporary folder once and remembers it; a cluster's executors would not see one, so there it is
+    an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("loam.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loam-")
         spark.conf.set("loam.shared.dir", found)
     return found.rstrip("/")
@@ -40,25 +47,42 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loam-{name}-{uuid.uuid4().hex}"
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lets Arrow hand Python at most ``rows`` rows at a time from now on, as suits columns of whole texts.
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Lets Arrow hand Python at most ``rows`` rows and about ``size`` bytes at a time, as suits columns of whole texts.
 
     A batch is held several times over, in the JVM's off-heap memory and in Python; the default of
-    10,000 documents is tens of MB for each.
+    10,000 documents is tens of MB for each. The limits hold for the session from now on, as a
+    query runs after it is built; a session's own smaller limits stay.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if now.rstrip("bB").isdigit() and int(now.rstrip("bB")) > size:  # other units were set by hand
+        spark.conf.set(key, str(size))
 
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, and its lineage ends there.
 
     A lost executor loses nothing of it, and Spark knows its size, so later joins pick their
-    strategy from real figures.
+    strategy from real figures. This runs a job; what it writes stays until :func:`discard`, since
+    a result that is built on it may run at any time.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _PATHS[found] = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that :func:`written` returned, once nothing that will still run reads them."""
+    for df in tables:
+        path = _PATHS.pop(df, None)
+        if path is not None:
+            jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(jsc.hadoopConfiguration()).delete(at, True)
