@@ -5,7 +5,8 @@ from __future__ import annotations
 import ipaddress
 import posixpath
 import re
-from urllib.parse import unquote_to_bytes
+from itertools import groupby
+from urllib.parse import quote, unquote_to_bytes
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -22,17 +23,28 @@ def _decoded(match: re.Match) -> str:
         return match[0]
 
 
+def normalized_path(path: str) -> str:
+    """A path with forward slashes and without single dots and parents that it names; a final slash stays."""
+    path = path.replace("\\", "/")
+    if not path:
+        return ""
+    found = posixpath.normpath(path)
+    found = "/" + found.lstrip("/") if found.startswith("/") else found
+    if found == ".":
+        return ""
+    return found + "/" if path.endswith("/") and not found.endswith("/") else found
+
+
 def resolve_one(source: str, raw: str) -> str | None:
-    """The bundle path that a link in ``source`` points to; None outside the bundle."""
+    """The bundle path that a link in ``source`` points to; None outside the bundle and for a target without a path."""
     target = re.split(r"[#?]", _ESCAPE.sub(r"\1", raw), maxsplit=1)[0]
     target = _RUN.sub(_decoded, target)
-    if "\0" in target:
+    if not target or "\0" in target:
         return None
-    joined = target.lstrip("/") if target.startswith("/") else posixpath.join(posixpath.dirname(source), target)
-    path = posixpath.normpath(joined) if joined else ""
-    if path == ".." or path.startswith("../"):
+    path = normalized_path(target[1:] if target.startswith("/") else posixpath.join(posixpath.dirname(normalized_path(source)), target))
+    if not path or path == ".." or path.startswith(("../", "/")):
         return None
-    return re.sub(r"\.md$", "", "" if path == "." else path)
+    return path.removesuffix(".md")
 
 
 @F.pandas_udf(StringType())
@@ -40,19 +52,76 @@ def resolve_target(source: pd.Series, raw: pd.Series) -> pd.Series:
     return pd.Series([None if s is None or r is None else resolve_one(s, r) for s, r in zip(source, raw)], dtype=object)
 
 
+# Schemes whose hosts are domains or addresses, and what no host holds.
+SPECIAL = ("http", "https", "ws", "wss", "ftp", "file")
+_FORBIDDEN = re.compile(r"[\x00\t\n\r #/:<>?@\[\\\]^|]")
+
+
+def _six(host: str) -> str | None:
+    """An IPv6 address in its short form."""
+    try:
+        groups = [f"{int.from_bytes(pair):x}" for pair in zip(*[iter(ipaddress.IPv6Address(host).packed)] * 2)]
+    except ValueError:
+        return None
+    best = max((len(list(run)) for zero, run in groupby(groups, key="0".__eq__) if zero), default=0)
+    if best < 2:
+        return ":".join(groups)
+    at = next(i for i in range(8) if groups[i : i + best] == ["0"] * best)
+    return ":".join(groups[:at]) + "::" + ":".join(groups[at + best :])
+
+
 def host_of(url: str) -> str | None:
-    """Host in lower case, without brackets, port, user and final dots."""
-    match = re.match(r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#\\]*)", url.strip())
+    """The host of a URL as a browser has it, in lower case, without brackets, port, user and final dots."""
+    url = re.sub(r"[\t\r\n]", "", url.strip("".join(map(chr, range(33)))))
+    match = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):", url)
     if not match:
         return None
-    host = match[1].rpartition("@")[2]
-    host = host[1 : host.find("]")] if host.startswith("[") else host.partition(":")[0]
-    host = _RUN.sub(_decoded, host).rstrip(".").lower()
+    scheme, rest = match[1].lower(), url[match.end() :]
+    special = scheme in SPECIAL
+    if special:
+        rest = rest.replace("\\", "/") if scheme != "file" or rest[:2].replace("\\", "/") == "//" else ""
+        rest = rest.lstrip("/") if scheme != "file" else rest[2:]
+    elif rest.startswith("//"):
+        rest = rest[2:]
+    else:
+        return None
+    host = re.split(r"[/?#]", rest, maxsplit=1)[0].rpartition("@")[2]
+    if host.startswith("["):
+        inner, closed, port = host[1:].partition("]")
+        host, port = _six(inner) if closed else None, port.removeprefix(":")
+    else:
+        host, _, port = host.partition(":")
+        if special:
+            host = _domain(host)
+        elif _FORBIDDEN.search(host):
+            return None
+        else:
+            host = "".join(c if " " < c <= "~" else quote(c) for c in host)
+    if host is None or (port and not (port.isdigit() and port.isascii() and int(port) < 65536)):
+        return None
+    return host.rstrip(".").lower() or None
+
+
+def _domain(host: str) -> str | None:
+    host = unquote_to_bytes(host).decode("utf-8", "replace")
     try:
-        host = host if host.isascii() else host.encode("idna").decode()
+        host = host.lower() if host.isascii() else host.encode("idna").decode()
     except UnicodeError:
         return None
-    return host or None
+    if _FORBIDDEN.search(host) or "%" in host:
+        return None
+    if re.search(r"(?:^|\.)(?:[0-9]+|0x[0-9a-f]*)\.?$", host):  # ends in a number, so it is an address or nothing
+        address = _address(host.removesuffix("."))
+        return None if address is None else str(address)
+    return host
+
+
+def aliases_of(host: str) -> list[str]:
+    """A configured host and the forms that URLs may have of it."""
+    literal = host.lower()
+    authority = f"[{literal}]" if ":" in literal else literal
+    found = [literal] + [host_of(f"{scheme}://{authority}") for scheme in ("http", "any") if scheme == "any" or "%" not in literal]
+    return list(dict.fromkeys(h for h in found if h))
 
 
 def _address(host: str) -> ipaddress.IPv4Address | ipaddress.IPv6Address | None:
@@ -90,13 +159,15 @@ PRIVATE = [
 def private_one(host: str | None) -> bool:
     if not host:
         return False
-    if host == "localhost" or host.endswith((".localhost", ".local")):
+    if host in ("localhost", "local") or host.endswith((".localhost", ".local")):
         return True
     address = _address(host)
     if address is None:
         return False
-    if address.version == 6 and address.ipv4_mapped:
-        address = address.ipv4_mapped
+    if address.version == 6:
+        low = int(address) & 0xFFFFFFFF
+        if int(address) >> 32 in (0, 0xFFFF) and low >> 16:  # an IPv4 address within
+            address = ipaddress.IPv4Address(low)
     return any(address.version == n.version and address in n for n in PRIVATE)
 
 
@@ -105,6 +176,26 @@ def resource_host(url: pd.Series) -> pd.Series:
     return pd.Series([None if u is None else host_of(u) for u in url], dtype=object)
 
 
+def trimmed_url(url: str) -> str:
+    """Without the punctuation that follows a URL in a sentence; brackets go if they weren't opened in it."""
+    opened = {")": url.count("(") - url.count(")"), "]": url.count("[") - url.count("]")}
+    end = len(url)
+    while end:
+        last = url[end - 1]
+        if last in opened and opened[last] < 0:
+            opened[last] += 1
+        elif last not in ".,;:!?":
+            break
+        end -= 1
+    return url[:end]
+
+
+@F.pandas_udf(BooleanType())
+def has_private_url(urls: pd.Series) -> pd.Series:
+    """Whether any of a list of URLs, as found in a text, has a private host."""
+    return urls.map(lambda found: any(private_one(host_of(trimmed_url(u))) for u in found))
+
+
 @F.pandas_udf(BooleanType())
 def is_private_host(host: pd.Series) -> pd.Series:
     return host.map(private_one)
@@ -120,6 +211,47 @@ def relative_target(source: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([None if s is None or t is None else relative_one(s, t) for s, t in zip(source, target)], dtype=object)
 
 
+@F.pandas_udf(StringType())
+def posix_path(path: pd.Series) -> pd.Series:
+    """With forward slashes, and without the dots and parents that it names."""
+    return path.map(normalized_path, na_action="ignore")
+
+
+# Device names that no file may have.
+DEVICES = ("CON", "PRN", "AUX", "NUL", *[f"{name}{i}" for name in ("COM", "LPT") for i in range(1, 10)])
+
+
+def portable_segment(name: str, fallback: str) -> str:
+    """A path's part that every file system takes."""
+    name = re.sub(r"[<>:\"|?*\x00-\x1f]", "-", name).rstrip(" .") or fallback
+    return f"_{name}" if name.split(".")[0].upper() in DEVICES else name
+
+
+def concept_path_one(path: str) -> str:
+    """The path of a concept that is made from a source path; ValueError where it has none within the bundle."""
+    plain = re.sub(r"^\./", "", path.replace("\\", "/"))
+    last = plain.split("/")[-1].strip()
+    if not plain.strip() or plain.startswith("/") or "\0" in plain or re.match(r"[A-Za-z]:/", plain):
+        raise ValueError(f"a source path must be a relative path: {path!r}")
+    if last in ("", ".", "..") or re.sub(r"(?i)\.md$", "", last) in ("", ".", ".."):
+        raise ValueError(f"a source path must name a file: {path!r}")
+    parts: list[str] = []
+    for part in plain.split("/"):
+        if part == "..":
+            if not parts:
+                raise ValueError(f"a source path must stay within its folder: {path!r}")
+            parts.pop()
+        elif part not in ("", "."):
+            parts.append(part)
+    stem = portable_segment(re.sub(r"(?i)\.md$", "", parts.pop()), "concept")
+    return "/".join([*(portable_segment(p, "segment") for p in parts), f"{stem}.md"])
+
+
+@F.pandas_udf(StringType())
+def concept_path(path: pd.Series) -> pd.Series:
+    return path.map(concept_path_one)
+
+
 @F.pandas_udf(StringType())
 def path_key(path: pd.Series) -> pd.Series:
     """Equal for paths that some file system can't tell apart: composed characters in lower case."""

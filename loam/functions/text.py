@@ -13,7 +13,8 @@ from pyspark.sql import Column, functions as F
 SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 PRIVATE_KEY = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
 AWS_KEY = r"(?<![A-Za-z0-9_])AKIA[0-9A-Z]{16}(?![A-Za-z0-9_])"
-SECRET_VALUE = r"(?i)(?<![A-Za-z0-9_])(?:api[_-]?key|secret|token)[ \t]*[:=][ \t]*['\"]?[A-Za-z0-9_./+=-]{20,}"
+BLANKS = r"\t\x0B\f \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+SECRET_VALUE = rf"(?i)(?<![A-Za-z0-9_])(?:api[_-]?key|secret|token)(?![A-Za-z0-9_])[{BLANKS}]*[:=][{BLANKS}]*['\"]?[A-Za-z0-9_.-]{{20,}}"
 EMAIL = r"(?i)(?<![A-Z0-9_])[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}(?![A-Z0-9_])"
 TAG = r"^[a-z0-9]+(?:-[a-z0-9]+)*$"
 FILE_NAME = r"^[a-z0-9][a-z0-9_./-]*\.md$"
@@ -128,6 +129,17 @@ def escape_markdown(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"([\\`*_\[\]<>#|])", r"\\$1"), r"[\r\n]+", " ")
 
 
+def escape_markdown_text(c: Column) -> Column:
+    """The text on one line, with a backslash before every ASCII punctuation character."""
+    return F.regexp_replace(F.regexp_replace(c, r"\r\n?|\n", " "), r"([!-/:-@\[-`{-~])", r"\\$1")
+
+
+def json_text(c: Column) -> Column:
+    """The text as a JSON string, which is also a YAML scalar; null for null."""
+    made = F.to_json(F.struct(c.alias("v")))
+    return F.when(c.isNotNull(), F.substring(made, F.lit(6), F.length(made) - 6))
+
+
 def escape_html(c: Column) -> Column:
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         c = F.replace(c, F.lit(raw), F.lit(safe))
@@ -147,6 +159,14 @@ def code_span(c: Column) -> Column:
     return F.concat(ticks, pad, c, pad, ticks)
 
 
+def spaced_code_span(c: Column) -> Column:
+    """The text on one line as a code span with a space on either side."""
+    flat = F.regexp_replace(c, r"\r\n?|\n", " ")
+    runs = F.transform(F.regexp_extract_all(flat, F.lit("(`+)"), F.lit(1)), F.length)
+    ticks = F.repeat(F.lit("`"), F.coalesce(F.array_max(runs), F.lit(0)) + 1)
+    return F.concat(ticks, F.lit(" "), flat, F.lit(" "), ticks)
+
+
 def title_from_path(path: Column) -> Column:
     """A file's name as a title: words for dashes and underscores, capitals at their start."""
     return F.initcap(F.regexp_replace(F.regexp_replace(base_name(path), r"\.md$", ""), "[-_]+", " "))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from loam.functions.yaml import read_front_matter
 
 
 def diff(before: DataFrame, after: DataFrame, fields: Sequence[str] = ()) -> DataFrame:
@@ -33,13 +35,70 @@ def diff(before: DataFrame, after: DataFrame, fields: Sequence[str] = ()) -> Dat
 
 
 def link_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(id, added, removed): targets that each source of both snapshots gained and lost, from (source, target)."""
-    old = before.groupBy(F.col("source").alias("id")).agg(F.collect_set("target").alias("old"))
-    new = after.groupBy(F.col("source").alias("id")).agg(F.collect_set("target").alias("new"))
-    both = old.join(new, "id").select(
-        "id", F.array_sort(F.array_except("new", "old")).alias("added"), F.array_sort(F.array_except("old", "new")).alias("removed")
+    """(id, added, removed): targets that each source of both snapshots gained and lost, from (source, target).
+
+    Links that stayed cancel out first, so that only changes are listed.
+    """
+    old, new = before.select("source", "target").distinct(), after.select("source", "target").distinct()
+    both = old.withColumn("was", F.lit(True)).join(new.withColumn("is", F.lit(True)), ["source", "target"], "full_outer")
+    changed = both.where("was IS NULL OR `is` IS NULL")
+    kept = old.select("source").distinct().join(new.select("source").distinct(), "source", "left_semi")
+    listed = lambda side: F.array_sort(F.collect_list(F.when(F.col(side), F.col("target"))))
+    found = changed.join(kept, "source", "left_semi").groupBy(F.col("source").alias("id"))
+    return found.agg(listed("is").alias("added"), listed("was").alias("removed"))
+
+
+def concept_changes(before: DataFrame, after: DataFrame, links_before: DataFrame, links_after: DataFrame) -> DataFrame:
+    """(id, path, front_changed, body_changed, resource_changed, tags_changed, links_added, links_removed, changes).
+
+    Of concepts in both snapshots, those that differ: which front matter keys have other values, at any
+    depth, and which link targets came and went. ``changes`` says it in words. Front matter is read
+    again only of concepts whose content or links differ.
+    """
+    columns = ["front", "body", "resource", "tags", "content_hash"]
+    old = before.select("id", *[F.col(c).alias(f"old_{c}") for c in columns])
+    both = old.join(after.select("id", "path", *columns), "id").join(link_changes(links_before, links_after), "id", "left")
+    both = both.where((F.col("content_hash") != F.col("old_content_hash")) | F.col("added").isNotNull())
+    values = both.withColumns({"new_values": read_front_matter("front")["values"], "old_values": read_front_matter("old_front")["values"]})
+    none = F.array().cast("array<string>")
+    a, b = (F.coalesce(c, F.from_json(F.lit("{}"), "map<string,string>")) for c in ("new_values", "old_values"))
+    values = values.withColumns({"a": a, "b": b})
+    keys = F.array_union(F.map_keys("a"), F.map_keys("b"))
+    changed = F.array_sort(F.filter(keys, lambda k: ~F.try_element_at("a", k).eqNullSafe(F.try_element_at("b", k))))
+    rows = values.select(
+        "id",
+        "path",
+        changed.alias("front_changed"),
+        (F.col("body") != F.col("old_body")).alias("body_changed"),
+        (~F.col("resource").eqNullSafe(F.col("old_resource"))).alias("resource_changed"),
+        (~F.col("tags").eqNullSafe(F.col("old_tags"))).alias("tags_changed"),
+        F.coalesce("added", none).alias("links_added"),
+        F.coalesce("removed", none).alias("links_removed"),
     )
-    return both.where((F.size("added") > 0) | (F.size("removed") > 0))
+
+    def said(flag: str, key: str) -> Column:
+        named = F.array_contains("front_changed", key) if key != "body" else F.lit(False)
+        return F.when(F.col(flag) & ~named, F.array(F.lit(f"{key} changed"))).otherwise(none)
+
+    words = F.concat(
+        F.transform("front_changed", lambda k: F.concat(F.lit("frontmatter."), k, F.lit(" changed"))),
+        said("body_changed", "body"), said("resource_changed", "resource"), said("tags_changed", "tags"),
+        F.transform("links_added", lambda t: F.concat(F.lit("link added: "), t)), F.transform("links_removed", lambda t: F.concat(F.lit("link removed: "), t)),
+    )
+    return rows.withColumn("changes", words).where(F.size("changes") > 0)
+
+
+def highlights(changes: DataFrame, most: int = 5) -> DataFrame:
+    """(change, id, old_id, nth): the first few of each kind of change, in order of id."""
+    nth = F.row_number().over(Window.partitionBy("change").orderBy("id"))
+    return changes.select("change", "id", "old_id").withColumn("nth", nth).where(F.col("nth") <= most)
+
+
+def readiness_change(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row (before_score, after_score, delta, changed) from two rows of :func:`loam.operators.rules.readiness`."""
+    both = before.select(F.col("score").alias("before_score")).join(F.broadcast(after.select(F.col("score").alias("after_score"))))  # one row each
+    delta = F.col("after_score") - F.col("before_score")
+    return both.withColumn("delta", delta).withColumn("changed", delta != 0)
 
 
 def summary(changes: DataFrame) -> DataFrame:

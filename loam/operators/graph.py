@@ -27,9 +27,9 @@ def no_backlinks(degree: DataFrame) -> DataFrame:
 
 
 def hubs(degree: DataFrame, threshold: int = HUB_DEGREE) -> DataFrame:
-    """Nodes of ``threshold`` neighbours and more; none if it isn't positive."""
+    """Nodes of ``threshold`` neighbours and more, those of most first; none if it isn't positive."""
     total = F.col("indegree") + F.col("outdegree")
-    return degree.where((total >= threshold) & F.lit(threshold > 0)).select("id", total.alias("degree"))
+    return degree.where((total >= threshold) & F.lit(threshold > 0)).select("id", total.alias("degree")).orderBy(F.desc("degree"), "id")
 
 
 def backlinks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -52,6 +52,12 @@ def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(reached, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
 
 
+def isolated_clusters(cluster: DataFrame) -> DataFrame:
+    """One row: how many clusters there are, and how many of one node."""
+    sizes = cluster.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("n") == 1).alias("single"))
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, scc) of the nodes that lie on a cycle; ``scc`` is the smallest node of the component.
 

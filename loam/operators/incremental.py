@@ -8,7 +8,7 @@ from loam.functions.text import content_hash
 from loam.operators.parsing import parse
 
 #: Changes when parsing gives other columns or values.
-PARSER_VERSION = "1"
+PARSER_VERSION = "2"
 
 
 def stale_files(files: DataFrame, kept: DataFrame) -> DataFrame:

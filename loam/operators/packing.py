@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: The first line of what a manifest's hash covers.
 HEADER = "manifest-v1\n"
-# Names and endings that never go into a package.
-SENSITIVE = (
-    r"(?i)(?:^|/)(?:\.env(?!\.example$)[^/]*|\.npmrc|\.netrc|\.pypirc|\.git-credentials|id_rsa|id_dsa|id_ecdsa|id_ed25519"
-    r"|credentials|credentials\.json)$|(?i)(?:^|/)(?:\.git|\.ssh|\.aws|\.gnupg)/|(?i)\.(?:key|p12|pfx|jks|keystore)$"
-)
+# What never goes into a package, in lower case: file names, folders, path ends, and endings.
+SENSITIVE_NAMES = (
+    ".env", ".npmrc", ".pypirc", ".netrc", "_netrc", ".git-credentials", ".yarnrc.yml", "id_rsa", "id_dsa", "id_ecdsa", "id_ed25519",
+)
+SENSITIVE_FOLDERS = (".ssh", ".gnupg")
+SENSITIVE_PATHS = (
+    ".aws/credentials", ".docker/config.json", ".kube/config", ".cargo/credentials", ".cargo/credentials.toml", ".composer/auth.json",
+    "application_default_credentials.json",
+)
+SENSITIVE_ENDINGS = (".p12", ".pfx", ".jks", ".keystore", ".tfstate")
+#: The one file of the ``.env.`` family that is meant to be shared.
+SHARED_ENV = ".env.example"
 
 
 def is_sensitive(path: Column) -> Column:
-    return path.rlike(SENSITIVE)
+    low = F.lower(path)
+    name = F.element_at(F.split(low, "/"), -1)
+    slashed = F.concat(F.lit("/"), low)
+    hits = [name.isin(*SENSITIVE_NAMES), name.startswith(".env.") & (name != SHARED_ENV), F.contains(name, F.lit(".tfstate."))]
+    hits += [F.contains(slashed, F.lit(f"/{folder}/")) for folder in SENSITIVE_FOLDERS]
+    hits += [slashed.endswith(f"/{end}") for end in SENSITIVE_PATHS] + [name.endswith(end) for end in SENSITIVE_ENDINGS]
+    return reduce(lambda a, b: a | b, hits)
 
 
 def packable(files: DataFrame) -> DataFrame:

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loam.functions import text as T
+from loam.functions.markdown import places, scanned_links
 from loam.functions.paths import resolve_target
+from loam.functions.yaml import read_front_matter
 
+# The fields that name what replaces a concept.
+REPLACEMENT_KEYS = ("replacement", "replaced_by", "replacedBy", "superseded_by", "supersededBy")
 #: Front matter: a first line of three dashes up to the next line of three dashes.
 _FRONT = r"(?s)\A---(?:\r\n|\n|\r)(.*?)(?<=[\r\n])---[ \t]*(?:\r\n|\n|\r|\z)"
 _FENCE = r"(?ms)^ {0,3}(`{3,}|~{3,})[^\n]*(?:\n.*?(?:^ {0,3}\1[`~]*[ \t]*$|\z)|\z)"
@@ -15,7 +19,21 @@ _HEADING = r"(?m)^ {0,3}(#{1,6})(?:[ \t]+(.*?))??(?:[ \t]+#+)?[ \t]*$"
 # Runs are possessive and repeats bounded, so that hostile texts neither backtrack nor nest deeply.
 _LABEL = r"(?:[^\[\]\\]++|\\.|\[[^\[\]]*+\]){0,200}"
 _DESTINATION = r"<[^<>\n]*+>|(?:[^()\s\\<]++|\\.|\((?:[^()\s\\]++|\\.){0,64}\)){0,64}"
-_LINK = rf"(?<![!\\])\[({_LABEL})\]\([ \t]*({_DESTINATION})(?:[ \t]+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?[ \t]*\)"
+_INLINE = rf"\[({_LABEL})\]\([ \t]*({_DESTINATION})(?:[ \t]+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?[ \t]*\)"
+_LINK, _IMAGE = rf"(?<![!\\]){_INLINE}", rf"(?<!\\)!{_INLINE}"
+#: Links that need no more than these patterns; a text with others is scanned.
+_EASY = r"\[[^\[\]\r\n]*+\]\([ \t]*+(?:<[^<>\r\n]*+>|[^\s()<>\"']*+)(?:[ \t]++(?:\"[^\"\r\n]*+\"|'[^'\r\n]*+'))?[ \t]*+\)"
+# Front matter of plain entries, which is read by line: words, dates, quoted texts without escapes, and lists of them.
+_WORDS = r"(?!(?:true|True|TRUE|false|False|FALSE|null|Null|NULL)[ \t]*$)[A-Za-z](?:[^\r\n:#]|:(?=[^\s]))*+|[0-9]{4}-[0-9]{2}-[0-9]{2}(?:T[0-9:.]++Z)?[ \t]*+"
+_QUOTED = r"\"[^\"\\\r\n]*+\"[ \t]*+|'[^'\r\n]*+'[ \t]*+"
+_INNER = r"[ ]*+(?!(?:true|True|TRUE|false|False|FALSE|null|Null|NULL)[ ]*[,\]])[A-Za-z][A-Za-z0-9_. /-]*+"
+_PLAIN_FRONT = (
+    rf"(?m)\A(?:[A-Za-z_][A-Za-z0-9_-]*+:[ \t]++(?:{_QUOTED}|{_WORDS}|\[{_INNER}(?:,{_INNER})*+\][ \t]*+)$\n?"
+    rf"|[A-Za-z_][A-Za-z0-9_-]*+:[ \t]*+\n([ ]*+)-[ ]++(?:{_QUOTED}|{_WORDS})$\n?(?:\1-[ ]++(?:{_QUOTED}|{_WORDS})$\n?)*+)*+\z"
+)
+_KEY_LINES = r"(?m)^([A-Za-z_][A-Za-z0-9_-]*):"
+#: Longest front matter that is read by line; the pattern's depth grows with its lines.
+_PLAIN_LENGTH = 2000
 
 
 def masked(body: Column) -> Column:
@@ -39,11 +57,22 @@ def sequence(front: Column, key: str) -> Column:
     return F.when(F.size(bare) > 0, bare)
 
 
+def plain_text(body: Column) -> Column:
+    """The words of a body: no fenced code, no images, links and headings as their text, no marks, single spaces."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, _FENCE, " "), _IMAGE, ""), _LINK, "$1")
+    titles = F.regexp_replace(bare, _HEADING, "$2")
+    marks = F.regexp_replace(F.regexp_replace(titles, "`+", ""), "[*_~>-]", " ")
+    return T.trimmed(F.regexp_replace(marks, rf"[{T.SPACE}]+", " "))
+
+
 def parse(files: DataFrame) -> DataFrame:
     """(path, content) to one row per file with typed front matter, headings and link texts.
 
-    Front matter is read as block mappings of scalars and lists, by line; other YAML stays in
-    ``front`` as it is. ``front`` is null where a file has none. A null content is an empty file.
+    Front matter of plain entries is read by patterns, any other by a YAML reader in batches; ``front`` is
+    its text, null where a file has none. ``invalid`` says why it is refused, in which case the
+    file has no field; ``front_json`` is the mapping as JSON where the reader was asked. Fields are
+    texts and lists of texts: other values count as absent. Links that the patterns can't take apart
+    are scanned. A null content is an empty file.
     """
     content = F.coalesce("content", F.lit(""))
     has = content.rlike(_FRONT)
@@ -54,30 +83,60 @@ def parse(files: DataFrame) -> DataFrame:
             "body": F.when(has, F.regexp_replace("content", _FRONT, "")).otherwise(F.col("content")),
         }
     )
-    plain = masked(F.col("body"))
+    named = F.regexp_extract_all("front", F.lit(_KEY_LINES), F.lit(1))
+    by_line = (F.length("front") < _PLAIN_LENGTH) & F.when(F.length("front") < _PLAIN_LENGTH, F.col("front").rlike(_PLAIN_FRONT))
+    by_line = by_line & (F.length("front") > 0) & (F.size(F.array_distinct(named)) == F.size(named))
+    rows = rows.withColumns({"plain": masked(F.col("body")), "by_line": F.col("front").isNull() | by_line})
+    scan = (F.regexp_count("plain", F.lit(r"\]\(")) != F.regexp_count("plain", F.lit(_EASY))) | F.contains("plain", F.lit("\\"))
+    rows = rows.withColumn("scan", F.contains("plain", F.lit("](")) & scan)
+    rows = rows.withColumns(
+        {"read": read_front_matter(F.when(~F.col("by_line"), F.col("front"))), "scanned": scanned_links(F.when(F.col("scan"), F.col("body")))}
+    )
     front = F.coalesce("front", F.lit(""))
-    resource = sequence(front, "resource")
+
+    def text_of(key: str) -> Column:
+        return F.when(F.col("by_line"), scalar(front, key)).otherwise(F.try_element_at("read.texts", F.lit(key)))
+
+    def list_of(key: str) -> Column:
+        return F.when(F.col("by_line"), sequence(front, key)).otherwise(F.try_element_at("read.lists", F.lit(key)))
+
+    one = text_of("resource")
     return rows.select(
         T.concept_id(F.col("path")).alias("id"),
         "path",
         "kind",
-        F.coalesce(scalar(front, "type"), F.lit("")).alias("type"),
-        scalar(front, "title").alias("title"),
-        scalar(front, "description").alias("description"),
-        F.coalesce(resource, F.when(scalar(front, "resource").isNotNull(), F.array(scalar(front, "resource")))).alias("resource"),
-        sequence(front, "tags").alias("tags"),
-        scalar(front, "timestamp").alias("timestamp"),
-        scalar(front, "owner").alias("owner"),
-        scalar(front, "status").alias("status"),
+        F.coalesce(text_of("type"), F.lit("")).alias("type"),
+        text_of("title").alias("title"),
+        text_of("description").alias("description"),
+        F.coalesce(list_of("resource"), F.when(one.isNotNull(), F.array(one))).alias("resource"),
+        list_of("tags").alias("tags"),
+        text_of("timestamp").alias("timestamp"),
+        text_of("owner").alias("owner"),
+        text_of("status").alias("status"),
+        F.exists(F.array(*[text_of(k) for k in REPLACEMENT_KEYS]), lambda v: ~T.blank(v)).alias("replaced"),
         "front",
-        F.regexp_extract_all(front, F.lit(r"(?m)^([^\s#:\-][^:\n]*?)[ \t]*:(?:[ \t]|$)"), F.lit(1)).alias("keys"),
+        F.col("read.invalid").alias("invalid"),
+        F.col("read.json").alias("front_json"),
+        F.col("read.rest").alias("front_rest"),
+        F.when(F.col("by_line"), F.coalesce(named, F.array().cast("array<string>"))).otherwise(F.col("read.keys")).alias("keys"),
         "body",
-        headings(plain).alias("headings"),
-        links(plain).alias("links"),
+        plain_text(F.col("body")).alias("text"),
+        headings(F.col("plain")).alias("headings"),
+        F.when(F.col("scan"), F.col("scanned")).otherwise(links(F.col("plain"))).alias("links"),
         T.content_hash(F.col("content")).alias("content_hash"),
     )
 
 
+def located(files: DataFrame) -> DataFrame:
+    """(path, ordinal, what, label, target, line, column, offset) of the headings and links of (path, content).
+
+    Lines and columns count from 1 and offsets from 0, in UTF-16 units of the whole file.
+    """
+    content = F.coalesce("content", F.lit(""))
+    body = F.regexp_replace(content, _FRONT, "")
+    return files.select("path", F.posexplode(places(content, body)).alias("ordinal", "place")).select("path", "ordinal", "place.*")
+
+
 def headings(plain: Column) -> Column:
     marks = F.regexp_extract_all(plain, F.lit(_HEADING), F.lit(1))
     titles = F.regexp_extract_all(plain, F.lit(_HEADING), F.lit(2))
@@ -118,7 +177,15 @@ def resolved_links(parsed: DataFrame) -> DataFrame:
 
 def bundle_stats(parsed: DataFrame, links_: DataFrame) -> DataFrame:
     """One row of counts: concepts, indexes, logs, links, broken links."""
-    files = parsed.agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in (("concept", "concepts"), ("index", "indexes"), ("log", "logs"))])
+    return all_stats(parsed, links_).drop("files", "diagnostics")
+
+
+def all_stats(parsed: DataFrame, links_: DataFrame) -> DataFrame:
+    """One row of all counts of a bundle: also its files, and those whose front matter is refused."""
+    kinds = (("concept", "concepts"), ("index", "indexes"), ("log", "logs"))
+    files = parsed.agg(
+        F.count(F.lit(1)).alias("files"), *[F.count_if(F.col("kind") == k).alias(n) for k, n in kinds], F.count("invalid").alias("diagnostics")
+    )
     edges = links_.agg(
         F.count(F.lit(1)).alias("links"), F.count_if((F.col("kind") == "internal") & ~F.col("resolved")).alias("broken_links")
     )

@@ -33,6 +33,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def _filled(sql: str) -> str:
+    """SQL with the common tables that are defined further down."""
+    return sql.replace("{names}", NAMES).replace("{changes}", CHANGES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -59,7 +64,7 @@ def slugs(spark, sf):
 
 @query(
     r"""WITH f AS (SELECT doc_id, regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') AS k,
-            regexp_matches(text, '\bAKIA[0-9A-Z]{16}\b') OR regexp_matches(text, '(?i)\b(?:api[_-]?key|secret|token)[ \t]*[:=][ \t]*[''"]?[A-Za-z0-9_./+=-]{20,}') AS t,
+            regexp_matches(text, '\bAKIA[0-9A-Z]{16}\b') OR regexp_matches(text, '(?i)\b(?:api[_-]?key|secret|token)\b[^\S\r\n]*[:=][^\S\r\n]*[''"]?[A-Za-z0-9_.-]{20,}') AS t,
             regexp_matches(text, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b') AS e FROM documents)
         SELECT doc_id, 'private-key' AS finding FROM f WHERE k UNION ALL SELECT doc_id, 'token' FROM f WHERE t UNION ALL SELECT doc_id, 'email' FROM f WHERE e"""
 )
@@ -159,6 +164,14 @@ def postings(spark, sf):
     return found.select("term", "block", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
+@query(
+    f"SELECT term, doc_id // 1024 AS block, count(*) AS ids, min(doc_id) AS first FROM (SELECT doc_id, unnest({TERMS.format('text')}) AS term FROM documents) GROUP BY ALL"
+)
+def document_postings(spark, sf):
+    found = S.postings(S.terms(table(spark, sf, "documents"), "doc_id", "text"), F.expr("id div 1024"))
+    return found.select("term", "block", F.size("ids").cast("long").alias("ids"), F.col("ids")[0].alias("first"))
+
+
 @query(
     f"""WITH d AS (SELECT doc_id, unnest({TERMS.format('text')}) AS term FROM documents),
         q AS (SELECT item_id, unnest({TERMS.format('text')}) AS term FROM benchmark),
@@ -186,7 +199,7 @@ def _document_context(spark, sf) -> R.Context:
 
 DIAGNOSTICS = r"""f AS (SELECT source || '/' || doc_id || '.md' AS path, source, text FROM documents),
     t AS (SELECT *, regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') AS k,
-            regexp_matches(text, '\bAKIA[0-9A-Z]{16}\b') OR regexp_matches(text, '(?i)\b(?:api[_-]?key|secret|token)[ \t]*[:=][ \t]*[''"]?[A-Za-z0-9_./+=-]{20,}') AS t,
+            regexp_matches(text, '\bAKIA[0-9A-Z]{16}\b') OR regexp_matches(text, '(?i)\b(?:api[_-]?key|secret|token)\b[^\S\r\n]*[:=][^\S\r\n]*[''"]?[A-Za-z0-9_.-]{20,}') AS t,
             regexp_matches(text, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b') AS e FROM f),
     g AS (SELECT 'hygiene/missing-title' AS code, 'warning' AS severity, path, source FROM t UNION ALL
           SELECT 'hygiene/missing-description', 'warning', path, source FROM t UNION ALL
@@ -343,17 +356,273 @@ def gen_doctor(spark, sf):
     return found.select("code", F.col("concept_id").alias("id"))
 
 
+STAMP = "2024-01-01T00:00:00.000Z"
+SLUG = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-')"
+
+
 @query(
-    """SELECT 'tables/' || regexp_replace(lower('wh.' || r_name || '.' || n_name), '[^a-z0-9]+', '-', 'g') || '.md' AS path, 'wh.' || r_name || '.' || n_name AS identity
-        FROM nation JOIN region ON n_regionkey = r_regionkey"""
+    f"""WITH t AS (SELECT 'ds-' || p_brand AS dataset, p_name AS name, p_partkey FROM part),
+        c AS (SELECT 'tables/' || {SLUG.format("dataset || '-' || name")} || '.md' AS path, 'bigquery://wh/' || dataset || '/' || name AS identity, dataset || '.' || name AS title FROM t)
+        SELECT path, identity, title, 'Imported from BigQuery metadata.' AS description FROM c"""
 )
 def imported_tables(spark, sf):
-    rows = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    column = F.struct(F.lit("key").alias("name"), F.lit("INT64").alias("type"), F.lit(None).cast("string").alias("description"))
-    tables = rows.select(
-        F.lit("wh").alias("project"), F.col("r_name").alias("dataset"), F.col("n_name").alias("table"), F.lit("A nation").alias("description"), F.array(column).alias("columns")
+    tables = table(spark, sf, "part").select(
+        F.lit("wh").alias("project"), F.concat(F.lit("ds-"), "p_brand").alias("dataset"), F.col("p_name").alias("table"), F.lit(None).cast("string").alias("description"),
+        F.array(F.struct(F.lit("key").alias("name"), F.lit("INT64").alias("type"), F.lit(None).cast("string").alias("description"))).alias("columns"),
+    )
+    made = X.table_concepts(tables, STAMP)
+    return made.join(parsing.parse(made.select("path", "content").distinct()).select("path", "title", "description", "resource"), "path").where(
+        F.col("identity") == F.col("resource")[0]
+    ).select("path", "identity", "title", "description")
+
+
+@query(
+    f"""SELECT 'tables/' || CASE WHEN c_custkey % 10 = 0 THEN 'model' ELSE {SLUG.format("c_name")} END || '.md' AS path, 'model.' || c_custkey AS identity,
+        CASE WHEN c_custkey % 10 = 0 THEN 'dbt model' ELSE c_name END AS title, CASE WHEN c_custkey % 7 = 0 THEN '- source\\.' || c_nationkey ELSE 'No upstream dbt dependencies declared.' END AS sources
+        FROM customer WHERE c_custkey % 3 > 0"""
+)
+def imported_models(spark, sf):
+    """A manifest for each nation, as JSON text; every third node is no model."""
+    key = F.col("c_custkey")
+    node = F.struct(
+        F.when(key % 3 > 0, F.lit("model")).otherwise("test").alias("resource_type"), F.when(key % 10 > 0, F.col("c_name")).alias("name"),
+        F.struct(F.when(key % 7 == 0, F.array(F.concat(F.lit("source."), F.col("c_nationkey").cast("string")))).alias("nodes")).alias("depends_on"),
+    )
+    nodes = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("model."), key.cast("string")), node))).alias("nodes"))
+    made = X.model_concepts(X.manifest_nodes(nodes.select(F.to_json(F.struct("nodes")).alias("content"))), STAMP)
+    title = F.get_json_object(F.concat(F.lit("["), F.regexp_extract("content", "(?m)^title: (.*)$", 1), F.lit("]")), "$[0]")
+    return made.select("path", "identity", title.alias("title"), F.regexp_extract("content", r"(?m)^## Source Tables\n\n(.*)$", 1).alias("sources"))
+
+
+@query(
+    """SELECT 'apis/' || CASE WHEN s_suppkey % 4 = 0 THEN 'get-supplier-' || s_suppkey ELSE 'op-' || s_suppkey END || '.md' AS path, 'get /supplier/' || s_suppkey AS identity,
+        CASE WHEN s_suppkey % 4 = 0 THEN 'GET /supplier/' || s_suppkey ELSE s_name END AS title, 'All suppliers' AS description FROM supplier"""
+)
+def imported_routes(spark, sf):
+    """A specification for each nation, as JSON text; entries that are no HTTP method don't count."""
+    key = F.col("s_suppkey").cast("string")
+    operation = F.struct(F.when(F.col("s_suppkey") % 4 > 0, F.concat(F.lit("op-"), key)).alias("operationId"), F.when(F.col("s_suppkey") % 4 > 0, F.col("s_name")).alias("summary"))
+    item = F.struct(operation.alias("get"), F.struct(F.lit("x").alias("name")).alias("parameters"))
+    paths = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("/supplier/"), key), item))).alias("paths"))
+    spec = paths.select(F.to_json(F.struct(F.struct(F.lit("All suppliers").alias("description")).alias("info"), "paths")).alias("content"))
+    made = X.route_concepts(X.specification_routes(spec), STAMP)
+    parsed = parsing.parse(made).select("path", "title", "description")
+    return made.select("path", "identity").join(parsed, "path")
+
+
+@query(
+    f"""SELECT 'catalog/' || {SLUG.format("c_name")} || '.md' AS path, 'urn:c:' || c_custkey AS identity, 'imported,datahub,' || {SLUG.format("c_mktsegment")} AS tags FROM customer"""
+)
+def imported_datasets(spark, sf):
+    rows = table(spark, sf, "customer").select(
+        F.concat(F.lit("urn:c:"), F.col("c_custkey").cast("string")).alias("urn"), F.col("c_name").alias("name"), F.lit(None).cast("string").alias("description"), F.col("c_mktsegment").alias("platform")
+    )
+    made = X.dataset_concepts(rows, STAMP)
+    return made.select("path", "identity").join(parsing.parse(made).select("path", F.array_join("tags", ",").alias("tags")), "path")
+
+
+@query(
+    """SELECT CASE s_suppkey % 3 WHEN 0 THEN 'notes/_con.md' WHEN 1 THEN 'notes/a-b-' || s_suppkey || '.md' ELSE 'x/n-' || s_suppkey || '.md' END AS path,
+        CASE s_suppkey % 3 WHEN 0 THEN 'notes/con' WHEN 1 THEN './notes/a:b?' || s_suppkey || '.md' ELSE 'y/../x/n-' || s_suppkey || '.MD' END AS identity FROM supplier"""
+)
+def imported_notes(spark, sf):
+    number = F.col("s_suppkey").cast("string")
+    path = F.when(F.col("s_suppkey") % 3 == 0, "notes/con").when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("./notes/a:b?"), number, F.lit(".md"))).otherwise(
+        F.concat(F.lit("y/../x/n-"), number, F.lit(".MD"))
     )
-    return X.table_concepts(tables).select("path", "identity")
+    none = F.lit(None).cast("string")
+    sources = table(spark, sf, "supplier").select(path.alias("path"), none.alias("title"), F.col("s_name").alias("body"), F.lit(None).cast("array<string>").alias("tags"))
+    return X.note_concepts(sources, STAMP).select(F.regexp_replace("path", "b\\?", "b-").alias("path"), "identity")
+
+
+@query(
+    """WITH f AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'A/' ELSE 'a/' END || (p_partkey // 5) || '-' || p_partkey % 5 // 4 || '.md' AS path FROM part),
+        n AS (SELECT *, count(*) OVER (PARTITION BY lower(path)) AS same FROM f)
+        SELECT p_partkey, same > 1 AS renamed, count(*) OVER () AS files FROM n"""
+)
+def generated_paths(spark, sf):
+    """Paths that are the same but for case get different ones; no two of all are the same after that."""
+    key = F.col("p_partkey")
+    number = lambda c: F.floor(c).cast("long").cast("string")
+    path = F.concat(F.when(key % 5 == 0, "A/").otherwise("a/"), number(key / 5), F.lit("-"), number(key % 5 / 4), F.lit(".md"))
+    files = table(spark, sf, "part").select(path.alias("path"), F.lit("").alias("content"), F.concat(F.lit("part "), key.cast("string")).alias("identity"))
+    made = written(X.disambiguated(files), "paths")
+    total = made.agg(F.countDistinct(F.lower("path")).alias("files"))
+    renamed = F.col("path").rlike(r"-[0-9a-z]{7,}(?:-[0-9]+)?\.md$")
+    return made.select(F.regexp_extract("identity", "[0-9]+$", 0).cast("long").alias("p_partkey"), renamed.alias("renamed")).join(F.broadcast(total))  # one row
+
+
+# ---- a bundle in which every rule fires -------------------------------------------------------------
+
+
+def _defective(spark, sf) -> DataFrame:
+    """(path, content): a concept for each part, with a defect by its number modulo 40, and one that all link to."""
+    rows = table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("k"), (F.col("p_partkey") % 40).cast("int").alias("v"))
+    number = lambda c: F.format_string("p%06d", c)
+    v = F.col("v")
+    name = F.concat(F.when(v == 18, "parts/P").when(v == 3, "parts/./p").otherwise("parts/p"), F.format_string("%06d", "k"), F.lit(".md"))
+    kind = F.when(v == 19, "API").when(v == 20, "Metric").when(v == 21, "Runbook").otherwise("Note")
+    title = F.when(v == 7, "The same").otherwise(F.concat(F.lit("Part "), F.col("k").cast("string")))
+    lines = [
+        F.when(v == 15, F.lit("description: d\n")).otherwise(""),
+        F.when(v != 2, F.concat(F.lit("type: "), kind, F.lit("\n"))).otherwise(""),
+        F.when(v != 4, F.concat(F.lit('title: "'), title, F.lit('"\n'))).otherwise(""),
+        F.when(~v.isin(5, 15), F.lit("description: A part.\n")).otherwise(""),
+        F.when(v == 8, F.lit("resource: 'urn:same'\n")).when(v == 26, F.lit("resource: http://localhost/x\n")).when(v == 27, F.lit("resource: https://other.example/x\n"))
+        .when(v == 30, F.lit("resource: [https://OK.example:80/x, 'http://127.1/']\n")).otherwise(""),
+        F.when(v == 17, F.lit("tags: [good, Bad_Tag]\n")).when(v == 31, F.lit('tags:\n  - deprecated\n  - "x\\u0041"\n')).otherwise(""),
+        F.when(v == 16, F.lit("timestamp: 2024-13-01\n")).when(v == 28, F.lit("timestamp: 2020-01-01T00:00:00Z\n")).otherwise(""),
+        F.when(v == 29, F.lit("status: Deprecated\n")).when(v == 32, F.lit("replacement: new\nstatus: deprecated\n")).otherwise(""),
+    ]
+    front = F.when(v == 0, "").when(v == 1, F.lit("---\ntitle: [\n---\n")).otherwise(F.concat(F.lit("---\n"), *lines, F.lit("---\n")))
+    hub = "[hub](hub.md) is linked.\n"
+    body = (
+        F.when(v == 6, F.lit("```\ncode only\n```\n")).when(v == 10, F.lit("Alone.\n"))
+        .when(v == 9, F.concat(F.lit(hub + "[x](gone"), F.col("k").cast("string"), F.lit(".md)\n")))
+        .when(v == 13, F.concat(F.lit(hub + "[on]("), number(F.col("k") + 1), F.lit(".md)\n"))).when(v == 14, F.concat(F.lit(hub + "[back]("), number(F.col("k") - 1), F.lit(".md)\n")))
+        .when(v == 20, F.lit(hub + "## Misusage\n")).when(v == 21, F.lit(hub + "## Asymptomatic\n")).when(v == 22, F.lit(hub + "api_key = abcdefghij0123456789\n"))
+        .when(v == 23, F.lit(hub + "-----BEGIN RSA PRIVATE KEY-----\n")).when(v == 24, F.lit(hub + "Mail me@host.example.\n"))
+        .when(v == 25, F.lit(hub + "See (http://10.0.0.1/x).\n")).when(v == 33, F.lit(hub + "tokens: abcdefghij0123456789\ntoken: abcdefghij/0123456789\n"))
+        .when(v == 34, F.lit(hub + "[a](x(b(c))d.md) [![i](j.md)](p.md)\n")).otherwise(F.lit(hub))
+    )
+    own = rows.select(name.alias("path"), F.concat(front, body).alias("content"))
+    one = spark.range(1).select(F.lit("parts/hub.md").alias("path"), F.lit("---\ntype: Note\ntitle: Hub\ndescription: All link here.\n---\nHere.\n").alias("content"))
+    return own.union(one)
+
+
+DEFECTS = """f AS (SELECT p_partkey AS k, p_partkey % 40 AS v, CASE p_partkey % 40 WHEN 18 THEN 'parts/P' WHEN 3 THEN 'parts/./p' ELSE 'parts/p' END || printf('%06d', p_partkey::BIGINT) || '.md' AS path FROM part),
+    r(v, code) AS (VALUES (0, 'spec/missing-frontmatter'), (1, 'spec/invalid-frontmatter'), (2, 'spec/missing-type'), (3, 'spec/invalid-concept-path'),
+        (0, 'hygiene/missing-title'), (1, 'hygiene/missing-title'), (4, 'hygiene/missing-title'), (0, 'hygiene/missing-description'), (1, 'hygiene/missing-description'),
+        (5, 'hygiene/missing-description'), (0, 'agent/missing-summary'), (1, 'agent/missing-summary'), (5, 'agent/missing-summary'), (6, 'hygiene/empty-body'),
+        (7, 'hygiene/duplicate-title'), (8, 'hygiene/duplicate-resource'), (26, 'hygiene/duplicate-resource'), (27, 'hygiene/duplicate-resource'),
+        (30, 'hygiene/duplicate-resource'), (30, 'hygiene/duplicate-resource'), (9, 'graph/broken-internal-link'), (34, 'graph/broken-internal-link'), (34, 'graph/broken-internal-link'),
+        (6, 'graph/orphan-concept'), (10, 'graph/orphan-concept'), (13, 'graph/circular-reference'), (15, 'style/frontmatter-key-order'), (16, 'style/timestamp-format'),
+        (17, 'style/tag-format'), (31, 'style/tag-format'), (18, 'style/file-name-format'), (19, 'agent/missing-usage'), (20, 'agent/missing-usage'), (19, 'agent/missing-owner'),
+        (20, 'agent/missing-owner'), (21, 'agent/missing-owner'), (20, 'agent/metric-missing-source'), (21, 'agent/runbook-missing-symptoms'), (19, 'agent/api-missing-auth-notes'),
+        (22, 'security/suspicious-secret'), (22, 'security/token-looking-value'), (23, 'security/suspicious-secret'), (23, 'security/private-key'), (24, 'security/unredacted-email'),
+        (25, 'security/internal-url'), (26, 'security/private-url'), (30, 'security/private-url'), (26, 'security/non-allowlisted-resource'), (27, 'security/non-allowlisted-resource'),
+        (30, 'security/non-allowlisted-resource'), (28, 'agent/stale-timestamp'), (29, 'agent/deprecated-missing-replacement'), (31, 'agent/deprecated-missing-replacement')),
+    d AS (SELECT code, path FROM f JOIN r USING (v) UNION ALL SELECT 'graph/no-backlinks', path FROM f WHERE v NOT IN (6, 10, 13, 14)
+        UNION ALL SELECT 'graph/high-degree-hub', 'parts/hub.md' UNION ALL SELECT 'agent/missing-index', NULL UNION ALL SELECT 'spec/unsupported-version', NULL)"""
+
+
+def _defective_context(spark, sf) -> R.Context:
+    parsed = written(parsing.parse(_defective(spark, sf)), "parsed")
+    config = R.Config(version="9.9", allow_hosts=("ok.example",), now_ms=1719792000000)
+    return R.Context(parsed, written(parsing.resolved_links(parsed), "links"), config)
+
+
+@query(f"WITH {DEFECTS} SELECT code, path FROM d")
+def lint_defects(spark, sf):
+    """Every rule, over concepts of which each breaks some."""
+    return R.doctor(_defective_context(spark, sf))[0].select("code", "path")
+
+
+@query(f"WITH {DEFECTS} SELECT code, path FROM d WHERE code LIKE 'spec/%'")
+def validate_defects(spark, sf):
+    return R.lint(_defective_context(spark, sf), only=lambda code: code.startswith("spec/")).select("code", "path")
+
+
+@query(
+    """WITH f AS (SELECT p_partkey, p_partkey % 40 AS v, 'parts/p' || printf('%06d', p_partkey::BIGINT) AS id FROM part)
+        SELECT id, CASE v WHEN 6 THEN '' WHEN 10 THEN 'Alone.' WHEN 20 THEN 'hub is linked. Misusage' WHEN 24 THEN 'hub is linked. Mail me@host.example.' ELSE 'hub is linked.' END AS text
+        FROM f WHERE v IN (4, 6, 10, 20, 24)"""
+)
+def plain_texts(spark, sf):
+    parsed = parsing.parse(_defective(spark, sf)).where("id RLIKE '^parts/p[0-9]+$'")
+    number = F.regexp_extract("id", "[0-9]+$", 0).try_cast("long")
+    return parsed.where((number % 40).isin(4, 6, 10, 20, 24)).select("id", "text")
+
+
+@query(
+    """WITH f AS (SELECT p_partkey AS k, 'parts/p' || printf('%06d', p_partkey::BIGINT) || '.md' AS path, length('Part ' || p_partkey) AS n FROM part WHERE p_partkey % 40 = 9)
+        SELECT path, 'hub' AS label, 6 AS line, 1 AS "column", (50 + n)::INT AS "offset" FROM f UNION ALL SELECT path, 'x', 7, 1, (50 + n + 25)::INT FROM f"""
+)
+def link_places(spark, sf):
+    number = F.regexp_extract("path", "([0-9]+)", 1).try_cast("long")
+    rows = parsing.located(_defective(spark, sf).where(F.coalesce(number, F.lit(0)) % 40 == 9)).where("what = 'link'")
+    return rows.select("path", "label", "line", "column", "offset")
+
+
+@query(
+    """SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'Front matter keys must be strings.' WHEN 1 THEN 'Front matter numbers must be finite.' WHEN 2 THEN 'Front matter must be a YAML mapping.'
+            WHEN 3 THEN 'Front matter holds an invalid explicit YAML tag value.' WHEN 4 THEN 'Front matter keys must be unique.' WHEN 5 THEN 'Front matter must not hold recursive YAML aliases.' END AS invalid,
+        CASE c_custkey % 8 WHEN 6 THEN '{"type":"Note","name":"' || c_name || '","deep":{"list":[1,true,null,"a: b"],"key":' || c_custkey || '},"again":[1,true,null,"a: b"]}'
+            WHEN 7 THEN '{"type":"Note","text":"one two' || chr(92) || 'nthree","quoted":"' || c_name || '!","set":{"a":null},"tagged":{"!own":"v"}}' END AS json FROM customer"""
+)
+def front_matter_values(spark, sf):
+    """YAML of several kinds, good and refused, for each customer."""
+    kinds = [
+        F.lit("1: one\n"), F.lit("n: [.inf]\n"), F.lit("- a\n- b\n"), F.lit("n: !!int abc\n"), F.lit("a: 1\na: 2\n"), F.lit("a: &x [*x]\n"),
+        F.concat(F.lit("type: Note\nname: "), "c_name", F.lit("\ndeep:\n  list: &l [1, true, ~, 'a: b']\n  key: "), F.col("c_custkey").cast("string"), F.lit("  # number\nagain: *l\n")),
+        F.concat(F.lit('type: Note\ntext: >-\n  one\n  two\n\n  three\nquoted: "'), "c_name", F.lit('\\x21"\nset: !!set {a: null}\ntagged: !own v\n')),
+    ]
+    front = F.element_at(F.array(*kinds), (F.col("c_custkey") % 8 + 1).cast("int"))
+    files = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("path"), F.concat(F.lit("---\n"), front, F.lit("---\n")).alias("content"))
+    return parsing.parse(files).select(F.col("path").cast("long").alias("c_custkey"), "invalid", F.col("front_json").alias("json"))
+
+
+# ---- changes of concepts ------------------------------------------------------------------------------
+
+
+def _versions(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Suppliers as concepts before and after a change by their number modulo 6."""
+    rows, v = table(spark, sf, "supplier"), F.col("s_suppkey") % 6
+    path = F.concat(F.lit("s/"), F.format_string("%06d", F.col("s_suppkey").cast("long")), F.lit(".md")).alias("path")
+    none = F.lit("")
+    was = F.concat(F.lit("---\ntype: Note\ntags: [a, b]\nmeta: {x: 1, y: [1, 2]}\n---\n"), "s_name", F.lit("\n[l](000001.md)\n"))
+    now = F.concat(
+        F.lit("---\ntype: "), F.when(v == 1, "Other").otherwise("Note"), F.lit("\ntags: "), F.when(v == 2, "[a]").otherwise("[a, b]"),
+        F.lit("\nmeta: "), F.when(v == 3, "{x: 1, y: [2, 1]}").otherwise("{y: [1, 2], x: 1.0}"), F.when(v == 4, "\nnew: 1").otherwise(none), F.lit("\n---\n"), "s_name",
+        F.lit("\n[l]("), F.when(v == 5, "000002.md").otherwise("000001.md"), F.lit(")\n"),
+    )
+    return rows.select(path, was.alias("content")), rows.select(path, now.alias("content"))
+
+
+@query(
+    """WITH s AS (SELECT 's/' || printf('%06d', s_suppkey::BIGINT) AS id, s_suppkey % 6 AS v FROM supplier)
+        SELECT id, CASE v WHEN 1 THEN 'frontmatter.type changed' WHEN 2 THEN 'frontmatter.tags changed' WHEN 3 THEN 'frontmatter.meta changed' WHEN 4 THEN 'frontmatter.new changed'
+            ELSE 'body changed;link added: s/000002;link removed: s/000001' END AS changes, v = 5 AS body_changed, v = 2 AS tags_changed FROM s WHERE v > 0"""
+)
+def concept_changes(spark, sf):
+    before, after = (written(parsing.parse(f), "parsed") for f in _versions(spark, sf))
+    refs = [parsing.resolved_links(p).select("source", F.coalesce("target", "target_raw").alias("target")) for p in (before, after)]
+    found = D.concept_changes(before, after, *refs)
+    return found.select("id", F.array_join("changes", ";").alias("changes"), "body_changed", "tags_changed")
+
+
+@query(
+    f"""WITH {{changes}} SELECT change, id, old_id, nth::INT AS nth FROM (SELECT *, row_number() OVER (PARTITION BY change ORDER BY id) AS nth FROM c) WHERE nth <= 5"""
+)
+def diff_highlights(spark, sf):
+    return D.highlights(D.diff(*_snapshots(spark, sf), fields=["chars"]))
+
+
+@query(
+    f"""WITH {{names}} SELECT id, CASE folder WHEN 'region' THEN 'Table' ELSE 'Table' END AS type, title AS label, id || '.md' AS path FROM n
+        UNION ALL SELECT DISTINCT 'resource:db://' || folder || '/' || key, 'resource', 'db://' || folder || '/' || key, NULL FROM n
+        UNION ALL SELECT DISTINCT 'tag:' || t, 'tag', t, NULL FROM (SELECT unnest([folder, 'generated']) AS t FROM n)"""
+)
+def exported_nodes(spark, sf):
+    """Nodes of the graph, those included that only edges name."""
+    from loam.bundle import Bundle
+
+    bundle = Bundle(_generated(spark, sf), R.Config())
+    return X.cytoscape_nodes(X.graph_nodes(bundle.parsed), bundle.edges()).select("id", "type", "label", "path")
+
+
+@query(f"WITH {{names}} SELECT id || '.html' AS path, count(l) AS links FROM (SELECT n.id, p.id AS l FROM n LEFT JOIN n p ON n.parent = p.id) GROUP BY id")
+def site_links(spark, sf):
+    """Pages of a static site, with how many links they hold."""
+    from loam.bundle import Bundle
+
+    context = Bundle(_generated(spark, sf), R.Config()).context
+    return X.site_pages(context.concepts, context.edges).select("path", F.regexp_count("html", F.lit("<li>")).cast("long").alias("links"))
+
+
+@query("SELECT (SELECT count(*) FROM region) AS clusters, 0::BIGINT AS single")
+def isolated_clusters(spark, sf):
+    return G.isolated_clusters(G.clusters(*_places(spark, sf)))
 
 
 # ---- graphs over foreign keys ---------------------------------------------------------------------
@@ -477,6 +746,30 @@ def representative_cycles(spark, sf):
     return found.select("scc", F.array_join("cycle", " -> ").alias("cycle"))
 
 
+def _rings(spark, sf) -> DataFrame:
+    """Parts in tens: each links to the next, and of every other ten the last links to the first."""
+    part = table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("k"))
+    name = lambda c: F.format_string("p%06d", c)
+    ten, last = F.floor(F.col("k") / 10), F.col("k") % 10 == 9
+    end = F.when(~last, F.col("k") + 1).when(ten % 2 == 0, ten * 10)
+    return part.select(name(F.col("k")).alias("source"), name(end.cast("long")).alias("target"), end.alias("end")).where("end IS NOT NULL AND k > 9").drop("end")
+
+
+RINGS = "r AS (SELECT p_partkey AS k, p_partkey // 10 * 10 AS first FROM part WHERE p_partkey > 9 AND p_partkey // 10 % 2 = 0 AND p_partkey // 10 * 10 + 9 <= (SELECT max(p_partkey) FROM part))"
+
+
+@query(f"WITH {RINGS} SELECT printf('p%06d', k::BIGINT) AS node, printf('p%06d', first::BIGINT) AS scc FROM r")
+def ring_components(spark, sf):
+    return G.strong_components(_rings(spark, sf))
+
+
+@query(f"WITH {RINGS} SELECT printf('p%06d', first::BIGINT) AS scc, string_agg(printf('p%06d', k::BIGINT), ' -> ' ORDER BY k) || ' -> ' || printf('p%06d', first::BIGINT) AS cycle FROM r GROUP BY first")
+def ring_cycles(spark, sf):
+    rings = _rings(spark, sf)
+    found = G.representative_cycles(rings, G.strong_components(rings))
+    return found.select("scc", F.array_join("cycle", " -> ").alias("cycle"))
+
+
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (FROM orders WHERE o_custkey = c_custkey)")
 def missing_sources(spark, sf):
     sourced = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
@@ -596,3 +889,6 @@ def formatted_documents(spark, sf):
 def titles_from_paths(spark, sf):
     path = F.concat(F.lit("parts/"), F.regexp_replace("p_name", " ", "-"), F.lit(".md"))
     return table(spark, sf, "part").select("p_partkey", T.title_from_path(path).alias("title"))
+
+
+ORACLE_SQL.update({name: _filled(sql) for name, sql in ORACLE_SQL.items()})
