@@ -61,7 +61,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loam.llm.warc import archive_pages
 
-    found = archive_pages(table(spark, sf_dir, "pages"), min_revisit_bytes=0)
+    found = archive_pages(table(spark, sf_dir, "pages"), payloads=False, min_revisit_bytes=0)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
+import uuid
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -22,7 +24,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from loam.session import new_path
+from loam.session import discard, new_path, written
 
 READ_SCHEMA = (
     "record_type string, record_id string, target_uri string, date string, payload_digest string, "
@@ -39,7 +41,10 @@ HEADERS = {
     "payload_digest": "warc-payload-digest",
     "refers_to": "warc-refers-to",
 }
-_BLOCK = 1 << 20
+#: An extra field of a gzip member: its name, "sl" for skip lengths, and its length.
+_LENGTHS = b"sl\x08\0"
+#: Bytes that are read at once, and that are inflated at once while only headers are wanted.
+_BLOCK, _PIECE = 1 << 20, 1 << 12
 
 
 def base32_sha1(data: bytes) -> str:
@@ -59,61 +64,121 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 class _Stream:
-    """Bytes of an archive, plain or in gzip members, with reads that can discard what they pass."""
+    """Bytes of an archive, plain or in gzip members, with reads that can pass over what nobody wants.
 
-    def __init__(self, raw, packed: bool):
-        self.raw, self.packed, self.buffer = raw, packed, b""
-        self.inflater = zlib.decompressobj(31) if packed else None
-        self.rest = b""
+    A member that states its length (see :func:`_packed`) is left by a seek, without inflating the rest of it.
+    """
 
-    def _more(self) -> bytes:
+    def __init__(self, raw, packed: bool):
+        self.raw, self.packed = raw, packed
+        self.input, self.at = b"", 0  # as read; from ``at`` on not yet decoded
+        self.buffer, self.place = b"", 0  # decoded; from ``place`` on not yet given out
+        self.inflater = None
+        self.end = self.size = self.given = 0  # of the member: where it ends, how long it is unpacked, how much of that is out
+
+    def _fill(self, least: int = 1) -> bool:
+        while len(self.input) - self.at < least and (more := self.raw.read(_BLOCK)):
+            self.input, self.at = self.input[self.at :] + more, 0
+        return len(self.input) - self.at >= least
+
+    def _member(self) -> bool:
+        """Opens the next member."""
+        if not self._fill():
+            return False
+        start = self.raw.tell() - len(self.input) + self.at
+        self.end = self.size = 0
+        if self._fill(12) and self.input[self.at + 3] & 4:
+            extra = int.from_bytes(self.input[self.at + 10 : self.at + 12], "little")
+            if self._fill(12 + extra):
+                field = self.input[self.at + 12 : self.at + 12 + extra]
+                if field[:4] == _LENGTHS and len(field) == 12:
+                    packed, self.size = struct.unpack("<II", field[4:])
+                    self.end = start + packed
+        self.inflater, self.given = zlib.decompressobj(31), self.place - len(self.buffer)
+        return True
+
+    def _more(self, want: int = _PIECE) -> bytes:
         if not self.packed:
-            return self.raw.read(_BLOCK)
-        while True:
-            data = self.rest or self.raw.read(_BLOCK)
-            if not data:
-                return b""
-            out = self.inflater.decompress(data, _BLOCK)
-            self.rest = self.inflater.unconsumed_tail
-            if self.inflater.eof:  # the next member follows
-                self.rest = self.inflater.unused_data
-                self.inflater = zlib.decompressobj(31)
-            if out:
+            out = self.input[self.at :] if self._fill() else b""
+            self.at = len(self.input)
+            return out
+        while self.inflater is not None or self._member():
+            self._fill()
+            piece = self.input[self.at : self.at + max(_PIECE, min(want, _BLOCK))]
+            out = self.inflater.decompress(piece, max(_PIECE, want))
+            done = self.inflater.eof
+            self.at += len(piece) - len(self.inflater.unused_data if done else self.inflater.unconsumed_tail)
+            if done:
+                self.inflater = None
+            if out or not (piece or done):
                 return out
+        return b""
 
-    def line(self) -> bytes:
-        while (end := self.buffer.find(b"\n")) < 0:
-            more = self._more()
-            if not more:
-                out, self.buffer = self.buffer, b""
-                return out
-            self.buffer += more
-        out, self.buffer = self.buffer[: end + 1], self.buffer[end + 1 :]
+    def _extend(self, want: int = _PIECE) -> bool:
+        more = self._more(want)
+        self.buffer, self.place = self.buffer[self.place :] + more, 0
+        return bool(more)
+
+    def _give(self, end: int) -> bytes:
+        out = self.buffer[self.place : end]
+        self.place = end
+        self.given += len(out)
         return out
 
+    def line(self) -> bytes:
+        seen = self.place
+        while (end := self.buffer.find(b"\n", seen)) < 0:
+            have = len(self.buffer) - self.place
+            if not self._extend():
+                return self._give(len(self.buffer))
+            seen = have
+        return self._give(end + 1)
+
     def take(self, n: int) -> bytes:
-        parts, have = [self.buffer], len(self.buffer)
-        while have < n and (more := self._more()):
-            parts.append(more)
-            have += len(more)
-        data = b"".join(parts)
-        self.buffer = data[n:]
-        if have < n:
-            raise ValueError("an archive ends within a record")
-        return data[:n]
+        parts = [self._give(min(len(self.buffer), self.place + n))]
+        left = n - len(parts[0])
+        while left:
+            if not self._extend(left):
+                raise ValueError("an archive ends within a record")
+            parts.append(self._give(min(len(self.buffer), left)))
+            left -= len(parts[-1])
+        return b"".join(parts)
 
     def skip(self, n: int) -> None:
-        """Passes over n bytes without keeping them; a plain file seeks."""
-        passed = min(n, len(self.buffer))
-        self.buffer, n = self.buffer[passed:], n - passed
-        if n and not self.packed:
-            self.raw.seek(n, 1)
+        """Passes over n bytes without keeping them; by a seek where the place of their end is known."""
+        passed = len(self._give(min(len(self.buffer), self.place + n)))
+        n -= passed
+        if not n:
             return
+        if not self.packed:
+            return self._seek(self.raw.tell() - len(self.input) + self.at + n)
+        if self.inflater is not None and self.end and self.given + n <= self.size <= self.given + n + 4:  # nothing else in this member
+            self.inflater = None
+            return self._seek(self.end)
         while n:
-            more = self._more()
-            if not more:
+            if not self._extend(n):
                 raise ValueError("an archive ends within a record")
-            self.buffer, n = more[n:], max(0, n - len(more))
+            n -= len(self._give(min(len(self.buffer), n)))
+
+    def _seek(self, to: int) -> None:
+        start = self.raw.tell() - len(self.input)
+        self.buffer, self.place = b"", 0
+        if start <= to <= start + len(self.input):
+            self.at = to - start
+        else:
+            self.raw.seek(to)
+            self.input, self.at = b"", 0
+
+
+def _packed(data: bytes, level: int) -> bytes:
+    """A gzip member that states its packed and unpacked length in an extra field, where both fit 32 bits."""
+    packer = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = packer.compress(data) + packer.flush()
+    end = struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    if max(len(data), len(body)) >= (1 << 32) - 64:
+        return b"\x1f\x8b\x08\0\0\0\0\0\0\xff" + body + end
+    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x0c\0" + _LENGTHS
+    return head + struct.pack("<II", len(head) + 8 + len(body) + 8, len(data)) + body + end
 
 
 def _headers(stream: _Stream) -> dict[str, str]:
@@ -218,37 +283,55 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 @dataclass
-class Archive(WriterCommitMessage):
-    path: str
+class Archives(WriterCommitMessage):
+    paths: tuple[str, ...]
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Writes rows of READ_SCHEMA (without ``payload_bytes`` counting) as gzip members, a file a task.
+    """Writes rows of READ_SCHEMA (without ``payload_bytes`` counting) as gzip members.
 
-    A task writes under a name of its own attempt, which the commit renames, so what a lost
-    executor left behind is never read.
+    Each file begins with a ``warcinfo`` record, and a task begins a new file after ``fileBytes``, so
+    that no reader's task has more than that. A task writes under names of its own attempt, which
+    the commit renames, so what a lost executor left behind is never read.
     """
 
     def __init__(self, options: dict):
         self.path = options["path"]
         self.level = int(options.get("level", 4))
+        self.file_bytes = int(options.get("filebytes", 256 << 20))
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Archive:
-        import uuid
-
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Archives:
         fs, path = _filesystem(self.path)
         fs.create_dir(path, recursive=True)
-        name = f"{path}/{uuid.uuid4().hex}.warc.gz.part"
-        with fs.open_output_stream(name) as out:
-            for batch in iterator:
-                for row in batch.to_pylist():
-                    out.write(self.member(row))
-        return Archive(name)
+        names: list[str] = []
+        out, size = None, 0
+        for batch in iterator:
+            for row in batch.to_pylist():
+                if out is None or size > self.file_bytes:
+                    if out is not None:
+                        out.close()
+                    names.append(f"{path}/{uuid.uuid4().hex}.warc.gz.part")
+                    out, size = fs.open_output_stream(names[-1]), 0
+                    out.write(self._info(row["date"]))
+                member = self.member(row)
+                out.write(member)
+                size += len(member)
+        if out is not None:
+            out.close()
+        return Archives(tuple(names))
+
+    def _record(self, head: list[tuple[str, str | None]], block: bytes) -> bytes:
+        lines = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in [*head, ("Content-Length", str(len(block)))] if v is not None)
+        return _packed(VERSION + lines.encode("utf-8", "replace") + b"\r\n" + block + b"\r\n\r\n", self.level)
+
+    def _info(self, date: str | None) -> bytes:
+        head = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")]
+        return self._record(head, b"format: WARC File Format 1.0\r\n")
 
     def member(self, row: dict) -> bytes:
         payload = row["payload"] or b""
         http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-        block = http if row["record_type"] == "revisit" else http + payload
+        revisit = row["record_type"] == "revisit"
         head = [
             ("WARC-Type", row["record_type"]),
             ("WARC-Record-ID", row["record_id"]),
@@ -256,33 +339,27 @@ class WarcWriter(DataSourceArrowWriter):
             ("WARC-Date", row["date"]),
             ("WARC-Payload-Digest", f"sha1:{row['payload_digest'] or base32_sha1(payload)}"),
             ("WARC-Refers-To", row["refers_to"]),
-            ("WARC-Profile", REVISIT_PROFILE if row["record_type"] == "revisit" else None),
+            ("WARC-Profile", REVISIT_PROFILE if revisit else None),
             ("Content-Type", "application/http; msgtype=response"),
-            ("Content-Length", str(len(block))),
         ]
-        lines = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in head if v is not None)
-        packer = zlib.compressobj(self.level, zlib.DEFLATED, 31)
-        data = VERSION + lines.encode("utf-8", "replace") + b"\r\n" + block + b"\r\n\r\n"
-        return packer.compress(data) + packer.flush()
+        return self._record(head, http if revisit else http + payload)
 
     def commit(self, messages: list) -> None:
         fs, _ = _filesystem(self.path)
-        for m in messages:
-            if m is not None:
-                fs.move(m.path, m.path.removesuffix(".part"))
+        for path in [p for m in messages if m is not None for p in m.paths]:
+            fs.move(path, path.removesuffix(".part"))
 
     def abort(self, messages: list) -> None:
         fs, _ = _filesystem(self.path)
-        for m in messages:
-            if m is not None:
-                fs.delete_file(m.path)
+        for path in [p for m in messages if m is not None for p in m.paths]:
+            fs.delete_file(path)
 
 
 class WarcDataSource(DataSource):
     """``spark.read.format("warc").load(path)`` and ``df.write.format("warc").save(path)``.
 
     Read options: ``recordTypes`` (a comma-separated list), ``payloads`` (false: headers only),
-    ``splitBytes`` (archives below it share a partition). Write option: ``level`` of gzip.
+    ``splitBytes`` (archives below it share a partition). Write options: ``level`` of gzip, ``fileBytes``.
     """
 
     @classmethod
@@ -300,6 +377,7 @@ class WarcDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the source known, and lets this session hand it predicates, which Spark does not by default."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
 
@@ -315,14 +393,13 @@ def write_pages(
 ) -> None:
     """Writes a record for each row: a response, or a revisit of the largest id with the same payload.
 
-    Payloads are texts in UTF-8, null ones empty; those shorter than ``min_revisit_bytes`` are
-    all responses. The record id carries the row's id; a null id is smaller than any other. Rows
-    that repeat the largest id of a payload are all responses.
+    Payloads are texts in UTF-8, null ones empty, of any length; those shorter than
+    ``min_revisit_bytes`` are all responses. The record id carries the row's id; a null id is
+    smaller than any other. Rows that repeat the largest id of a payload are all responses. An
+    empty table writes no record, and other columns are ignored.
 
     Only digests are grouped; the groups of two and more, joined back on the digest, decide.
     """
-    from loam.session import written
-
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("target_uri"), payload.alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
@@ -333,13 +410,13 @@ def write_pages(
         .where("n > 1")
         .select("sha1", "keep")
     )
-    groups = written(groups, "payloads").withColumn("shared", F.lit(True))
+    groups = written(groups, "payloads")
     revisit = F.coalesce("shared", F.lit(False)) & ~F.col("id").eqNullSafe(F.col("keep"))
 
     def record_id(column: str):
         return F.concat(F.lit("<urn:loam:page:"), F.coalesce(F.col(column).cast("string"), F.lit("")), F.lit(">"))
 
-    out = rows.join(groups, "sha1", "left").select(
+    out = rows.join(groups.withColumn("shared", F.lit(True)), "sha1", "left").select(
         F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"),
         record_id("id").alias("record_id"),
         "target_uri",
@@ -351,16 +428,22 @@ def write_pages(
     )
     register(pages.sparkSession)
     out.write.format("warc").mode("append").save(path)
+    discard(groups)
 
 
-def read_pages(spark: SparkSession, path: str, id_col: str = "page_id", payloads: bool = True, record_types: Sequence[str] = ()) -> DataFrame:
-    """(id_col, target_uri, record_type, payload_bytes, payload_digest, refers_to, payload) of an archive folder."""
+def read_pages(
+    spark: SparkSession, path: str, id_col: str = "page_id", payloads: bool = True, record_types: Sequence[str] = ("response", "revisit")
+) -> DataFrame:
+    """(id_col, target_uri, record_type, payload_bytes, payload_digest, refers_to, payload) of an archive folder.
+
+    Records of other types are passed over by a predicate on their headers, and with ``payloads`` off all
+    payloads are. Ids are null where a record's id is not of this module's form; an empty folder
+    gives no rows.
+    """
     register(spark)
-    reader = spark.read.format("warc").option("payloads", str(payloads).lower())
-    if record_types:
-        reader = reader.option("recordTypes", ",".join(record_types))
+    rows = spark.read.format("warc").option("payloads", str(payloads).lower()).load(path).where(F.col("record_type").isin(*record_types))
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '<urn:loam:page:(-?[0-9]+)>', 1) AS bigint)")
-    return reader.load(path).select(
+    return rows.select(
         number("record_id").alias(id_col),
         "target_uri",
         "record_type",
@@ -371,9 +454,9 @@ def read_pages(spark: SparkSession, path: str, id_col: str = "page_id", payloads
     )
 
 
-def archive_pages(pages: DataFrame, **options) -> DataFrame:
-    """Writes ``pages`` to a new archive in the shared folder and reads it back."""
+def archive_pages(pages: DataFrame, payloads: bool = True, **options) -> DataFrame:
+    """Writes ``pages`` to a new archive in the shared folder and reads it back; cases as in :func:`write_pages`."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_pages(pages, path, **options)
-    return read_pages(spark, path)
+    return read_pages(spark, path, payloads=payloads)
