@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from loam.llm.langid import held_out
-from loam.session import small_batches
+from loam.session import discard, small_batches, written
 
 #: Bytes that are compressed at once.
 PIECE = 512
@@ -62,6 +62,14 @@ def _difference(good: bytes, bad: bytes, level: int):
     return difference
 
 
+def _spread(data: bytes, most: int) -> bytes:
+    """The text, or pieces of it at even distances where it is longer than ``most``."""
+    if len(data) <= most:
+        return data
+    pieces, taken = -(-len(data) // PIECE), max(1, most // PIECE)
+    return b"".join(data[i * pieces // taken * PIECE :][:PIECE] for i in range(taken))
+
+
 def _dictionary(texts: list[bytes], size: int) -> bytes:
     """A zstandard dictionary; the texts themselves where they are too few to train one."""
     try:
@@ -93,15 +101,17 @@ def train(
     text_col: str = "text",
     label_col: str = "quality",
     per_label: int = 3000,
+    sample_bytes: int = 16_384,
     dictionary_bytes: int = 112_640,
     level: int = 3,
 ) -> Model:
     """A model from labels outside fold 0 of 5.
 
     Of each label about ``per_label`` rows are taken, by a hash of the id: this sample alone meets
-    the texts, as a join side of bounded size, and reaches the driver. Two thirds of it build the
-    dictionaries, a third fits the calibration, weighted back to the shares that the labels have
-    among all learnable rows. Null labels teach nothing; with one label only, every score is
+    the texts, as a join side of bounded size. Two thirds of it build the dictionaries; the
+    driver gets ``sample_bytes`` of each text at most, in pieces from all over it. The other third is
+    scored whole, by tasks, and fits the calibration, weighted back to the shares that the labels
+    have among all learnable rows. Null labels teach nothing; with one label only, every score is
     that label's smoothed share.
     """
     known = labels.where(~held_out(id_col, 5, 0) & F.col(label_col).isin(0, 1)).select(
@@ -115,17 +125,36 @@ def train(
     rates = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_label / n))])
     sample = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20) < rates[F.col("label")])
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = texts.join(F.broadcast(sample), "id").select("label", "text", F.xxhash64("id", F.lit(1)).alias("deal")).toArrow()
-    found = found.sort_by([("deal", "ascending"), ("label", "ascending")])
-    rows = [(y, t.encode("utf-8", "surrogatepass")) for y, t in zip(found["label"].to_pylist(), found["text"].to_pylist())]
-    build, fit = [r for i, r in enumerate(rows) if i % 3], rows[::3]
-    good, bad = ([t for y, t in build if y == k and t] for k in (1, 0))
-    if not good or not bad or len({y for y, _ in fit}) < 2:
+    deal = F.xxhash64("id", F.lit(1))
+    found = written(texts.join(F.broadcast(sample), "id").select("label", "text", deal.alias("deal")), "sample")
+
+    def pieces(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            cut = [_spread(t.as_py().encode("utf-8", "surrogatepass"), sample_bytes) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.binary()), batch.column(2)], ["label", "data", "deal"])
+
+    build = found.where(F.pmod("deal", F.lit(3)) > 0).mapInArrow(pieces, "label int, data binary, deal long").toArrow()
+    build = build.sort_by([("deal", "ascending"), ("label", "ascending")])
+    rows = list(zip(build["label"].to_pylist(), build["data"].to_pylist()))
+    good, bad = ([t for y, t in rows if y == k and t] for k in (1, 0))
+    if not good or not bad:
         return Model(b"", b"", 0.0, prior, level)
     model = Model(_dictionary(good, dictionary_bytes), _dictionary(bad, dictionary_bytes), 0.0, prior, level)
-    difference = _difference(model.good, model.bad, level)
-    x = np.array([difference(t.decode("utf-8", "surrogatepass")) for _, t in fit])
-    y = np.array([label for label, _ in fit], float)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def differences(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        difference = _difference(own.good, own.bad, own.level)
+        for batch in it:
+            found = pa.array([difference(t.as_py()) for t in batch.column(1)], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["label", "x"])
+
+    fit = found.where(F.pmod("deal", F.lit(3)) == 0).mapInArrow(differences, "label int, x double").toArrow()
+    fit = fit.sort_by([("x", "ascending"), ("label", "ascending")])
+    discard(found)
+    x, y = fit["x"].to_numpy(), fit["label"].to_numpy().astype(float)
+    if len(set(y)) < 2:
+        return Model(b"", b"", 0.0, prior, level)
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     slope, intercept = _logistic(x, y, weight)
     return Model(model.good, model.bad, slope, intercept, level)
@@ -139,7 +168,10 @@ def score_quality(
     ``score`` is the calibrated probability of label 1, from the whole text alone: the difference
     of its compressed sizes under the two dictionaries, over its length. ``predicted`` is 1 from
     ``threshold`` on. A null text is an empty one, and empty texts have the score of no difference.
-    Rows that repeat an id are scored each. An empty table gives an empty result.
+    Long texts are compressed whole, in pieces. Rows that repeat an id are scored each; ids that
+    ``labels`` repeats teach each of their labels. Null ids are in the fold of an empty text. An empty
+    table of documents gives an empty result, and one of labels the score 0.5; columns other than those
+    named are ignored in both.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, **options))
