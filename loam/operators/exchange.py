@@ -238,8 +238,9 @@ def sarif_run(diagnostics: DataFrame, tool: str = "loam") -> DataFrame:
             F.lit('},"results":['),
         ).alias("line")
     )
-    rows = sarif_results(diagnostics).withColumn("nth", F.monotonically_increasing_id() + 1)
-    lines = rows.select("nth", F.concat(F.when(F.col("nth") > 1, ",").otherwise(""), "result").alias("line"))
+    rows = written(sarif_results(diagnostics).withColumn("nth", F.monotonically_increasing_id() + 1), "sarif")
+    first = F.broadcast(rows.agg(F.min("nth").alias("first")))  # one row
+    lines = rows.join(first).select("nth", F.concat(F.when(F.col("nth") > F.col("first"), ",").otherwise(""), "result").alias("line"))
     end = diagnostics.sparkSession.range(1).select(F.lit((1 << 63) - 1).alias("nth"), F.lit("]}]}").alias("line"))
     return head.select(F.lit(0).cast("long").alias("nth"), "line").union(lines).union(end)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loam.functions import text as T
@@ -36,9 +39,15 @@ _KEY_LINES = r"(?m)^([A-Za-z_][A-Za-z0-9_-]*):"
 _PLAIN_LENGTH = 2000
 
 
+def _if_any(text: Column, marks: Sequence[str], made: Column, otherwise: Column) -> Column:
+    """``made`` for texts with one of the marks: most have none, and a search for them is far cheaper than a pattern."""
+    found = reduce(lambda x, y: x | y, [F.contains(text, F.lit(m)) for m in marks])
+    return F.when(found, made).otherwise(otherwise)
+
+
 def masked(body: Column) -> Column:
     """The body without fenced code and code spans, which hold no headings and no links."""
-    return F.regexp_replace(F.regexp_replace(body, _FENCE, ""), _CODE, " ")
+    return _if_any(body, ("`", "~~~"), F.regexp_replace(F.regexp_replace(body, _FENCE, ""), _CODE, " "), body)
 
 
 def scalar(front: Column, key: str) -> Column:
@@ -60,9 +69,15 @@ def sequence(front: Column, key: str) -> Column:
 def plain_text(body: Column) -> Column:
     """The words of a body: no fenced code, no images, links and headings as their text, no marks, single spaces."""
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, _FENCE, " "), _IMAGE, ""), _LINK, "$1")
-    titles = F.regexp_replace(bare, _HEADING, "$2")
-    marks = F.regexp_replace(F.regexp_replace(titles, "`+", ""), "[*_~>-]", " ")
-    return T.trimmed(F.regexp_replace(marks, rf"[{T.SPACE}]+", " "))
+    titles = F.regexp_replace(F.regexp_replace(bare, _HEADING, "$2"), "`+", "")
+    text = _if_any(body, ("```", "~~~", "](", "#", "`"), titles, body)
+    return T.trimmed(F.regexp_replace(F.translate(text, "*_~>-", "     "), rf"[{T.SPACE}]+", " "))
+
+
+def is_empty(body: Column) -> Column:
+    """Whether a body has no plain text; told by a letter or digit where nothing could hide it."""
+    plain = ~(F.contains(body, F.lit("```")) | F.contains(body, F.lit("~~~")) | F.contains(body, F.lit("!["))) & body.rlike("[A-Za-z0-9]")
+    return F.when(plain, F.lit(False)).otherwise(plain_text(body) == "")
 
 
 def parse(files: DataFrame) -> DataFrame:
@@ -88,7 +103,7 @@ def parse(files: DataFrame) -> DataFrame:
     by_line = by_line & (F.length("front") > 0) & (F.size(F.array_distinct(named)) == F.size(named))
     rows = rows.withColumns({"plain": masked(F.col("body")), "by_line": F.col("front").isNull() | by_line})
     scan = (F.regexp_count("plain", F.lit(r"\]\(")) != F.regexp_count("plain", F.lit(_EASY))) | F.contains("plain", F.lit("\\"))
-    rows = rows.withColumn("scan", F.contains("plain", F.lit("](")) & scan)
+    rows = rows.withColumn("scan", _if_any(F.col("plain"), ("](",), scan, F.lit(False)))
     rows = rows.withColumns(
         {"read": read_front_matter(F.when(~F.col("by_line"), F.col("front"))), "scanned": scanned_links(F.when(F.col("scan"), F.col("body")))}
     )
@@ -120,7 +135,7 @@ def parse(files: DataFrame) -> DataFrame:
         F.col("read.rest").alias("front_rest"),
         F.when(F.col("by_line"), F.coalesce(named, F.array().cast("array<string>"))).otherwise(F.col("read.keys")).alias("keys"),
         "body",
-        plain_text(F.col("body")).alias("text"),
+        is_empty(F.col("body")).alias("empty"),
         headings(F.col("plain")).alias("headings"),
         F.when(F.col("scan"), F.col("scanned")).otherwise(links(F.col("plain"))).alias("links"),
         T.content_hash(F.col("content")).alias("content_hash"),
@@ -141,22 +156,24 @@ def headings(plain: Column) -> Column:
     marks = F.regexp_extract_all(plain, F.lit(_HEADING), F.lit(1))
     titles = F.regexp_extract_all(plain, F.lit(_HEADING), F.lit(2))
     both = F.arrays_zip(marks.alias("m"), titles.alias("t"))
-    return F.transform(
+    made = F.transform(
         both,
         lambda h: F.struct(F.length(h["m"]).alias("level"), F.trim(h["t"]).alias("title"), T.slugify(h["t"]).alias("slug")),
     )
+    return _if_any(plain, ("#",), made, F.from_json(F.lit("[]"), "array<struct<level: int, title: string, slug: string>>"))
 
 
 def links(plain: Column) -> Column:
     labels = F.regexp_extract_all(plain, F.lit(_LINK), F.lit(1))
     targets = F.regexp_extract_all(plain, F.lit(_LINK), F.lit(2))
     both = F.arrays_zip(labels.alias("l"), targets.alias("t"))
-    return F.transform(
+    made = F.transform(
         both,
         lambda x: F.struct(
             F.nullif(T.trimmed(x["l"]), F.lit("")).alias("text"), F.regexp_replace(x["t"], r"^<(.*)>$", "$1").alias("target")
         ),
     )
+    return _if_any(plain, ("](",), made, F.from_json(F.lit("[]"), "array<struct<text: string, target: string>>"))
 
 
 def resolved_links(parsed: DataFrame) -> DataFrame:

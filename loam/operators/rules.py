@@ -147,8 +147,10 @@ def _typed(*types: str) -> Column:
     return F.lower("type").isin(*types)
 
 
-def _scanned() -> Column:
-    return F.concat_ws("\n", "front_json", "front", "body")
+def _scanned(concepts: DataFrame) -> DataFrame:
+    """With the text that secrets are looked for in, and whether it holds a private key or a token, each tried once."""
+    rows = concepts.withColumn("scanned", F.concat_ws("\n", "front_json", "front", "body"))
+    return rows.withColumns({"private": T.has_private_key(F.col("scanned")), "token": T.has_token(F.col("scanned"))})
 
 
 def _shared(rows: DataFrame, message: str) -> DataFrame:
@@ -168,7 +170,7 @@ def _internal_urls(c: Context) -> DataFrame:
     """Concepts with a URL of a private host outside their resources."""
     plain = F.regexp_replace(F.coalesce("front", F.lit("")), r"(?m)^resource:.*(?:\n[ ]*-.*)*", "")
     text = F.concat_ws("\n", F.coalesce("front_rest", F.when(F.col("invalid").isNull(), plain)), "body")
-    rows = c.concepts.select("path", "id", F.array_distinct(F.regexp_extract_all(text, F.lit(_URL), F.lit(1))).alias("urls"))
+    rows = c.concepts.where(F.contains(F.lower(text), F.lit("http"))).select("path", "id", F.array_distinct(F.regexp_extract_all(text, F.lit(_URL), F.lit(1))).alias("urls"))
     return rows.where(F.size("urls") > 0).where(has_private_url("urls"))
 
 
@@ -225,7 +227,7 @@ ROW_RULES: dict[str, tuple[Callable[[Config], Column], str]] = {
     "spec/invalid-concept-path": (_bad_path, "The path is no normal relative path of a Markdown file."),
     "hygiene/missing-title": (lambda c: T.blank(F.col("title")), "The concept has no title."),
     "hygiene/missing-description": (lambda c: T.blank(F.col("description")), "The concept has no description."),
-    "hygiene/empty-body": (lambda c: F.col("text") == "", "The body is empty."),
+    "hygiene/empty-body": (lambda c: F.col("empty"), "The body is empty."),
     "style/frontmatter-key-order": (_key_order, "The front matter's keys are out of order."),
     "style/timestamp-format": (
         lambda c: F.col("timestamp").isNotNull() & T.iso_utc_ms(F.col("timestamp")).isNull(),
@@ -243,10 +245,10 @@ ROW_RULES: dict[str, tuple[Callable[[Config], Column], str]] = {
         lambda c: _typed("api") & ~_has_heading(r"(?<![a-z0-9_])(?:auth(?:entication|orization|n|z)?|oauth2?)(?![a-z0-9_])"),
         "There is no heading on authentication.",
     ),
-    "security/suspicious-secret": (lambda c: T.has_private_key(_scanned()) | T.has_token(_scanned()), "The text seems to hold a secret."),
-    "security/private-key": (lambda c: T.has_private_key(_scanned()), "The text holds a private key."),
-    "security/token-looking-value": (lambda c: T.has_token(_scanned()), "The text holds what looks like a token."),
-    "security/unredacted-email": (lambda c: T.has_email(_scanned()), "The text holds an e-mail address."),
+    "security/suspicious-secret": (lambda c: F.col("private") | F.col("token"), "The text seems to hold a secret."),
+    "security/private-key": (lambda c: F.col("private"), "The text holds a private key."),
+    "security/token-looking-value": (lambda c: F.col("token"), "The text holds what looks like a token."),
+    "security/unredacted-email": (lambda c: T.has_email(F.col("scanned")), "The text holds an e-mail address."),
     "agent/stale-timestamp": (_stale, "The time stamp is old."),
     "agent/deprecated-missing-replacement": (_deprecated, "Deprecated without a replacement."),
 }
@@ -302,7 +304,7 @@ def _row_diagnostics(c: Context, only: Callable[[str], bool]) -> DataFrame | Non
     if not hits:
         return None
     broken = F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("d")
-    return c.concepts.select(broken, "path", F.col("id").alias("concept_id")).select("d.*", "path", "concept_id")
+    return _scanned(c.concepts).select(broken, "path", F.col("id").alias("concept_id")).select("d.*", "path", "concept_id")
 
 
 #: What a contained rule may return, and the code of a diagnostic that tells of its failure.

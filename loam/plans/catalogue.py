@@ -194,7 +194,8 @@ def _document_context(spark, sf) -> R.Context:
     front = F.concat(F.lit("---\ntype: Document\ntags: ["), "lang", F.lit("]\n---\n"))
     files = docs.select(path.alias("path"), F.concat(front, F.coalesce("text", F.lit(""))).alias("content"))
     parsed = written(parsing.parse(files), "parsed")
-    return R.Context(parsed, parsing.resolved_links(parsed), R.Config(rules={"graph/orphan-concept": "off", "graph/circular-reference": "off"}))
+    links = written(parsing.resolved_links(parsed), "links")
+    return R.Context(parsed, links, R.Config(rules={"graph/orphan-concept": "off", "graph/circular-reference": "off"}))
 
 
 DIAGNOSTICS = r"""f AS (SELECT source || '/' || doc_id || '.md' AS path, source, text FROM documents),
@@ -529,7 +530,7 @@ def validate_defects(spark, sf):
         FROM f WHERE v IN (4, 6, 10, 20, 24)"""
 )
 def plain_texts(spark, sf):
-    parsed = parsing.parse(_defective(spark, sf)).where("id RLIKE '^parts/p[0-9]+$'")
+    parsed = parsing.parse(_defective(spark, sf)).where("id RLIKE '^parts/p[0-9]+$'").withColumn("text", parsing.plain_text(F.col("body")))
     number = F.regexp_extract("id", "[0-9]+$", 0).try_cast("long")
     return parsed.where((number % 40).isin(4, 6, 10, 20, 24)).select("id", "text")
 
