@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from loam.functions.text import HUB_DEGREE, path_dir
 from loam.operators.components import connected_components
-from loam.session import written
+from loam.session import discard, written
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -58,54 +58,68 @@ def isolated_clusters(cluster: DataFrame) -> DataFrame:
     return sizes.agg(F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("n") == 1).alias("single"))
 
 
+def _peeled(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) whose source has an edge in and whose target has one out."""
+    into, out = edges.select(F.col("b").alias("a")).distinct(), edges.select(F.col("a").alias("b")).distinct()
+    return edges.join(into, "a", "left_semi").join(out, "b", "left_semi").select("a", "b")
+
+
+def _least_reaching(edges: DataFrame) -> DataFrame:
+    """(node, least), written: the least node from which each node of the edges (a, b) is reached.
+
+    Labels go along the edges and then jump: what reaches a node's label reaches the node, so long
+    paths take about the logarithm of their length.
+    """
+    label = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("least", F.col("node"))
+    label = written(label, "labels")
+    while True:
+        sent = edges.join(label.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("least").alias("new"))
+        best = written(label.join(sent, "node", "left").select("node", F.col("least").alias("old"), F.least("least", "new").alias("least")), "labels")
+        far = best.select(F.col("node").alias("least"), F.col("least").alias("jump"))
+        now = written(best.join(far, "least", "left").select("node", "old", F.least("least", "jump").alias("least")), "labels")
+        discard(label, best)
+        label = now.select("node", "least")
+        if not now.where("least < old").limit(1).count():
+            return label
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, scc) of the nodes that lie on a cycle; ``scc`` is the smallest node of the component.
 
-    Nodes without an edge in or out are peeled; the least label spreads along the edges; and from each
-    node that kept its own label, the nodes of that label that reach back to it are one component.
-    They leave, and the rest goes round again.
+    Nodes without an edge in or out are peeled, two layers a round. Of the rest each gets the
+    least node that reaches it as its colour, and within its colour the least that it reaches: where
+    both are the same, the node is in the component of that one. These leave, and the rest goes
+    round again.
     """
     left = written(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).distinct(), "scc")
     done = written(left.select(F.col("a").alias("node"), F.col("a").alias("scc")).limit(0), "scc")
     while True:
         before = left.count()
-        while before:  # peel
-            inner = left.select(F.col("a").alias("n")).intersect(left.select(F.col("b").alias("n")))
-            left = left.join(inner.withColumnRenamed("n", "a"), "a", "left_semi").join(inner.withColumnRenamed("n", "b"), "b", "left_semi")
-            left = written(left.select("a", "b"), "scc")
+        while before:
+            last, left = left, written(_peeled(_peeled(left)), "scc")
+            discard(last)
             now = left.count()
             if now == before:
                 break
             before = now
         if not before:
             return done
-        label = written(left.select(F.col("a").alias("node")).distinct().withColumn("least", F.col("node")), "scc")
-        while True:  # the least node that reaches each one
-            sent = left.join(label.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), F.col("least").alias("new"))
-            best = label.join(sent.groupBy("node").agg(F.min("new").alias("new")), "node", "left")
-            label = written(best.select("node", "least", F.least("least", "new").alias("new")), "scc")
-            moved = label.where("new < least").limit(1).count()
-            label = label.select("node", F.col("new").alias("least"))
-            if not moved:
-                break
-        colour = label.select(F.col("node").alias("a"), F.col("least").alias("ca"))
-        same = left.join(colour, "a").join(label.select(F.col("node").alias("b"), F.col("least").alias("cb")), "b").where("ca = cb")
-        same = written(same.select("a", "b", F.col("ca").alias("scc")), "scc")
-        found = written(label.where("node = least").select("node", F.col("least").alias("scc")), "scc")
-        while True:  # backwards from the roots, within the label
-            back = same.join(found.select(F.col("node").alias("b"), "scc"), ["b", "scc"]).select(F.col("a").alias("node"), "scc").distinct()
-            more = written(back.join(found, ["node", "scc"], "left_anti"), "scc")
-            if not more.limit(1).count():
-                break
-            found = written(found.union(more), "scc")
-        inside = same.join(found.select(F.col("node").alias("a"), "scc"), ["a", "scc"]).join(
-            found.select(F.col("node").alias("b"), "scc"), ["b", "scc"]
-        )
-        cyclic = inside.select("scc").distinct()
+        colour = _least_reaching(left)
+        ends = [colour.select(F.col("node").alias(end), F.col("least").alias(f"c{end}")) for end in "ab"]
+        same = left.join(ends[0], "a").join(ends[1], "b").where("ca = cb")
+        same = written(same.select(F.col("b").alias("a"), F.col("a").alias("b"), "ca"), "scc")  # turned round
+        back = _least_reaching(same.select("a", "b"))
+        found = back.join(colour.withColumnRenamed("least", "colour"), "node").where("least = colour").select("node", F.col("least").alias("scc"))
+        found = written(found, "scc")
+        inside = [found.select(F.col("node").alias(end), F.col("scc").alias(f"s{end}")) for end in "ab"]
+        cyclic = same.join(inside[0], "a").join(inside[1], "b").where("sa = sb").select(F.col("sa").alias("scc")).distinct()
         done = written(done.union(found.join(cyclic, "scc", "left_semi").select("node", "scc")), "scc")
+        roots = colour.where("node = least").select("node").union(found.select("node")).distinct()
+        last = left
         for end in "ab":
-            left = left.join(found.select(F.col("node").alias(end)), end, "left_anti")
+            left = left.join(roots.select(F.col("node").alias(end)), end, "left_anti")
         left = written(left.select("a", "b"), "scc")
+        discard(last, same)
 
 
 def representative_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
