@@ -10,16 +10,27 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loam.operators import diff as D, formatting, graph as G, packing, parsing, rules as R, search as S
+from loam.operators import diff as D, exchange as X, formatting, graph as G, packing, parsing, rules as R, search as S
 from loam.session import written
-from loam.sources.bundle import read_bundle
+from loam.sources.bundle import EXCLUDED, read_bundle
+
+
+#: Names of a bundle's configuration; the first that is there counts.
+CONFIG_NAMES = ("loam.config.json", "loam.json", ".loam.json")
+
+
+def find_config(root: str) -> str | None:
+    return next((p for name in CONFIG_NAMES if os.path.isfile(p := os.path.join(root, name))), None)
 
 
 def load_config(path: str) -> R.Config:
-    """A configuration from a JSON file: rules, presets, version, allowHosts, keyOrder, hubDegree, staleDays."""
+    """A configuration from a JSON file.
+
+    Its settings are rules, presets, version, allowHosts, keyOrder, hubDegree, staleDays, include, exclude and failOn.
+    """
     with open(path, encoding="utf-8") as f:
         raw: Mapping = json.load(f)
-    names = {"allowHosts": "allow_hosts", "keyOrder": "key_order", "hubDegree": "hub_degree", "staleDays": "stale_days", "nowMs": "now_ms"}
+    names = {"allowHosts": "allow_hosts", "keyOrder": "key_order", "hubDegree": "hub_degree", "staleDays": "stale_days", "nowMs": "now_ms", "failOn": "fail_on"}
     known = set(R.Config.__dataclass_fields__)
     fields = {names.get(k, k): tuple(v) if isinstance(v, list) else v for k, v in raw.items()}
     if unknown := set(fields) - known:
@@ -36,8 +47,12 @@ class Bundle:
 
     @classmethod
     def load(cls, spark: SparkSession, root: str, config: R.Config | None = None, **options) -> Bundle:
-        path = os.path.join(root, "loam.json")
-        return cls(read_bundle(spark, root, **options), config or (load_config(path) if os.path.exists(path) else R.Config()))
+        """The bundle in a folder, as its configuration's globs choose; options go to the source."""
+        if config is None:
+            path = None if "://" in root else find_config(root)
+            config = load_config(path) if path else R.Config()
+        globs = {"include": ",".join(config.include), "exclude": ",".join([EXCLUDED, *config.exclude])}
+        return cls(read_bundle(spark, root, **{**globs, **options}), config)
 
     @cached_property
     def parsed(self) -> DataFrame:
@@ -52,7 +67,18 @@ class Bundle:
         return R.Context(self.parsed, self.links, self.config)
 
     def stats(self) -> DataFrame:
-        return parsing.bundle_stats(self.parsed, self.links)
+        return parsing.all_stats(self.parsed, self.links)
+
+    def failed(self) -> bool:
+        """Whether lint finds anything as severe as the configuration's ``fail_on``."""
+        return bool(R.exceeds(self.lint(), self.config.fails_on).first()["exceeds"])
+
+    def nodes(self) -> DataFrame:
+        return X.graph_nodes(self.parsed)
+
+    def places(self) -> DataFrame:
+        """Line, column and offset of every heading and link."""
+        return parsing.located(self.files)
 
     def validate(self) -> DataFrame:
         """The diagnostics of the ``spec/`` rules; nothing else is built."""
@@ -104,9 +130,18 @@ class Bundle:
         fields = ["title", "description", "type", "resource", "tags", "timestamp", "body"]
         return D.diff(before.context.concepts, self.context.concepts, fields)
 
+    def changes(self, before: Bundle) -> DataFrame:
+        """What differs in the concepts of both bundles, key by key and link by link."""
+        refs = [b.links.select("source", F.coalesce("target", "target_raw").alias("target")) for b in (before, self)]
+        return D.concept_changes(before.context.concepts, self.context.concepts, *refs)
+
+    def readiness_change(self, before: Bundle) -> DataFrame:
+        return D.readiness_change(before.doctor()[1], self.doctor()[1])
+
     def formatted(self) -> DataFrame:
         return formatting.formatted(self.files, self.config.key_order)
 
-    def manifest(self, buckets_hex: int = 0) -> DataFrame:
-        with_id = packing.packable(self.files).join(self.parsed.select("path", "id"), "path", "left")
-        return packing.manifest_hash(with_id, buckets_hex)
+    def manifest(self, files: DataFrame | None = None) -> DataFrame:
+        """One row (files, hash) over what a package may hold: the bundle's files, or ``files`` (path, content) of all kinds."""
+        with_id = packing.packable(self.files if files is None else files).join(self.parsed.select("path", "id"), "path", "left")
+        return packing.manifest(with_id)

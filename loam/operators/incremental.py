@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, functions as F
 
 from loam.functions.text import content_hash
@@ -11,16 +15,38 @@ from loam.operators.parsing import parse
 PARSER_VERSION = "2"
 
 
-def stale_files(files: DataFrame, kept: DataFrame) -> DataFrame:
+def parser_key(settings: Mapping | None = None) -> str:
+    """What a kept row depends on beside its file: this parser's version, and settings such as the bundle's version."""
+    text = json.dumps(dict(settings or {}), sort_keys=True, default=str)
+    return PARSER_VERSION if text == "{}" else f"{PARSER_VERSION}:{hashlib.sha256(text.encode()).hexdigest()[:16]}"
+
+
+def cache_states(files: DataFrame, kept: DataFrame, settings: Mapping | None = None) -> DataFrame:
+    """(path, state) of (path, content) against ``kept``, a parsed table with a ``parser`` column.
+
+    States are hit, new (no row of the path), content and parser (a row of another content, or by another
+    parser or settings), and gone for kept paths without a file.
+    """
+    hashed = files.select("path", content_hash(F.coalesce("content", F.lit(""))).alias("now"))
+    both = hashed.join(kept.select("path", F.col("content_hash").alias("was"), "parser"), "path", "full_outer")
+    state = (
+        F.when(F.col("now").isNull(), "gone").when(F.col("was").isNull(), "new").when(F.col("was") != F.col("now"), "content")
+        .when(F.col("parser") != parser_key(settings), "parser").otherwise("hit")
+    )
+    return both.select("path", state.alias("state"))
+
+
+def stale_files(files: DataFrame, kept: DataFrame, settings: Mapping | None = None) -> DataFrame:
     """The (path, content) rows that ``kept``, a parsed table with a ``parser`` column, has no current row for."""
     hashed = files.withColumn("content_hash", content_hash(F.coalesce("content", F.lit(""))))
-    current = kept.where(F.col("parser") == PARSER_VERSION).select("path", "content_hash")
+    current = kept.where(F.col("parser") == parser_key(settings)).select("path", "content_hash")
     return hashed.join(current, ["path", "content_hash"], "left_anti").select("path", "content")
 
 
-def refreshed(files: DataFrame, kept: DataFrame) -> DataFrame:
-    """The parsed table of ``files``: rows of ``kept`` where path and content are the same, others parsed."""
+def refreshed(files: DataFrame, kept: DataFrame, settings: Mapping | None = None) -> DataFrame:
+    """The parsed table of ``files``: rows of ``kept`` where path, content, parser and settings are the same, others parsed."""
+    key = parser_key(settings)
     hashed = files.select("path", content_hash(F.coalesce("content", F.lit(""))).alias("content_hash"))
-    same = kept.where(F.col("parser") == PARSER_VERSION).join(hashed, ["path", "content_hash"], "left_semi")
-    made = parse(stale_files(files, kept)).withColumn("parser", F.lit(PARSER_VERSION))
+    same = kept.where(F.col("parser") == key).join(hashed, ["path", "content_hash"], "left_semi")
+    made = parse(stale_files(files, kept, settings)).withColumn("parser", F.lit(key))
     return same.select(*made.columns).unionByName(made)

@@ -57,3 +57,24 @@ def manifest_hash(files: DataFrame, buckets_hex: int = 0, header: str = HEADER)
     return lines.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("files"), F.sha2(F.concat(F.lit(header), F.array_join(sorted_lines, "")), 256).alias("hash")
     )
+
+
+def manifest(files: DataFrame, most: int = 50_000, header: str = HEADER) -> DataFrame:
+    """One row (files, hash) over any number of files.
+
+    Up to ``most`` files it is :func:`manifest_hash` as it is. Beyond that the files are folded by digits of
+    their paths' hashes, as many as keep a bucket under ``most``, and then the buckets' own lines, up to 4096
+    at a time, until one is left; so no task folds more than its share.
+    """
+    n, digits = files.count(), 0
+    while n >> (4 * digits) > most:
+        digits += 1
+    found = manifest_hash(files, digits, header)
+    while digits:
+        digits = max(0, digits - 3)
+        nul = F.char(F.lit(0))
+        line = F.struct("bucket", F.concat("bucket", nul, F.col("files").cast("string"), nul, "hash", F.lit("\n")).alias("line"))
+        folded = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "")
+        up = found.groupBy(F.substring("bucket", 1, digits).alias("up"))
+        found = up.agg(F.sum("files").alias("files"), F.sha2(F.concat(F.lit(header), folded), 256).alias("hash")).withColumnRenamed("up", "bucket")
+    return found.select("files", "hash")

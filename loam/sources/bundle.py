@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
@@ -28,6 +28,10 @@ def glob_pattern(glob: str) -> re.Pattern:
     return re.compile(out + r"\Z", re.DOTALL)
 
 
+#: Folders that are never part of a bundle, as globs.
+EXCLUDED = ".git/**,node_modules/**"
+
+
 class Paths(InputPartition):
     def __init__(self, paths: tuple[str, ...]):
         super().__init__(paths)
@@ -40,7 +44,7 @@ class BundleReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = options["path"].removeprefix("file://")
         self.include = [glob_pattern(g) for g in options.get("include", "**/*.md").split(",")]
-        excludes = [g for g in options.get("exclude", ".git/**,node_modules/**").split(",") if g]
+        excludes = [g for g in options.get("exclude", EXCLUDED).split(",") if g]
         self.exclude = [glob_pattern(g) for g in excludes]
         self.per_task = int(options.get("filespertask", 1000))
 
@@ -91,5 +95,33 @@ class BundleDataSource(DataSource):
 
 
 def read_bundle(spark: SparkSession, root: str, **options) -> DataFrame:
+    """(path, content) of a bundle; a tree on a local disk by the source above, any other by :func:`read_tree`."""
+    if "://" in root and not root.startswith("file://"):
+        return read_tree(spark, root, **{k: v for k, v in options.items() if k in ("include", "exclude")})
     spark.dataSource.register(BundleDataSource)
     return spark.read.format("bundle").options(**options).load(root)
+
+
+def read_tree(spark: SparkSession, root: str, include: str = "**/*.md", exclude: str = EXCLUDED) -> DataFrame:
+    """(path, content) of a tree on any file system that Spark reads, listed and read by the cluster.
+
+    Paths are relative to ``root``. Spark passes over files whose names begin with a dot or an underscore.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    base = at.getFileSystem(conf).makeQualified(at).toString().rstrip("/") + "/"
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    path = F.substring("path", F.lit(len(base) + 1), F.length("path"))
+    some = lambda globs: "|".join(glob_pattern(g).pattern.replace(r"\Z", r"\z") for g in globs.split(",") if g)
+    kept = rows.select(path.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    kept = kept.where(F.col("path").rlike(rf"\A(?:{some(include)})"))
+    return kept.where(~F.col("path").rlike(rf"\A(?:{some(exclude)})")) if some(exclude) else kept
+
+
+def comparison_root(current: str, other: str) -> str:
+    """The folder of a bundle to compare with, which must lie beside the current one; ValueError elsewhere."""
+    parent = os.path.realpath(os.path.dirname(os.path.realpath(current)))
+    found = os.path.realpath(os.path.join(parent, other))
+    if os.path.commonpath([parent, found]) != parent:
+        raise ValueError(f"not beside the bundle: {other!r}")
+    return found

@@ -138,3 +138,45 @@ def test_readiness_and_severities(spark):
 def test_isolated_clusters(spark):
     rows = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c")], "id string, cluster string")
     assert tuple(G.isolated_clusters(rows).first()) == (2, 1)
+
+
+def test_large_manifests_are_folded(spark):
+    rows = spark.range(300).select(F.format_string("d/%04d.md", "id").alias("path"), F.col("id").cast("string").alias("content"), F.col("id").cast("string").alias("id"))
+    one = P.manifest(rows).first()
+    assert tuple(one) == tuple(P.manifest_hash(rows).select("files", "hash").first())
+    folded = P.manifest(rows, most=10).first()
+    assert folded["files"] == 300 and folded["hash"] == P.manifest(rows.repartition(7), most=10).first()["hash"] != one["hash"]
+    changed = rows.withColumn("content", F.when(F.col("id") == "7", "x").otherwise(F.col("content")))
+    assert P.manifest(changed, most=10).first()["hash"] != folded["hash"]
+
+
+def test_cache_states(spark):
+    from loam.operators import incremental as I
+
+    files = spark.createDataFrame([("a.md", "1"), ("b.md", "2"), ("c.md", "3")], "path string, content string")
+    kept = I.refreshed(files, parsing.parse(files.limit(0)).withColumn("parser", F.lit("")), {"version": "0.1"})
+    later = spark.createDataFrame([("a.md", "1"), ("b.md", "x"), ("d.md", "")], "path string, content string")
+    states = lambda **s: {r["path"]: r["state"] for r in I.cache_states(later, kept, s).collect()}
+    assert states(version="0.1") == {"a.md": "hit", "b.md": "content", "c.md": "gone", "d.md": "new"}
+    assert states(version="0.2")["a.md"] == "parser"
+    assert I.stale_files(later, kept, {"version": "0.1"}).count() == 2
+
+
+def test_trees_and_configurations(spark, tmp_path):
+    from loam.bundle import Bundle
+    from loam.sources.bundle import comparison_root, read_bundle, read_tree
+
+    root = tmp_path / "one"
+    for name, text in {"a.md": "A", "x/b c.md": "\u00e9", "x/skip/c.md": "C", "node_modules/d.md": "D", "e.txt": "E"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    (root / "loam.json").write_text(json.dumps({"exclude": ["x/skip/**"], "presets": ["strict"], "failOn": "info"}))
+    rows = lambda df: sorted((r["path"], r["content"]) for r in df.collect())
+    assert rows(read_tree(spark, f"file://{root}")) == rows(read_bundle(spark, str(root))) == [("a.md", "A"), ("x/b c.md", "\u00e9"), ("x/skip/c.md", "C")]
+    bundle = Bundle.load(spark, str(root))
+    assert rows(bundle.files) == [("a.md", "A"), ("x/b c.md", "\u00e9")] and bundle.config.fails_on == "info" and bundle.failed()
+    assert bundle.stats().first().asDict() == {"files": 2, "concepts": 2, "indexes": 0, "logs": 0, "diagnostics": 0, "links": 0, "broken_links": 0}
+    assert bundle.manifest(read_bundle(spark, str(root), include="**/*")).first()["files"] == 5
+    assert comparison_root(str(root), "two") == str(tmp_path / "two")
+    with pytest.raises(ValueError):
+        comparison_root(str(root), "../elsewhere")
