@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loam.llm.common import ascii_lower, bitmap_of, probed, text_or_empty
+from loam.llm.common import Bitmap, ascii_lower, bitmap_of, fresh, probed, text_or_empty
 from loam.session import written
 
 
@@ -13,16 +13,16 @@ def _keys(text: Column, prefix_chars: int) -> tuple[Column, Column]:
     return F.octet_length(text), F.xxhash64(ascii_lower(F.substring(text, 1, prefix_chars)))
 
 
-def survivors(docs: DataFrame, text_col: str = "text", prefix_chars: int = 256) -> DataFrame:
-    """The bitmap, written, of rows that share both length and prefix with another row."""
+def survivors(docs: DataFrame, text_col: str = "text", prefix_chars: int = 256) -> Bitmap | None:
+    """The set of rows that share both length and prefix with another row; None if it is too large to broadcast."""
     text = text_or_empty(text_col)
     length, prefix = _keys(text, prefix_chars)
     by_length = docs.groupBy(length.alias("length")).count().where("count > 1")
-    same_length = probed(docs.select(text.alias("text")), bitmap_of(by_length, "length"), F.octet_length("text"))
+    same_length = probed(docs.select(text.alias("text")), bitmap_of(by_length.select("length")), "candidate", F.octet_length("text"))
     length, prefix = _keys(F.col("text"), prefix_chars)
-    keyed = same_length.where("__candidate").select(length.alias("length"), prefix.alias("prefix"))
+    keyed = same_length.where("candidate").select(length.alias("length"), prefix.alias("prefix"))
     by_prefix = keyed.groupBy("length", "prefix").count().where("count > 1")
-    return written(bitmap_of(by_prefix, "length", "prefix"), "survivors")
+    return bitmap_of(by_prefix.select("length", "prefix"))
 
 
 def refined_hashes(
@@ -32,18 +32,19 @@ def refined_hashes(
 
     Rows are grouped by byte length, rows of shared lengths by a hash of their first characters,
     and only rows that still share both get a SHA-256 of the whole normalised text. Survivors
-    reach the next scan as a bitmap of fixed size, so nothing but counts is shuffled; a slot shared
-    by chance costs one needless hash and changes no result. ``digest_all`` hashes the other
-    rows too, for callers that report digests.
+    reach the next scan as a bitmap sized by their number, so nothing but counts is shuffled; a slot
+    shared by chance costs one needless hash and changes no result, and where survivors are too
+    many to broadcast, every row is hashed. ``digest_all`` hashes the other rows too, for callers
+    that report digests.
     """
     bitmap = survivors(docs, text_col, prefix_chars)
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     length, prefix = _keys(F.col("text"), prefix_chars)
-    found = probed(rows.withColumns({"length": length, "prefix": prefix}), bitmap, F.col("length"), F.col("prefix"))
+    found = probed(rows.withColumns({"length": length, "prefix": prefix}), bitmap, "candidate", F.col("length"), F.col("prefix"))
     digest = F.sha2(ascii_lower(F.col("text")), 256)
     if not digest_all:
-        digest = F.when(F.col("__candidate"), digest)
-    hashed = found.select("id", "length", "prefix", F.col("__candidate").alias("candidate"), digest.alias("digest"))
+        digest = F.when(F.col("candidate"), digest)
+    hashed = found.select("id", "length", "prefix", "candidate", digest.alias("digest"))
     return written(hashed, "exact")
 
 
@@ -65,8 +66,9 @@ def exact_dedup(
 
     Texts are equal when identical after lower-casing A-Z; a null text is empty. The row with the
     largest id stays. Rows that repeat both id and text are one document: all of them are counted
-    in ``group_size`` and carry the same ``kept``. A null id is smaller than any other. An empty
-    table gives an empty result; columns other than the two named are ignored.
+    in ``group_size`` and carry the same ``kept``. A null id is smaller than any other. Texts of any
+    length are hashed whole. An empty table gives an empty result; columns other than the two
+    named are ignored.
 
     Groups are counted with map-side sums, and joined back on the digest alone, so that a group
     of any size is dealt over many tasks as a skewed join.
@@ -88,16 +90,15 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows as in :func:`exact_dedup`; of rows that repeat both id and text, one stays. Texts whose length
     or prefix nobody shares pass straight through; only the others meet their groups in a join.
     """
-    bitmap = survivors(docs, text_col, prefix_chars)
+    candidate, digest, id_, n = fresh(docs, "candidate", "digest", "id_of_group", "n")
     text = text_or_empty(text_col)
-    found = probed(docs, bitmap, *_keys(text, prefix_chars))
-    alone = found.where(~F.col("__candidate")).select(*docs.columns)
-    shared = found.where("__candidate").withColumn("__digest", F.sha2(ascii_lower(text), 256))
-    counts = shared.groupBy("__digest", F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
-    groups = written(
-        counts.groupBy("__digest").agg(F.max(F.struct("__id", "__n")).alias("__last")).select("__digest", "__last.*"), "groups"
-    )
-    stays = shared.join(groups, "__digest").where(F.col(id_col).eqNullSafe(F.col("__id")))
-    if groups.where("__n > 1").limit(1).count():
-        stays = stays.dropDuplicates(["__digest"])
+    found = probed(docs, survivors(docs, text_col, prefix_chars), candidate, *_keys(text, prefix_chars))
+    alone = found.where(~F.col(candidate)).select(*docs.columns)
+    shared = found.where(candidate).withColumn(digest, F.sha2(ascii_lower(text), 256))
+    counts = shared.groupBy(digest, F.col(id_col).alias(id_)).agg(F.count(F.lit(1)).alias(n))
+    last = F.max(F.struct(id_, n)).alias("last")
+    groups = written(counts.groupBy(digest).agg(last).select(digest, "last.*"), "groups")
+    stays = shared.join(groups, digest).where(F.col(id_col).eqNullSafe(F.col(id_)))
+    if groups.where(F.col(n) > 1).limit(1).count():
+        stays = stays.dropDuplicates([digest])
     return alone.union(stays.select(*docs.columns))
