@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loam.llm.common import n_words, text_or_empty
+from loam.llm.common import fresh, n_words, text_or_empty
 from loam.session import written
 
 #: Bits of a document's hash: 15 hex digits.
@@ -129,8 +129,9 @@ def mix(
     and the result depends on the ids alone, so reruns agree.
 
     A null source is a source of its own and comes last; a null id hashes as an empty text; rows
-    that repeat an id are taken or left together. Sources without words have target 0. An empty
-    table gives an empty result.
+    that repeat an id are taken or left together. Texts of any length are counted whole. Sources
+    without words have target 0. An empty table gives an empty result, and columns other than
+    the three named are ignored.
     """
     sizes = _sizes(docs, id_col, source_col, text_col)
     plan = _thresholds(sizes, weights, share, cap, bits)
@@ -161,9 +162,10 @@ def mixed(
     of that table allows it.
     """
     plan = _thresholds(_sizes(docs, id_col, source_col, text_col), weights, share, cap, bits)
-    plan = plan.select(*[F.col(c).alias(f"__{c}") for c in plan.columns])
+    own = dict(zip([*plan.columns, "h", "taken", "copy"], fresh(docs, *plan.columns, "h", "taken", "copy")))
+    plan = plan.select(*[F.col(c).alias(own[c]) for c in plan.columns])
     name = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    named = docs.withColumns({"__h": _hash(id_col), "__unnamed": F.col(source_col).isNull(), "__name": name})
-    copies = _copies(*[F.col(f"__{c}") for c in ("h", "copies", "edge", "shift", "nearer")])
-    taken = named.join(plan, ["__unnamed", "__name"]).withColumn("__taken", copies).where("__taken > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__taken")))).select(*docs.columns)
+    named = docs.withColumns({own["h"]: _hash(id_col), own["unnamed"]: F.col(source_col).isNull(), own["name"]: name})
+    copies = _copies(*[F.col(own[c]) for c in ("h", "copies", "edge", "shift", "nearer")])
+    taken = named.join(plan, [own["unnamed"], own["name"]]).withColumn(own["taken"], copies).where(F.col(own["taken"]) > 0)
+    return taken.withColumn(own["copy"], F.explode(F.sequence(F.lit(1).cast("long"), F.col(own["taken"])))).select(*docs.columns)
