@@ -233,7 +233,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     The model learns from rows outside fold 2 of 4 and sees a text only. ``score`` is the calibrated
     probability of the predicted label. A text that is null or has no letter is ``und`` with score
     0, as is every text when nothing is labelled. Whole texts are read, in pieces if long. Rows
-    that repeat an id are predicted each. An empty table gives an empty result.
+    that repeat an id are predicted each, and labels that fit equally well go to the first in order.
+    An empty table gives an empty result, and columns other than the three named are ignored.
     """
     out = held_out(id_col, 4, 2)
     learn = docs.where(~out).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
@@ -255,7 +256,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     model = train(learn, **options)
     shared, least = docs.sparkSession.sparkContext.broadcast(model), min(min_score, 1.2 / max(1, len(model.labels)))
-    at = docs.columns.index(text_col)
+    at = [c.lower() for c in docs.columns].index(text_col.lower())
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, own = _letters(), shared.value
