@@ -563,6 +563,157 @@ def front_matter_values(spark, sf):
     return parsing.parse(files).select(F.col("path").cast("long").alias("c_custkey"), "invalid", F.col("front_json").alias("json"))
 
 
+# ---- functions over rows: hosts, paths, texts ---------------------------------------------------------
+
+
+def _sql_form(key: str, kinds: list[tuple], column: int) -> str:
+    """SQL that picks one of some literals by a key."""
+    values = [k[column] for k in kinds]
+    texts = ["NULL" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" for v in values]
+    return f"[{', '.join(texts)}][{key} % {len(values)} + 1]"
+
+
+def _form(key: str, kinds: list[tuple], column: int):
+    """The same as a column."""
+    return F.element_at(F.array(*[F.lit(k[column]) for k in kinds]), (F.col(key) % len(kinds) + 1).cast("int"))
+
+
+#: URL, its host, and whether that is private.
+HOSTS = [
+    ("http://127.1/", "127.0.0.1", True), ("HTTP://EXAMPLE.com:80/x", "example.com", False), ("http://[::127.0.0.1]:8/", "::7f00:1", True),
+    ("http://0x7f.1", "127.0.0.1", True), ("db://Some_Host/x", "some_host", False), ("http://1.2.3.4.5/", None, False), ("https://user@h..", "h", False),
+    ("mailto:a@b", None, False), ("http://[::ffff:10.0.0.1]", "::ffff:a00:1", True), ("http://a%2eb/", "a.b", False), ("http://local/", "local", True),
+    ("http://x.localhost", "x.localhost", True), ("http://[fd00::1]/", "fd00::1", True), ("http://172.32.0.1", "172.32.0.1", False),
+]
+
+
+@query(f"SELECT c_custkey, {_sql_form('c_custkey', HOSTS, 1)} AS host, {_sql_form('c_custkey', HOSTS, 2)} AS private FROM customer")
+def host_forms(spark, sf):
+    rows = table(spark, sf, "customer").select("c_custkey", resource_host(_form("c_custkey", HOSTS, 0)).alias("host"))
+    return rows.withColumn("private", is_private_host("host"))
+
+
+#: Linking file, target, and what it is resolved to.
+TARGETS = [
+    ("a/b.md", "./dir/", "a/dir/"), ("a/b.md", "?q", None), ("b.md", "../x", None), ("a/b.md", "../x.md#y", "x"), ("a/b.md", "/c.md", "c"), ("a.md", ".", None),
+    ("a.md", "//x", None), ("a.md", "x%20y.md", "x y"), ("a.md", "#t", None), ("a/b/c.md", ".././d%2Fe.md?q#r", "a/d/e"), ("a.md", "x%ff.md", "x%ff"), ("a.md", "b\\(c\\).md", "b(c)"),
+]
+
+
+@query(f"SELECT p_partkey, {_sql_form('p_partkey', TARGETS, 2)} AS target FROM part")
+def resolved_targets(spark, sf):
+    from loam.functions.paths import resolve_target
+
+    return table(spark, sf, "part").select("p_partkey", resolve_target(_form("p_partkey", TARGETS, 0), _form("p_partkey", TARGETS, 1)).alias("target"))
+
+
+#: A file, and whether a package leaves it out.
+PACKED = [
+    (".env", True), (".env.example", False), ("a/.ENV.local", True), ("x/_netrc", True), (".docker/config.json", True), ("docker/config.json", False), ("x.tfstate", True),
+    ("x.tfstate.backup", True), ("credentials", False), ("a.key", False), (".ssh/known", True), ("b.P12", True), ("notes.md", False), ("a/.kube/config", True),
+]
+
+
+@query(f"SELECT path FROM (SELECT 'd' || s_suppkey || '/' || {_sql_form('s_suppkey', PACKED, 0)} AS path, {_sql_form('s_suppkey', PACKED, 1)} AS out FROM supplier) WHERE NOT out")
+def packable_files(spark, sf):
+    path = F.concat(F.lit("d"), F.col("s_suppkey").cast("string"), F.lit("/"), _form("s_suppkey", PACKED, 0))
+    return P.packable(table(spark, sf, "supplier").select(path.alias("path"), F.col("s_name").alias("content"))).select("path")
+
+
+@query(
+    r"""SELECT p_partkey, regexp_replace(p_name || ' [' || p_size || ']*', '([!-/:-@\[-`{-~])', '\\\1', 'g') AS escaped, '`` a`' || p_partkey || ' ``' AS span,
+        '../' || (p_partkey % 3) || '/x.md' AS relative, p_name || '?[31m' AS safe FROM part"""
+)
+def written_texts(spark, sf):
+    """Texts as Markdown, as code, as a link from one folder to another, and for a terminal."""
+    from loam.functions.paths import relative_target
+
+    key = F.col("p_partkey").cast("string")
+    return table(spark, sf, "part").select(
+        "p_partkey",
+        T.escape_markdown_text(F.concat("p_name", F.lit(" ["), F.col("p_size").cast("string"), F.lit("]*"))).alias("escaped"),
+        T.spaced_code_span(F.concat(F.lit("a`"), key)).alias("span"),
+        relative_target(F.concat(F.lit("a"), key, F.lit("/y.md")), F.concat((F.col("p_partkey") % 3).cast("string"), F.lit("/x.md"))).alias("relative"),
+        T.terminal_safe(F.concat("p_name", F.lit("\x1b[31m"))).alias("safe"),
+    )
+
+
+@query(
+    """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00.000Z' WHEN 1 THEN '2024-02-30' ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') END AS stamp FROM orders"""
+)
+def normalized_timestamps(spark, sf):
+    day, key = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderkey") % 3
+    raw = F.when(key == 0, day).when(key == 1, "2024-02-30").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return table(spark, sf, "orders").select("o_orderkey", T.normalized_timestamp(raw).alias("stamp"))
+
+
+@query(
+    """SELECT s_suppkey, '---' || chr(10) || 'type: Note' || chr(10) || 'title: ' || s_name || chr(10) || 'tags:' || chr(10) || '  - b' || chr(10) || '  - a' || chr(10) || 'timestamp: 2024-03-01T00:00:00.000Z' || chr(10)
+        || 'extra: 1' || chr(10) || 'zeta: 2' || chr(10) || '---' || chr(10) || chr(10) || s_name || chr(10) AS formatted FROM supplier"""
+)
+def formatted_front(spark, sf):
+    """Keys in their order with their lines, whole time stamps, and a tidy body."""
+    from loam.operators.formatting import formatted
+
+    front = F.concat(F.lit("---\nzeta: 2\ntags:\n  - b\n  - a\ntitle: "), "s_name", F.lit("\nextra: 1\ntimestamp: 2024-03-01\ntype: Note\n---\n\n\n"), "s_name", F.lit("  \n\n\n"))
+    files = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), front.alias("content"))
+    return formatted(files).select(F.col("path").cast("long").alias("s_suppkey"), "formatted")
+
+
+@query(f"WITH {DEFECTS} SELECT DISTINCT code FROM d")
+def used_rules(spark, sf):
+    return R.used_rules(R.doctor(_defective_context(spark, sf))[0]).select("code")
+
+
+@query(
+    f"""WITH {DEFECTS}, l AS (SELECT *, CASE WHEN code LIKE 'spec/%' OR code IN ('security/suspicious-secret', 'security/private-key', 'security/non-allowlisted-resource') THEN 'error'
+            WHEN code IN ('graph/orphan-concept', 'graph/no-backlinks', 'graph/high-degree-hub', 'agent/missing-summary', 'agent/missing-usage', 'agent/missing-owner', 'agent/api-missing-auth-notes') THEN 'advice'
+            ELSE 'warning' END AS severity FROM d)
+        SELECT severity, count(*) AS diagnostics FROM l GROUP BY severity"""
+)
+def severity_groups(spark, sf):
+    return R.by_severity(R.doctor(_defective_context(spark, sf))[0]).select("severity", "diagnostics")
+
+
+@query("SELECT 0 AS before_score, 100 - 8 AS after_score, 92 AS delta, true AS changed FROM (SELECT count(*) AS n FROM supplier) WHERE n > 0")
+def readiness_changes(spark, sf):
+    """From suppliers as files without front matter to whole concepts in a ring; what is left is that there is no index."""
+    rows = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("k"), "s_name")
+    last = rows.agg(F.max("k").alias("last"))
+    name = lambda c: F.format_string("s%06d", c)
+    after = rows.join(F.broadcast(last)).select(  # one row
+        F.concat(name(F.col("k")), F.lit(".md")).alias("path"),
+        F.concat(F.lit("---\ntype: Note\ntitle: "), "s_name", F.lit("\ndescription: A supplier.\n---\nSee [x]("), name((F.col("k") + 1) % (F.col("last") + 1)), F.lit(".md).\n")).alias("content"),
+    )
+    before = after.select("path", F.lit("no front matter").alias("content"))
+    scores = []
+    for files in (before, after):
+        parsed = written(parsing.parse(files), "parsed")
+        scores.append(R.doctor(R.Context(parsed, written(parsing.resolved_links(parsed), "links"), R.Config(rules={"graph/circular-reference": "off"})))[1])
+    return D.readiness_change(*scores).select(*[F.col(c).cast("int").alias(c) for c in ("before_score", "after_score", "delta")], "changed")
+
+
+@query(
+    """SELECT 'c' || c_custkey || '.md' AS path, CASE c_custkey % 4 WHEN 0 THEN 'hit' WHEN 1 THEN 'content' WHEN 2 THEN 'new' ELSE 'gone' END AS state FROM customer"""
+)
+def cache_states(spark, sf):
+    """Customers as files, of which a quarter each is as it was, changed, new and gone since they were parsed."""
+    from loam.operators import incremental as I
+
+    key = F.col("c_custkey") % 4
+    rows = table(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".md")).alias("path"), F.col("c_name").alias("content"), key.alias("v"))
+    kept = parsing.parse(rows.where("v <> 2")).withColumn("parser", F.lit(I.parser_key({"version": "0.1"})))
+    now = rows.where("v <> 3").select("path", F.when(F.col("v") == 1, "changed").otherwise(F.col("content")).alias("content"))
+    return I.cache_states(now, kept, {"version": "0.1"})
+
+
+@query(f"WITH {{names}} SELECT 'out' AS direction, parent AS id FROM n WHERE id = 'nation/000001' UNION SELECT 'in', id FROM n WHERE parent = 'nation/000001' UNION SELECT 'out', unnest(['resource:db://nation/1', 'tag:nation', 'tag:generated'])")
+def neighbors(spark, sf):
+    from loam.bundle import Bundle
+
+    return Bundle(_generated(spark, sf), R.Config()).neighbors("nation/000001")
+
+
 # ---- changes of concepts ------------------------------------------------------------------------------
 
 
