@@ -1,20 +1,21 @@
 """Removal of long repeated byte strings by a distributed merge sort of suffixes.
 
-A *window* is a string of ``window`` bytes. The repeated ones are found in four steps:
+A *window* is a string of ``window`` bytes. The repeated ones are found in five steps:
 
 1. Anchors. Every window names one position in it, that of its least-hashed k-mer, so equal windows
    name equal k-mers at equal offsets. A document has an anchor for about every
    ``(window - kmer) / 2`` bytes, with the range of window starts that name it and the *region*
-   that those windows cover.
-2. Grouping. Anchors are shuffled by the k-mer's hash and streamed in order of the region's. An
-   anchor alone with its k-mer has no repeated window. Of equal regions every window is repeated;
-   one of them stands for all in what follows.
-3. Merge sort. Where regions with one k-mer differ, the suffixes that start at their anchors are
-   sorted, and so are the reversed prefixes that end there: tasks exchange sorted front-coded
-   runs, and loser trees merge the runs of a class of k-mers. The merged order and its common
-   prefix lengths tell, for each offset, which regions share a window. A k-mer that very many
-   regions have is dealt in pairs of blocks, so that a task's share stays bounded.
-4. Removal. The ranges of repeated window starts meet their document's text again.
+   that those windows cover. k-mers that very many anchors have are named only where a window
+   has no other, which splits what would all meet at them.
+2. Pruning. Anchors are counted by their k-mer's hash. A window whose k-mer nobody else has is not
+   repeated. Hashes decide nothing else: from here on bytes are compared.
+3. Runs. Of all other anchors, each task sorts the suffixes that start there, and the reversed prefixes
+   that end there, and sends them as front-coded runs to ranges of k-mers. Regions that a task
+   holds twice, byte for byte, are repeated; one of them goes on for all.
+4. Merge. Loser trees that carry known common prefixes merge the runs of a range in both
+   orders. The orders and their common prefix lengths tell, for each offset, which regions
+   share a window.
+5. Removal. The ranges of repeated window starts meet their document's text again.
 """
 
 from __future__ import annotations
@@ -26,15 +27,26 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loam.session import written
+from loam.llm.common import MOST_SLOTS, PER_KEY, ROW_SLOTS, bitmap_of, probed
+from loam.session import discard, small_batches, written
 
 #: Window starts of a document that are handled at once.
 CHUNK = 1 << 20
+#: Different regions that a task sorts at once.
+SORTED = 50_000
+#: k-mers that are named last; the limit for being one grows so that they are never more.
+MOST_CROWDED = 1 << 20
 #: Bits of an anchor's sort key that hold its position in the chunk.
 _POS = np.uint64((1 << 24) - 1)
+_LAST = np.uint64(1 << 63)
 #: Multiplier of the rolling hash, odd, and its inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
 _UNBASE = pow(_BASE, -1, 1 << 64)
+#: An anchor: its document, its position, how many bytes before it its windows start (``lo`` to ``hi``), and whether its
+#: region is new to the task that sends it.
+ITEM = np.dtype([("u", "<i8"), ("v", "<i8"), ("a", "<i4"), ("lo", "<i4"), ("hi", "<i4"), ("alone", "?")])
+MARK = np.dtype([("u", "<i8"), ("v", "<i8"), ("first", "<i4"), ("last", "<i4")])
+MARKS = "u long, v long, first int, last int"
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -48,18 +60,22 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Anchors:
-    """Finds the anchors of texts; holds the powers that the rolling hash needs."""
+    """Finds the anchors of texts; ``crowded`` are the hashes of the k-mers that are named last, in order."""
 
-    def __init__(self, window: int, kmer: int):
-        self.window, self.kmer = window, kmer
+    def __init__(self, window: int, kmer: int, crowded: np.ndarray):
+        self.window, self.kmer, self.crowded = window, kmer, crowded
         self.up, self.down = _powers(_BASE, CHUNK + window), _powers(_UNBASE, CHUNK + window)
+        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe[crowded & np.uint64(0xFFFF)] = True
 
-    def of(self, data: bytes) -> Iterator[tuple[np.ndarray, ...]]:
-        """(k-mer hash, region hash, anchor, first start, last start) arrays, a chunk of starts at a time."""
+    def of(self, data: bytes | memoryview) -> tuple[np.ndarray, ...] | None:
+        """(k-mer hash, anchor, first start, last start) arrays."""
         text = np.frombuffer(data, np.uint8)
+        found = []
         for at in range(0, len(text) - self.window + 1, CHUNK):
-            h, r, a, s0, s1 = self._chunk(text[at : at + CHUNK + self.window - 1])
-            yield h, r, a + at, s0 + at, s1 + at
+            h, a, s0, s1 = self._chunk(text[at : at + CHUNK + self.window - 1])
+            found.append((h, a + at, s0 + at, s1 + at))
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else None
 
     def _chunk(self, text: np.ndarray) -> tuple[np.ndarray, ...]:
         n, k, span = len(text), self.kmer, self.window - self.kmer + 1
@@ -67,106 +83,82 @@ class Anchors:
         np.cumsum((text.astype(np.uint64) + np.uint64(1)) * self.up[:n], out=sums[1:])
         kmers = _mixed((sums[k:] - sums[:-k]) * self.down[: n - k + 1])
         # the least key of each window of ``span`` k-mers, leftmost if hashes tie
-        keys = (kmers & ~_POS) | np.arange(len(kmers), dtype=np.uint64)
+        keys = ((kmers >> np.uint64(1)) & ~_POS) | np.arange(len(kmers), dtype=np.uint64)
+        if len(self.crowded):
+            at = np.flatnonzero(self.maybe[kmers & np.uint64(0xFFFF)])
+            at = at[np.isin(kmers[at], self.crowded)]
+            keys[at] |= _LAST
         blocks = np.r_[keys, np.full(-len(keys) % span, np.iinfo(np.uint64).max, np.uint64)].reshape(-1, span)
         ahead = np.minimum.accumulate(blocks, axis=1).ravel()
         behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
         starts = n - self.window + 1
         named = (np.minimum(behind[:starts], ahead[span - 1 : span - 1 + starts]) & _POS).astype(np.int64)
         s0 = np.flatnonzero(np.r_[True, named[1:] != named[:-1]])
-        s1, a = np.r_[s0[1:], starts] - 1, named[s0]
-        region = (sums[s1 + self.window] - sums[s0]) * self.down[s0]
-        return kmers[a], _mixed(region + _mixed((a - s0).astype(np.uint64))), a, s0, s1
+        a = named[s0]
+        return kmers[a], a, s0, np.r_[s0[1:], starts] - 1
 
 
-ANCHORS = pa.schema([("h", pa.int64()), ("r", pa.int64()), ("uid", pa.int64()), ("a", pa.int32()), ("spans", pa.list_(pa.int32()))])
-REPEATED = pa.schema(
-    [("uid", pa.int64()), ("h", pa.int64()), ("a", pa.int32()), ("spans", pa.list_(pa.int32())), ("whole", pa.bool_()), ("sorted", pa.bool_())]
-)
-
-
-def _find_anchors(window: int, kmer: int):
-    def rows(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        h, r, uid, a, values, lengths = (np.concatenate(x) for x in zip(*found))
-        spans = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(values, pa.int32()))
-        arrays = [pa.array(h.view(np.int64)), pa.array(r.view(np.int64)), pa.array(uid, pa.int64()), pa.array(a, pa.int32()), spans]
-        return pa.RecordBatch.from_arrays(arrays, schema=ANCHORS)
-
+def _count_kmers(window: int, kmer: int, crowded: np.ndarray):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(uid, data) to a row for each different region of a document, with the ranges of its starts."""
-        anchors = Anchors(window, kmer)
-        held, size = [], 0
+        """(data) to how often each k-mer is an anchor, a batch at a time."""
+        anchors = Anchors(window, kmer, crowded)
         for batch in it:
-            for uid, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = list(anchors.of(memoryview(data.as_buffer())))
-                if not found:
-                    continue
-                h, r, a, s0, s1 = (np.concatenate(x) for x in zip(*found))
-                order = np.lexsort((r, h))
-                first = np.r_[True, (h[order][1:] != h[order][:-1]) | (r[order][1:] != r[order][:-1])]
-                lead = order[first]
-                spans = np.stack([s0[order], s1[order]], axis=1).ravel()
-                lengths = 2 * np.diff(np.r_[np.flatnonzero(first), len(first)])
-                held.append((h[lead], r[lead], np.full(len(lead), uid), a[lead], spans, lengths))
-                size += len(order)
-                if size > 50_000:
-                    yield rows(held)
-                    held, size = [], 0
-        if held:
-            yield rows(held)
+            found = [anchors.of(memoryview(data.as_buffer())) for data in batch.column(0)]
+            hashes = [f[0] for f in found if f is not None]
+            if hashes:
+                h, n = np.unique(np.concatenate(hashes), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
     return batches
 
 
-def _repeated(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors sorted by (h, r) to those with company.
+def shared_kmers(texts: DataFrame, window: int, kmer: int, class_items: int, rounds: int = 2) -> tuple[DataFrame, int, np.ndarray]:
+    """(h, n) of the k-mers that two and more anchors have, the sum of n, and the k-mers that are named last.
 
-    ``whole``: its region occurs again. ``sorted``: it goes into the merge sort, being the only
-    one of its region, or the one that stands for it, beside other regions with its k-mer. What a row
-    needs to know of its group are its two neighbours and whether its region is the group's first,
-    so groups of any length stream through.
+    Where more than ``class_items`` anchors share a k-mer it joins those named last, and anchors are
+    counted anew, once. Anchors that still share one after that are windows
+    without a rarer k-mer, so mostly copies of each other, which tasks fold before they send them.
     """
-    held: pa.Table | None = None  # the last row waits for its successor
-    before: tuple[int, int] | None = None  # (h, r) of the row before it
-    first_region = True
-
-    def decide(table: pa.Table, n: int) -> pa.RecordBatch | None:
-        """About the first n rows; one more is there if the input goes on."""
-        nonlocal before, first_region
-        h, r = (table[c].to_numpy() for c in ("h", "r"))
-        same_h, same_r = h[1:] == h[:-1], (h[1:] == h[:-1]) & (r[1:] == r[:-1])
-        prev_h = np.r_[before is not None and before[0] == h[0], same_h][:n]
-        prev_r = np.r_[before is not None and before == (h[0], r[0]), same_r][:n]
-        next_h, next_r = (np.r_[x, False][:n] for x in (same_h, same_r))
-        starts = np.where(~prev_r, np.arange(n), -1)
-        latest = np.maximum.accumulate(starts)
-        in_first = np.where(latest >= 0, ~prev_h[np.maximum(latest, 0)], first_region)
-        own = table.slice(0, n)
-        many = own["spans"].combine_chunks().value_lengths().to_numpy() > 2
-        whole = prev_r | next_r | many
-        stands = np.where(in_first, ~next_r & next_h, ~prev_r)
-        sorts = np.where(whole, stands, prev_h | next_h)
-        before, first_region = (int(h[n - 1]), int(r[n - 1])), bool(in_first[-1])
-        keep = whole | sorts
-        if not keep.any():
-            return None
-        out = own.append_column("whole", pa.array(whole)).append_column("sorted", pa.array(sorts))
-        return out.select(REPEATED.names).filter(pa.array(keep)).cast(REPEATED).combine_chunks().to_batches()[0]
-
-    for batch in it:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        held = table if held is None else pa.concat_tables([held, table])
-        if held.num_rows > 1:
-            out = decide(held, held.num_rows - 1)
-            held = held.slice(held.num_rows - 1)
-            if out is not None:
-                yield out
-    if held is not None:
-        out = decide(held, 1)
-        if out is not None:
-            yield out
+    crowded = np.zeros(0, np.uint64)
+    while True:
+        counted = texts.select("data").mapInArrow(_count_kmers(window, kmer, crowded), "h long, n long")
+        company = written(counted.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), "kmers")
+        total = company.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+        most = max(class_items, total // MOST_CROWDED)
+        more = company.where(F.col("n") > most).select("h").toArrow()["h"].to_numpy().view(np.uint64)  # at most MOST_CROWDED
+        rounds -= 1
+        if not rounds or np.isin(more, crowded).all():
+            return company, total, crowded
+        crowded = np.union1d(crowded, more)
+        discard(company)
+
+
+def _kmer_bitmap(company: DataFrame, most_slots: int) -> np.ndarray | None:
+    """The k-mers that have company as bits at their hash modulo a power of two, in 64 MB at most; None if they are too many."""
+    n = company.count()
+    if 4 * n > most_slots:
+        return None
+    slots = min(most_slots, max(ROW_SLOTS, 1 << (PER_KEY * max(1, n) - 1).bit_length()))
+    slot = (F.pmod("h", F.lit(slots)) + 1).alias("slot")
+    rows = company.select(slot).groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
+    found = rows.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).toArrow()
+    bits = np.zeros(slots // 8, np.uint8)
+    for bucket, own in zip(found["bucket"].to_pylist(), found["bits"].to_pylist()):
+        bits[(bucket - 1) * ROW_SLOTS // 8 :][: ROW_SLOTS // 8] = np.frombuffer(own, np.uint8)
+    return bits
+
+
+def _anchor_rows(window: int, kmer: int, crowded: np.ndarray):
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors = Anchors(window, kmer, crowded)
+        for batch in it:
+            for u, v, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if (found := anchors.of(memoryview(data.as_buffer()))) is not None:
+                    h, a, s0, s1 = found
+                    columns = [np.full(len(h), u), np.full(len(h), v), h.view(np.int64), *[x.astype(np.int32) for x in (a, s0, s1)]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["u", "v", "h", "a", "s0", "s1"])
+
+    return batches
 
 
 def _front_coded(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
@@ -261,56 +253,86 @@ def merged(runs: list[Run]) -> Iterator[tuple[int, int, int]]:
             node //= 2
 
 
-def _class_numbers(h: int, classes: int, blocks: int | None, item: int) -> list[int]:
-    """The classes that an item is merged in: its k-mer's, or, if very many regions have that
-    k-mer, those of its block with each block, so that any two items meet in one of them."""
-    if not blocks:
-        return [h % classes]
-    own = item * _BASE % (1 << 64) % blocks
-    pairs = ((min(own, b), max(own, b)) for b in range(blocks))
-    return [-1 - (h * 1_000_003 + x * blocks + y) % (1 << 62) for x, y in pairs]
-
-
-RUNS = "class long, items binary, right binary, right_shared binary, right_rest binary, left binary, left_shared binary, left_rest binary"
-
-
-def _sort_runs(window: int, classes: int):
-    """(uid, data, items) to sorted runs, one for each class of k-mers that a batch meets."""
-    names = [c.split()[0] for c in RUNS.split(", ")]
+RUNS = "class long, marks binary, items binary, right binary, right_shared binary, right_rest binary, left binary, left_shared binary, left_rest binary"
+
+
+class _Sorter:
+    """Collects regions, folds equal ones, and makes a sorted run of them for each range of k-mers."""
+
+    def __init__(self, classes: int):
+        self.classes = classes
+        self.regions: dict[tuple[int, int, bytes], list[tuple[int, int, int]]] = {}
+
+    def add(self, h: int, u: int, v: int, a: int, s0: int, region: bytes) -> None:
+        self.regions.setdefault((h, a - s0, region), []).append((u, v, a))
+
+    def runs(self, window: int) -> Iterator[list]:
+        by_class: dict[int, tuple[list, list, list, list]] = {}
+        for (h, hi, region), places in self.regions.items():
+            items, marks, right, left = by_class.setdefault(h * self.classes >> 64, ([], [], [], []))
+            lo = hi - (len(region) - window)
+            u, v, a = places[0]
+            items.append((u, v, a, lo, hi, len(places) == 1))
+            if len(places) > 1:
+                marks += [(u, v, a - hi, a - lo) for u, v, a in places]
+            head = h.to_bytes(8, "big")
+            right.append(head + region[hi:])
+            left.append(head + region[:hi][::-1])
+        for number, (items, marks, right, left) in by_class.items():
+            row: list = [number, np.array(marks, MARK).tobytes(), np.array(items, ITEM).tobytes()]
+            for strings in (right, left):
+                order, shared, rest = _front_coded(strings)
+                row += [order.tobytes(), shared.tobytes(), rest]
+            yield row
+        self.regions = {}
+
+
+def _sort_runs(window: int, kmer: int, classes: int, crowded: np.ndarray, shared):
+    """(u, v, data) to sorted runs of the anchors whose k-mer ``shared``, a broadcast bitmap, has; or (u, v, data, items) of the items."""
+    names, kinds = [c.split()[0] for c in RUNS.split(", ")], [pa.int64(), *[pa.binary()] * 8]
+
+    def sent(sorter: _Sorter) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for row in sorter.runs(window):
+            rows.append(row)
+            size += sum(len(x) for x in row[1:])
+            if size > 8 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sorter = _Sorter(classes)
+        if shared is not None:
+            anchors, bits = Anchors(window, kmer, crowded), shared.value
+            mask = np.uint64(8 * len(bits) - 1)
         for batch in it:
-            found: dict[int, tuple[list, list, list]] = {}
-            for uid, data, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                for item in items:
-                    h, a, s0, s1 = item["h"], item["a"], item["s0"], item["s1"]
-                    head = h.to_bytes(8, "big", signed=True)
-                    for number in _class_numbers(h, classes, item["blocks"], uid ^ a):
-                        table, right, left = found.setdefault(number, ([], [], []))
-                        table.append((uid, a, s0, s1, int(item["only"])))
-                        right.append(head + data[a : s1 + window])
-                        left.append(head + data[s0:a][::-1])
-            rows = []
-            for number, (table, right, left) in found.items():
-                row: list = [number, np.array(table, np.int64).tobytes()]
-                for strings in (right, left):
-                    order, shared, rest = _front_coded(strings)
-                    row += [order.tobytes(), shared.tobytes(), rest]
-                rows.append(row)
-            if rows:
-                kinds = [pa.int64(), *[pa.binary()] * 7]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+            for n, (u, v, data) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                if shared is None:
+                    items = [(i["h"] % (1 << 64), i["a"], i["s0"], i["s1"]) for i in batch.column(3)[n].as_py()]
+                elif (found := anchors.of(data)) is None:
+                    continue
+                else:
+                    slot = found[0] & mask
+                    has = (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    items = zip(*[x[has].tolist() for x in found])
+                for h, a, s0, s1 in items:
+                    sorter.add(h, u, v, a, s0, data[s0 : s1 + window])
+                if len(sorter.regions) > SORTED:
+                    yield from sent(sorter)
+        yield from sent(sorter)
 
     return batches
 
 
 def _merge_runs(window: int):
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        """The runs of a class of k-mers to the ranges of window starts that occur in two of its regions."""
-        tables = [np.frombuffer(x, np.int64).reshape(-1, 5) for x in rows["items"]]
+        """The runs of a range of k-mers to the ranges of window starts that occur in two of its regions."""
+        tables = [np.frombuffer(x, ITEM) for x in rows["items"]]
         base = np.r_[0, np.cumsum([len(t) for t in tables])]
         items = np.concatenate(tables)
-        uid, a, s0, s1, only = items.T
+        a, lo, hi = (items[c].astype(np.int64) for c in ("a", "lo", "hi"))
         n = len(items)
 
         def ranked(order: str, shared: str, rest: str, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -326,24 +348,25 @@ def _merge_runs(window: int):
             walk = np.array([(base[run] + item, common) for run, item, common in merged(runs)], np.int64)
             return walk[:, 0], walk[:, 1] - 8
 
-        by_right, right_shared = ranked("right", "right_shared", "right_rest", 8 + s1 + window - a)
-        by_left, left_shared = ranked("left", "left_shared", "left_rest", 8 + a - s0)
-        least, most = int((a - s1).min()), int((a - s0).max())
+        by_right, right_shared = ranked("right", "right_shared", "right_rest", 8 + window - lo)
+        by_left, left_shared = ranked("left", "left_shared", "left_rest", 8 + hi)
+        least, most = int(lo.min()), int(hi.max())
         repeated = np.zeros((n, most - least + 2), bool)  # by bytes before the anchor; the last column stays empty
         right, left = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for before in range(least, most + 1):
             # regions that share the bytes after the anchor are neighbours by suffix, and those before it by prefix
             right[by_right] = np.cumsum(right_shared < window - before)
             left[by_left] = np.cumsum(left_shared < before)
-            has = np.flatnonzero((a - s1 <= before) & (before <= a - s0))
+            has = np.flatnonzero((lo <= before) & (before <= hi))
             _, place, count = np.unique(right[has] * (n + 1) + left[has], return_inverse=True, return_counts=True)
             repeated[has[count[place] > 1], before - least] = True
-        repeated[only == 0] = False
+        repeated[~items["alone"]] = False  # their windows are marked already
         edges = np.diff(np.concatenate([np.zeros((n, 1), np.int8), repeated.astype(np.int8)], axis=1), axis=1)
         item, first = np.nonzero(edges == 1)
         _, past = np.nonzero(edges == -1)
-        starts = np.stack([a[item] - (past - 1 + least), a[item] - (first + least)], axis=1)
-        return pd.DataFrame({"uid": uid[item], "spans": pd.Series(list(starts.astype(np.int32)), dtype=object)})
+        found = {"u": items["u"][item], "v": items["v"][item], "first": a[item] - (past - 1 + least), "last": a[item] - (first + least)}
+        marks = np.concatenate([np.frombuffer(x, MARK) for x in rows["marks"]])
+        return pd.DataFrame({c: np.concatenate([marks[c], found[c].astype(marks[c].dtype)]) for c in MARK.names})
 
     return merge
 
@@ -351,6 +374,9 @@ def _merge_runs(window: int):
 def _remove(window: int):
     kinds = [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]
 
+    def sent(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows), kinds)], [n for n, _ in kinds])
+
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
@@ -359,63 +385,68 @@ def _remove(window: int):
                 text = np.frombuffer(data.as_buffer(), np.uint8)
                 edges = np.zeros(len(text) + 1, np.int32)
                 if spans.is_valid and len(spans.values):
-                    ranges = spans.values.flatten().to_numpy().reshape(-1, 2)
-                    np.add.at(edges, ranges[:, 0], 1)
-                    np.add.at(edges, ranges[:, 1] + window, -1)
+                    first, last = (x.to_numpy() for x in spans.values.flatten())
+                    np.add.at(edges, first, 1)
+                    np.add.at(edges, last + window, -1)
                 gone = np.cumsum(edges[:-1]) > 0
                 kept = text[~gone].tobytes()
                 runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
                 rows.append((id_, len(text), int(gone.sum()), runs, kept))
                 size += len(kept) + 64
                 if size > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows), kinds)], [n for n, _ in kinds])
+                    yield sent(rows)
                     rows, size = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows), kinds)], [n for n, _ in kinds])
+            yield sent(rows)
 
     return batches
 
 
-def repeated_starts(texts: DataFrame, window: int = 200, kmer: int = 50, class_items: int = 20_000) -> DataFrame:
-    """(uid, spans): ranges [first, last, ...] of window starts that are repeated, from (uid, data)."""
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    anchors = texts.where(F.octet_length("data") >= window).select("uid", "data")
-    anchors = anchors.mapInArrow(_find_anchors(window, kmer), "h long, r long, uid long, a int, spans array<int>")
-    ordered = anchors.repartition(parts, "h").sortWithinPartitions("h", "r")
-    repeated = written(
-        ordered.mapInArrow(_repeated, "uid long, h long, a int, spans array<int>, whole boolean, sorted boolean"), "repeated"
-    )
-    items = repeated.where("sorted")
-    classes = -(-items.select(F.count(F.lit(1)).alias("n")).first()["n"] // class_items) or 1
-    crowded = items.groupBy("h").agg(F.ceil(F.count(F.lit(1)) * 2 / class_items).cast("int").alias("blocks"))
-    crowded = written(crowded.where("blocks > 2"), "crowded")
-    item = F.struct("h", "a", F.col("spans")[0].alias("s0"), F.col("spans")[1].alias("s1"), (~F.col("whole")).alias("only"), "blocks")
-    per_text = items.join(crowded, "h", "left").groupBy("uid").agg(F.collect_list(item).alias("items"))
-    # rows that repeat a uid have no region of their own, so meeting their items twice changes nothing
-    runs = texts.join(per_text, "uid").select("uid", "data", "items").mapInArrow(_sort_runs(window, classes), RUNS)
-    shared = runs.groupBy("class").applyInPandas(_merge_runs(window), "uid long, spans array<int>")
-    return repeated.where("whole").select("uid", "spans").union(shared)
-
-
-def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, kmer: int = 50, class_items: int = 20_000
-) -> DataFrame:
+def repeated_starts(texts: DataFrame, window: int = 200, kmer: int = 50, class_items: int = 20_000, most_slots: int = MOST_SLOTS) -> DataFrame:
+    """(u, v, first, last): ranges of window starts that are repeated, from (u, v, data).
+
+    The k-mers that have company reach the texts' second scan as a bitmap of 64 MB at most. Beyond
+    that, their anchors are joined to the texts instead, which moves those texts once more.
+    """
+    long = texts.where(F.octet_length("data") >= window).select("u", "v", "data")
+    company, total, crowded = shared_kmers(long, window, kmer, class_items)
+    classes = -(-total // max(class_items, total // MOST_CROWDED)) or 1
+    bits = _kmer_bitmap(company, most_slots)
+    if bits is None:
+        anchors = long.mapInArrow(_anchor_rows(window, kmer, crowded), "u long, v long, h long, a int, s0 int, s1 int")
+        items = anchors.join(company.select("h"), "h", "left_semi").groupBy("u", "v").agg(F.collect_list(F.struct("h", "a", "s0", "s1")).alias("items"))
+        long, shared = long.join(items, ["u", "v"]).select("u", "v", "data", "items"), None
+    else:
+        shared = texts.sparkSession.sparkContext.broadcast(bits)
+    runs = long.mapInArrow(_sort_runs(window, kmer, classes, crowded, shared), RUNS)
+    parts = max(classes, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a class or two to a task, as rows are large
+    return runs.repartition(parts, "class").groupBy("class").applyInPandas(_merge_runs(window), MARKS)
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, kmer: int = 50, **options) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept): texts as bytes without what is repeated.
 
     A byte goes if a string of ``window`` bytes that covers it also starts anywhere else, in the same
     document or in another; strings are judged on the input. ``n_spans`` counts the maximal runs
     of removed bytes, and ``kept`` is the rest, joined; it may cut through a character.
 
-    A null text is empty. Texts shorter than ``window`` stay whole. Rows that repeat a text lose all
-    of it that is long enough, as every string of one occurs in the other; that holds for rows that
-    repeat an id as well. Ids are carried only, so they may be null. An empty table gives an
-    empty result.
+    A null text is empty. Texts shorter than ``window`` stay whole, and long ones are read whole,
+    a megabyte at a time. Rows that repeat a text lose all of it that is long enough, as every
+    string of one occurs in the other; that holds for rows that repeat an id as well. Ids are
+    carried only, so they may be null. An empty table gives an empty result, and columns other
+    than the two named are ignored.
+
+    Texts move only where something may be removed from them; the others pass in place.
     """
+    small_batches(docs.sparkSession)
     data = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), data.alias("data"))
-    texts = texts.withColumn("uid", F.xxhash64("id", "data"))
-    marks = repeated_starts(texts.select("uid", "data"), window, kmer, class_items)
-    marks = written(marks.groupBy("uid").agg(F.collect_list("spans").alias("spans")), "marks")
-    marked = texts.join(marks, "uid", "left").select("id", "data", "spans")
-    schema = "id long, n_bytes long, n_removed long, n_spans long, kept binary"
-    return marked.mapInArrow(_remove(window), schema).withColumnRenamed("id", id_col)
+    texts = texts.withColumns({"u": F.xxhash64("id", "data"), "v": F.xxhash64("data", "id")})  # 128 bits tell rows apart
+    marks = repeated_starts(texts.select("u", "v", "data"), window, kmer, **options)
+    marks = written(marks.groupBy("u", "v").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "marks")
+    marked = probed(texts, bitmap_of(marks.select("u", "v")), "loses", F.col("u"), F.col("v"))
+    met = marked.where("loses").join(marks, ["u", "v"], "left").select("id", "data", "spans")
+    cut = met.mapInArrow(_remove(window), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    none = F.lit(0).cast("long")
+    whole = marked.where("NOT loses").select("id", F.octet_length("data").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("data").alias("kept"))
+    return whole.union(cut).withColumnRenamed("id", id_col)
