@@ -10,9 +10,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loam.llm.common import WORD, ascii_lower, bitmap_of, probed, text_or_empty
+from loam.llm.common import WORD, ascii_lower, bitmap_of, fresh, probed, text_or_empty
 from loam.operators.components import connected_components
-from loam.session import small_batches, written
+from loam.session import discard, small_batches, written
 
 _WORD = re.compile(WORD)
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -74,10 +74,8 @@ def set_fingerprint(lowered: str, shingle: int, lanes: int) -> list[int]:
     return [*prints, xxhash.xxh3_64_intdigest(hashes[0].tobytes())]
 
 
-def fingerprints(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, lanes: int = 1, sets: bool = False
-) -> DataFrame:
-    """(id, f0 .. f<lanes-1>): a 64-bit SimHash a lane over word shingles, repeats included.
+def fingerprints(rows: DataFrame, shingle: int = 4, lanes: int = 1, sets: bool = False) -> DataFrame:
+    """(id, f0 .. f<lanes-1>) of (id, text): a 64-bit SimHash a lane over word shingles, repeats included.
 
     A bit is set if it is in over half of the shingles' hashes. Fewer words than ``shingle`` are
     one shingle; no words give zero. With ``sets``, each different shingle counts once, and a last
@@ -92,8 +90,9 @@ def fingerprints(
             columns = [pa.array(np.ascontiguousarray(found[:, i]).view(np.int64)) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", *names])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), ascii_lower(text_or_empty(text_col)).alias("text"))
-    return rows.mapInArrow(batches, "id long, " + ", ".join(f"{n} long" for n in names))
+    kind = rows.schema["id"].dataType.simpleString()
+    lowered = rows.select("id", ascii_lower(F.col("text")).alias("text"))
+    return lowered.mapInArrow(batches, f"id {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
 def _segments(lanes: int, segments: int) -> list[tuple[int, int, int]]:
@@ -123,9 +122,9 @@ def _linked(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def _nearest(fps: np.ndarray, most: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of each fingerprint to its k nearest ones, and which fingerprints have more than k within reach."""
-    left, right, more, k = [], [], [], min(k, len(fps) - 1)
+def _nearest(fps: np.ndarray, most: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each fingerprint to its k nearest ones within reach."""
+    left, right, k = [], [], min(k, len(fps) - 1)
     for at in range(0, len(fps), 256):
         away = np.bitwise_count(fps[at : at + 256, None] ^ fps[None]).sum(axis=2)
         row = np.arange(len(away))
@@ -134,9 +133,8 @@ def _nearest(fps: np.ndarray, most: int, k: int) -> tuple[np.ndarray, np.ndarray
         i, n = np.nonzero(np.take_along_axis(away, best, axis=1) <= most)
         left.append(i + at)
         right.append(best[i, n])
-        more.append((away <= most).sum(axis=1) > k)
     a, b = np.concatenate(left), np.concatenate(right)
-    return np.minimum(a, b), np.maximum(a, b), np.concatenate(more)
+    return np.minimum(a, b), np.maximum(a, b)
 
 
 def _first_shared(x: np.ndarray, y: np.ndarray, cuts: list[tuple[int, int, int]]) -> np.ndarray:
@@ -176,18 +174,18 @@ def _link_runs(lanes: int, most: int, cuts: list[tuple[int, int, int]], spares:
     """For rows sorted by key: verified links within each run of equal keys.
 
     A link counts under the first key that its ends share only. Under a later one the forest may
-    skip it: in the earlier run the two are linked, or connected by links no longer than theirs.
-
-    With ``spares`` there is a last column ``key``: null for links, and else the key of a row in a
-    long run that has more neighbours than its links show. :func:`_apart` compares those rows in full.
+    skip it: in the earlier run the two are linked, or connected by links no longer than theirs. So
+    all fingerprints within reach of each other that share a key are connected by links. Of a long
+    run there are the links of a forest and of each row's ``spares`` nearest.
     """
+    deleted = [(lane, np.uint64(first + i), i) for lane, first, width in cuts for i in range(width)]
 
-    def links(keys: np.ndarray, fps: np.ndarray, more: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for bits, a, b in all_links(keys, fps, more):
+    def links(keys: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for bits, a, b in all_links(keys, fps):
             own = _first_shared(a, b, cuts) == bits
             yield a[own], b[own]
 
-    def all_links(keys: np.ndarray, fps: np.ndarray, more: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def all_links(keys: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         bit, prints = keys >> _BIT, fps[:, :lanes]
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         lengths = np.diff(np.r_[starts, len(keys)])
@@ -201,47 +199,21 @@ def _link_runs(lanes: int, most: int, cuts: list[tuple[int, int, int]], spares:
             yield bit[i], fps[i], fps[i + step]
         for r in np.flatnonzero(lengths > _SHORT_RUN):
             own = fps[starts[r] : starts[r] + lengths[r]]
+            lane, place, nth = deleted[int(bit[starts[r]])]
+            side = (own[:, lane] >> place) & np.uint64(1)
+            if nth and (side == side[0]).all():
+                continue  # all are equal in this segment, so they share its first key
             a, b = _linked(own[:, :lanes], most)
             if spares:
-                *near, crowded = _nearest(own[:, :lanes], most, spares)
+                near = _nearest(own[:, :lanes], most, spares)
                 a, b = (np.concatenate(x) for x in zip((a, b), near))
-                if crowded.any():
-                    more.append((np.full(int(crowded.sum()), keys[starts[r]]), own[crowded]))
             yield np.full(len(a), bit[starts[r]]), own[a], own[b]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, fps in _held_runs(it, len(names)):
-            more: list[tuple[np.ndarray, np.ndarray]] = []
-            pairs = [p for p in links(keys, fps, more) if len(p[0])] if len(keys) else []
+            pairs = [p for p in links(keys, fps) if len(p[0])] if len(keys) else []
             if pairs:
-                made = _pair_batch(*(np.concatenate(x) for x in zip(*pairs)), names)
-                yield made.append_column("key", pa.nulls(made.num_rows, pa.int64())) if spares else made
-            if more:
-                at, rows = (np.concatenate(x) for x in zip(*more))
-                yield _pair_batch(rows, rows, names).append_column("key", pa.array(at))
-
-    return batches
-
-
-def _apart(lanes: int, most: int, cuts: list[tuple[int, int, int]], names: list[str]):
-    """For rows sorted by key, with a component after the names: all links between different components of each run."""
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, rows in _held_runs(it, len(names) + 1):
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else []
-            for start, end in zip(starts, np.r_[starts[1:], len(keys)]):
-                own, component = rows[start:end, :-1], rows[start:end, -1]
-                if (component == component[0]).all():
-                    continue
-                for at in range(0, len(own), 64):
-                    apart = component[at : at + 64, None] != component[None]
-                    apart &= np.arange(len(own)) > np.arange(at, min(at + 64, len(own)))[:, None]
-                    away = np.bitwise_count(own[at : at + 64, None, :lanes] ^ own[None, :, :lanes]).sum(axis=2)
-                    i, j = np.nonzero(apart & (away <= most))
-                    a, b = own[i + at], own[j]
-                    first = _first_shared(a, b, cuts) == keys[start] >> _BIT
-                    if first.any():
-                        yield _pair_batch(a[first], b[first], names)
+                yield _pair_batch(*(np.concatenate(x) for x in zip(*pairs)), names)
 
     return batches
 
@@ -357,25 +329,57 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
                 out.append(np.fromiter(grams if words else (), np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["id", "grams"])
 
-    return docs.select("id", ascii_lower(F.col("text")).alias("text")).mapInArrow(batches, "id long, grams array<int>")
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", ascii_lower(F.col("text")).alias("text")).mapInArrow(batches, f"id {kind}, grams array<int>")
 
 
-def similar_links(links: DataFrame, nodes: DataFrame, docs: DataFrame, names: list[str], shingle: int, least: float) -> DataFrame:
-    """The links between whose texts the Jaccard similarity of the shingles is ``least`` or more.
+def _sets_of(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """:func:`shingle_sets` of the documents in ``ids``, written.
 
-    A node's smallest id stands for it. Only texts that some link needs are cut into shingles, once; they are
-    told by a bitmap of fixed size, so that no other text is shuffled.
+    They are told by a bitmap while it is small enough to broadcast, so that no other text is shuffled.
     """
-    by_node = nodes.where(F.col("least").isNotNull()).select(F.struct(*names).alias("node"), "least")
-    ids = links.join(by_node.select(F.col("node").alias("a"), F.col("least").alias("ia")), "a")
-    ids = written(ids.join(by_node.select(F.col("node").alias("b"), F.col("least").alias("ib")), "b"), "pairs")
-    needed = written(bitmap_of(ids.select(F.explode(F.array("ia", "ib")).alias("id")), "id"), "needed")
-    wanted = probed(docs, needed, F.col("id")).where("__candidate").select("id", "text").dropDuplicates(["id"])
-    sets = written(shingle_sets(wanted, shingle), "shingles")
-    both = ids.join(sets.select(F.col("id").alias("ia"), F.col("grams").alias("ga")), "ia")
+    wanted = probed(docs, bitmap_of(ids.select("id").distinct()), "needed", F.col("id")).where("needed")
+    return written(shingle_sets(wanted.select("id", "text").dropDuplicates(["id"]), shingle), "shingles")
+
+
+def _pairs_alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b) of the pairs (a, ia, b, ib) whose sets have a Jaccard similarity of ``least`` or more, written."""
+    both = pairs.join(sets.select(F.col("id").alias("ia"), F.col("grams").alias("ga")), "ia")
     both = both.join(sets.select(F.col("id").alias("ib"), F.col("grams").alias("gb")), "ib")
     shared = F.size(F.array_intersect("ga", "gb"))
-    return both.where(shared >= F.lit(float(least)) * (F.size("ga") + F.size("gb") - shared)).select("a", "b")
+    alike = both.where(shared >= F.lit(float(least)) * (F.size("ga") + F.size("gb") - shared))
+    return written(alike.select("a", "b"), "similar")
+
+
+def across_components(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between all similar ones of the ``members`` (node, id, c) whose components ``c`` differ.
+
+    A similarity join by prefixes, so that not all pairs of a crowd are made. Shingles are ordered from
+    rare to frequent. Two sets that are similar share one of their rarest ``n - least * n + 1``, and
+    the first that they share is early enough in both to leave room for what they must have in
+    common. Rows meet at such shingles only, and not at those that one component has for itself.
+    """
+    held = members.join(sets, "id").select("node", "c", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    known = written(held.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("df > 1"), "grams")
+    met = held.join(known.select("gram", "df"), "gram").groupBy("node", "c", "n")
+    ordered = met.agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"))
+    # shingles of its own come before all others of a set
+    placed = ordered.select("node", "c", "n", F.posexplode("grams").alias("i", "g"), (F.col("n") - F.size("grams")).alias("own"))
+    placed = placed.select("node", "c", "n", "g.gram", (F.col("own") + F.col("i")).alias("at"))
+    early = placed.where(F.col("at") + F.lit(float(least)) * F.col("n") <= F.col("n") + 1e-9)
+    early = written(early.join(known.where("c0 < c1").select("gram"), "gram", "left_semi"), "prefixes")
+    one, two = (early.select("gram", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "c", "n", "at")]) for side in "ab")
+    room = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    fits = (F.col("a_c") != F.col("b_c")) & (F.col("a_n") * F.lit(float(least)) <= F.col("b_n") + 1e-9)
+    fits &= (F.col("a_n") > F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_node") > F.col("b_node")))
+    fits &= room + 1e-9 >= F.lit(least / (1 + least)) * (F.col("a_n") + F.col("b_n"))
+    pairs = one.join(two, (one["gram"] == two["gram"]) & fits).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    ids = members.select("node", "id")
+    pairs = pairs.join(ids.select(F.col("node").alias("a"), F.col("id").alias("ia")), "a")
+    pairs = written(pairs.join(ids.select(F.col("node").alias("b"), F.col("id").alias("ib")), "b"), "pairs")
+    similar = _pairs_alike(pairs, sets, least)
+    discard(known, early, pairs)
+    return similar
 
 
 def _similar(
@@ -388,30 +392,58 @@ def _similar(
     segments: int,
     tile_rows: int,
     least: float,
-    spares: int = 8,
+    spares: int = 4,
 ) -> DataFrame:
     """(a, b): similar nodes, enough of them to connect all that share a key and are similar.
 
-    Of long runs of equal keys a forest and each row's ``spares`` nearest are tested first. That
-    connects groups of near copies at a cost in proportion to them; then every other pair of the run
-    that is within ``max_distance`` and in different components is tested, too.
+    Candidates are the links of :func:`_link_runs`. That connects groups of near copies at a cost in
+    proportion to them. In long runs these are not all pairs, so what has any candidate is then
+    joined with its like by its shingles, across the components found so far. A node's smallest id
+    stands for it, and only texts that some link needs are cut into shingles, once.
     """
     cuts = _segments(lanes, segments)
     ordered = _by_key(nodes.select(*names), names, lanes, segments, tile_rows)
-    found = ordered.mapInArrow(_link_runs(lanes, max_distance, cuts, spares, names), _pair_schema(names) + ", key long")
-    found = written(found, "found")
-    first = written(found.where("key IS NULL").select(*_ends(names)).distinct(), "links")
-    links = written(similar_links(first, nodes, texts, names, shingle, least), "similar")
-    crowded = found.where("key IS NOT NULL").select("key", *_ends(names)[:1])
-    if not crowded.limit(1).count():
-        return links
-    reached = written(connected_components(links, "a", "b").select(F.col("node").alias("a"), F.xxhash64("component").alias("c")), "reached")
-    labelled = crowded.join(reached, "a", "left").select("key", "a.*", F.coalesce("c", F.xxhash64("a")).alias("c"))
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    again = labelled.repartition(parts, "key").sortWithinPartitions("key")
-    again = again.mapInArrow(_apart(lanes, max_distance, cuts, names), _pair_schema(names)).select(*_ends(names))
-    again = written(again.distinct(), "apart")
-    return written(links.union(similar_links(again, nodes, texts, names, shingle, least)), "similar")
+    found = ordered.mapInArrow(_link_runs(lanes, max_distance, cuts, spares, names), _pair_schema(names))
+    links = written(found.select(*_ends(names)).distinct(), "links")
+    by_node = nodes.where(F.col("least").isNotNull()).select(F.struct(*names).alias("node"), F.col("least").alias("id"))
+    pairs = links.join(by_node.select(F.col("node").alias("a"), F.col("id").alias("ia")), "a")
+    pairs = written(pairs.join(by_node.select(F.col("node").alias("b"), F.col("id").alias("ib")), "b"), "pairs")
+    either = pairs.select(F.col("a").alias("node"), F.col("ia").alias("id")).union(pairs.select("b", "ib")).distinct()
+    sets = _sets_of(either, texts, shingle)
+    similar = _pairs_alike(pairs, sets, least)
+    reached = connected_components(similar, "a", "b").select("node", F.xxhash64("component").alias("c"))
+    members = written(either.join(reached, "node", "left").select("node", "id", F.coalesce("c", F.xxhash64("node")).alias("c")), "members")
+    more = across_components(members, sets, least)
+    discard(links, pairs, members, sets)
+    return similar.union(more)
+
+
+def _classes(
+    rows: DataFrame, shingle: int, lanes: int, max_distance: int, segments: int, tile_rows: int, min_similarity: float | None
+) -> tuple[DataFrame, DataFrame]:
+    """For (id, text): the prints of every row, and (node, component_id, n) of the nodes.
+
+    Rows of one fingerprint, or with ``min_similarity`` of one set of shingles, are one node from
+    the start, so a group of copies costs one row.
+    """
+    names = [f"f{i}" for i in range(lanes)]
+    small_batches(rows.sparkSession)
+    sets = min_similarity is not None
+    prints = written(fingerprints(rows, shingle, lanes, sets), "prints")
+    nodes_by = names + ["g"] * sets
+    nodes = written(prints.groupBy(*nodes_by).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
+    if sets:
+        links = _similar(nodes, rows, nodes_by, shingle, lanes, max_distance, segments, tile_rows, min_similarity)
+    else:
+        links = written(linked_fingerprints(nodes.select(*names), lanes, max_distance, segments, tile_rows).distinct(), "links")
+    reached = connected_components(links, "a", "b")
+    labelled = nodes.select(F.struct(*nodes_by).alias("node"), "least", "n").join(reached, "node", "left")
+    root = F.coalesce("component", "node")
+    labelled = written(labelled.select(root.alias("root"), "node", "least", "n"), "labelled")
+    smallest = written(labelled.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
+    classes = written(labelled.join(smallest, "root").select("node.*", "least", "n", "component_id"), "classes")
+    discard(labelled, smallest, nodes)
+    return prints, classes
 
 
 def near_duplicates(
@@ -433,29 +465,16 @@ def near_duplicates(
     ``min_similarity`` a node is the rows of one set of shingles, and fingerprints count each
     different shingle once.
 
-    A null or blank text has fingerprint zero and is linked like any other. Rows with a null id get
-    a fingerprint; they take part in links and in no minimum, and their component is null only
-    if no row of it has an id. Rows that repeat an id stay rows of their own. An empty table
-    gives an empty result.
+    A null or blank text has fingerprint zero and is linked like any other; long texts are hashed
+    whole, in pieces. Rows with a null id get a fingerprint; they take part in links and in no
+    minimum, and their component is null only if no row of it has an id. Rows that repeat an id
+    stay rows of their own. An empty table gives an empty result.
     """
     names = [f"f{i}" for i in range(lanes)]
-    small_batches(docs.sparkSession)
-    sets = min_similarity is not None
-    prints = written(fingerprints(docs, id_col, text_col, shingle, lanes, sets), "prints")
-    nodes_by = names + ["g"] * sets
-    nodes = written(prints.groupBy(*nodes_by).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
-    if sets:
-        texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-        links = _similar(nodes, texts, nodes_by, shingle, lanes, max_distance, segments, tile_rows, min_similarity)
-    else:
-        links = written(linked_fingerprints(nodes.select(*names), lanes, max_distance, segments, tile_rows).distinct(), "links")
-    reached = connected_components(links, "a", "b")
-    labelled = nodes.select(F.struct(*nodes_by).alias("node"), "least").join(reached, "node", "left")
-    root = F.coalesce("component", "node")
-    labelled = written(labelled.select(root.alias("root"), "node", "least"), "labelled")
-    smallest = written(labelled.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
-    classes = written(labelled.select("root", "node").join(smallest, "root").select("node.*", "component_id"), "classes")
-    return prints.join(classes, nodes_by).select(F.col("id").alias(id_col), *names, "component_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    prints, classes = _classes(rows, shingle, lanes, max_distance, segments, tile_rows, min_similarity)
+    nodes_by = [c for c in prints.columns if c != "id"]
+    return prints.join(classes.drop("least", "n"), nodes_by).select(F.col("id").alias(id_col), *names, "component_id")
 
 
 def drop_near_duplicates(
@@ -474,14 +493,28 @@ def drop_near_duplicates(
     take 5; up to 42 are candidates, and the similarity itself decides. Twelve segments don't
     guarantee that a pair 42 bits apart shares a key; README states the measured recall.
 
-    Rows are told apart by a hash of id and text, so ids may be null or repeat; of rows that repeat
-    both, one stays. Texts without words are one class.
+    Rows are told apart by their id and a hash of their text, so ids may be null or repeat; of rows
+    that repeat both, one stays. Texts without words are one class, null texts included. Texts of
+    any length count whole. An empty table gives an empty result.
+
+    Only rows that may have to go meet the list of those that do; a bitmap lets the others pass.
     """
-    rows = docs.withColumn("__uid", F.xxhash64(F.col(id_col), text_or_empty(text_col)))
-    found = near_duplicates(rows, "__uid", text_col, shingle, lanes, max_distance, segments, min_similarity=min_similarity)
-    found = written(found.groupBy("__uid").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "found")
-    dropped = written(found.where(F.col("__uid") != F.col("component_id")).select("__uid"), "dropped")
-    stays = rows.join(dropped, "__uid", "left_anti")
-    if found.where("n > 1").limit(1).count():
-        stays = stays.dropDuplicates(["__uid"])
-    return stays.select(*docs.columns)
+    uid, may_go, goes, n = fresh(docs, "uid", "may_go", "goes", "n")
+    text = text_or_empty(text_col)
+    own = F.struct(
+        F.col(id_col).isNull().alias("null"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.xxhash64(text).alias("h")
+    )
+    rows = docs.select(own.alias("id"), text.alias("text"))
+    prints, classes = _classes(rows, shingle, lanes, max_distance, segments, 4096, min_similarity)
+    nodes_by = [c for c in prints.columns if c != "id"]
+    crowd = classes.where("n > 1 OR component_id <> least").drop("least", "n")
+    found = prints.join(crowd, nodes_by).groupBy("id").agg(F.min(F.col("id") != F.col("component_id")).alias("goes"), F.count(F.lit(1)).alias("n"))
+    found = written(found.where("goes OR n > 1"), "found")
+    marked = probed(docs.withColumn(uid, own), bitmap_of(found.select("id")), may_go, F.col(uid))
+    out = marked.where(~F.col(may_go)).select(*docs.columns)
+    met = marked.where(may_go).join(found.select(F.col("id").alias(uid), F.col("goes").alias(goes), F.col("n").alias(n)), uid, "left")
+    met = met.where(~F.coalesce(goes, F.lit(False)))
+    if found.where("NOT goes AND n > 1").limit(1).count():
+        out = out.union(met.where(F.col(n) > 1).dropDuplicates([uid]).select(*docs.columns))
+        met = met.where(F.col(n).isNull())
+    return out.union(met.select(*docs.columns))
