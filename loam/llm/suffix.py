@@ -264,6 +264,7 @@ class _Sorter:
         self.regions: dict[tuple[int, int, bytes], list[tuple[int, int, int]]] = {}
 
     def add(self, h: int, u: int, v: int, a: int, s0: int, region: bytes) -> None:
+        h = h * _BASE % (1 << 64)  # anchors are the least hashes of their windows; ranges need them spread
         self.regions.setdefault((h, a - s0, region), []).append((u, v, a))
 
     def runs(self, window: int) -> Iterator[list]:
