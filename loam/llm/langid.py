@@ -200,6 +200,8 @@ def train(
         if len(slots):
             tf = 1 + np.log(sample["counts"][i].values.to_numpy(zero_copy_only=False))
             made.append((slots, _unit(tf * idf[slots]), at[sample["label"][i].as_py()]))
+    del sample
+    pa.default_memory_pool().release_unused()
     back, fitted = made[::5], [r for i, r in enumerate(made) if i % 5]
     weights = _ftrl(fitted or made, 1 << bits, len(labels), alpha, beta, l1, l2, epochs)
     logits = np.array([x @ weights[slots] + weights[-1] for slots, x, _ in back]).reshape(-1, len(labels))

@@ -344,8 +344,8 @@ def _sets_of(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
 
 def _pairs_alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """(a, b) of the pairs (a, ia, b, ib) whose sets have a Jaccard similarity of ``least`` or more, written."""
-    both = pairs.join(sets.select(F.col("id").alias("ia"), F.col("grams").alias("ga")), "ia")
-    both = both.join(sets.select(F.col("id").alias("ib"), F.col("grams").alias("gb")), "ib")
+    both = pairs.join(sets.select(F.col("id").alias("ia"), F.col("grams").alias("ga")).hint("merge"), "ia")
+    both = both.join(sets.select(F.col("id").alias("ib"), F.col("grams").alias("gb")).hint("merge"), "ib")
     shared = F.size(F.array_intersect("ga", "gb"))
     alike = both.where(shared >= F.lit(float(least)) * (F.size("ga") + F.size("gb") - shared))
     return written(alike.select("a", "b"), "similar")
@@ -361,19 +361,19 @@ def across_components(members: DataFrame, sets: DataFrame, least: float) -> Data
     """
     held = members.join(sets, "id").select("node", "c", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
     known = written(held.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("df > 1"), "grams")
-    met = held.join(known.select("gram", "df"), "gram").groupBy("node", "c", "n")
+    met = held.join(known.select("gram", "df").hint("merge"), "gram").groupBy("node", "c", "n")  # tables of shingles stay off the driver
     ordered = met.agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"))
     # shingles of its own come before all others of a set
     placed = ordered.select("node", "c", "n", F.posexplode("grams").alias("i", "g"), (F.col("n") - F.size("grams")).alias("own"))
     placed = placed.select("node", "c", "n", "g.gram", (F.col("own") + F.col("i")).alias("at"))
     early = placed.where(F.col("at") + F.lit(float(least)) * F.col("n") <= F.col("n") + 1e-9)
-    early = written(early.join(known.where("c0 < c1").select("gram"), "gram", "left_semi"), "prefixes")
+    early = written(early.join(known.where("c0 < c1").select("gram").hint("merge"), "gram", "left_semi"), "prefixes")
     one, two = (early.select("gram", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "c", "n", "at")]) for side in "ab")
     room = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
     fits = (F.col("a_c") != F.col("b_c")) & (F.col("a_n") * F.lit(float(least)) <= F.col("b_n") + 1e-9)
     fits &= (F.col("a_n") > F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_node") > F.col("b_node")))
     fits &= room + 1e-9 >= F.lit(least / (1 + least)) * (F.col("a_n") + F.col("b_n"))
-    pairs = one.join(two, (one["gram"] == two["gram"]) & fits).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    pairs = one.join(two.hint("merge"), (one["gram"] == two["gram"]) & fits).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
     ids = members.select("node", "id")
     pairs = pairs.join(ids.select(F.col("node").alias("a"), F.col("id").alias("ia")), "a")
     pairs = written(pairs.join(ids.select(F.col("node").alias("b"), F.col("id").alias("ib")), "b"), "pairs")
