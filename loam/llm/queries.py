@@ -77,6 +77,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from loam.llm.tokens import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loam.llm.importance import resample
+
+    found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=2, buckets=10_000, percent=25, min_words=20, seed=7, carry=("doc_id",))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loam.llm.conversations import repair
+
+    return repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_exact_dedup": op2_exact_dedup,
@@ -88,11 +109,51 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
+    "op11_token_counts": op11_token_counts,
+    "op12_importance": op12_importance,
+    "op13_conversations": op13_conversations,
 }
 
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
+
+
+def _crc_table() -> str:
+    """The 256 steps of CRC-32, from its polynomial, as an SQL list."""
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return f"{out}::BIGINT[]"
+
+
+def _crc(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a string's UTF-8 bytes; ``text`` is a column's name."""
+    byte = f"list_transform(range(strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), (2 * i + 1)::INT, 2))::BIGINT)"
+    return f"xor(list_reduce({byte}, lambda c, b: xor(c >> 8, ({_crc_table()})[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def _way(state: str, cost: str, letter: str, line: str = "''") -> str:
+    """SQL for a path of op13 that goes on by an edit."""
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {state}.t || {line}}}"
+
+
+_NO_WAY = "{'c': 1000000000, 'a': '', 't': ''}"
+_SPACES = "e' \\t\\n\\x0b\\f\\r'"
+_KEEP, _AS_USER, _AS_ASSISTANT = "chr(10) || role || ':' || text", "chr(10) || 'user:' || text", "chr(10) || 'assistant:' || text"
+
+
+def _turned(states: str, to: str, initial: str) -> str:
+    """SQL for the rows of op13 that are kept or get another role, from each of the states."""
+    found = []
+    for s in states.split():
+        found.append(f"CASE WHEN fault NOT IN (1, 2) THEN {_way(s, '2 + cut', 'R', to)} ELSE {_NO_WAY} END")
+        found.append(f"CASE WHEN fault NOT IN (1, 2) AND ini = '{initial}' THEN {_way(s, 'cut', 'K', _KEEP)} ELSE {_NO_WAY} END")
+    return ", ".join(found)
+
+
 ORACLE_SQL = {
     "op2_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -165,4 +226,70 @@ ORACLE_SQL = {
                CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id = keep THEN NULL ELSE keep END AS refers_to
         FROM d""",
+    "op12_importance": f"""
+        WITH texts AS (
+            SELECT false AS target, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), {AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+            UNION ALL SELECT true, item_id, regexp_extract_all(translate(coalesce(text, ''), {AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM benchmark),
+        grams AS (
+            SELECT target, id, unnest(w) AS f FROM texts
+            UNION ALL SELECT target, id, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda z: z[1] || ' ' || z[2])) FROM texts WHERE len(w) > 1),
+        hashed AS (SELECT f, {_crc('f')} % 10000 AS bucket FROM (SELECT DISTINCT f FROM grams)),
+        features AS (SELECT target, id, bucket FROM grams JOIN hashed USING (f)),
+        counts AS (
+            SELECT b.bucket, count(*) FILTER (NOT target) AS s, count(*) FILTER (target) AS t
+            FROM range(10000) b(bucket) LEFT JOIN features USING (bucket) GROUP BY b.bucket),
+        gain AS (
+            SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain
+            FROM counts),
+        weighed AS (
+            SELECT id, count(*) AS n_features, sum(gain)::BIGINT AS total FROM features JOIN gain USING (bucket) WHERE NOT target GROUP BY id),
+        scored AS (
+            SELECT id AS doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features,
+                   coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0)::BIGINT AS weight,
+                   ('0x' || substr(sha256('7:' || id), 1, 8))::BIGINT AS h
+            FROM texts LEFT JOIN weighed USING (id) WHERE NOT target),
+        noisy AS (
+            SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM scored),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS r, count(*) FILTER (n_words >= 20) OVER () AS n FROM noisy)
+        SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN n_words >= 20 AND r <= 25 * n // 100 THEN r END AS rank FROM ranked""",
+    "op13_conversations": f"""
+        WITH RECURSIVE told AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS label FROM conversations),
+        kinds AS (SELECT *, {_crc('label')} % 20 AS kind FROM told),
+        hurt AS (
+            SELECT conv_id, coalesce(conv_id::VARCHAR, '') AS k, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+            FROM kinds, range(CASE kind WHEN 3 THEN 2 ELSE 1 END) WHERE kind <> 0),
+        placed AS (
+            SELECT *, left(role, 1) AS ini, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text)) AS i FROM hurt),
+        marked AS (
+            SELECT *, lag(ini) OVER (PARTITION BY k ORDER BY i) || ini AS pair,
+                   CASE WHEN trim(text, {_SPACES}) = '' THEN 1 WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 THEN 2
+                        WHEN right(rtrim(text, {_SPACES}), 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault
+            FROM placed),
+        faults AS (SELECT *, CASE fault WHEN 3 THEN 1 ELSE 0 END AS cut FROM marked),
+        walk AS (
+            SELECT DISTINCT k, 0::BIGINT AS i, {{'c': 0, 'a': '', 't': ''}} AS s0, {_NO_WAY} AS s1, {_NO_WAY} AS s2, {_NO_WAY} AS s3 FROM faults
+            UNION ALL
+            SELECT k, i,
+                   {_way('s0', '3', 'D')},
+                   least({_way('s1', '3', 'D')}, CASE WHEN fault NOT IN (1, 2) AND ini = 's' THEN {_way('s0', 'cut', 'K', _KEEP)} ELSE {_NO_WAY} END),
+                   least({_way('u', '3', 'D')}, {_turned('s0 s1 s3', _AS_USER, 'u')}, {_turned('a', _AS_USER, 'u')}),
+                   least({_way('a', '3', 'D')}, {_turned('u', _AS_ASSISTANT, 'a')})
+            FROM (SELECT *, least(s3, {_way('u', '2', 'I', "chr(10) || 'assistant:'")}) AS a
+                  FROM (SELECT w.s0, w.s1, w.s3, f.*, least(w.s2, {_way('w.s0', '2', 'I', "chr(10) || 'user:'")}, {_way('w.s1', '2', 'I', "chr(10) || 'user:'")}, {_way('w.s3', '2', 'I', "chr(10) || 'user:'")}) AS u
+                        FROM walk w JOIN faults f ON f.k = w.k AND f.i = w.i + 1))),
+        sums AS (
+            SELECT k, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+                   count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM faults GROUP BY k),
+        ended AS (
+            SELECT sums.*, least(s0, s3, {_way('u', '2', 'I', "chr(10) || 'assistant:'")}) AS e
+            FROM (SELECT *, least(s2, {_way('s0', '2', 'I', "chr(10) || 'user:'")}, {_way('s1', '2', 'I', "chr(10) || 'user:'")}, {_way('s3', '2', 'I', "chr(10) || 'user:'")}) AS u FROM walk) w
+            JOIN sums ON sums.k = w.k AND sums.n = w.i)
+        SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+               coalesce(illegal, 0) AS illegal, coalesce(e.c, 0)::BIGINT AS cost, coalesce(e.a, '') AS audit, sha256(coalesce(substr(e.t, 2), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, '') AS k FROM conversations) LEFT JOIN ended USING (k)""",
 }
