@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loam.operators import diff as D, exchange as X, formatting, graph as G, packing, parsing, rules as R, search as S
 from loam.session import written
 from loam.sources.bundle import EXCLUDED, read_bundle
+from loam.sources.sink import write_files, write_pieces
 
 
 #: Names of a bundle's configuration; the first that is there counts.
@@ -141,6 +142,21 @@ class Bundle:
     def formatted(self) -> DataFrame:
         return formatting.formatted(self.files, self.config.key_order)
 
+    def format_files(self, root: str, check: bool = False, mounted: bool = False) -> DataFrame:
+        """(path, size) of the files that formatting changes, written in their places below ``root``; with ``check`` only named."""
+        changed = self.formatted().where("changed").select("path", F.col("formatted").alias("content"))
+        if check:
+            return changed.select("path", F.octet_length("content").cast("long").alias("size"))
+        return write_files(changed, root, replace=True, mounted=mounted)
+
+    def write_site(self, root: str, title: str = "Bundle", replace: bool = False, mounted: bool = False) -> DataFrame:
+        """(path, size) of a static site: a page for each concept, an index in order of id, and the graph as JSON."""
+        concepts = self.context.concepts
+        pages = X.site_pages(concepts, self.edges().where("resolved AND kind = 'markdown-link'"))
+        written_pages = write_files(pages.select("path", F.col("html").alias("content")), root, replace, mounted)
+        pieces = X.site_index_pieces(concepts, self.stats(), title).union(X.graph_json(self.nodes(), self.edges()))
+        return written_pages.union(write_pieces(pieces, ["part", "key"], root, replace, mounted))
+
     def manifest(self, files: DataFrame | None = None) -> DataFrame:
         """One row (files, hash) over what a package may hold: the bundle's files, or ``files`` (path, content) of all kinds."""
         with_id = packing.packable(self.files if files is None else files).join(self.parsed.select("path", "id"), "path", "left")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loam.functions.yaml import read_front_matter
+from loam.operators.ordinals import numbered_within
+from loam.session import written
 
 
 def diff(before: DataFrame, after: DataFrame, fields: Sequence[str] = ()) -> DataFrame:
@@ -15,23 +17,33 @@ def diff(before: DataFrame, after: DataFrame, fields: Sequence[str] = ()) -> Dat
     Rows of both snapshots with another content hash or another of ``fields`` are changed, and
     ``changed`` lists what differs. Removed and added rows of one content hash are paired in order
     of id: the k-th of the one is the k-th of the other renamed; what is left over stays removed or
-    added. Hashes with one side only never meet.
+    added. Null hashes are paired with none. A hash that any number of rows share is numbered by ranges of its
+    rows and paired by number, so no task has all of them.
     """
     columns = ["content_hash", *fields]
     old = before.select("id", *[F.col(c).alias(f"old_{c}") for c in columns], F.lit(True).alias("was"))
     new = after.select("id", *columns, F.lit(True).alias("is"))
     both = old.join(new, "id", "full_outer")
     differ = F.filter(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"old_{c}")), F.lit(c)) for c in columns]), lambda x: x.isNotNull())
-    none = F.array().cast("array<string>")
-    changed = both.where("was AND `is`").withColumn("changed", differ).where(F.size("changed") > 0)
-    nth = lambda h: F.row_number().over(Window.partitionBy(h).orderBy("id"))
-    gone = both.where("`is` IS NULL").select(F.col("id").alias("old_id"), F.col("old_content_hash").alias("h"), nth("old_content_hash").alias("n"))
-    come = both.where("was IS NULL").select("id", F.col("content_hash").alias("h"), nth("content_hash").alias("n"))
-    moved = gone.join(come, ["h", "n"], "full_outer")
+    side = F.when(F.col("is").isNull(), "gone").when(F.col("was").isNull(), "come").otherwise("both")
+    rows = both.select("id", side.alias("side"), F.when(side == "gone", F.col("old_content_hash")).otherwise(F.col("content_hash")).alias("h"), differ.alias("changed"))
+    rows = written(rows.where((F.col("side") != "both") | (F.size("changed") > 0)), "diff")
+    none, no_id = F.array().cast("array<string>"), F.lit(None).cast("string")
+    changed = rows.where("side = 'both'").select(F.lit("changed").alias("change"), "id", no_id.alias("old_id"), "changed")
+    # a hash with one row on each side pairs by its sums; the rows of others are numbered, however many one has
+    one = lambda s: F.count_if(F.col("side") == s).alias(s)
+    first = lambda s: F.min(F.when(F.col("side") == s, F.col("id"))).alias(f"{s}_id")
+    groups = written(rows.where("side <> 'both' AND h IS NOT NULL").groupBy("h").agg(one("gone"), one("come"), first("gone"), first("come")), "hashes")
+    pairs = groups.where("gone <= 1 AND come <= 1")
+    moved = pairs.select(F.col("gone_id").alias("old_id"), F.col("come_id").alias("id"))
+    many = rows.where("side <> 'both'").join(groups.where("gone > 1 OR come > 1").select("h"), "h", "left_semi")
+    if groups.where("gone > 1 OR come > 1").limit(1).count():
+        nth = lambda s: numbered_within(many.where(F.col("side") == s).select("h", "id"), ["h"], [F.col("id")], "n", "renames")
+        moved = moved.union(nth("gone").withColumnRenamed("id", "old_id").join(nth("come"), ["h", "n"], "full_outer").select("old_id", "id"))
+    blank = rows.where("side <> 'both' AND h IS NULL")
+    moved = moved.union(blank.select(F.when(F.col("side") == "gone", F.col("id")), F.when(F.col("side") == "come", F.col("id"))))
     kind = F.when(F.col("id").isNull(), "removed").when(F.col("old_id").isNull(), "added").otherwise("renamed")
-    return changed.select(F.lit("changed").alias("change"), "id", F.lit(None).cast("string").alias("old_id"), "changed").union(
-        moved.select(kind, F.coalesce("id", "old_id"), F.when(F.col("id").isNotNull(), F.col("old_id")), none)
-    )
+    return changed.union(moved.select(kind, F.coalesce("id", "old_id"), F.when(F.col("id").isNotNull(), F.col("old_id")), none))
 
 
 def link_changes(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loam.functions.paths import concept_path, identity_hash, path_key
 from loam.functions.text import ascii_slug, blank, escape_html, escape_markdown_text, json_text, spaced_code_span
+from loam.operators.ordinals import numbered
 from loam.session import written
 
 # The methods of an HTTP interface that operations are read of.
@@ -213,10 +214,35 @@ def dot_lines(edges: DataFrame) -> DataFrame:
 
 
 def cytoscape_edges(edges: DataFrame) -> DataFrame:
-    """(id, source, target, kind): an edge's id carries its rank among the edges of its source, target and kind."""
-    counts = edges.groupBy("source", "target", "kind").agg(F.count(F.lit(1)).alias("n"))
-    numbered = counts.select("source", "target", "kind", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("rank"))
-    return numbered.select(F.concat("source", F.lit("->"), "target", F.lit(":"), "kind", F.lit(":"), "rank").alias("id"), "source", "target", "kind")
+    """(id, source, target, kind, label, resolved): an edge's id ends in its number among all edges.
+
+    Edges are numbered from 0 in order of source, target, kind and label, by ranges of that order. An edge without label or
+    ``resolved`` has nulls there.
+    """
+    have = {c: F.col(c) if c in edges.columns else F.lit(None).cast(t) for c, t in (("label", "string"), ("resolved", "boolean"))}
+    rows = edges.select("source", "target", "kind", *[v.alias(c) for c, v in have.items()])
+    found = numbered(rows, [F.col("source"), F.col("target"), F.col("kind"), F.asc_nulls_first("label"), F.asc_nulls_first("resolved")], "number", "edges")
+    id_ = F.concat("source", F.lit("->"), "target", F.lit(":"), "kind", F.lit(":"), F.col("number").cast("string"))
+    return found.select(id_.alias("id"), "source", "target", "kind", "label", "resolved")
+
+
+def graph_json(nodes: DataFrame, edges: DataFrame, path: str = "graph.json") -> DataFrame:
+    """(path, part, key, text): a graph as one JSON document in pieces, a line for each node and edge, for ``write_pieces``.
+
+    The nodes come in order of their ids, then the edges in order of theirs. An element's comma stands before it, so that only the
+    first of each list differs: it is the one without a predecessor, found as the least key.
+    """
+    spark = nodes.sparkSession
+
+    def listed(rows: DataFrame, part: int, key: str) -> DataFrame:
+        least = F.broadcast(rows.agg(F.min(key).alias("least_")))  # one row
+        comma = F.when(F.col(key) == F.col("least_"), F.lit("\n")).otherwise(F.lit(",\n"))
+        return rows.join(least).select(F.lit(part).alias("part"), F.col(key).alias("key"), F.concat(comma, F.to_json(F.struct(*rows.columns))).alias("text"))
+
+    fixed = spark.createDataFrame([(0, "", '{"nodes":['), (2, "", '\n],"edges":['), (4, "", "\n]}\n")], "part int, key string, text string")
+    found = fixed.union(listed(nodes.select("id", "path", "type", "title", "tags"), 1, "id"))
+    found = found.union(listed(cytoscape_edges(edges), 3, "id"))
+    return found.select(F.lit(path).alias("path"), "part", "key", "text")
 
 
 def sarif_results(diagnostics: DataFrame) -> DataFrame:
@@ -278,3 +304,13 @@ def site_index(concepts: DataFrame) -> DataFrame:
     """(id, line): the index page's entries, a line for each concept, to be written in order of id."""
     title = F.coalesce("title", "id")
     return concepts.select("id", F.concat(F.lit('<li><a href="'), escape_html(F.col("id")), F.lit('.html">'), escape_html(title), F.lit("</a></li>")).alias("line"))
+
+
+def site_index_pieces(concepts: DataFrame, stats: DataFrame, title: str, path: str = "index.html") -> DataFrame:
+    """(path, part, key, text): the index page of a site in pieces, for ``write_pieces``: counts of the bundle, then a line for each concept."""
+    name = escape_html(F.lit(title))
+    counts = F.concat(*[F.concat(F.lit(f"<dt>{what}</dt><dd>"), F.col(c).cast("string"), F.lit("</dd>")) for what, c in (("Concepts", "concepts"), ("Links", "links"), ("Broken links", "broken_links"))])
+    head = F.concat(F.lit('<!doctype html><html><head><meta charset="utf-8"><title>'), name, F.lit("</title></head><body><h1>"), name, F.lit("</h1><dl>"), counts, F.lit("</dl><ul>\n"))
+    lines = site_index(concepts).select(F.lit(1), F.col("id"), F.concat("line", F.lit("\n")))
+    end = concepts.sparkSession.createDataFrame([(2, "", "</ul></body></html>\n")], "part int, key string, text string")
+    return stats.select(F.lit(0).alias("part"), F.lit("").alias("key"), head.alias("text")).union(lines).union(end).select(F.lit(path).alias("path"), "part", "key", "text")

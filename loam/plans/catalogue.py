@@ -857,8 +857,8 @@ def graph_stats(spark, sf):
 
 
 @query(
-    """SELECT 'c' || c_custkey || '->n' || c_nationkey || ':fk:0' AS id, '  "c' || c_custkey || '" -> "n' || c_nationkey || '";' AS line FROM customer UNION ALL
-       SELECT 'n' || n_nationkey || '->r' || n_regionkey || ':fk:0', '  "n' || n_nationkey || '" -> "r' || n_regionkey || '";' FROM nation"""
+    """WITH e AS (SELECT 'c' || c_custkey AS source, 'n' || c_nationkey AS target FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)
+        SELECT source || '->' || target || ':fk:' || (row_number() OVER (ORDER BY source, target) - 1) AS id, '  "' || source || '" -> "' || target || '";' AS line FROM e"""
 )
 def rendered_edges(spark, sf):
     edges = _places(spark, sf)[1].withColumns({"kind": F.lit("fk"), "resolved": F.lit(True)})

@@ -1,86 +1,80 @@
-"""A directory of Markdown files as a Spark data source."""
+"""A folder of Markdown files: as a Spark data source, and listed and read by tasks."""
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from loam.sources.store import FOLDER, Store
+from loam.sources.tree import EXCLUDED, Chosen, children, glob_pattern, read_tree as read_listed
 
-def glob_pattern(glob: str) -> re.Pattern:
-    """``**`` spans folders, ``*`` and ``?`` stay in one; ``x/**`` also is ``x`` itself."""
-    out, i = "", 0
-    while i < len(glob):
-        if glob.startswith("/**", i) and i + 3 == len(glob):
-            out, i = out + "(?:/.*)?", i + 3
-        elif glob.startswith("**/", i):
-            out, i = out + "(?:.*/)?", i + 3
-        elif glob.startswith("**", i):
-            out, i = out + ".*", i + 2
-        elif glob[i] in "*?":
-            out, i = out + ("[^/]*" if glob[i] == "*" else "[^/]"), i + 1
-        else:
-            out, i = out + re.escape(glob[i]), i + 1
-    return re.compile(out + r"\Z", re.DOTALL)
+__all__ = ["EXCLUDED", "BundleDataSource", "comparison_root", "glob_pattern", "read_bundle", "read_tree"]
 
 
-#: Folders that are never part of a bundle, as globs.
-EXCLUDED = ".git/**,node_modules/**"
+class Folders(InputPartition):
+    """Folders whose trees a task walks, and files that it reads."""
 
-
-class Paths(InputPartition):
-    def __init__(self, paths: tuple[str, ...]):
-        super().__init__(paths)
-        self.paths = paths
+    def __init__(self, folders: tuple[str, ...], files: tuple[str, ...]):
+        super().__init__(folders)
+        self.folders, self.files = folders, files
 
 
 class BundleReader(DataSourceReader):
-    """Walks the tree on the driver, where excluded folders are not entered; tasks read the files."""
+    """The driver lists folders, level by level, until there are ``tasks`` of them; tasks walk those and read the files."""
 
     def __init__(self, options: dict):
-        self.root = options["path"].removeprefix("file://")
-        self.include = [glob_pattern(g) for g in options.get("include", "**/*.md").split(",")]
-        excludes = [g for g in options.get("exclude", EXCLUDED).split(",") if g]
-        self.exclude = [glob_pattern(g) for g in excludes]
+        self.root = options["path"]
+        self.include, self.exclude = options.get("include", "**/*.md"), options.get("exclude", EXCLUDED)
         self.per_task = int(options.get("filespertask", 1000))
+        self.tasks = int(options.get("tasks", 64))
 
     def partitions(self) -> Sequence[InputPartition]:
-        if not os.path.isdir(self.root):
+        store, chosen = Store(self.root), Chosen(self.include, self.exclude)
+        if store.kind("") != FOLDER:
             raise NotADirectoryError(self.root)
-        found: list[str] = []
-        for folder, folders, names in os.walk(self.root, followlinks=False):
-            inside = os.path.relpath(folder, self.root).replace(os.sep, "/")
-            at = "" if inside == "." else inside + "/"
-            folders[:] = [f for f in folders if not any(p.match(at + f) for p in self.exclude)]
-            for name in names:
-                path = at + name
-                if os.path.islink(os.path.join(folder, name)) or any(p.match(path) for p in self.exclude):
-                    continue
-                if any(p.match(path) for p in self.include):
-                    if "\\" in path:
-                        raise ValueError(f"not a portable path: {path!r}")
-                    found.append(path)
-        found.sort()
-        return [Paths(tuple(found[i : i + self.per_task])) for i in range(0, len(found), self.per_task)] or [Paths(())]
-
-    def read(self, partition: Paths) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(partition.paths), 100):
-            some = partition.paths[i : i + 100]
-            texts = []
-            for path in some:
-                with open(os.path.join(self.root, path), "rb") as f:
-                    texts.append(f.read().decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array(texts, pa.string())], ["path", "content"])
+        folders, files = [""], []
+        while folders and len(folders) < self.tasks:
+            below = [child for folder in folders for child in children(store, chosen, folder)]
+            folders, more = [p for p, is_folder, _ in below if is_folder], [p for p, is_folder, _ in below if not is_folder]
+            files += more
+        files.sort()
+        parts: list[InputPartition] = [Folders((), tuple(files[i : i + self.per_task])) for i in range(0, len(files), self.per_task)]
+        return parts + [Folders((folder,), ()) for folder in folders] or [Folders((), ())]
+
+    def read(self, partition: Folders) -> Iterator[pa.RecordBatch]:
+        store, chosen = Store(self.root), Chosen(self.include, self.exclude)
+
+        def paths() -> Iterator[str]:
+            yield from partition.files
+            todo = list(partition.folders)
+            while todo:
+                for path, is_folder, _ in children(store, chosen, todo.pop()):
+                    if is_folder:
+                        todo.append(path)
+                    else:
+                        yield path
+
+        some: list[str] = []
+        for path in paths():
+            some.append(path)
+            if len(some) == 100:
+                yield self._batch(store, some)
+                some = []
+        yield self._batch(store, some)
+
+    def _batch(self, store: Store, paths: list[str]) -> pa.RecordBatch:
+        texts = [store.read(p).decode("utf-8", "replace") for p in paths]
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.string())], ["path", "content"])
 
 
 class BundleDataSource(DataSource):
     """``spark.read.format("bundle").load(root)``: (path, content) of the files, hidden ones included.
 
-    Options ``include`` and ``exclude`` are comma-separated globs; ``filesPerTask`` sizes partitions.
+    Options ``include`` and ``exclude`` are comma-separated globs; ``filesPerTask`` and ``tasks`` size partitions.
     """
 
     @classmethod
@@ -94,12 +88,18 @@ class BundleDataSource(DataSource):
         return BundleReader(dict(self.options))
 
 
-def read_bundle(spark: SparkSession, root: str, **options) -> DataFrame:
-    """(path, content) of a bundle; a tree on a local disk by the source above, any other by :func:`read_tree`."""
+def read_bundle(spark: SparkSession, root: str, include: str = "**/*.md", exclude: str = EXCLUDED, filesPerTask: int = 1000, mounted: bool = False) -> DataFrame:  # noqa: N803
+    """(path, content) of a bundle, hidden files included; tasks list its folders and read its files, see :mod:`loam.sources.tree`.
+
+    A disk is read by a cluster only where ``mounted`` says that all machines see it. A URL that only Spark can
+    read goes by :func:`read_tree`.
+    """
     if "://" in root and not root.startswith("file://"):
-        return read_tree(spark, root, **{k: v for k, v in options.items() if k in ("include", "exclude")})
-    spark.dataSource.register(BundleDataSource)
-    return spark.read.format("bundle").options(**options).load(root)
+        try:
+            Store(root)
+        except Exception:  # noqa: BLE001  pyarrow has no driver for it
+            return read_tree(spark, root, include, exclude)
+    return read_listed(spark, root, include, exclude, mounted, filesPerTask)
 
 
 def read_tree(spark: SparkSession, root: str, include: str = "**/*.md", exclude: str = EXCLUDED) -> DataFrame:
