@@ -11,6 +11,7 @@ from loam.functions import text as T
 from loam.functions.markdown import places, scanned_links
 from loam.functions.paths import resolve_target
 from loam.functions.yaml import read_front_matter
+from loam.operators.scopes import scoped
 
 # The fields that name what replaces a concept.
 REPLACEMENT_KEYS = ("replacement", "replaced_by", "replacedBy", "superseded_by", "supersededBy")
@@ -80,18 +81,18 @@ def is_empty(body: Column) -> Column:
     return F.when(plain, F.lit(False)).otherwise(plain_text(body) == "")
 
 
-def parse(files: DataFrame) -> DataFrame:
+def parse(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """(path, content) to one row per file with typed front matter, headings and link texts.
 
     Front matter of plain entries is read by patterns, any other by a YAML reader in batches; ``front`` is
     its text, null where a file has none. ``invalid`` says why it is refused, in which case the
     file has no field; ``front_json`` is the mapping as JSON where the reader was asked. Fields are
     texts and lists of texts: other values count as absent. Links that the patterns can't take apart
-    are scanned. A null content is an empty file.
+    are scanned. A null content is an empty file. Columns named in ``keep`` go along.
     """
     content = F.coalesce("content", F.lit(""))
     has = content.rlike(_FRONT)
-    rows = files.select("path", content.alias("content")).withColumns(
+    rows = files.select(*keep, "path", content.alias("content")).withColumns(
         {
             "kind": T.file_kind(F.col("path")),
             "front": F.when(has, F.regexp_extract("content", _FRONT, 1)),
@@ -117,6 +118,7 @@ def parse(files: DataFrame) -> DataFrame:
 
     one = text_of("resource")
     return rows.select(
+        *keep,
         T.concept_id(F.col("path")).alias("id"),
         "path",
         "kind",
@@ -176,16 +178,19 @@ def links(plain: Column) -> Column:
     return _if_any(plain, ("](",), made, F.from_json(F.lit("[]"), "array<struct<text: string, target: string>>"))
 
 
-def resolved_links(parsed: DataFrame) -> DataFrame:
+def resolved_links(parsed: DataFrame, scope: str | None = None) -> DataFrame:
     """One row per link: (source, source_path, ordinal, text, target_raw, kind, target, resolved).
 
     Internal targets are resolved against the linking file and looked up among all files by a left
-    join; external and anchor links count as resolved.
+    join; external and anchor links count as resolved. With ``scope``, the name of a column, ids are scoped
+    by it, links find targets in their own scope alone, and the column goes along.
     """
-    rows = parsed.select(F.col("id").alias("source"), F.col("path").alias("source_path"), F.posexplode("links").alias("ordinal", "link"))
-    rows = rows.select("source", "source_path", "ordinal", "link.text", F.col("link.target").alias("target_raw"))
+    own = [scope] if scope else []
+    rows = parsed.select(*own, F.col("id").alias("source"), F.col("path").alias("source_path"), F.posexplode("links").alias("ordinal", "link"))
+    rows = rows.select(*own, "source", "source_path", "ordinal", "link.text", F.col("link.target").alias("target_raw"))
     rows = rows.withColumn("kind", T.link_kind(F.col("target_raw")))
     wanted = F.when(F.col("kind") == "internal", resolve_target("source_path", "target_raw"))
+    wanted = scoped(F.col(scope), wanted) if scope else wanted
     ids = parsed.select(F.col("id").alias("target")).distinct()
     joined = rows.withColumn("wanted", wanted).join(ids, F.col("wanted") == F.col("target"), "left")
     resolved = F.when(F.col("kind") == "internal", F.col("target").isNotNull()).otherwise(F.col("kind") != "unknown")
@@ -197,13 +202,15 @@ def bundle_stats(parsed: DataFrame, links_: DataFrame) -> DataFrame:
     return all_stats(parsed, links_).drop("files", "diagnostics")
 
 
-def all_stats(parsed: DataFrame, links_: DataFrame) -> DataFrame:
-    """One row of all counts of a bundle: also its files, and those whose front matter is refused."""
+def all_stats(parsed: DataFrame, links_: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row of all counts of a bundle: also its files, and those whose front matter is refused. ``by`` gives a row for each of its values."""
     kinds = (("concept", "concepts"), ("index", "indexes"), ("log", "logs"))
-    files = parsed.agg(
+    files = parsed.groupBy(*by).agg(
         F.count(F.lit(1)).alias("files"), *[F.count_if(F.col("kind") == k).alias(n) for k, n in kinds], F.count("invalid").alias("diagnostics")
     )
-    edges = links_.agg(
+    edges = links_.groupBy(*by).agg(
         F.count(F.lit(1)).alias("links"), F.count_if((F.col("kind") == "internal") & ~F.col("resolved")).alias("broken_links")
     )
+    if by:
+        return files.join(edges, list(by), "left").na.fill(0, ["links", "broken_links"])
     return files.join(F.broadcast(edges))  # two tables of one row

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loam.functions import text as T
 from loam.functions.paths import aliases_of, has_private_url, is_private_host, resource_host
 from loam.operators import graph as G
+from loam.operators.scopes import scoped, within
 from loam.session import written
 
 # Severities from most to least, and score points of each.
@@ -99,11 +100,15 @@ class Config:
 
 @dataclass
 class Context:
-    """What rules read: parsed files, links and degrees. Each is a table that rules share."""
+    """What rules read: parsed files, links and degrees. Each is a table that rules share.
+
+    With ``scope``, a column's name, the rows are many bundles', whose ids are scoped by it; see :mod:`loam.operators.scopes`.
+    """
 
     parsed: DataFrame
     links: DataFrame
     config: Config
+    scope: str | None = None
 
     @property
     def concepts(self) -> DataFrame:
@@ -113,6 +118,23 @@ class Context:
     def edges(self) -> DataFrame:
         return self.links.where("kind = 'internal' AND resolved").select("source", "target")
 
+    @property
+    def concept_edges(self) -> DataFrame:
+        """The edges between concepts."""
+        inner = self.edges.join(self.concepts.select(F.col("id").alias("source")), "source", "left_semi")
+        return inner.join(self.concepts.select(F.col("id").alias("target")), "target", "left_semi").select("source", "target")
+
+    def shared_key(self, key: Column) -> Column:
+        """What rows of one bundle share by ``key``."""
+        return scoped(F.col(self.scope), key) if self.scope else key
+
+    def each(self, having: Column | None = None) -> DataFrame:
+        """(path, id): one row without a path for the bundle, or for each of many, if ``having`` holds of its files."""
+        whole = self.parsed.groupBy(self.scope) if self.scope else self.parsed.groupBy()
+        rows = whole.agg((F.lit(True) if having is None else having).alias("has")).where("has")
+        none = F.lit(None).cast("string")
+        return rows.select(none.alias("path"), (scoped(F.col(self.scope), F.lit("")) if self.scope else none).alias("id"))
+
     @cached_property
     def has_internal_links(self) -> bool:
         return bool(self.links.where("kind = 'internal'").limit(1).count())
@@ -185,9 +207,9 @@ def _metric_source(c: Context) -> DataFrame:
 
 
 def _cycles(c: Context) -> DataFrame:
-    inner = c.edges.join(c.concepts.select(F.col("id").alias("source")), "source", "left_semi")
-    inner = inner.join(c.concepts.select(F.col("id").alias("target")), "target", "left_semi")
-    cycles = G.representative_cycles(inner, G.strong_components(inner))
+    cycles = G.representative_cycles(c.concept_edges, G.strong_components(c.concept_edges))
+    if c.scope:
+        cycles = cycles.withColumn("cycle", F.transform("cycle", within))
     return cycles.join(c.concepts.select(F.col("id").alias("scc"), "path"), "scc").withColumnRenamed("scc", "id")
 
 
@@ -214,10 +236,7 @@ def _bad_path(config: Config) -> Column:
 
 
 def _version(c: Context) -> DataFrame:
-    bad = c.config.version not in T.VERSIONS
-    return c.parsed.limit(0).select("path", "id") if not bad else c.parsed.sparkSession.range(1).select(
-        F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("id")
-    )
+    return c.each() if c.config.version not in T.VERSIONS else c.parsed.limit(0).select("path", "id")
 
 
 #: Rules that decide on a concept alone: the condition and the message. Lint reads the concepts once for all of them.
@@ -255,16 +274,15 @@ ROW_RULES: dict[str, tuple[Callable[[Config], Column], str]] = {
 
 #: Rules that need groups, links or several rows of a concept.
 RULES: dict[str, Callable[[Context], DataFrame]] = {
-    "spec/invalid-frontmatter": lambda c: found(c.parsed.where("invalid IS NOT NULL"), F.col("invalid"), concept=None),
+    "spec/invalid-frontmatter": lambda c: found(c.parsed.where("invalid IS NOT NULL"), F.col("invalid"), concept="id" if c.scope else None),
     "spec/unsupported-version": lambda c: found(_version(c), "The bundle's version is not supported."),
     "hygiene/duplicate-title": lambda c: _shared(
-        c.concepts.where(~T.blank(F.col("title"))).select(F.lower(T.trimmed(F.col("title"))).alias("key"), "path", "id"),
+        c.concepts.where(~T.blank(F.col("title"))).select(c.shared_key(F.lower(T.trimmed(F.col("title")))).alias("key"), "path", "id"),
         "Another concept has this title.",
     ),
     "hygiene/duplicate-resource": lambda c: _shared(
-        c.concepts.select(
-            "path", "id", F.explode(F.array_distinct(F.transform("resource", lambda r: F.lower(T.trimmed(r))))).alias("key")
-        ).where("key <> ''"),
+        c.concepts.withColumn("key", F.explode(F.array_distinct(F.transform("resource", lambda r: F.lower(T.trimmed(r))))))
+        .where("key <> ''").select("path", "id", c.shared_key(F.col("key")).alias("key")),
         "Another concept has this resource.",
     ),
     "graph/broken-internal-link": lambda c: found(
@@ -284,9 +302,7 @@ RULES: dict[str, Callable[[Context], DataFrame]] = {
         _resources(c).where(F.col("host").isNotNull() & ~F.col("host").isin([a for h in c.config.allow_hosts for a in aliases_of(h)])),
         F.concat(F.lit("Resource of another host: "), "url"),
     ),
-    "agent/missing-index": lambda c: found(
-        c.parsed.agg(F.count_if(F.col("kind") == "index").alias("n")).where("n = 0"), "The bundle has no index.", None, None
-    ),
+    "agent/missing-index": lambda c: found(c.each(F.count_if(F.col("kind") == "index") == 0), "The bundle has no index."),
 }
 
 
@@ -382,9 +398,9 @@ def ordered(diagnostics: DataFrame) -> DataFrame:
     return diagnostics.orderBy(F.desc("severity_rank"), F.coalesce("path", F.lit("")), "code", "message")
 
 
-def severity_counts(diagnostics: DataFrame) -> DataFrame:
-    """One row with a count of every severity, zeros included."""
-    return diagnostics.agg(*[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES])
+def severity_counts(diagnostics: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row with a count of every severity, zeros included; ``by`` gives a row for each of its values."""
+    return diagnostics.groupBy(*by).agg(*[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES])
 
 
 def readiness(counts: DataFrame) -> DataFrame:
@@ -409,10 +425,15 @@ def exceeds(diagnostics: DataFrame, fail_on: str) -> DataFrame:
     return diagnostics.agg(F.coalesce(F.max("severity_rank") >= RANK[fail_on], F.lit(False)).alias("exceeds"))
 
 
-def doctor(context: Context) -> tuple[DataFrame, DataFrame]:
-    """Diagnostics, written, with the agent-ready rules and the three of the doctor, and one row of counts and score."""
+def doctor_diagnostics(context: Context) -> DataFrame:
+    """Diagnostics, written, with the agent-ready rules and the three of the doctor."""
     levels = {**DOCTOR, **context.config.rules}
     presets = context.config.presets if "agent-ready" in context.config.presets else (*context.config.presets, "agent-ready")
     config = Config(**{**context.config.__dict__, "rules": levels, "presets": presets})
-    diagnostics = written(lint(Context(context.parsed, context.links, config)), "doctor")
+    return written(lint(Context(context.parsed, context.links, config, context.scope)), "doctor")
+
+
+def doctor(context: Context) -> tuple[DataFrame, DataFrame]:
+    """The doctor's diagnostics, and one row of counts and score."""
+    diagnostics = doctor_diagnostics(context)
     return diagnostics, readiness(severity_counts(diagnostics))

@@ -26,6 +26,13 @@ def postings(pairs: DataFrame, block: Column | None = None, blocks: int = 1) ->
     return pairs.groupBy("term", at.alias("block")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
+def best(pairs: DataFrame, wanted: DataFrame, limit: int) -> DataFrame:
+    """(query, id, score, rank) from (id, term) and (query, term) pairs: of each query the ids with the most of its terms; ties to the smaller id."""
+    hits = pairs.join(wanted, "term").groupBy("query", "id").agg(F.count(F.lit(1)).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= limit)
+
+
 def search(pairs: DataFrame, queries: DataFrame, query_col: str, text_col: str, limit: int = 10) -> DataFrame:
     """(query, id, score, rank): for each query, the documents with the most of its terms; ties to the smaller id.
 
@@ -35,6 +42,4 @@ def search(pairs: DataFrame, queries: DataFrame, query_col: str, text_col: str,
     if isinstance(limit, bool) or not isinstance(limit, int) or not 1 <= limit <= 50:
         raise ValueError("limit must be a whole number from 1 to 50")
     wanted = terms(queries, query_col, text_col).withColumnRenamed("id", "query")
-    hits = pairs.join(wanted, "term").groupBy("query", "id").agg(F.count(F.lit(1)).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= limit)
+    return best(pairs, wanted, limit)

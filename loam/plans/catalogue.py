@@ -20,7 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 #: The time that rules on age take as now.
-NOW = "2024-07-01 00:00:00"
+NOW, NOW_MS = "2024-07-01 00:00:00", 1719792000000
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
