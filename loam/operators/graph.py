@@ -64,6 +64,42 @@ def _peeled(edges: DataFrame) -> DataFrame:
     return edges.join(into, "a", "left_semi").join(out, "b", "left_semi").select("a", "b")
 
 
+def _thin(edges: DataFrame) -> DataFrame:
+    """(v, next) of the nodes of (a, b) with one edge in and one out: the next node."""
+    ends = edges.select(F.col("a").alias("v"), F.col("b").alias("next"), F.lit(0).alias("into")).union(edges.select("b", F.lit(None).cast("string"), F.lit(1)))
+    counted = ends.groupBy("v").agg(F.count_if(F.col("into") == 0).alias("n_out"), F.sum("into").alias("n_in"), F.max("next").alias("next"))
+    return counted.where("n_out = 1 AND n_in = 1").select("v", "next")
+
+
+def _followed(thin: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What each thin node leads to: ((v, to, last, steps), (v, root)), both written.
+
+    The first has the nodes that lead out of the thin ones: where to, by which last thin node, and in how many steps. The second
+    has those that go round, with the least node of their ring. Pointers double, so a path of n nodes takes about
+    log n rounds: in each all that are as near as the pointers reach leave, and once none does only rings are left, whose
+    least nodes are known when they no longer change.
+    """
+    start = thin.select("v", "next", F.col("v").alias("last"), F.lit(1).cast("long").alias("steps"), F.col("v").alias("least"))
+    here = thin.select(F.col("v").alias("next"), F.lit(True).alias("inner"))
+    now = written(start.join(here, "next", "left").select("v", "next", "last", "steps", "least", F.coalesce("inner", F.lit(False)).alias("inner")), "paths")
+    before = None
+    while True:
+        seen = now.where("inner").agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "least").cast("decimal(38,0)"))).first()
+        if not seen[0] or seen == before:
+            break
+        before = seen
+        other = now.select(F.col("v").alias("next"), F.col("next").alias("far"), F.col("last").alias("far_last"), F.col("steps").alias("far_steps"), F.col("least").alias("far_least"), F.col("inner").alias("far_inner"))
+        moved = now.where("inner").join(other, "next").select(
+            "v", F.col("far").alias("next"), F.col("far_last").alias("last"), (F.col("steps") + F.col("far_steps")).alias("steps"), F.least("least", "far_least").alias("least"), F.col("far_inner").alias("inner")
+        )
+        last, now = now, written(now.where("NOT inner").union(moved), "paths")
+        discard(last)
+    out = written(now.where("NOT inner").select("v", F.col("next").alias("to"), "last", "steps"), "paths")
+    rings = written(now.where("inner").select("v", F.col("least").alias("root")), "rings")
+    discard(now)
+    return out, rings
+
+
 def _least_reaching(edges: DataFrame) -> DataFrame:
     """(node, least), written: the least node from which each node of the edges (a, b) is reached.
 
@@ -83,43 +119,85 @@ def _least_reaching(edges: DataFrame) -> DataFrame:
             return label
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, scc) of the nodes that lie on a cycle; ``scc`` is the smallest node of the component.
+def _coloured(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((node, root) of some strong components, the edges between what is in none of them), both written.
 
-    Nodes without an edge in or out are peeled, two layers a round. Of the rest each gets the
-    least node that reaches it as its colour, and within its colour the least that it reaches: where
-    both are the same, the node is in the component of that one. These leave, and the rest goes
-    round again.
+    Each node gets the least node that reaches it as its colour, and within its colour the least that it
+    reaches: where both are the same, the node is in the component of that one.
     """
-    left = written(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).distinct(), "scc")
-    done = written(left.select(F.col("a").alias("node"), F.col("a").alias("scc")).limit(0), "scc")
-    while True:
-        before = left.count()
-        while before:
+    colour = _least_reaching(left)
+    ends = [colour.select(F.col("node").alias(end), F.col("least").alias(f"c{end}")) for end in "ab"]
+    same = left.join(ends[0], "a").join(ends[1], "b").where("ca = cb")
+    same = written(same.select(F.col("b").alias("a"), F.col("a").alias("b"), "ca"), "scc")  # turned round
+    back = _least_reaching(same.select("a", "b"))
+    found = back.join(colour.withColumnRenamed("least", "colour"), "node").where("least = colour").select("node", F.col("least").alias("root"))
+    found = written(found, "scc")
+    inside = [found.select(F.col("node").alias(end), F.col("root").alias(f"s{end}")) for end in "ab"]
+    cyclic = same.join(inside[0], "a").join(inside[1], "b").where("sa = sb").select(F.col("sa").alias("root")).distinct()
+    rest = left
+    roots = colour.where("node = least").select("node").union(found.select("node")).distinct()
+    for end in "ab":
+        rest = rest.join(roots.select(F.col("node").alias(end)), end, "left_anti")
+    done, rest = written(found.join(cyclic, "root", "left_semi").select("node", "root"), "scc"), written(rest.select("a", "b"), "scc")
+    discard(same, found)
+    return done, rest
+
+
+def _components(edges: DataFrame) -> DataFrame | None:
+    """(node, root) of the nodes of (a, b), without repeats, that lie on a cycle; a root stands for its component. None for none.
+
+    What has no edge in or out is peeled, a few layers at a time. Then thin nodes, which have one edge in and one out, are left
+    out: rings of them are components, and others belong to where they come from if that is where they lead to. So chains
+    and long rings shrink to an edge in about the logarithm of their length, and so do trees, whose stems
+    become thin as leaves are peeled. What is then left is coloured.
+    """
+    loops = edges.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("root"))
+    left = written(edges.where("a <> b"), "scc")
+    before, found = left.count(), None
+    for _ in range(2):
+        if before:
             last, left = left, written(_peeled(_peeled(left)), "scc")
             discard(last)
             now = left.count()
-            if now == before:
+            before, shrunk = now, now < before
+            if not shrunk:
                 break
-            before = now
-        if not before:
-            return done
-        colour = _least_reaching(left)
-        ends = [colour.select(F.col("node").alias(end), F.col("least").alias(f"c{end}")) for end in "ab"]
-        same = left.join(ends[0], "a").join(ends[1], "b").where("ca = cb")
-        same = written(same.select(F.col("b").alias("a"), F.col("a").alias("b"), "ca"), "scc")  # turned round
-        back = _least_reaching(same.select("a", "b"))
-        found = back.join(colour.withColumnRenamed("least", "colour"), "node").where("least = colour").select("node", F.col("least").alias("scc"))
-        found = written(found, "scc")
-        inside = [found.select(F.col("node").alias(end), F.col("scc").alias(f"s{end}")) for end in "ab"]
-        cyclic = same.join(inside[0], "a").join(inside[1], "b").where("sa = sb").select(F.col("sa").alias("scc")).distinct()
-        done = written(done.union(found.join(cyclic, "scc", "left_semi").select("node", "scc")), "scc")
-        roots = colour.where("node = least").select("node").union(found.select("node")).distinct()
-        last = left
-        for end in "ab":
-            left = left.join(roots.select(F.col("node").alias(end)), end, "left_anti")
-        left = written(left.select("a", "b"), "scc")
-        discard(last, same)
+    if before:
+        thin = written(_thin(left), "thin")
+        if 8 * thin.count() >= before:
+            out, rings = _followed(thin)
+            inner = out.select(F.col("v").alias("b"), "to", "last")
+            known = thin.select(F.col("v").alias("a"))
+            entered = written(left.join(known, "a", "left_anti").join(inner, "b", "left").select("a", F.coalesce("to", "b").alias("b"), "last"), "scc")
+            found = _components(entered.select("a", "b").distinct())
+            rooted = rings.select(F.col("v").alias("node"), "root")
+            if found is not None:
+                ends = [found.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")) for end in "ab"]
+                round_ = entered.where("last IS NOT NULL").join(ends[0], "a").join(ends[1], "b").where("ra = rb").select("last", F.col("ra").alias("root"))
+                rooted = rooted.union(out.join(round_, "last").select(F.col("v").alias("node"), "root")).union(found)
+            found = written(rooted, "scc")
+        else:
+            found, rest = _coloured(left)
+            more = _components(rest)
+            if more is not None:
+                found = written(found.union(more), "scc")
+    discard(left)
+    own = loops if found is None else found.union(loops.join(found.select("node"), "node", "left_anti"))
+    own = written(own, "scc")
+    return own if own.limit(1).count() else None
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, scc) of the nodes of (source, target) that lie on a cycle; ``scc`` is the smallest node of the component.
+
+    See :func:`_components`; no nodes on cycles, or no edges, give no rows.
+    """
+    pairs = edges.select(F.col("source").cast("string").alias("a"), F.col("target").cast("string").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    found = _components(written(pairs.distinct(), "edges"))
+    if found is None:
+        return edges.sparkSession.createDataFrame([], "node string, scc string")
+    least = found.groupBy("root").agg(F.min("node").alias("scc"))
+    return found.join(least, "root").select("node", "scc")
 
 
 def representative_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
@@ -127,26 +205,57 @@ def representative_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
 
     It starts with the least node's least successor in the component and returns by the least of the
     shortest paths; a loop on the least node is a cycle of its own.
+
+    Nodes that lie between one edge in and one out are left out, so distances to the least node settle in as many rounds as the rest has edges
+    on a path. Each node then knows its next one; what lies on the cycle is found by pointers of doubling length, and
+    the cycle is put together once.
     """
-    start = components.select(F.col("node").alias("source"), "scc")
-    inner = edges.select("source", "target").distinct().join(start, "source").join(
-        components.select(F.col("node").alias("target"), F.col("scc").alias("other")), "target"
-    )
-    inner = written(inner.where("scc = other").select("scc", "source", "target"), "cycles")
-    first = inner.where("source = scc").groupBy("scc").agg(F.min("target").alias("node"))
-    paths = written(first.select("scc", "node", F.array("scc", "node").alias("path")), "cycles")
-    done = paths.where("node = scc").select("scc", F.col("path").alias("cycle"))
-    seen = paths.select("scc", "node")
+    spark = edges.sparkSession
+    components = written(components.select(F.col("node").cast("string").alias("node"), F.col("scc").cast("string").alias("scc")), "cycles")
+    if not components.limit(1).count():
+        return spark.createDataFrame([], "scc string, cycle array<string>")
+    start = components.select(F.col("node").alias("a"), "scc")
+    ends = components.select(F.col("node").alias("b"), F.col("scc").alias("other"))
+    pairs = edges.select(F.col("source").cast("string").alias("a"), F.col("target").cast("string").alias("b")).distinct()
+    inner = written(pairs.join(start, "a").join(ends, "b").where("scc = other").select("scc", "a", "b"), "cycles")
+    first = written(inner.where("a = scc").groupBy("scc").agg(F.min("b").alias("s")), "cycles")
+    loops = first.where("s = scc").select("scc", F.array("scc", "scc").alias("cycle"))
+    first = first.where("s <> scc")
+    ways = written(inner.where("a <> b").join(first.select("scc"), "scc", "left_semi").select("scc", "a", "b"), "cycles")
+    if not ways.limit(1).count():
+        return loops
+    thin = written(_thin(ways).join(first.select(F.col("scc").alias("v")), "v", "left_anti"), "cycles")
+    out, _ = _followed(thin)
+    # from each node that isn't thin: the first node of a way, where it leads, and its length
+    leads = out.select(F.col("v").alias("b"), "to", "steps")
+    arcs = ways.join(thin.select(F.col("v").alias("a")), "a", "left_anti").join(leads, "b", "left")
+    arcs = written(arcs.select("scc", "a", F.col("b").alias("first"), F.coalesce("to", "b").alias("to"), (F.coalesce("steps", F.lit(0)) + 1).alias("w")), "cycles")
+    far = written(first.select(F.col("scc").alias("to"), F.lit(0).cast("long").alias("d")), "cycles")
+    before = None
     while True:
-        open_ = paths.join(done.select("scc"), "scc", "left_anti")
-        step = open_.join(inner.withColumnRenamed("source", "node"), ["scc", "node"])
-        step = step.select("scc", F.col("target").alias("node"), F.concat("path", F.array("target")).alias("path"))
-        step = step.join(seen, ["scc", "node"], "left_anti").groupBy("scc", "node").agg(F.min("path").alias("path"))
-        paths = written(step, "cycles")
-        if not paths.limit(1).count():
-            return done
-        done = written(done.union(paths.where("node = scc").select("scc", F.col("path").alias("cycle"))), "cycles")
-        seen = written(seen.union(paths.select("scc", "node")), "cycles")
+        seen = far.agg(F.count(F.lit(1)), F.sum("d")).first()
+        if seen == before:
+            break
+        before = seen
+        sent = arcs.join(far, "to").select(F.col("a").alias("to"), (F.col("w") + F.col("d")).alias("d"))
+        last, far = far, written(far.union(sent).groupBy("to").agg(F.min("d").alias("d")), "cycles")
+        discard(last)
+    tight = arcs.where("a <> scc").join(far, "to").join(far.select(F.col("to").alias("a"), F.col("d").alias("own")), "a").where("w + d = own")
+    hops = tight.groupBy("scc", F.col("a").alias("v")).agg(F.min("first").alias("next"), F.min("own").alias("d"))
+    between = out.join(far, "to").join(components.select(F.col("node").alias("v"), "scc"), "v").join(thin, "v").select("scc", "v", "next", (F.col("steps") + F.col("d")).alias("d"))
+    hops = written(hops.union(between), "cycles")
+    on = written(first.join(hops.select("scc", F.col("v").alias("s"), "d"), ["scc", "s"]).select("scc", F.col("s").alias("v"), "d"), "cycles")
+    longest = on.agg(F.max("d")).first()[0]
+    jumps = [hops.select("v", "next")]
+    while 1 << len(jumps) < longest:
+        again = jumps[-1].select(F.col("v").alias("next"), F.col("next").alias("far"))
+        jumps.append(written(jumps[-1].join(again, "next").select("v", F.col("far").alias("next")), "cycles"))  # the least node has none, so paths end there
+    for jump in reversed(jumps):
+        ahead = on.join(jump, "v").select("scc", F.col("next").alias("v")).join(hops.select("v", "d"), "v").select("scc", "v", "d")
+        on = written(on.union(ahead).distinct(), "cycles")
+    path = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("d")).alias("d"), "v"))), lambda x: x["v"])
+    found = on.groupBy("scc").agg(path.alias("path"))
+    return loops.union(found.select("scc", F.concat(F.array("scc"), "path", F.array("scc")).alias("cycle")))
 
 
 def stale_clusters(cluster: DataFrame, times: DataFrame, now_ms: int, days: int) -> DataFrame:
