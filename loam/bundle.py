@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from loam.operators import diff as D, exchange as X, formatting, graph as G, packing, parsing, rules as R, search as S
 from loam.session import written
@@ -122,10 +122,19 @@ class Bundle:
         return G.clusters(self.context.concepts, inner)
 
     def search(self, text: str, limit: int = 10) -> DataFrame:
-        words = F.concat_ws("\n", "title", "description", F.array_join("tags", " "), "body")
-        pairs = S.terms(self.context.concepts.withColumn("words", words), "id", "words")
-        asked = self.parsed.sparkSession.createDataFrame([(0, text)], "q int, text string")
-        return S.search(pairs, asked, "q", "text", limit).drop("query")
+        """(id, score, rank, path, title, description, type) of the best concepts for a text; a text without terms lists them by id."""
+        S.checked_limit(limit)
+        spark = self.parsed.sparkSession
+        asked = spark.createDataFrame([(0, text)], "q int, text string")
+        fields = self.context.concepts.select("id", "path", "title", "description", "type")
+        if not S.terms(asked, "q", "text").limit(1).count():
+            listed = fields.select("id").orderBy("id").limit(limit)
+            found = listed.select("id", F.lit(1).cast("long").alias("score"), F.row_number().over(Window.orderBy("id")).alias("rank"))  # at most fifty rows
+        else:
+            words = F.concat_ws("\n", "title", "description", F.array_join("tags", " "), "body")
+            pairs = S.terms(self.context.concepts.withColumn("words", words), "id", "words")
+            found = S.search(pairs, asked, "q", "text", limit).drop("query")
+        return found.join(fields, "id").orderBy("rank")
 
     def diff(self, before: Bundle) -> DataFrame:
         fields = ["title", "description", "type", "resource", "tags", "timestamp", "body"]

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from loam.functions.text import tokens
+from loam.session import discard, written
 
 
 def terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -26,20 +30,87 @@ def postings(pairs: DataFrame, block: Column | None = None, blocks: int = 1) ->
     return pairs.groupBy("term", at.alias("block")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
+#: Documents of a block, about.
+BLOCK = 1024
+
+
+def indexed(pairs: DataFrame, documents: int) -> DataFrame:
+    """(term, block, ids, n) of (id, term) pairs without repeats: postings in hash blocks of about 1024 of ``documents``."""
+    found = postings(pairs, blocks=max(1, -(-documents // BLOCK)))
+    return found.withColumn("n", F.size("ids").cast("long"))
+
+
+def _scored(asked: DataFrame, index: DataFrame, limit: int) -> DataFrame:
+    """(query, block, id, score) from (query, block, term): of each query and block the best ids by how many of the terms they have.
+
+    A group is a query's terms in one block, so its lists are bounded by the query and the block.
+    """
+    id_type = index.schema["ids"].dataType.elementType
+    schema = StructType([asked.schema["query"], asked.schema["block"], StructField("id", id_type), StructField("score", LongType())])
+
+    def count(key: tuple, rows: pa.Table) -> pa.Table:
+        found = pc.value_counts(pc.list_flatten(rows["ids"].combine_chunks()))
+        table = pa.table({"id": found.field("values"), "score": found.field("counts")})
+        best_ = table.take(pc.select_k_unstable(table, limit, [("score", "descending"), ("id", "ascending")]))
+        ends = [pa.array([k.as_py()] * best_.num_rows, k.type) for k in key]
+        return pa.table([*ends, best_["id"], best_["score"]], names=["query", "block", "id", "score"])
+
+    lists = asked.join(index.select("term", "block", "ids"), ["term", "block"]).select("query", "block", "ids")
+    return lists.groupBy("query", "block").applyInArrow(count, schema)
+
+
+def ranked(index: DataFrame, wanted: DataFrame, limit: int) -> DataFrame:
+    """(query, id, score, rank) from postings (term, block, ids, n) and (query, term) pairs.
+
+    Terms and blocks meet by their counts first. Each query's most promising blocks, ``limit`` of them, are scored whole,
+    and the last of their best scores is a bound: an id that is to reach it must have one of the query's rarest terms,
+    all but as many as the bound less one. Blocks without any of those, or with fewer of the terms than the bound, are never
+    read. Lists are joined as blocks, not as ids, and each block gives its ``limit`` best, of which Spark keeps as
+    many for each query before they are shuffled.
+    """
+    frequencies = index.groupBy("term").agg(F.sum("n").alias("df"))
+    by_query = Window.partitionBy("query")  # a query's terms
+    place = F.row_number().over(by_query.orderBy("df", "term"))
+    asked = written(wanted.join(frequencies, "term").select("query", "term", place.alias("place"), F.count(F.lit(1)).over(by_query).alias("terms")), "asked")
+    spread = index.select("term", "block", "n").join(asked, "term").groupBy("query", "block")
+    spread = written(spread.agg(F.count(F.lit(1)).alias("bound"), F.sum("n").alias("weight"), F.min("place").alias("rarest"), F.max("terms").alias("terms")), "spread")
+    promising = F.row_number().over(by_query.orderBy(F.desc("bound"), F.desc("weight"), "block"))
+    first = spread.withColumn("nth", promising).where(F.col("nth") <= limit).select("query", "block")
+    seeds = _scored(first.join(asked.select("query", "term"), "query"), index, limit)
+    scores = F.sort_array(F.collect_list("score"), asc=False)  # at most limit x limit of them
+    least = seeds.groupBy("query").agg(F.coalesce(F.get(scores, F.lit(limit - 1)), F.lit(1)).alias("least"))
+    least = written(least, "least")
+    needed = (F.col("rarest") <= F.col("terms") - F.col("least") + 1) & (F.col("bound") >= F.col("least"))
+    blocks = spread.join(least, "query").where(needed).select("query", "block")
+    found = _scored(blocks.join(asked.select("query", "term"), "query"), index, limit)
+    rank = F.row_number().over(by_query.orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= limit).select("query", "id", "score", "rank")
+
+
 def best(pairs: DataFrame, wanted: DataFrame, limit: int) -> DataFrame:
-    """(query, id, score, rank) from (id, term) and (query, term) pairs: of each query the ids with the most of its terms; ties to the smaller id."""
-    hits = pairs.join(wanted, "term").groupBy("query", "id").agg(F.count(F.lit(1)).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= limit)
+    """(query, id, score, rank) from (id, term) and (query, term) pairs: of each query the ids with the most of its terms; ties to the smaller id.
+
+    An index of the wanted terms alone is written, and :func:`ranked`.
+    """
+    wanted = written(wanted.distinct(), "wanted")
+    kept = pairs.join(wanted.select("term").distinct(), "term", "left_semi").select("id", "term").distinct()
+    kept = written(kept, "pairs")
+    documents = kept.agg(F.approx_count_distinct("id")).first()[0]
+    index = written(indexed(kept, documents), "index")
+    discard(kept)
+    return ranked(index, wanted, limit)
+
+
+def checked_limit(limit: int) -> int:
+    if isinstance(limit, bool) or not isinstance(limit, int) or not 1 <= limit <= 50:
+        raise ValueError("limit must be a whole number from 1 to 50")
+    return limit
 
 
 def search(pairs: DataFrame, queries: DataFrame, query_col: str, text_col: str, limit: int = 10) -> DataFrame:
     """(query, id, score, rank): for each query, the documents with the most of its terms; ties to the smaller id.
 
-    The join is an equality on terms with sums before the shuffle; no query meets a document that
-    shares none of its terms.
+    See :func:`ranked`: no document is listed for a query that it shares no term with, or can't be among the best of.
     """
-    if isinstance(limit, bool) or not isinstance(limit, int) or not 1 <= limit <= 50:
-        raise ValueError("limit must be a whole number from 1 to 50")
     wanted = terms(queries, query_col, text_col).withColumnRenamed("id", "query")
-    return best(pairs, wanted, limit)
+    return best(pairs, wanted, checked_limit(limit))
