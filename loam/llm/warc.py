@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
@@ -24,6 +24,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from loam.llm.common import bitmap_of, probed
 from loam.session import discard, new_path, written
 
 READ_SCHEMA = (
@@ -288,7 +289,7 @@ class Archives(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Writes rows of READ_SCHEMA (without ``payload_bytes`` counting) as gzip members.
+    """Writes rows of READ_SCHEMA as gzip members; ``payload_bytes`` counts where there is no payload, and digests may be hexadecimal.
 
     Each file begins with a ``warcinfo`` record, and a task begins a new file after ``fileBytes``, so
     that no reader's task has more than that. A task writes under names of its own attempt, which
@@ -330,14 +331,18 @@ class WarcWriter(DataSourceArrowWriter):
 
     def member(self, row: dict) -> bytes:
         payload = row["payload"] or b""
-        http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+        size = (row["payload_bytes"] or 0) if row["payload"] is None else len(payload)
+        digest = row["payload_digest"] or base32_sha1(payload)
+        if len(digest) == 40:  # in hexadecimal digits
+            digest = base64.b32encode(bytes.fromhex(digest)).decode()
+        http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
         revisit = row["record_type"] == "revisit"
         head = [
             ("WARC-Type", row["record_type"]),
             ("WARC-Record-ID", row["record_id"]),
             ("WARC-Target-URI", row["target_uri"]),
             ("WARC-Date", row["date"]),
-            ("WARC-Payload-Digest", f"sha1:{row['payload_digest'] or base32_sha1(payload)}"),
+            ("WARC-Payload-Digest", f"sha1:{digest}"),
             ("WARC-Refers-To", row["refers_to"]),
             ("WARC-Profile", REVISIT_PROFILE if revisit else None),
             ("Content-Type", "application/http; msgtype=response"),
@@ -398,37 +403,49 @@ def write_pages(
     smaller than any other. Rows that repeat the largest id of a payload are all responses. An
     empty table writes no record, and other columns are ignored.
 
-    Only digests are grouped; the groups of two and more, joined back on the digest, decide.
+    Only digests are grouped. What shares one, as a bitmap of the groups tells, is decided without payloads, and
+    revisits are written without: their digest and size are known. Of what stays a response only the
+    rows of groups, told by a second bitmap, are joined with their payloads, so payloads are shuffled once for
+    each group at most; all others go from the scan to the archive.
     """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("target_uri"), payload.alias("payload"))
-    rows = rows.withColumn("sha1", F.sha1("payload"))
+    key = F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit(""))
+    rows = rows.withColumns({"sha1": F.sha1("payload"), "key": key, "payload_bytes": F.octet_length("payload").cast("long")})
     groups = (
-        rows.where(F.octet_length("payload") >= min_revisit_bytes)
+        rows.where(F.col("payload_bytes") >= min_revisit_bytes)
         .groupBy("sha1")
         .agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
         .select("sha1", "keep")
     )
     groups = written(groups, "payloads")
+    members = bitmap_of(groups.select("sha1"))
+    slim = probed(rows.select("id", "target_uri", "sha1", "key", "payload_bytes"), members, "member", F.col("sha1")).where("member")
     revisit = F.coalesce("shared", F.lit(False)) & ~F.col("id").eqNullSafe(F.col("keep"))
+    decided = slim.join(groups.withColumn("shared", F.lit(True)), "sha1", "left").select("id", "target_uri", "sha1", "key", "payload_bytes", "keep", revisit.alias("revisit"))
+    decided = written(decided, "decided")
+    responses = written(decided.where("NOT revisit").select("sha1", "key").distinct(), "responses")
 
-    def record_id(column: str):
+    def record_id(column: str) -> Column:
         return F.concat(F.lit("<urn:loam:page:"), F.coalesce(F.col(column).cast("string"), F.lit("")), F.lit(">"))
 
-    out = rows.join(groups.withColumn("shared", F.lit(True)), "sha1", "left").select(
-        F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"),
-        record_id("id").alias("record_id"),
-        "target_uri",
-        F.lit(date).alias("date"),
-        F.lit(None).cast("string").alias("payload_digest"),
-        F.when(revisit, record_id("keep")).alias("refers_to"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        "payload",
-    )
+    def record(of: DataFrame, kind: str, digest: Column, refers_to: Column, body: Column) -> DataFrame:
+        return of.select(
+            F.lit(kind).alias("record_type"), record_id("id").alias("record_id"), "target_uri", F.lit(date).alias("date"),
+            digest.alias("payload_digest"), refers_to.alias("refers_to"), "payload_bytes", body.alias("payload"),
+        )
+
+    none = F.lit(None)
+    told = probed(probed(rows, members, "member", F.col("sha1")), bitmap_of(responses), "kept", F.col("sha1"), F.col("key"))
+    straight = told.where("NOT member")
+    joined = told.where("member AND kept").join(responses, ["sha1", "key"], "left_semi")
+    out = record(straight, "response", none.cast("string"), none.cast("string"), F.col("payload"))
+    out = out.union(record(joined, "response", none.cast("string"), none.cast("string"), F.col("payload")))
+    out = out.union(record(decided.where("revisit"), "revisit", F.col("sha1"), record_id("keep"), none.cast("binary")))
     register(pages.sparkSession)
     out.write.format("warc").mode("append").save(path)
-    discard(groups)
+    discard(groups, decided, responses)
 
 
 def read_pages(

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loam.llm.topk import top_k
+from loam.llm import warc
 from loam.llm.warc import archive_pages, read_pages, register, write_pages
 
 
@@ -75,3 +76,19 @@ def test_predicates_and_foreign_archives(spark, tmp_path):
     rows = spark.read.format("warc").load(str(tmp_path / "b")).where("record_type = 'resource'").collect()
     assert [(r["target_uri"], bytes(r["payload"]), r["payload_bytes"]) for r in rows] == [("u", b"abc", 3)] * 2
     assert archive_pages(pages(spark).where("false")).count() == 0
+
+
+@pytest.mark.parametrize("slots", [0, 1 << 29])
+def test_groups_beyond_a_broadcast(spark, monkeypatch, slots):
+    """Joins by sorting, with and without bitmaps, give the same records, and only kept payloads are joined."""
+    real = warc.bitmap_of
+    monkeypatch.setattr(warc, "bitmap_of", lambda keys: real(keys, slots))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        test_round_trip(spark, 0)
+        test_round_trip(spark, 5)
+        rows = spark.range(400).selectExpr("id AS page_id", "'u' AS url", "IF(id % 3 > 0, 'hot', concat('own', id)) AS html")
+        found = archive_pages(rows).groupBy("record_type").count().collect()
+        assert {r["record_type"]: r["count"] for r in found} == {"response": 135, "revisit": 265}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
