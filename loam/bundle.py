@@ -116,10 +116,13 @@ class Bundle:
     def backlinks(self) -> DataFrame:
         return G.backlinks(self.context.concepts, self.context.edges)
 
-    def clusters(self) -> DataFrame:
-        inner = self.context.edges.join(self.context.concepts.select(F.col("id").alias("source")), "source", "left_semi")
-        inner = inner.join(self.context.concepts.select(F.col("id").alias("target")), "target", "left_semi")
-        return G.clusters(self.context.concepts, inner)
+    def clusters(self, reserved: bool = False) -> DataFrame:
+        """(id, cluster) of the concepts; with ``reserved`` also of the indexes and logs that a cluster reaches, which bridge none."""
+        found = G.clusters(self.context.concepts, self.context.concept_edges)
+        if not reserved:
+            return found
+        found = written(found, "clusters")
+        return found.union(G.reserved_members(found, self.parsed.where("kind <> 'concept'"), self.context.edges))
 
     def search(self, text: str, limit: int = 10) -> DataFrame:
         """(id, score, rank, path, title, description, type) of the best concepts for a text; a text without terms lists them by id."""
@@ -169,4 +172,4 @@ class Bundle:
     def manifest(self, files: DataFrame | None = None) -> DataFrame:
         """One row (files, hash) over what a package may hold: the bundle's files, or ``files`` (path, content) of all kinds."""
         with_id = packing.packable(self.files if files is None else files).join(self.parsed.select("path", "id"), "path", "left")
-        return packing.manifest(with_id)
+        return packing.manifest_tree(with_id)

@@ -129,6 +129,34 @@ def links(body: str) -> Iterator[tuple[str, str, int, int]]:
                 open_ = [o for o in open_ if o[1]]  # what surrounds a link is no link
 
 
+def without_links(text: str) -> str:
+    """The text with each inline link as its label, and without images; of a link in a label only the inner one counts."""
+    open_: list[tuple[int, bool]] = []
+    gone: list[tuple[int, int]] = []
+    at = 0
+    while mark := _MARK.search(text, at):
+        at = mark.end()
+        if mark[0] in ("[", "!["):
+            open_.append((at - 1, mark[0] == "!["))
+        elif mark[0] in ("\r", "\n"):
+            open_ = []
+        elif mark[0] == "]" and open_:
+            start, image = open_.pop()
+            found = _destination(text, at + 1) if text[at : at + 1] == "(" else None
+            if found and image:
+                gone.append((start - 1, found[1]))
+                at = found[1]
+            elif found:
+                gone += [(start, start + 1), (at - 1, found[1])]
+                at = found[1]
+                open_ = [o for o in open_ if o[1]]
+    out, done = [], 0
+    for start, end in sorted(gone):
+        out.append(text[done:start])
+        done = max(done, end)
+    return "".join([*out, text[done:]])
+
+
 def headings(body: str) -> Iterator[tuple[int, str, int, int]]:
     """(level, title, start, end) of the headings with number signs."""
     at = 0
@@ -171,3 +199,9 @@ def places(content: pd.Series, body: pd.Series) -> pd.Series:
 def scanned_links(body: pd.Series) -> pd.Series:
     """Links of the texts that aren't null, by a scan in linear time."""
     return pd.Series([None if b is None else [(label or None, target) for label, target, *_ in links(b)] for b in body], dtype=object)
+
+
+@F.pandas_udf(StringType())
+def unlinked(text: pd.Series) -> pd.Series:
+    """:func:`without_links` of the texts that aren't null."""
+    return text.map(without_links, na_action="ignore")

@@ -1,15 +1,22 @@
-"""Reads the YAML of front matter: block and flow collections, all scalar styles, tags, anchors and aliases."""
+"""The YAML of front matter as values, by the events of an installed parser and the core schema."""
 
 from __future__ import annotations
 
+import heapq
 import json
 import math
 import re
+from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
+try:
+    import yaml
+except ImportError:  # then front matter that isn't plain lines is refused
+    yaml = None
+
 #: Collections inside each other, the outermost mapping included, and values that aliases may stand for.
 MOST_NESTED, MOST_ALIASES = 200, 100
 # Why front matter is refused.
@@ -21,510 +28,148 @@ RECURSIVE = "Front matter must not hold recursive YAML aliases."
 FINITE = "Front matter numbers must be finite."
 ALIASES = "Front matter holds too many aliases."
 UNIQUE = "Front matter keys must be unique."
+#: What the parser's complaints say of front matter, by a part of their words.
+_COMPLAINTS = {
+    "scanning a quoted scalar": "Front matter has an open quote", "cannot start any token": "Front matter has a reserved mark or is indented by tabs",
+    "expected <block end>": "Front matter is indented unevenly", "did not find expected key": "Front matter is indented unevenly",
+    "mapping values are not allowed": "Front matter nests a mapping within a line", "sequence entries are not allowed": "Front matter has a list within a line",
+}
 
 # The scalars of the core schema.
 _NULL = re.compile(r"~|null|Null|NULL|")
 _BOOL = re.compile(r"true|True|TRUE|false|False|FALSE")
 _INT = re.compile(r"[-+]?[0-9]+|0o[0-7]+|0x[0-9a-fA-F]+")
 _FLOAT = re.compile(r"[-+]?(?:\.[0-9]+|[0-9]+\.[0-9]*)(?:[eE][-+]?[0-9]+)?|[-+]?[0-9]+[eE][-+]?[0-9]+|[-+]?\.(?:inf|Inf|INF)|\.(?:nan|NaN|NAN)")
-_ESCAPES = {"0": "\0", "a": "\a", "b": "\b", "t": "\t", "\t": "\t", "n": "\n", "v": "\v", "f": "\f", "r": "\r", "e": "\x1b", " ": " ",
-            '"': '"', "/": "/", "\\": "\\", "N": "\x85", "_": "\xa0", "L": "\u2028", "P": "\u2029"}
+_DATE = re.compile(r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}.*", re.DOTALL)
 _CORE = "tag:yaml.org,2002:"
-_PROPERTY = re.compile(r"([!&])(<[^>\s]*>|[^\s,\[\]{}]*)")
+_TEXTS = {"str": re.compile("(?s).*"), "binary": re.compile("(?s).*"), "timestamp": _DATE}
+_TYPED = {"int": _INT, "float": _FLOAT, "bool": _BOOL, "null": _NULL}
 
 
 class FrontMatterError(ValueError):
     pass
 
 
-def _number(text: str) -> int | float:
-    if text[:2] in ("0o", "0x"):
-        return int(text, 8 if text[1] == "o" else 16)
-    if _INT.fullmatch(text):
-        return int(text)
-    return float(text.replace(".inf", "inf").replace(".Inf", "inf").replace(".INF", "inf").replace(".nan", "nan").replace(".NaN", "nan").replace(".NAN", "nan"))
-
-
 def scalar_value(text: str):
-    """A plain scalar by the core schema."""
+    """A plain scalar by the core schema; whole numbers are integers, however written."""
     if _NULL.fullmatch(text):
         return None
     if _BOOL.fullmatch(text):
         return text[0] in "tT"
-    if _INT.fullmatch(text) or _FLOAT.fullmatch(text):
-        return _number(text)
+    if _INT.fullmatch(text):
+        return int(text, {"0o": 8, "0x": 16}.get(text[:2], 10))
+    if _FLOAT.fullmatch(text):
+        number = float(re.sub(r"\.(inf|nan)", r"\1", text.lower()))
+        return int(number) if math.isfinite(number) and number.is_integer() else number
     return text
 
 
-class _Node:
-    """A value with its kind (plain, quoted, map, seq), and how many aliases it stands on."""
-
-    __slots__ = ("kind", "value", "aliases")
-
-    def __init__(self, kind: str, value, aliases: int = 0):
-        self.kind, self.value, self.aliases = kind, value, aliases
-
-
-class _Reader:
-    def __init__(self, text: str):
-        self.s, self.i = text, 0
-        self.anchors: dict[str, _Node | None] = {}
-
-    # ---- places ----
-
-    def fail(self, what: str = "Front matter is no valid YAML"):
-        raise FrontMatterError(f"{what} at line {self.s.count(chr(10), 0, self.i) + 1}.")
-
-    def column(self, at: int | None = None) -> int:
-        at = self.i if at is None else at
-        return at - (self.s.rfind("\n", 0, at) + 1)
-
-    def peek(self, n: int = 1) -> str:
-        return self.s[self.i : self.i + n]
-
-    def blanks(self) -> None:
-        """Passes blanks and a comment, within the line."""
-        start = self.i
-        while self.peek() in (" ", "\t") and self.peek():
-            self.i += 1
-        if self.peek() == "#" and (self.i > start or self.column() == 0):
-            end = self.s.find("\n", self.i)
-            self.i = len(self.s) if end < 0 else end
-
-    def gap(self) -> None:
-        """Passes blanks, comments and line ends."""
-        while True:
-            self.blanks()
-            if self.peek() != "\n":
-                return
-            self.i += 1
-
-    def opens(self, mark: str) -> bool:
-        return self.peek() == mark and self.s[self.i + 1 : self.i + 2] in ("", " ", "\t", "\n")
-
-    # ---- nodes ----
-
-    def properties(self) -> tuple[str | None, str | None]:
-        tag = anchor = None
-        while match := _PROPERTY.match(self.s, self.i):
-            if match[1] == "&":
-                anchor = match[2]
-            else:
-                tag = match[2][1:-1] if match[2].startswith("<") else _CORE + match[2][1:] if match[2].startswith("!") else "!" + match[2]
-            self.i = match.end()
-            self.blanks()
-        return tag, anchor
-
-    def finished(self, node: _Node, tag: str | None, anchor: str | None) -> _Node:
-        node = _tagged(node, tag)
-        if anchor is not None:
-            self.anchors[anchor] = node
-        return node
-
-    def alias(self) -> _Node:
-        match = re.compile(r"\*([^\s,\[\]{}]+)").match(self.s, self.i)
-        if not match or match[1] not in self.anchors:
-            self.fail("Front matter has an alias without an anchor")
-        self.i = match.end()
-        found = self.anchors[match[1]]
-        if found is None:
-            raise FrontMatterError(RECURSIVE)
-        if found.aliases >= MOST_ALIASES:
-            raise FrontMatterError(ALIASES)
-        return _Node(found.kind, found.value, found.aliases + 1)
-
-    def block(self, indent: int, depth: int) -> _Node:
-        """The node that begins here, in a column of ``indent`` or more."""
-        start = self.i
-        tag, anchor = self.properties()
-        if anchor is not None:
-            self.anchors[anchor] = None
-        if self.peek() in ("\n", "") and (tag or anchor):
-            here = self.i
-            self.gap()
-            if not self.peek() or self.column() < indent:
-                self.i = here
-                return self.finished(_Node("plain", ""), tag, anchor)
-            start = self.i
-            return self.finished(self.content(start, indent, depth), tag, anchor)
-        if tag or anchor:
-            key = self.key_end(start)
-            if key is not None and self.column(start) >= indent:  # the properties are the first key's
-                self.i = start
-                return self.mapping(self.column(start), depth)
-        return self.finished(self.content(start, indent, depth), tag, anchor)
-
-    def content(self, start: int, indent: int, depth: int) -> _Node:
-        if self.opens("-"):
-            return self.sequence(self.column(), depth)
-        if self.opens("?"):
-            raise FrontMatterError(KEYS)
-        if self.key_end(self.i) is not None:
-            return self.mapping(self.column(), depth)
-        return self.inline(indent, depth)
-
-    def inline(self, indent: int, depth: int) -> _Node:
-        """A node that is no block collection."""
-        c = self.peek()
-        if c in ("|", ">") and c:
-            return self.block_scalar(indent)
-        if c in ("[", "{") and c:
-            node = self.flow(depth)
-        elif c == "*":
-            node = self.alias()
-        elif c in ('"', "'") and c:
-            node = _Node("quoted", self.quoted())
-        else:
-            return self.plain(indent)
-        self.blanks()
-        if self.peek() not in ("\n", ""):
-            self.fail()
-        return node
-
-    def key_end(self, at: int) -> int | None:
-        """Where the colon is of the mapping entry that begins at ``at``, if one does; within the line."""
-        end = self.s.find("\n", at)
-        line = self.s[at : len(self.s) if end < 0 else end]
-        match = re.match(r"(?:[!&][^\s]*[ \t]+)*", line)
-        i = match.end()
-        if line[i : i + 1] in ('"', "'") and line[i : i + 1]:
-            quoted = re.compile(r'"(?:[^"\\]|\\.)*"|\'(?:[^\']|\'\')*\'').match(line, i)
-            if not quoted:
-                return None
-            colon = re.compile(r"[ \t]*:(?=[ \t]|$)").match(line, quoted.end())
-            return at + colon.end() - 1 if colon else None
-        if line[i : i + 1] in ("[", "{") and line[i : i + 1]:
-            depth = 0
-            for j in range(i, len(line)):
-                depth += (line[j] in "[{") - (line[j] in "]}")
-                if not depth:
-                    return at + j + 1 if re.compile(r"[ \t]*:(?=[ \t]|$)").match(line, j + 1) else None
-            return None
-        if line[i : i + 1] in ("|", ">", "#", "%", "@", "`", "") or (line[i] in "-?:" and line[i + 1 : i + 2] in ("", " ", "\t")):
-            return None
-        found = re.compile(r":(?=[ \t]|$)|[ \t]#").search(line, i)
-        return at + found.start() if found and found[0] == ":" else None
-
-    def key(self, colon: int) -> str:
-        tag, anchor = self.properties()
-        c = self.peek()
-        if c in ("[", "{"):
-            raise FrontMatterError(KEYS)
-        if c == "*":
-            node = self.alias()
-        elif c in ('"', "'") and c:
-            node = _Node("quoted", self.quoted())
-        else:
-            node = _Node("plain", self.s[self.i : colon].rstrip(" \t"))
-        node = self.finished(node, tag, anchor)
-        value = _plain(node)
-        if node.kind in ("map", "seq") or not isinstance(value, str):
-            raise FrontMatterError(KEYS)
-        return value
+def _events(text: str) -> list:
+    """The parser's events, with the complaint that ends them in our words."""
+    if yaml is None:
+        raise FrontMatterError("No YAML reader is installed for this front matter.")
+    try:
+        return list(yaml.parse(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader)))
+    except yaml.MarkedYAMLError as e:
+        words = f"{e.context} {e.problem}"
+        said = next((ours for part, ours in _COMPLAINTS.items() if part in words), "Front matter is no valid YAML")
+        mark = e.context_mark if "quoted" in words else e.problem_mark or e.context_mark
+        raise FrontMatterError(f"{said} at line {mark.line + 1}.") from None
+    except yaml.YAMLError as e:
+        raise FrontMatterError(f"Front matter is no valid YAML: {str(e).splitlines()[0]}") from None
+
 
-    def deeper(self, depth: int) -> int:
-        if depth + 1 > MOST_NESTED:
+def _tagged(tag: str, value, kind: str):
+    """A value under an explicit tag: by the core schema's, checked; other tags wrap it under their name."""
+    if not tag.startswith(_CORE):
+        return {tag if tag.startswith("!") else f"!{tag}": value}
+    name = tag.removeprefix(_CORE)
+    pairs = kind == "seq" and all(isinstance(x, dict) and len(x) == 1 for x in value)
+    if {"map": kind == "map", "set": kind == "map", "seq": kind == "seq", "omap": pairs, "pairs": pairs}.get(name, False):
+        return value
+    if kind == "scalar" and name in _TEXTS and _TEXTS[name].fullmatch(value):
+        return value
+    if kind == "scalar" and name in _TYPED and _TYPED[name].fullmatch(value):
+        return scalar_value(value)
+    raise FrontMatterError(TAGS)
+
+
+class _Builder:
+    """Values from events: a value is a pair of it and of how many aliases it stands on."""
+
+    def __init__(self, text: str) -> None:
+        self._text, self._events, self._i = text, _events(text), 0
+        self._anchors: dict[str, tuple | None] = {}
+
+    def _next(self):
+        self._i += 1
+        return self._events[self._i - 1]
+
+    def document(self):
+        kinds = [type(e) for e in self._events]
+        if kinds.count(yaml.DocumentStartEvent) != 1:
+            raise FrontMatterError(NO_MAPPING)
+        self._i = kinds.index(yaml.DocumentStartEvent) + 1
+        first = self._events[self._i]
+        if not isinstance(first, yaml.MappingStartEvent) or (first.tag or f"{_CORE}map") not in (f"{_CORE}map", f"{_CORE}set"):
+            raise FrontMatterError(NO_MAPPING)
+        return self._value(self._next(), 0)[0]
+
+    def _value(self, event, depth: int) -> tuple:
+        if isinstance(event, yaml.AliasEvent):
+            if event.anchor not in self._anchors:
+                raise FrontMatterError(f"Front matter has an alias without an anchor at line {event.start_mark.line + 1}.")
+            if (found := self._anchors[event.anchor]) is None:
+                raise FrontMatterError(RECURSIVE)
+            if found[1] >= MOST_ALIASES:
+                raise FrontMatterError(ALIASES)
+            return found[0], found[1] + 1
+        if event.anchor:
+            self._anchors[event.anchor] = None
+        if isinstance(event, yaml.ScalarEvent):
+            plain = not event.style and event.tag is None
+            made = (scalar_value(event.value) if plain else event.value if event.tag in (None, "!") else _tagged(event.tag, event.value, "scalar")), 0
+            if isinstance(made[0], float) and not math.isfinite(made[0]):
+                raise FrontMatterError(FINITE)
+        elif depth >= MOST_NESTED:
             raise FrontMatterError(NESTED)
-        return depth + 1
-
-    def mapping(self, column: int, depth: int) -> _Node:
-        depth, found, aliases = self.deeper(depth), {}, 0
-        while True:
-            colon = self.key_end(self.i)
-            if colon is None:
-                self.fail()
-            key = self.key(colon)
-            if key in found:
-                raise FrontMatterError(UNIQUE)
-            self.i = self.s.index(":", colon) + 1
-            node = self.value(column, depth, in_map=True)
-            found[key] = node
-            aliases += node.aliases
-            if not self.next_at(column):
-                return _Node("map", found, self.counted(aliases))
-
-    def sequence(self, column: int, depth: int) -> _Node:
-        depth, found, aliases = self.deeper(depth), [], 0
-        while True:
-            if not self.opens("-"):
-                self.fail()
-            self.i += 1
-            node = self.value(column, depth, in_map=False)
-            found.append(node)
-            aliases += node.aliases
-            here = self.i
-            if not self.next_at(column) or not self.opens("-"):
-                self.i = here
-                return _Node("seq", found, self.counted(aliases))
-
-    def counted(self, aliases: int) -> int:
-        if aliases > MOST_ALIASES:
-            raise FrontMatterError(ALIASES)
-        return aliases
-
-    def value(self, column: int, depth: int, in_map: bool) -> _Node:
-        """The node after a colon or a dash of a collection in ``column``."""
-        self.blanks()
-        if self.peek() not in ("\n", ""):
-            if in_map and self.opens("-"):
-                self.fail("Front matter has a list within a line")
-            if in_map and self.peek() not in ("|", ">", '"', "'", "[", "{", "*", "!", "&") and self.key_end(self.i) is not None:
-                self.fail("Front matter nests a mapping within a line")
-            if in_map and self.peek() in ("!", "&"):
-                tag, anchor = self.properties()
-                if anchor is not None:
-                    self.anchors[anchor] = None
-                if self.peek() not in ("\n", ""):
-                    return self.finished(self.inline(column + 1, depth), tag, anchor)
-                return self.finished(self.below(column, depth, in_map), tag, anchor)
-            return self.inline(column + 1, depth) if in_map else self.block(column + 1, depth)
-        return self.below(column, depth, in_map)
-
-    def below(self, column: int, depth: int, in_map: bool) -> _Node:
-        here = self.i
-        self.gap()
-        at = self.column()
-        if self.peek() and (at > column or (in_map and at == column and self.opens("-"))):
-            if "\t" in self.s[self.i - at : self.i]:
-                self.fail("Front matter is indented by tabs")
-            return self.block(at, depth)
-        self.i = here
-        return _Node("plain", "")
-
-    def next_at(self, column: int) -> bool:
-        """Whether the collection in ``column`` goes on."""
-        here = self.i
-        self.blanks()
-        if self.peek() not in ("\n", ""):
-            self.fail()
-        self.gap()
-        if self.peek() and self.column() > column:
-            self.fail("Front matter is indented unevenly")
-        if self.peek() and self.column() == column:
-            return True
-        self.i = here
-        return False
-
-    # ---- scalars ----
-
-    def lines(self, indent: int):
-        """Further lines of a scalar, without blanks around; they are indented by ``indent`` at least or empty."""
-        while self.peek() == "\n":
-            end = self.s.find("\n", self.i + 1)
-            line = self.s[self.i + 1 : len(self.s) if end < 0 else end]
-            if line.strip(" \t") and len(line) - len(line.lstrip(" ")) < indent:
-                return
-            self.i += 1 + len(line)
-            yield line
-
-    def plain(self, indent: int) -> _Node:
-        if self.peek() and self.peek() in "%@`,]}":
-            self.fail()
-
-        def piece() -> tuple[str, bool]:
-            end = self.s.find("\n", self.i)
-            line = self.s[self.i : len(self.s) if end < 0 else end]
-            comment = re.search(r"[ \t]#", line)
-            if re.search(r":(?=[ \t]|$)", line[: comment.start()] if comment else line):
-                self.fail()
-            self.i += len(line)
-            return (line[: comment.start()] if comment else line).strip(" \t"), bool(comment)
-
-        first, ended = piece()
-        parts, empty = [first], 0
-        while not ended and self.peek() == "\n":
-            end = self.s.find("\n", self.i + 1)
-            line = self.s[self.i + 1 : len(self.s) if end < 0 else end]
-            if not line.strip(" \t"):
-                if end < 0:
-                    break
-                self.i, empty = end, empty + 1
-                continue
-            if len(line) - len(line.lstrip(" ")) < indent or line.lstrip(" \t").startswith("#"):
-                break
-            self.i += 1
-            more, ended = piece()
-            parts.append(("\n" * empty if empty else " ") + more)
-            empty = 0
-        return _Node("plain", "".join(parts))
-
-    def folded(self, text: str) -> str:
-        """Line ends of a quoted scalar: one is a space, more are one less."""
-        return re.sub(r"[ \t]*\n((?:[ \t]*\n)*)[ \t]*", lambda m: "\n" * m[1].count("\n") or " ", text)
-
-    def quoted(self) -> str:
-        single = self.peek() == "'"
-        match = re.compile(r"'((?:[^']|'')*)'" if single else r'"((?:[^"\\]|\\.)*)"', re.S).match(self.s, self.i)
-        if not match:
-            self.fail("Front matter has an open quote")
-        self.i = match.end()
-        if single:
-            return self.folded(match[1]).replace("''", "'")
-        text = self.folded(re.sub(r"\\\n[ \t]*", "", match[1]))
-
-        def escape(m: re.Match) -> str:
-            code = m[1]
-            if code[0] in "xuU" and len(code) > 1:
-                return chr(int(code[1:], 16))
-            if code not in _ESCAPES:
-                self.fail("Front matter has an unknown escape")
-            return _ESCAPES[code]
-
-        return re.sub(r"\\(x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|.)", escape, text, flags=re.S)
-
-    def block_scalar(self, indent: int) -> _Node:
-        head = re.compile(r"([|>])([-+]?)([1-9]?)([-+]?)[ \t]*(?:#.*)?(?=\n|$)").match(self.s, self.i)
-        if not head:
-            self.fail()
-        self.i = head.end()
-        keep, lines = head[2] or head[4], []
-        own = max(indent - 1, 0) + int(head[3]) if head[3] else None
-        while self.peek() == "\n":
-            end = self.s.find("\n", self.i + 1)
-            line = self.s[self.i + 1 : len(self.s) if end < 0 else end]
-            if line.strip(" "):
-                margin = len(line) - len(line.lstrip(" "))
-                own = max(margin, indent) if own is None else own
-                if margin < own:
-                    break
-            lines.append(line[own:] if own is not None else "")
-            self.i += 1 + len(line)
-        tail = 0
-        while lines and not lines[-1]:
-            lines.pop()
-            tail += 1
-        text = "\n".join(lines)
-        if head[1] == ">":
-            text = re.sub(r"(?<=[^\n])\n(\n*)(?=[^\n \t])", lambda m: m[1] or " ", text)
-        return _Node("quoted", text + ("" if keep == "-" or not lines else "\n" * (1 + tail) if keep == "+" else "\n"))
-
-    # ---- flow collections ----
-
-    def flow(self, depth: int) -> _Node:
-        tag, anchor = self.properties()
-        if anchor is not None:
-            self.anchors[anchor] = None
-        c = self.peek()
-        if c == "[":
-            node = self.flow_sequence(self.deeper(depth))
-        elif c == "{":
-            node = self.flow_mapping(self.deeper(depth))
-        elif c == "*":
-            node = self.alias()
-        elif c in ('"', "'") and c:
-            node = _Node("quoted", self.quoted())
         else:
-            match = re.compile(r"(?:[^\s,\[\]{}:#]|:(?![\s,\[\]{}]|$)|(?<=\S)#|[ \t]+(?![\s#,\[\]{}:])|[ \t]+(?=:\S))*").match(self.s, self.i)
-            self.i = match.end()
-            node = _Node("plain", match[0])
-        return self.finished(node, tag, anchor)
-
-    def flow_items(self, close: str):
-        self.i += 1
-        while True:
-            self.gap()
-            if self.peek() == close:
-                self.i += 1
-                return
-            if self.peek() in (",", ""):
-                self.fail()
-            yield
-            self.gap()
-            if self.peek() == ",":
-                self.i += 1
-            elif self.peek() != close:
-                self.fail()
-
-    def flow_sequence(self, depth: int) -> _Node:
+            mapping = isinstance(event, yaml.MappingStartEvent)
+            value, aliases = (self._mapping if mapping else self._sequence)(depth + 1)
+            if aliases > MOST_ALIASES:
+                raise FrontMatterError(ALIASES)
+            made = (value if event.tag in (None, "!") else _tagged(event.tag, value, "map" if mapping else "seq")), aliases
+        if event.anchor:
+            self._anchors[event.anchor] = made
+        return made
+
+    def _sequence(self, depth: int) -> tuple[list, int]:
         found, aliases = [], 0
-        for _ in self.flow_items("]"):
-            node = self.flow(depth)
-            self.blanks()
-            if self.peek() == ":":  # a pair is a mapping of one entry
-                node = self.flow_pair(node, self.deeper(depth), {})
-            found.append(node)
-            aliases += node.aliases
-        return _Node("seq", found, self.counted(aliases))
-
-    def flow_pair(self, key: _Node, depth: int, into: dict) -> _Node:
-        name = _plain(key)
-        if key.kind in ("map", "seq") or not isinstance(name, str):
-            raise FrontMatterError(KEYS)
-        if name in into:
-            raise FrontMatterError(UNIQUE)
-        value = _Node("plain", "")
-        if self.peek() == ":":
-            self.i += 1
-            self.gap()
-            if self.peek() not in (",", "]", "}"):
-                value = self.flow(depth)
-        into[name] = value
-        return _Node("map", into, value.aliases)
-
-    def flow_mapping(self, depth: int) -> _Node:
-        found, aliases = {}, 0
-        for _ in self.flow_items("}"):
-            key = self.flow(depth)
-            self.gap()
-            aliases += self.flow_pair(key, depth, found).aliases
-        return _Node("map", found, self.counted(aliases))
-
+        while not isinstance(event := self._next(), yaml.SequenceEndEvent):
+            value, more = self._value(event, depth)
+            found.append(value)
+            aliases += more
+        return found, aliases
 
-def _plain(node: _Node):
-    return scalar_value(node.value) if node.kind == "plain" else node.value
-
-
-def _tagged(node: _Node, tag: str | None) -> _Node:
-    """The node with an explicit tag; other tags than the core ones wrap the value under their name."""
-    if tag is None:
-        return node
-    text = node.value if node.kind in ("plain", "quoted") else None
-    if not tag.startswith(_CORE):
-        name = re.sub(r"%([0-9a-fA-F]{2})", lambda m: chr(int(m[1], 16)), tag)
-        return _Node("map", {name if name.startswith("!") else f"!{name}": node if node.kind != "plain" else _Node("quoted", node.value)}, node.aliases)
-    kind = tag.removeprefix(_CORE)
-    pairs = node.kind == "seq" and all(i.kind == "map" and len(i.value) == 1 for i in node.value)
-    fits = {
-        "str": text is not None, "int": text is not None and bool(_INT.fullmatch(text)), "float": text is not None and bool(_FLOAT.fullmatch(text)),
-        "bool": text is not None and bool(_BOOL.fullmatch(text)), "null": text is not None and bool(_NULL.fullmatch(text)),
-        "timestamp": text is not None and bool(re.match(r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}", text)), "binary": text is not None,
-        "map": node.kind == "map", "set": node.kind == "map", "seq": node.kind == "seq", "omap": pairs, "pairs": pairs,
-    }
-    if not fits.get(kind, False):
-        raise FrontMatterError(TAGS)
-    if kind in ("str", "timestamp", "binary"):
-        return _Node("quoted", text)
-    return _Node("plain", text) if text is not None else node
-
-
-def _value(node: _Node):
-    if node.kind == "map":
-        return {k: _value(v) for k, v in node.value.items()}
-    if node.kind == "seq":
-        return [_value(v) for v in node.value]
-    found = _plain(node)
-    if isinstance(found, float) and not math.isfinite(found):
-        raise FrontMatterError(FINITE)
-    return int(found) if isinstance(found, float) and found.is_integer() else found
+    def _mapping(self, depth: int) -> tuple[dict, int]:
+        found, aliases = {}, 0
+        while not isinstance(event := self._next(), yaml.MappingEndEvent):
+            before = self._text[: event.start_mark.index].rpartition("\n")[2] if event.start_mark.column else ""
+            if before.rstrip().endswith("?") or isinstance(event, yaml.CollectionStartEvent):
+                raise FrontMatterError(KEYS)
+            key, _ = self._value(event, depth)
+            if not isinstance(key, str):
+                raise FrontMatterError(KEYS)
+            if key in found:
+                raise FrontMatterError(UNIQUE)
+            found[key], more = self._value(self._next(), depth)
+            aliases += more
+        return found, aliases
 
 
 def front_matter(text: str) -> dict:
     """The mapping of some front matter; :class:`FrontMatterError` where it is none."""
-    reader = _Reader(re.sub(r"\r\n?", "\n", text))
-    reader.gap()
-    tagged = re.compile(r"!(?!!(?:map|set)\b)\S+").match(reader.s, reader.i)
-    if not reader.peek() or (tagged and reader.key_end(reader.i) is None):
-        raise FrontMatterError(NO_MAPPING)
-    if reader.peek() in ("[", "{") and reader.key_end(reader.i) is None:
-        node = reader.flow(0)
-    else:
-        node = reader.block(0, 0)
-    reader.gap()
-    if reader.peek():
-        reader.fail()
-    if node.kind != "map":
-        raise FrontMatterError(NO_MAPPING)
-    return _value(node)
+    return _Builder(re.sub(r"\r\n?", "\n", text)).document()
 
 
 _LIST = ArrayType(StringType())
@@ -556,3 +201,77 @@ def read_front_matter(front: pd.Series) -> pd.DataFrame:
         values = {k: json.dumps(v, ensure_ascii=False, sort_keys=True) for k, v in found.items()}
         rows.append((None, *[json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in (found, rest)], list(found), texts, lists, values))
     return pd.DataFrame(rows, columns=READ.names)
+
+
+def ordered_entries(text: str, order: Sequence[str]) -> str:
+    """The entries of a block mapping by rank and key, each after the entries whose anchors its aliases name.
+
+    An entry is its lines. As long as one may come, the first by rank and key comes; entries that wait for one
+    another come by rank too. An anchor that is set twice, a mapping in braces, or what is no mapping leaves all as it is.
+    """
+    try:
+        events = _events(text)
+    except FrontMatterError:
+        return text
+    first = next((e for e in events if isinstance(e, yaml.MappingStartEvent)), None)
+    starts, keys, anchors, aliases, depth, is_key = [], [], [], [], 0, True
+    for event in events:
+        if isinstance(event, yaml.CollectionStartEvent):
+            depth += 1
+        if depth == 1 and event is not first and isinstance(event, yaml.NodeEvent) and is_key:
+            starts.append(event.start_mark.line)
+            keys.append(event.value if isinstance(event, yaml.ScalarEvent) else None)
+            anchors.append([])
+            aliases.append(set())
+        if starts and isinstance(event, yaml.AliasEvent):
+            aliases[-1].add(event.anchor)
+        elif starts and getattr(event, "anchor", None):
+            anchors[-1].append(event.anchor)
+        ends_node = isinstance(event, (yaml.ScalarEvent, yaml.AliasEvent)) and depth == 1 or isinstance(event, yaml.CollectionEndEvent) and depth == 2
+        if isinstance(event, yaml.CollectionEndEvent):
+            depth -= 1
+        if ends_node:
+            is_key = not is_key
+    lines = text.rstrip("\n").split("\n")
+    named = [a for own in anchors for a in own]
+    if first is None or first.flow_style or len(set(named)) < len(named) or len(set(starts)) < len(starts) or any(lines[s][:1] in " \t?" for s in starts):
+        return text
+    owner = {a: i for i, own in enumerate(anchors) for a in own}
+    waits = [{owner[a] for a in own if a in owner} - {i} for i, own in enumerate(aliases)]
+    ranks = {key: n for n, key in reversed(list(enumerate(order)))}
+    place = [(key is None, ranks.get(key, len(ranks)), key or "", i) for i, key in enumerate(keys)]
+    after: list[list[int]] = [[] for _ in keys]
+    for i, own in enumerate(waits):
+        for j in own:
+            after[j].append(i)
+    free, every, done = [place[i] for i, own in enumerate(waits) if not own], sorted(place), []
+    heapq.heapify(free)
+    left, at = set(range(len(keys))), 0
+    while left:
+        while free and free[0][3] not in left:
+            heapq.heappop(free)
+        if free:
+            i = heapq.heappop(free)[3]
+        else:
+            while every[at][3] not in left:
+                at += 1
+            i = every[at][3]
+        done.append(i)
+        left.discard(i)
+        for j in after[i]:
+            waits[j].discard(i)
+            if j in left and not waits[j]:
+                heapq.heappush(free, place[j])
+    ends = [*starts[1:], len(lines)]
+    pieces = ["\n".join(lines[starts[i] : ends[i]]) for i in done]
+    return "\n".join([*lines[: starts[0]], *pieces]) + "\n" if starts else text
+
+
+def with_anchors_ordered(front: Column, order: Sequence[str]) -> Column:
+    """:func:`ordered_entries` of a column, null where it is."""
+
+    @F.pandas_udf(StringType())
+    def ordered(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: ordered_entries(t, order), na_action="ignore")
+
+    return ordered(front)

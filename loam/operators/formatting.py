@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loam.functions import text as T
+from loam.functions.yaml import with_anchors_ordered
 from loam.operators.parsing import _FENCE, _FRONT
 
 #: A character that stands for a fenced block while the text around it is normalised.
@@ -26,16 +27,17 @@ def normalized_with_fences(body: Column) -> Column:
 def ordered_front(front: Column, order: Sequence[str]) -> Column:
     """Top-level entries of a block mapping by rank, then by key; the lines of an entry stay together.
 
-    Front matter with anchors, aliases, merge keys or a flow mapping at the top is left as it is,
-    since moving such entries could change what it says.
+    Front matter with anchors, aliases or merge keys is ordered so that an anchor comes before its aliases, see
+    :func:`loam.functions.yaml.ordered_entries`; a flow mapping at the top is left as it is.
     """
     entries = F.split(F.regexp_replace(front, r"\n+\z", ""), r"\n(?=[^\s#-][^\n]*?:(?:[ \t]|\n|$))")
     key = lambda e: F.regexp_extract(e, r"(?m)^([^\s#:-][^:\n]*?)[ \t]*:", 1)
     rank = lambda e: F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(k) for k in order]), key(e)), F.lit(0)), F.lit(1 << 30))
     sorted_ = F.array_sort(F.transform(entries, lambda e, i: F.struct(rank(e).alias("r"), key(e).alias("k"), i.alias("i"), e.alias("e"))))
     moved = F.concat(F.array_join(F.transform(sorted_, lambda x: x["e"]), "\n"), F.lit("\n"))
-    unsafe = front.rlike(r"(?m)(?:^|[ \t\[,])[&*][^\s]|^<<[ \t]*:|\A\s*[{\[]")
-    return F.when(unsafe | (F.trim(front) == ""), front).otherwise(moved)
+    flow = front.rlike(r"\A\s*[{\[]") | (F.trim(front) == "")
+    linked = ~flow & front.rlike(r"(?m)(?:^|[ \t\[,])[&*][^\s]|^<<[ \t]*:")
+    return F.when(flow, front).otherwise(F.coalesce(with_anchors_ordered(F.when(linked, front), order), moved))
 
 
 def formatted(files: DataFrame, order: Sequence[str] = ("type", "title", "description", "resource", "tags", "timestamp")) -> DataFrame:

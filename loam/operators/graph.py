@@ -52,6 +52,18 @@ def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(reached, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
 
 
+def reserved_members(cluster: DataFrame, reserved: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, cluster) of the ``reserved`` files that link to a member of (id, cluster) or are linked by one: the first cluster that each reaches.
+
+    They join a cluster and never two: the components are those of the concepts alone. Only the least cluster of each file is kept
+    while edges are summed, so a file that links to everything is a row for each task.
+    """
+    own = reserved.select("id")
+    ends = edges.select(F.col("source").alias("id"), F.col("target").alias("member")).union(edges.select("target", "source"))
+    reached = ends.join(own, "id", "left_semi").join(cluster.select(F.col("id").alias("member"), "cluster"), "member")
+    return reached.groupBy("id").agg(F.min("cluster").alias("cluster"))
+
+
 def isolated_clusters(cluster: DataFrame) -> DataFrame:
     """One row: how many clusters there are, and how many of one node."""
     sizes = cluster.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))

@@ -59,6 +59,24 @@ def manifest_hash(files: DataFrame, buckets_hex: int = 0, header: str = HEADER)
     )
 
 
+def _folded(buckets: DataFrame, digits: int, header: str) -> DataFrame:
+    """(bucket, files, hash) of the first digits of (bucket, files, hash) rows."""
+    nul = F.char(F.lit(0))
+    line = F.struct("bucket", F.concat("bucket", nul, F.col("files").cast("string"), nul, "hash", F.lit("\n")).alias("line"))
+    folded = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "")
+    up = buckets.groupBy(F.substring("bucket", 1, digits).alias("up"))
+    return up.agg(F.sum("files").alias("files"), F.sha2(F.concat(F.lit(header), folded), 256).alias("hash")).withColumnRenamed("up", "bucket")
+
+
+def manifest_tree(files: DataFrame, header: str = HEADER) -> DataFrame:
+    """One row (files, hash) over any number of files, by one scheme for all numbers.
+
+    Files are folded by six digits of their paths' hashes, those sixteen million buckets by three, and the rest at last, so no task folds
+    more than 4096 lines beside its share of the files. No files have no row.
+    """
+    return _folded(_folded(manifest_hash(files, 6, header), 3, header), 0, header).select("files", "hash")
+
+
 def manifest(files: DataFrame, most: int = 50_000, header: str = HEADER) -> DataFrame:
     """One row (files, hash) over any number of files.
 
@@ -72,9 +90,5 @@ def manifest(files: DataFrame, most: int = 50_000, header: str = HEADER) -> Data
     found = manifest_hash(files, digits, header)
     while digits:
         digits = max(0, digits - 3)
-        nul = F.char(F.lit(0))
-        line = F.struct("bucket", F.concat("bucket", nul, F.col("files").cast("string"), nul, "hash", F.lit("\n")).alias("line"))
-        folded = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "")
-        up = found.groupBy(F.substring("bucket", 1, digits).alias("up"))
-        found = up.agg(F.sum("files").alias("files"), F.sha2(F.concat(F.lit(header), folded), 256).alias("hash")).withColumnRenamed("up", "bucket")
+        found = _folded(found, digits, header)
     return found.select("files", "hash")

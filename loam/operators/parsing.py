@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loam.functions import text as T
-from loam.functions.markdown import places, scanned_links
+from loam.functions.markdown import places, scanned_links, unlinked
 from loam.functions.paths import resolve_target
 from loam.functions.yaml import read_front_matter
 from loam.operators.scopes import scoped
@@ -67,18 +67,30 @@ def sequence(front: Column, key: str) -> Column:
     return F.when(F.size(bare) > 0, bare)
 
 
-def plain_text(body: Column) -> Column:
-    """The words of a body: no fenced code, no images, links and headings as their text, no marks, single spaces."""
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, _FENCE, " "), _IMAGE, ""), _LINK, "$1")
+def _needs_scan(text: Column) -> Column:
+    """Whether a text has links that the easy pattern doesn't take apart."""
+    hard = (F.regexp_count(text, F.lit(r"\]\(")) != F.regexp_count(text, F.lit(_EASY))) | F.contains(text, F.lit("\\"))
+    return _if_any(text, ("](",), hard, F.lit(False))
+
+
+def plain_text(body: Column, asked: Column | None = None) -> Column:
+    """The words of a body: no fenced code, no images, links and headings as their text, no marks, single spaces.
+
+    Links that the patterns can't take apart are scanned, in texts for which ``asked`` holds, all by default.
+    """
+    outside = _if_any(body, ("```", "~~~"), F.regexp_replace(body, _FENCE, " "), body)
+    hard = _needs_scan(outside) if asked is None else F.when(asked, _needs_scan(outside)).otherwise(F.lit(False))
+    easy = _if_any(outside, ("](",), F.regexp_replace(F.regexp_replace(outside, _IMAGE, ""), _LINK, "$1"), outside)
+    bare = F.coalesce(unlinked(F.when(hard, outside)), easy)
     titles = F.regexp_replace(F.regexp_replace(bare, _HEADING, "$2"), "`+", "")
-    text = _if_any(body, ("```", "~~~", "](", "#", "`"), titles, body)
+    text = _if_any(bare, ("#", "`"), titles, bare)
     return T.trimmed(F.regexp_replace(F.translate(text, "*_~>-", "     "), rf"[{T.SPACE}]+", " "))
 
 
 def is_empty(body: Column) -> Column:
     """Whether a body has no plain text; told by a letter or digit where nothing could hide it."""
     plain = ~(F.contains(body, F.lit("```")) | F.contains(body, F.lit("~~~")) | F.contains(body, F.lit("!["))) & body.rlike("[A-Za-z0-9]")
-    return F.when(plain, F.lit(False)).otherwise(plain_text(body) == "")
+    return F.when(plain, F.lit(False)).otherwise(plain_text(body, ~plain) == "")
 
 
 def parse(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -103,8 +115,7 @@ def parse(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     by_line = (F.length("front") < _PLAIN_LENGTH) & F.when(F.length("front") < _PLAIN_LENGTH, F.col("front").rlike(_PLAIN_FRONT))
     by_line = by_line & (F.length("front") > 0) & (F.size(F.array_distinct(named)) == F.size(named))
     rows = rows.withColumns({"plain": masked(F.col("body")), "by_line": F.col("front").isNull() | by_line})
-    scan = (F.regexp_count("plain", F.lit(r"\]\(")) != F.regexp_count("plain", F.lit(_EASY))) | F.contains("plain", F.lit("\\"))
-    rows = rows.withColumn("scan", _if_any(F.col("plain"), ("](",), scan, F.lit(False)))
+    rows = rows.withColumn("scan", _needs_scan(F.col("plain")))
     rows = rows.withColumns(
         {"read": read_front_matter(F.when(~F.col("by_line"), F.col("front"))), "scanned": scanned_links(F.when(F.col("scan"), F.col("body")))}
     )
