@@ -136,7 +136,7 @@ class Bundle:
         else:
             words = F.concat_ws("\n", "title", "description", F.array_join("tags", " "), "body")
             pairs = S.terms(self.context.concepts.withColumn("words", words), "id", "words")
-            found = S.search(pairs, asked, "q", "text", limit).drop("query")
+            found = S.search(pairs, asked, "q", "text", limit, fields.count()).drop("query")
         return found.join(fields, "id").orderBy("rank")
 
     def diff(self, before: Bundle) -> DataFrame:

@@ -86,7 +86,7 @@ class Bundles:
         pairs = pairs.select("id", scoped(bundle_of(F.col("id")), F.col("term")).alias("term"))
         wanted = S.terms(self.names.withColumn("text", F.lit(text)), "bundle", "text")
         wanted = wanted.select(F.col("id").alias("query"), scoped(F.col("id"), F.col("term")).alias("term"))
-        found = S.best(pairs, wanted, S.checked_limit(limit))
+        found = S.best(pairs, wanted, S.checked_limit(limit), self.context.concepts.count())
         return found.select(F.col("query").alias("bundle"), within(F.col("id")).alias("id"), "score", "rank")
 
     def diff(self, before: Bundles) -> DataFrame:

@@ -420,9 +420,9 @@ def used_rules(diagnostics: DataFrame) -> DataFrame:
     return diagnostics.select("code").distinct().orderBy("code").select((F.monotonically_increasing_id()).alias("ordinal"), "code").coalesce(1)
 
 
-def exceeds(diagnostics: DataFrame, fail_on: str) -> DataFrame:
-    """One row: whether any diagnostic is as severe as ``fail_on``."""
-    return diagnostics.agg(F.coalesce(F.max("severity_rank") >= RANK[fail_on], F.lit(False)).alias("exceeds"))
+def exceeds(diagnostics: DataFrame, fail_on: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row: whether any diagnostic is as severe as ``fail_on``; ``by`` gives a row for each of its values."""
+    return diagnostics.groupBy(*by).agg(F.coalesce(F.max("severity_rank") >= RANK[fail_on], F.lit(False)).alias("exceeds"))
 
 
 def doctor_diagnostics(context: Context) -> DataFrame:

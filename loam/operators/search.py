@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from loam.functions.text import tokens
-from loam.session import discard, written
+from loam.session import written
 
 
 def terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -35,28 +36,52 @@ BLOCK = 1024
 
 
 def indexed(pairs: DataFrame, documents: int) -> DataFrame:
-    """(term, block, ids, n) of (id, term) pairs without repeats: postings in hash blocks of about 1024 of ``documents``."""
-    found = postings(pairs, blocks=max(1, -(-documents // BLOCK)))
+    """(term, block, ids, n) of (id, term) pairs: postings in hash blocks of about 1024 of ``documents``; repeats count once."""
+    block = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-documents // BLOCK))))
+    found = pairs.groupBy("term", block.alias("block")).agg(F.array_sort(F.collect_set("id")).alias("ids"))
     return found.withColumn("n", F.size("ids").cast("long"))
 
 
 def _scored(asked: DataFrame, index: DataFrame, limit: int) -> DataFrame:
     """(query, block, id, score) from (query, block, term): of each query and block the best ids by how many of the terms they have.
 
-    A group is a query's terms in one block, so its lists are bounded by the query and the block.
+    A block's lists go to one task once, whatever the number of queries: together they are what its documents hold.
     """
     id_type = index.schema["ids"].dataType.elementType
     schema = StructType([asked.schema["query"], asked.schema["block"], StructField("id", id_type), StructField("score", LongType())])
 
-    def count(key: tuple, rows: pa.Table) -> pa.Table:
-        found = pc.value_counts(pc.list_flatten(rows["ids"].combine_chunks()))
-        table = pa.table({"id": found.field("values"), "score": found.field("counts")})
-        best_ = table.take(pc.select_k_unstable(table, limit, [("score", "descending"), ("id", "ascending")]))
-        ends = [pa.array([k.as_py()] * best_.num_rows, k.type) for k in key]
-        return pa.table([*ends, best_["id"], best_["score"]], names=["query", "block", "id", "score"])
-
-    lists = asked.join(index.select("term", "block", "ids"), ["term", "block"]).select("query", "block", "ids")
-    return lists.groupBy("query", "block").applyInArrow(count, schema)
+    def count(key: tuple, lists: pa.Table, wanted: pa.Table) -> pa.Table:
+        ids = lists["ids"].combine_chunks()
+        known = ids.flatten().dictionary_encode()
+        ranks = np.empty(len(known.dictionary), np.int64)  # of the block's ids in their order, so that a smaller id is a smaller number
+        ranks[pc.array_sort_indices(known.dictionary).to_numpy()] = np.arange(len(ranks))
+        local = ranks[known.indices.to_numpy()]
+        sorted_ids = known.dictionary.take(pc.array_sort_indices(known.dictionary))
+        ends = np.cumsum(pc.list_value_length(ids).to_numpy())
+        place = {t: i for i, t in enumerate(lists["term"].to_pylist())}
+        by_query: dict = {}
+        for q, t in zip(wanted["query"].to_pylist(), wanted["term"].to_pylist()):
+            if t in place:
+                by_query.setdefault(q, []).append(place[t])
+        queries: list = []
+        found: list[np.ndarray] = []
+        scores: list[np.ndarray] = []
+        for q, places in by_query.items():
+            counts = np.bincount(np.concatenate([local[(ends[i - 1] if i else 0) : ends[i]] for i in places]), minlength=1)
+            hits = np.flatnonzero(counts)
+            best_ = hits[np.lexsort((hits, -counts[hits]))[:limit]]
+            queries += [q] * len(best_)
+            found.append(best_)
+            scores.append(counts[best_])
+        chosen = np.concatenate(found) if found else np.empty(0, np.int64)
+        columns = [
+            pa.array(queries, wanted.schema.field("query").type), pa.array([key[0].as_py()] * len(queries), wanted.schema.field("block").type),
+            sorted_ids.take(pa.array(chosen)), pa.array(np.concatenate(scores) if scores else chosen, pa.int64()),
+        ]
+        return pa.table(columns, names=["query", "block", "id", "score"])
+
+    needed = index.join(asked.select("term", "block").distinct(), ["term", "block"], "left_semi")
+    return needed.select("block", "term", "ids").groupBy("block").cogroup(asked.select("query", "block", "term").groupBy("block")).applyInArrow(count, schema)
 
 
 def ranked(index: DataFrame, wanted: DataFrame, limit: int) -> DataFrame:
@@ -73,32 +98,33 @@ def ranked(index: DataFrame, wanted: DataFrame, limit: int) -> DataFrame:
     place = F.row_number().over(by_query.orderBy("df", "term"))
     asked = written(wanted.join(frequencies, "term").select("query", "term", place.alias("place"), F.count(F.lit(1)).over(by_query).alias("terms")), "asked")
     spread = index.select("term", "block", "n").join(asked, "term").groupBy("query", "block")
-    spread = written(spread.agg(F.count(F.lit(1)).alias("bound"), F.sum("n").alias("weight"), F.min("place").alias("rarest"), F.max("terms").alias("terms")), "spread")
+    spread = spread.agg(F.count(F.lit(1)).alias("bound"), F.sum("n").alias("weight"), F.min("place").alias("rarest"), F.max("terms").alias("terms"))
     promising = F.row_number().over(by_query.orderBy(F.desc("bound"), F.desc("weight"), "block"))
-    first = spread.withColumn("nth", promising).where(F.col("nth") <= limit).select("query", "block")
-    seeds = _scored(first.join(asked.select("query", "term"), "query"), index, limit)
+    spread = written(spread.withColumn("nth", promising), "spread")
+    terms_of = asked.select("query", "term")
+    seeds = written(_scored(spread.where(F.col("nth") <= limit).select("query", "block").join(terms_of, "query"), index, limit), "seeds")
     scores = F.sort_array(F.collect_list("score"), asc=False)  # at most limit x limit of them
     least = seeds.groupBy("query").agg(F.coalesce(F.get(scores, F.lit(limit - 1)), F.lit(1)).alias("least"))
-    least = written(least, "least")
     needed = (F.col("rarest") <= F.col("terms") - F.col("least") + 1) & (F.col("bound") >= F.col("least"))
-    blocks = spread.join(least, "query").where(needed).select("query", "block")
-    found = _scored(blocks.join(asked.select("query", "term"), "query"), index, limit)
+    found = seeds
+    if spread.where(F.col("nth") > limit).limit(1).count():
+        blocks = spread.where(F.col("nth") > limit).join(least, "query").where(needed).select("query", "block")
+        found = seeds.union(_scored(blocks.join(terms_of, "query"), index, limit))
     rank = F.row_number().over(by_query.orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= limit).select("query", "id", "score", "rank")
 
 
-def best(pairs: DataFrame, wanted: DataFrame, limit: int) -> DataFrame:
+def best(pairs: DataFrame, wanted: DataFrame, limit: int, documents: int | None = None) -> DataFrame:
     """(query, id, score, rank) from (id, term) and (query, term) pairs: of each query the ids with the most of its terms; ties to the smaller id.
 
-    An index of the wanted terms alone is written, and :func:`ranked`.
+    An index of the wanted terms alone is written, and :func:`ranked`. ``documents`` tells about how many ids there are,
+    which are counted where it isn't given.
     """
     wanted = written(wanted.distinct(), "wanted")
-    kept = pairs.join(wanted.select("term").distinct(), "term", "left_semi").select("id", "term").distinct()
-    kept = written(kept, "pairs")
-    documents = kept.agg(F.approx_count_distinct("id")).first()[0]
-    index = written(indexed(kept, documents), "index")
-    discard(kept)
-    return ranked(index, wanted, limit)
+    kept = pairs.join(wanted.select("term").distinct(), "term", "left_semi")
+    if documents is None:
+        documents = pairs.agg(F.approx_count_distinct("id")).first()[0]
+    return ranked(written(indexed(kept, documents), "index"), wanted, limit)
 
 
 def checked_limit(limit: int) -> int:
@@ -107,10 +133,10 @@ def checked_limit(limit: int) -> int:
     return limit
 
 
-def search(pairs: DataFrame, queries: DataFrame, query_col: str, text_col: str, limit: int = 10) -> DataFrame:
+def search(pairs: DataFrame, queries: DataFrame, query_col: str, text_col: str, limit: int = 10, documents: int | None = None) -> DataFrame:
     """(query, id, score, rank): for each query, the documents with the most of its terms; ties to the smaller id.
 
-    See :func:`ranked`: no document is listed for a query that it shares no term with, or can't be among the best of.
+    See :func:`ranked`: no document is listed for a query that it shares no term with, or can't be among the best of. ``documents`` as in :func:`best`.
     """
     wanted = terms(queries, query_col, text_col).withColumnRenamed("id", "query")
-    return best(pairs, wanted, checked_limit(limit))
+    return best(pairs, wanted, checked_limit(limit), documents)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loam.functions import text as T
 from loam.functions.paths import is_private_host, resource_host
 from loam.operators import diff as D, exchange as X, graph as G, packing as P, parsing, rules as R, search as S
+from loam.operators.ordinals import numbered
 from loam.session import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,10 +125,11 @@ def front_fields(spark, sf):
     )
 
 
-@query("SELECT event_id, true AS equal FROM events")
+@query("SELECT event_id, event_id % 3 = 1 AS equal FROM events")
 def json_equality(spark, sf):
+    """Objects whose keys are in another order and whose numbers are written otherwise, of which every third is the same."""
     swapped = F.concat(F.lit('{"b":1,"a":'), "props", F.lit("}"))
-    straight = F.concat(F.lit('{ "a": '), "props", F.lit(', "b": 1 }'))
+    straight = F.concat(F.lit('{ "a": '), "props", F.lit(', "b": '), (F.col("event_id") % 3).cast("string"), F.lit(" }"))
     return table(spark, sf, "events").select("event_id", (T.canonical_json(swapped) == T.canonical_json(straight)).alias("equal"))
 
 
@@ -180,8 +182,8 @@ def document_postings(spark, sf):
         QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 10"""
 )
 def search_top(spark, sf):
-    pairs = S.terms(table(spark, sf, "documents"), "doc_id", "text")
-    return S.search(pairs, table(spark, sf, "benchmark"), "item_id", "text", 10)
+    docs = table(spark, sf, "documents")
+    return S.search(S.terms(docs, "doc_id", "text"), table(spark, sf, "benchmark"), "item_id", "text", 10, docs.count())
 
 
 # ---- diagnostics over documents as concepts ---------------------------------------------------
@@ -228,6 +230,12 @@ def threshold_exceeded(spark, sf):
     return R.exceeds(R.lint(_document_context(spark, sf)), "error")
 
 
+@query(f"WITH {DIAGNOSTICS} SELECT path, bool_or(severity = 'error') AS exceeds FROM g GROUP BY path")
+def failing_documents(spark, sf):
+    """Whether each document has a diagnostic that fails a lint."""
+    return R.exceeds(R.lint(_document_context(spark, sf)), "error", by=("path",))
+
+
 @query(f"""WITH {DIAGNOSTICS} SELECT source, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings FROM g GROUP BY source""")
 def diagnostics_by_source(spark, sf):
     found = R.lint(_document_context(spark, sf)).withColumn("source", F.regexp_extract("path", "^[^/]+", 0))
@@ -383,13 +391,13 @@ def imported_tables(spark, sf):
         FROM customer WHERE c_custkey % 3 > 0"""
 )
 def imported_models(spark, sf):
-    """A manifest for each nation, as JSON text; every third node is no model."""
+    """Manifests as JSON texts, one for each nation and thousand customers; every third node is no model."""
     key = F.col("c_custkey")
     node = F.struct(
         F.when(key % 3 > 0, F.lit("model")).otherwise("test").alias("resource_type"), F.when(key % 10 > 0, F.col("c_name")).alias("name"),
         F.struct(F.when(key % 7 == 0, F.array(F.concat(F.lit("source."), F.col("c_nationkey").cast("string")))).alias("nodes")).alias("depends_on"),
     )
-    nodes = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("model."), key.cast("string")), node))).alias("nodes"))
+    nodes = table(spark, sf, "customer").groupBy("c_nationkey", F.expr("c_custkey div 1000")).agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("model."), key.cast("string")), node))).alias("nodes"))
     made = X.model_concepts(X.manifest_nodes(nodes.select(F.to_json(F.struct("nodes")).alias("content"))), STAMP)
     title = F.get_json_object(F.concat(F.lit("["), F.regexp_extract("content", "(?m)^title: (.*)$", 1), F.lit("]")), "$[0]")
     return made.select("path", "identity", title.alias("title"), F.regexp_extract("content", r"(?m)^## Source Tables\n\n(.*)$", 1).alias("sources"))
@@ -400,11 +408,11 @@ def imported_models(spark, sf):
         CASE WHEN s_suppkey % 4 = 0 THEN 'GET /supplier/' || s_suppkey ELSE s_name END AS title, 'All suppliers' AS description FROM supplier"""
 )
 def imported_routes(spark, sf):
-    """A specification for each nation, as JSON text; entries that are no HTTP method don't count."""
+    """Specifications as JSON texts, one for each nation and thousand suppliers; entries that are no HTTP method don't count."""
     key = F.col("s_suppkey").cast("string")
     operation = F.struct(F.when(F.col("s_suppkey") % 4 > 0, F.concat(F.lit("op-"), key)).alias("operationId"), F.when(F.col("s_suppkey") % 4 > 0, F.col("s_name")).alias("summary"))
     item = F.struct(operation.alias("get"), F.struct(F.lit("x").alias("name")).alias("parameters"))
-    paths = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("/supplier/"), key), item))).alias("paths"))
+    paths = table(spark, sf, "supplier").groupBy("s_nationkey", F.expr("s_suppkey div 1000")).agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("/supplier/"), key), item))).alias("paths"))
     spec = paths.select(F.to_json(F.struct(F.struct(F.lit("All suppliers").alias("description")).alias("info"), "paths")).alias("content"))
     made = X.route_concepts(X.specification_routes(spec), STAMP)
     parsed = parsing.parse(made).select("path", "title", "description")
@@ -535,6 +543,18 @@ def plain_texts(spark, sf):
     return parsed.where((number % 40).isin(4, 6, 10, 20, 24)).select("id", "text")
 
 
+@query(
+    """SELECT CASE v WHEN 18 THEN 'parts/P' WHEN 3 THEN 'parts/./p' ELSE 'parts/p' END || printf('%06d', k::BIGINT) || '.md' AS path,
+        CASE v WHEN 6 THEN '' WHEN 10 THEN 'Alone.' ELSE 'hub is linked.' || CASE v WHEN 9 THEN ' x' WHEN 13 THEN ' on' WHEN 14 THEN ' back' WHEN 20 THEN ' Misusage' WHEN 21 THEN ' Asymptomatic'
+            WHEN 22 THEN ' api key = abcdefghij0123456789' WHEN 23 THEN ' BEGIN RSA PRIVATE KEY' WHEN 24 THEN ' Mail me@host.example.' WHEN 25 THEN ' See (http://10.0.0.1/x).'
+            WHEN 33 THEN ' tokens: abcdefghij0123456789 token: abcdefghij/0123456789' WHEN 34 THEN ' a' ELSE '' END END AS text
+        FROM (SELECT p_partkey AS k, p_partkey % 40 AS v FROM part) UNION ALL SELECT 'parts/hub.md', 'Here.'"""
+)
+def all_plain_texts(spark, sf):
+    """The words of every defective concept, links in links and in parentheses included."""
+    return parsing.parse(_defective(spark, sf)).select("path", parsing.plain_text(F.col("body")).alias("text"))
+
+
 @query(
     """WITH f AS (SELECT p_partkey AS k, 'parts/p' || printf('%06d', p_partkey::BIGINT) || '.md' AS path, length('Part ' || p_partkey) AS n FROM part WHERE p_partkey % 40 = 9)
         SELECT path, 'hub' AS label, 6 AS line, 1 AS "column", (50 + n)::INT AS "offset" FROM f UNION ALL SELECT path, 'x', 7, 1, (50 + n + 25)::INT FROM f"""
@@ -907,6 +927,36 @@ def _rings(spark, sf) -> DataFrame:
     return part.select(name(F.col("k")).alias("source"), name(end.cast("long")).alias("target"), end.alias("end")).where("end IS NOT NULL AND k > 9").drop("end")
 
 
+@query(
+    """WITH p AS (SELECT p_partkey AS k FROM part),
+        e AS (SELECT k AS a, CASE WHEN k % 10 <> 9 THEN k + 1 WHEN k // 10 % 2 = 0 THEN k // 10 * 10 END AS b FROM p WHERE k > 9),
+        known AS (SELECT a, b FROM e WHERE b IN (SELECT k FROM p))
+        SELECT printf('p%06d', k::BIGINT) AS id FROM p WHERE k NOT IN (SELECT a FROM known UNION SELECT b FROM known)"""
+)
+def ring_orphans(spark, sf):
+    """Parts that are in no chain and no ring."""
+    nodes = table(spark, sf, "part").select(F.format_string("p%06d", F.col("p_partkey").cast("long")).alias("id"))
+    return G.orphans(G.degrees(nodes, _rings(spark, sf)))
+
+
+@query(
+    """SELECT printf('p%09d', min(p_partkey)::BIGINT) AS scc, string_agg(printf('p%09d', p_partkey::BIGINT), ' -> ' ORDER BY p_partkey) || ' -> ' || printf('p%09d', min(p_partkey)::BIGINT) AS cycle
+        FROM part GROUP BY p_partkey // 10000 HAVING count(*) > 1"""
+)
+def long_rings(spark, sf):
+    """Parts in rings of ten thousand, beside as many orders in a chain that is no cycle."""
+    name = lambda c: F.format_string("p%09d", c)
+    part = table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("k"), F.expr("p_partkey div 10000").alias("ring"))
+    ends = part.groupBy("ring").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last")
+    after = F.when(F.col("k") == F.col("last"), F.col("first")).otherwise(F.col("k") + 1)
+    ring = part.join(ends, "ring").select(name(F.col("k")).alias("source"), name(after).alias("target"))
+    orders = numbered(table(spark, sf, "orders").select("o_orderkey"), [F.col("o_orderkey")])
+    chain = orders.select(F.format_string("q%09d", "nth").alias("source"), F.format_string("q%09d", F.col("nth") + 1).alias("target"))
+    edges = written(ring.union(chain), "edges")
+    found = G.representative_cycles(edges, G.strong_components(edges))
+    return found.select("scc", F.array_join("cycle", " -> ").alias("cycle"))
+
+
 RINGS = "r AS (SELECT p_partkey AS k, p_partkey // 10 * 10 AS first FROM part WHERE p_partkey > 9 AND p_partkey // 10 % 2 = 0 AND p_partkey // 10 * 10 + 9 <= (SELECT max(p_partkey) FROM part))"
 
 
