@@ -220,7 +220,8 @@ def ordered_entries(text: str, order: Sequence[str]) -> str:
             depth += 1
         if depth == 1 and event is not first and isinstance(event, yaml.NodeEvent) and is_key:
             starts.append(event.start_mark.line)
-            keys.append(event.value if isinstance(event, yaml.ScalarEvent) else None)
+            text_key = isinstance(event, yaml.ScalarEvent) and (event.style or event.tag or isinstance(scalar_value(event.value), str))
+            keys.append(event.value if text_key else None)
             anchors.append([])
             aliases.append(set())
         if starts and isinstance(event, yaml.AliasEvent):

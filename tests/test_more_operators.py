@@ -180,3 +180,56 @@ def test_trees_and_configurations(spark, tmp_path):
     assert comparison_root(str(root), "two") == str(tmp_path / "two")
     with pytest.raises(ValueError):
         comparison_root(str(root), "../elsewhere")
+
+
+def test_one_scheme_of_manifests(spark):
+    """A tree of hashes that no number of files changes the scheme of."""
+    rows = spark.range(300).select(F.format_string("d/%04d.md", "id").alias("path"), F.col("id").cast("string").alias("content"), F.col("id").cast("string").alias("id"))
+    whole = P.manifest_tree(rows).first()
+    assert whole["files"] == 300 and whole == P.manifest_tree(rows.repartition(7)).first()
+    changed = rows.withColumn("content", F.when(F.col("id") == "7", "x").otherwise(F.col("content")))
+    assert P.manifest_tree(changed).first()["hash"] != whole["hash"] and P.manifest_tree(rows.where("false")).collect() == []
+
+
+def test_reserved_files_join_and_never_bridge(spark):
+    from loam.bundle import Bundle
+    from loam.operators import rules as R
+
+    note = lambda text: f"---\ntype: Note\n---\n{text}\n"
+    files = {"b.md": note("[c](c.md)"), "c.md": note("x"), "d.md": note("[i](x/index.md)"), "z.md": note("x"), "index.md": "[d](d.md) [b](b.md)\n", "x/index.md": "no link\n", "log.md": "[index](index.md)\n"}
+    bundle = Bundle(spark.createDataFrame(list(files.items()), "path string, content string"), R.Config())
+    found = {r["id"]: r["cluster"] for r in bundle.clusters(reserved=True).collect()}
+    assert found == {"b": "b", "c": "b", "d": "d", "z": "z", "index": "b", "x/index": "d"}
+    assert {r["id"] for r in bundle.clusters().collect()} == {"b", "c", "d", "z"}
+
+
+def test_sharded_cache(spark, tmp_path):
+    """Each reason of a miss, shards that stay as they are, and what a killed write leaves."""
+    import os
+
+    from loam.operators.incremental import ParseCache
+
+    table = lambda files: spark.createDataFrame(list(files.items()), "path string, content string")
+    files = {f"f{i}.md": f"---\ntype: Note\ntitle: T{i}\n---\n{i}\n" for i in range(40)}
+    cache = ParseCache(spark, str(tmp_path / "c"), {"version": "0.1"})
+    states = lambda c, f: {r["path"]: (r["state"], tuple(r["differs"])) for r in c.states(table(f)).collect()}
+    assert cache.table() is None and set(states(cache, files).values()) == {("missing", ())}
+    assert {r["title"] for r in cache.refresh(table(files)).collect()} == {f"T{i}" for i in range(40)}
+    assert set(states(cache, files).values()) == {("hit", ())}
+    later = dict(files) | {"f3.md": "changed", "new.md": "n"}
+    del later["f9.md"]
+    found = states(cache, later)
+    assert (found["f3.md"], found["new.md"], found["f9.md"], found["f1.md"]) == (("key", ("content_hash",)), ("missing", ()), ("gone", ()), ("hit", ()))
+    other = ParseCache(spark, str(tmp_path / "c"), {"version": "9"}, tool_version="2", rule_version="2")
+    assert set(states(other, files).values()) == {("key", ("config_hash", "rule_version", "tool_version"))}
+    listing = lambda: {s: sorted(os.listdir(tmp_path / "c" / f"shard={s}")) for s in cache.shards()}
+    before = listing()
+    parsed = {r["path"]: r["body"] for r in cache.refresh(table(later)).collect()}
+    assert parsed == {p: t.rpartition("---\n")[2] for p, t in later.items()}
+    import hashlib
+
+    touched = {hashlib.sha256(p.encode()).hexdigest()[:2] for p in ("f3.md", "new.md", "f9.md")}
+    after = listing()
+    assert {s for s in after if after[s] == before.get(s)} == set(after) - touched and set(states(cache, later).values()) == {("hit", ())}
+    cache.refresh(table({"f1.md": files["f1.md"]}))
+    assert [r["path"] for r in cache.table().collect()] == ["f1.md"] and len(cache.shards()) == 1

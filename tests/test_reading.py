@@ -172,3 +172,40 @@ def test_linear_time(work):
     start = time.process_time()
     work()
     assert time.process_time() - start < 5
+
+
+@pytest.mark.parametrize(
+    "front,made",
+    [
+        ("title: &a x\ntype: N\nz: *a\n", "type: N\ntitle: &a x\nz: *a\n"), ("z: &a x\ntitle: *a\n", "z: &a x\ntitle: *a\n"), ("b: &x 1\na: &x 2\n", "b: &x 1\na: &x 2\n"),
+        ("c: &x\n  k: 1\n# note\nb:\n  <<: *x\na: 1\n", "a: 1\nc: &x\n  k: 1\n# note\nb:\n  <<: *x\n"), ("{b: &x 1, a: *x}\n", "{b: &x 1, a: *x}\n"), ("b: &x [*x]\na: 1\n", "a: 1\nb: &x [*x]\n"),
+        ("1: &x a\nb: *x\na: c\n", "a: c\n1: &x a\nb: *x\n"), ("d: [&p a, &q b]\nc: {k: *q}\nb: [*p, *c]\na: &c x\n", "a: &c x\nd: [&p a, &q b]\nb: [*p, *c]\nc: {k: *q}\n"), ("a: [\n", "a: [\n"), ("&m a: 1\nb: 2\n", "&m a: 1\nb: 2\n"),
+    ],
+)
+def test_anchored_order(front, made):
+    assert yaml.ordered_entries(front, ("type", "title")) == made
+
+
+def test_anchored_order_is_linear():
+    start = time.process_time()
+    text = "".join(f"k{i}: &a{i} {i}\n" for i in range(4000)) + "".join(f"a{i}: *a{i}\n" for i in range(4000))
+    assert yaml.ordered_entries(text, [f"k{i}" for i in range(20_000)]).startswith("k0: ")
+    assert time.process_time() - start < 5
+
+
+@pytest.mark.parametrize(
+    "text,words",
+    [
+        ("[l](http://x/((y)))", "l"), ("a [x [y](z)](w) b", "a [x y](w) b"), ("[![i](j)](k) t", "t"), ("![a](b(c(d)))x", "x"), ("\\[n](o) [p](q\\)r)", "\\[n](o) p"),
+        ("[" + "a" * 500 + "](b)", "a" * 500), ("[a](" + "(" * 40 + ")" * 40 + ") z", "a z"), ("```\n[a](b)\n```\n[c](d (e)) [f](g h)", "c [f](g h)"),
+    ],
+)
+def test_plain_text_of_nested_links(spark, text, words):
+    assert spark.createDataFrame([(text,)], "t string").select(parsing.plain_text(F.col("t"))).first()[0] == words
+
+
+def test_unlinking_is_linear():
+    start = time.process_time()
+    for text in ("[" * 25_000, "[x](" * 8000, "[a](b) " * 4000, "![" * 10_000 + "](x)" * 10_000):
+        markdown.without_links(text)
+    assert time.process_time() - start < 5
