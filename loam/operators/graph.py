@@ -156,16 +156,15 @@ def _coloured(left: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _components(edges: DataFrame) -> DataFrame | None:
-    """(node, root) of the nodes of (a, b), without repeats, that lie on a cycle; a root stands for its component. None for none.
+    """(node, root) of the nodes of (a, b), a written table without repeats, that lie on a cycle; a root stands for its component. None for none.
 
     What has no edge in or out is peeled, a few layers at a time. Then thin nodes, which have one edge in and one out, are left
     out: rings of them are components, and others belong to where they come from if that is where they lead to. So chains
     and long rings shrink to an edge in about the logarithm of their length, and so do trees, whose stems
     become thin as leaves are peeled. What is then left is coloured.
     """
-    loops = edges.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("root"))
-    left = written(edges.where("a <> b"), "scc")
-    before, found = left.count(), None
+    n_loops, before = edges.agg(F.count_if(F.col("a") == F.col("b")), F.count_if(F.col("a") != F.col("b"))).first()
+    left, found = edges.where("a <> b"), None
     for _ in range(2):
         if before:
             last, left = left, written(_peeled(_peeled(left)), "scc")
@@ -181,7 +180,7 @@ def _components(edges: DataFrame) -> DataFrame | None:
             inner = out.select(F.col("v").alias("b"), "to", "last")
             known = thin.select(F.col("v").alias("a"))
             entered = written(left.join(known, "a", "left_anti").join(inner, "b", "left").select("a", F.coalesce("to", "b").alias("b"), "last"), "scc")
-            found = _components(entered.select("a", "b").distinct())
+            found = _components(written(entered.select("a", "b").distinct(), "scc"))
             rooted = rings.select(F.col("v").alias("node"), "root")
             if found is not None:
                 ends = [found.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")) for end in "ab"]
@@ -193,10 +192,10 @@ def _components(edges: DataFrame) -> DataFrame | None:
             more = _components(rest)
             if more is not None:
                 found = written(found.union(more), "scc")
-    discard(left)
-    own = loops if found is None else found.union(loops.join(found.select("node"), "node", "left_anti"))
-    own = written(own, "scc")
-    return own if own.limit(1).count() else None
+    if not n_loops:
+        return found
+    loops = edges.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("root"))
+    return written(loops if found is None else found.union(loops.join(found.select("node"), "node", "left_anti")), "scc")
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
