@@ -252,6 +252,10 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts pass through the prediction beside their rows, so nothing is joined or shuffled; columns
     and their names are those of ``docs``.
+
+    Null and empty texts, and those without a letter, are ``und`` and go. Very long texts are read whole. Of labels that
+    fit equally well the first counts. Rows that repeat an id or a text are judged each, and stay or go
+    alike where their texts are the same. An empty table stays empty.
     """
     learn = docs.where(~held_out(id_col, 4, 2)).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")

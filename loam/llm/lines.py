@@ -67,7 +67,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A text is cut at \\n. A line's key is the line without white space at both ends, A-Z in lower
     case. Keys of at least ``min_chars`` characters that at least ``min_docs`` documents hold lose
-    all their lines but those in the largest id that holds them.
+    all their lines but those in the largest id that holds them. Keys are equal by 96 bits of hash, and their
+    texts are not compared.
 
     ``kept`` is array<struct<word int, bits bigint>>: bit ``i`` of word ``w`` says that line
     ``63 * w + i`` stays. Words all of whose lines stay are left out, and so are documents that
