@@ -2,7 +2,7 @@
 
 import pytest
 
-from loam.plans.catalogue import ORACLE_SQL, QUERIES
+from loam.plans.all import ORACLE_SQL, QUERIES
 from tests.oracle import assert_same, connect
 
 
