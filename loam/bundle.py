@@ -14,6 +14,7 @@ from loam.operators import diff as D, exchange as X, formatting, graph as G, pac
 from loam.session import written
 from loam.sources.bundle import EXCLUDED, read_bundle
 from loam.sources.sink import write_files, write_pieces
+from loam.sources.tree import read_files
 
 
 #: Names of a bundle's configuration; the first that is there counts.
@@ -169,6 +170,24 @@ class Bundle:
         pieces = X.site_index_pieces(concepts, self.stats(), title).union(X.graph_json(self.nodes(), self.edges()))
         return written_pages.union(write_pieces(pieces, ["part", "key"], root, replace, mounted))
 
+    def write_reports(self, root: str, replace: bool = False, mounted: bool = False) -> DataFrame:
+        """(path, size) of graph.json, graph.dot, graph.html and diagnostics.sarif, each of them one task's stream of sorted rows."""
+        edges, nodes = self.edges(), self.nodes()
+        dot = X.dot_lines(edges).select(F.lit(1).alias("part"), F.col("line").alias("key"), F.concat("line", F.lit("\n")).alias("text"))
+        ends = self.parsed.sparkSession.createDataFrame([(0, "", "digraph bundle {\n"), (2, "", "}\n")], "part int, key string, text string")
+        html = X.graph_html(self.stats(), nodes, edges.where("resolved")).select("part", F.col("line").alias("key"), F.concat("line", F.lit("\n")).alias("text"))
+        sarif = X.sarif_run(self.lint()).select(F.lit(0).alias("part"), F.lpad(F.col("nth").cast("string"), 20, "0").alias("key"), F.concat("line", F.lit("\n")).alias("text"))
+        pieces = X.graph_json(nodes, edges)
+        for path, rows in (("graph.dot", ends.union(dot)), ("graph.html", html), ("diagnostics.sarif", sarif)):
+            pieces = pieces.union(rows.select(F.lit(path).alias("path"), "part", "key", "text"))
+        return write_pieces(pieces, ["part", "key"], root, replace, mounted)
+
+    def package(self, root: str, out: str | None = None, mounted: bool = False) -> tuple[DataFrame, DataFrame]:
+        """((path, content) of what a package of the tree takes, the manifest's row): all its files but the sensitive ones, as bytes."""
+        listed = packing.pack_listing(self.parsed.sparkSession, root, self.config.exclude, out, mounted)
+        files = packing.packable(read_files(listed, root, binary=True))
+        return files, self.manifest(files)
+
     def manifest(self, files: DataFrame | None = None) -> DataFrame:
         """One row (files, hash) over what a package may hold: the bundle's files, or ``files`` (path, content) of all kinds."""
         with_id = packing.packable(self.files if files is None else files).join(self.parsed.select("path", "id"), "path", "left")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from loam.functions.paths import DEVICES, path_key
+from loam.session import written
+from loam.sources.tree import EXCLUDED, list_tree
 
 #: The first line of what a manifest's hash covers.
 HEADER = "manifest-v1\n"
@@ -34,13 +39,34 @@ def is_sensitive(path: Column) -> Column:
 
 def packable(files: DataFrame) -> DataFrame:
     """(path, content) rows that a package may hold: no sensitive name, no private key inside."""
-    return files.where(~is_sensitive(F.col("path")) & ~F.coalesce(F.col("content").rlike("-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----"), F.lit(False)))
+    return files.where(~is_sensitive(F.col("path")) & ~F.coalesce(F.make_valid_utf8(F.col("content").cast("string")).rlike("-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----"), F.lit(False)))
+
+
+#: What a package never takes, as globs: the tool's own folder, and packages.
+OWN = ".loam/**,**/*.tar.gz"
+#: Parts of a path that some file system refuses, in any case.
+_REFUSED = r"(?i)[<>:\"|?*\x00-\x1f\x7f-\x9f\\]|[ .](?:/|$)|(?:^|/)(?:" + "|".join(DEVICES) + r")(?:\.[^/]*)?(?:/|$)"
+
+
+def pack_listing(spark: SparkSession, root: str, exclude: Sequence[str] = (), out: str | None = None, mounted: bool = False) -> DataFrame:
+    """(path, size) of all files of a tree that a package takes, hidden ones included, listed by tasks.
+
+    Left out are excluded files, the tool's own, packages, the file ``out`` itself, and those with a sensitive name. Paths that some
+    file system refuses or can't tell apart are an error that names a few of them.
+    """
+    listed = list_tree(spark, root, "**/*", ",".join([EXCLUDED, OWN, *exclude]), mounted)
+    listed = written(listed.where(~is_sensitive(F.col("path")) & ~F.col("path").eqNullSafe(F.lit(out))), "packed")
+    bad = listed.where(F.col("path").rlike(_REFUSED)).select("path", F.lit("not portable").alias("why"))
+    twice = listed.groupBy(path_key("path").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path")).where("n > 1")
+    if some := bad.union(twice.select("path", F.lit("the same as another on some file systems"))).orderBy("path").limit(5).collect():
+        raise ValueError("; ".join(f"{r['why']}: {r['path']!r}" for r in some))
+    return listed
 
 
 def manifest_lines(files: DataFrame) -> DataFrame:
     """(path, line): the path, the content's SHA-256 and the concept id, divided by NUL."""
     nul = F.char(F.lit(0))
-    line = F.concat("path", nul, F.sha2(F.coalesce("content", F.lit("")), 256), nul, F.coalesce("id", F.lit("")), F.lit("\n"))
+    line = F.concat("path", nul, F.sha2(F.coalesce(F.col("content").cast("binary"), F.lit("").cast("binary")), 256), nul, F.coalesce("id", F.lit("")), F.lit("\n"))
     return files.select("path", line.alias("line"))
 
 

@@ -99,8 +99,8 @@ def list_tree(spark: SparkSession, root: str, include: str = "**/*.md", exclude:
     return found
 
 
-def read_files(listed: DataFrame, root: str, per_task: int = FILES_PER_TASK, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """(path, content) of listed (path, size) rows; bytes that are no UTF-8 become replacement characters.
+def read_files(listed: DataFrame, root: str, per_task: int = FILES_PER_TASK, batch_bytes: int = BATCH_BYTES, binary: bool = False) -> DataFrame:
+    """(path, content) of listed (path, size) rows; bytes that are no UTF-8 become replacement characters, unless contents are ``binary``.
 
     A task reads about ``per_task`` files, or fewer where files are large, and passes them on by about ``batch_bytes``.
     """
@@ -108,23 +108,25 @@ def read_files(listed: DataFrame, root: str, per_task: int = FILES_PER_TASK, bat
     small_batches(spark)
     n, size = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     tasks = max(-(-n // per_task), -(-size // (128 << 20)), 1)
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary() if binary else pa.string())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = Store(root)
         paths: list[str] = []
-        texts: list[str] = []
+        contents: list[bytes | str] = []
         held = 0
         for batch in batches:
             for path in batch.column(0).to_pylist():
+                data = store.read(path)
                 paths.append(path)
-                texts.append(store.read(path).decode("utf-8", "replace"))
-                held += len(texts[-1])
+                contents.append(data if binary else data.decode("utf-8", "replace"))
+                held += len(data)
                 if held >= batch_bytes or len(paths) >= 1000:
-                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.string())], ["path", "content"])
-                    paths, texts, held = [], [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.string())], ["path", "content"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((paths, contents), schema.types)], schema=schema)
+                    paths, contents, held = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((paths, contents), schema.types)], schema=schema)
 
-    return listed.select("path").repartition(tasks, F.xxhash64("path")).mapInArrow(read, "path string, content string")
+    return listed.select("path").repartition(tasks, F.xxhash64("path")).mapInArrow(read, f"path string, content {'binary' if binary else 'string'}")
 
 
 def read_tree(spark: SparkSession, root: str, include: str = "**/*.md", exclude: str = EXCLUDED, mounted: bool = False, per_task: int = FILES_PER_TASK) -> DataFrame:

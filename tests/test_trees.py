@@ -176,3 +176,26 @@ def test_renames_of_a_hot_hash(spark):
     assert pairs == expected
     assert sorted(r["id"] for r in found if r["change"] == "removed") == ["n1", "n2"]
     assert sorted(r["id"] for r in found if r["change"] == "added") == sorted(set(hot_new[2700:]) | {f"new{i:05}" for i in range(3000, 3300, 10)})
+
+
+def test_packages_take_all_files(spark, tmp_path):
+    """Hidden and binary files are in, sensitive names, keys, packages and the output are not; doubtful paths are refused."""
+    files = {"a.md": "---\ntype: Note\n---\nx\n", ".hidden/b.bin": b"\xff\x00\xfe", "_c.txt": "c", ".env": "S=1", "k.txt": "-----BEGIN PRIVATE KEY-----", "old.tar.gz": b"\x1f", "out.zip": "o", ".loam/x": "y", "x/.ssh/id": "z"}
+    root = make(tmp_path / "p", files)
+    bundle = Bundle.load(spark, root)
+    taken, manifest = bundle.package(root, out="out.zip")
+    assert {r["path"]: bytes(r["content"]) for r in taken.collect()} == {"a.md": files["a.md"].encode(), ".hidden/b.bin": b"\xff\x00\xfe", "_c.txt": b"c"}
+    assert manifest.first()["files"] == 3
+    for bad in ("con.txt", "a:b.md", "A.MD", "dot./x.md"):
+        again = make(tmp_path / f"q{len(bad)}{bad[0]}", {"a.md": "a", bad: "b"})
+        with pytest.raises(ValueError, match="portable|the same as"):
+            Bundle.load(spark, again).package(again)
+
+
+def test_reports_are_files(spark, tmp_path):
+    root = make(tmp_path / "b", {"a.md": "---\ntype: Note\ntitle: T\n---\nSee [b](b.md).\n", "b.md": "---\ntype: Note\ntitle: B\n---\nx\n"})
+    Bundle.load(spark, root).write_reports(str(tmp_path / "r"))
+    read = lambda name: (tmp_path / "r" / name).read_text()
+    assert read("graph.dot") == 'digraph bundle {\n  "a" -> "b";\n}\n'
+    assert {e["ruleId"] for e in json.loads(read("diagnostics.sarif"))["runs"][0]["results"]} >= {"hygiene/missing-description"}
+    assert read("graph.html").startswith("<!doctype html>") and json.loads(read("graph.json"))["edges"][0]["id"] == "a->b:markdown-link:0"
