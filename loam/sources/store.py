@@ -97,8 +97,13 @@ class Store:
 
 
 def shared_store(spark: SparkSession, root: str, mounted: bool = False) -> Store:
-    """The store of ``root``, if all tasks see it: on a cluster a disk must be said to be ``mounted`` on all its machines."""
+    """The store of ``root``, if all tasks see it: on a cluster a disk must be said to be ``mounted`` on all its machines.
+
+    What lies in the folder that ``spark.checkpoint.dir`` names is seen by all.
+    """
     store = Store(root)
-    if store.local and not mounted and not spark.sparkContext.master.startswith("local"):
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    seen = mounted or not store.local or spark.sparkContext.master.startswith("local") or (bool(named) and Store(named).local and store.at("").startswith(Store(named).at("") + "/"))
+    if not seen:
         raise ValueError(f"a disk that only one machine sees can't be read or written by a cluster's tasks: {root!r}; say mounted=true if all do")
     return store

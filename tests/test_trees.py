@@ -69,9 +69,13 @@ def test_a_cluster_needs_a_shared_disk(spark, tmp_path):
         class sparkContext:  # noqa: N801
             master = "yarn"
 
+        conf = {"spark.checkpoint.dir": "file:///shared/"}
+
     with pytest.raises(ValueError):
         stores.shared_store(Far, str(tmp_path))
-    assert stores.shared_store(Far, str(tmp_path), mounted=True).local
+    assert stores.shared_store(Far, str(tmp_path), mounted=True).local and stores.shared_store(Far, "/shared/x").local
+    with pytest.raises(ValueError):
+        stores.shared_store(Far, "/shared-not/x")
 
 
 def test_many_folders(spark, tmp_path):
