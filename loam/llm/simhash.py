@@ -382,6 +382,10 @@ def across_components(members: DataFrame, sets: DataFrame, least: float) -> Data
     return similar
 
 
+#: Shingles of a text that is joined by them in any case: what is 0.8 similar to one of nine has eleven at most.
+SHORT = 12
+
+
 def _similar(
     nodes: DataFrame,
     texts: DataFrame,
@@ -398,8 +402,9 @@ def _similar(
 
     Candidates are the links of :func:`_link_runs`. That connects groups of near copies at a cost in
     proportion to them. In long runs these are not all pairs, so what has any candidate is then
-    joined with its like by its shingles, across the components found so far. A node's smallest id
-    stands for it, and only texts that some link needs are cut into shingles, once.
+    joined with its like by its shingles, across the components found so far. So are all texts of up to SHORT
+    shingles, whose fingerprints tell too little, whether they have a candidate or not: each similar pair of which
+    one has under ten is found. A node's smallest id stands for it, and only texts that some link needs are cut into shingles, once.
     """
     cuts = _segments(lanes, segments)
     ordered = _by_key(nodes.select(*names), names, lanes, segments, tile_rows)
@@ -408,7 +413,9 @@ def _similar(
     by_node = nodes.where(F.col("least").isNotNull()).select(F.struct(*names).alias("node"), F.col("least").alias("id"))
     pairs = links.join(by_node.select(F.col("node").alias("a"), F.col("id").alias("ia")), "a")
     pairs = written(pairs.join(by_node.select(F.col("node").alias("b"), F.col("id").alias("ib")), "b"), "pairs")
-    either = pairs.select(F.col("a").alias("node"), F.col("ia").alias("id")).union(pairs.select("b", "ib")).distinct()
+    words = F.split(F.trim("text", F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+", SHORT + shingle)  # no more than this many parts are made
+    short = by_node.join(texts.where(F.size(words) < SHORT + shingle).select("id").distinct(), "id").select("node", "id")
+    either = pairs.select(F.col("a").alias("node"), F.col("ia").alias("id")).union(pairs.select("b", "ib")).union(short).distinct()
     sets = _sets_of(either, texts, shingle)
     similar = _pairs_alike(pairs, sets, least)
     reached = connected_components(similar, "a", "b").select("node", F.xxhash64("component").alias("c"))

@@ -173,3 +173,20 @@ def test_pairs_among_refused_neighbours(spark, tile_rows):
     df = table(spark, as_rows(texts))
     found = near_duplicates(df, shingle=5, lanes=3, max_distance=42, segments=12, tile_rows=tile_rows, min_similarity=0.8)
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {i: expected.get(i, i) for i in range(160)}
+
+
+@pytest.mark.parametrize("shingles", [1, 2, 4, 5, 7, 9, 10])
+def test_short_texts_are_joined_in_full(spark, shingles):
+    """Of texts of few shingles every similar pair is found: words added at the end, and one that is another, among unlike ones."""
+    rnd = random.Random(shingles)
+    words_ = [f"w{i}" for i in range(4000)]
+    texts, expected = [], []
+    for _ in range(120):
+        own = rnd.sample(words_, shingles + 4)
+        other = own[:-1] + ["other"] if rnd.random() < 0.5 else own + ["more"]
+        sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (own, other)]
+        texts += [" ".join(own), " ".join(other)]
+        expected.append(len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]))
+    rows = [(i, f"  {t}\n" if i % 3 else t, *[None] * 8) for i, t in enumerate(texts)]
+    found = {r["doc_id"]: r["component_id"] for r in near_duplicates(table(spark, rows), shingle=5, lanes=3, max_distance=42, segments=12, min_similarity=0.8).collect()}
+    assert [found[2 * i + 1] == 2 * i for i in range(120)] == expected and (shingles < 4 or any(expected))
