@@ -15,7 +15,7 @@ from loam.functions import text as T
 from loam.functions.paths import is_private_host, resource_host
 from loam.operators import diff as D, exchange as X, graph as G, packing as P, parsing, rules as R, search as S
 from loam.operators.ordinals import numbered
-from loam.session import written
+from loam.session import spread, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -609,7 +609,7 @@ HOSTS = [
 
 @query(f"SELECT c_custkey, {_sql_form('c_custkey', HOSTS, 1)} AS host, {_sql_form('c_custkey', HOSTS, 2)} AS private FROM customer")
 def host_forms(spark, sf):
-    rows = table(spark, sf, "customer").select("c_custkey", resource_host(_form("c_custkey", HOSTS, 0)).alias("host"))
+    rows = spread(table(spark, sf, "customer").select("c_custkey"), "c_custkey").select("c_custkey", resource_host(_form("c_custkey", HOSTS, 0)).alias("host"))
     return rows.withColumn("private", is_private_host("host"))
 
 

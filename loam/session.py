@@ -63,6 +63,21 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -
         spark.conf.set(key, str(size))
 
 
+#: Rows of a task that makes or reads a text for each row.
+ROWS_PER_TASK = 10_000
+
+
+def spread(rows: DataFrame, *keys: str, per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """``rows`` dealt by the hash of their ``keys`` to a task for each ``per_task`` of them.
+
+    A small file of many short rows is read by a task for each of its row groups, so what is made of its rows would be
+    one task's work, however large the cluster. This counts the rows and shuffles them, so it comes
+    before texts are made, and the keys should tell most rows apart.
+    """
+    n = rows.select(*keys).count()
+    return rows.repartition(max(1, -(-n // per_task)), *keys)
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, and its lineage ends there.
 
