@@ -579,7 +579,8 @@ def front_matter_values(spark, sf):
         F.concat(F.lit('type: Note\ntext: >-\n  one\n  two\n\n  three\nquoted: "'), "c_name", F.lit('\\x21"\nset: !!set {a: null}\ntagged: !own v\n')),
     ]
     front = F.element_at(F.array(*kinds), (F.col("c_custkey") % 8 + 1).cast("int"))
-    files = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("path"), F.concat(F.lit("---\n"), front, F.lit("---\n")).alias("content"))
+    rows = spread(table(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey")
+    files = rows.select(F.col("c_custkey").cast("string").alias("path"), F.concat(F.lit("---\n"), front, F.lit("---\n")).alias("content"))
     return parsing.parse(files).select(F.col("path").cast("long").alias("c_custkey"), "invalid", F.col("front_json").alias("json"))
 
 

@@ -8,7 +8,7 @@ from loam.operators import graph as G, packing as P
 from loam.operators.formatting import formatted
 from loam.operators.incremental import ParseCache
 from loam.plans.catalogue import query, table
-from loam.session import new_path, written
+from loam.session import new_path, spread, written
 
 #: SQL for a text of lines.
 _LINES = "array_to_string([{}], chr(10)) || chr(10)"
@@ -36,7 +36,8 @@ def anchored_front(spark, sf) -> DataFrame:
         lines(F.concat(F.lit("zz: [&l "), key, F.lit(", 2]")), "y: &m {p: *l}", "x: 1", "description: [*m, *l]"),
     ]
     front = F.element_at(F.array(*kinds), (F.col("c_custkey") % 5 + 1).cast("int"))
-    files = table(spark, sf, "customer").select(key.alias("path"), F.concat(F.lit("---\n"), front, F.lit("---\n"), name, F.lit("\n")).alias("content"))
+    rows = spread(table(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey")
+    files = rows.select(key.alias("path"), F.concat(F.lit("---\n"), front, F.lit("---\n"), name, F.lit("\n")).alias("content"))
     return formatted(files).select(F.col("path").cast("long").alias("c_custkey"), "formatted")
 
 

@@ -20,7 +20,7 @@ def tables(tmp_path_factory):
     return str(root)
 
 
-@pytest.mark.parametrize("query", ["host_forms"])
+@pytest.mark.parametrize("query", ["host_forms", "front_matter_values", "anchored_front"])
 def test_rows_of_one_row_group_are_dealt(spark, tables, query):
     found = entry.queries()[query](spark, tables)
     assert found.rdd.getNumPartitions() >= 3
