@@ -375,14 +375,15 @@ SLUG = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-')"
         SELECT path, identity, title, 'Imported from BigQuery metadata.' AS description FROM c"""
 )
 def imported_tables(spark, sf):
-    tables = table(spark, sf, "part").select(
+    tables = spread(table(spark, sf, "part").select("p_partkey", "p_brand", "p_name"), "p_partkey").select(
         F.lit("wh").alias("project"), F.concat(F.lit("ds-"), "p_brand").alias("dataset"), F.col("p_name").alias("table"), F.lit(None).cast("string").alias("description"),
         F.array(F.struct(F.lit("key").alias("name"), F.lit("INT64").alias("type"), F.lit(None).cast("string").alias("description"))).alias("columns"),
     )
     made = X.table_concepts(tables, STAMP)
-    return made.join(parsing.parse(made.select("path", "content").distinct()).select("path", "title", "description", "resource"), "path").where(
-        F.col("identity") == F.col("resource")[0]
-    ).select("path", "identity", "title", "description")
+    # both are written, as the join's conditions would else be pushed to where the table is read, and every row parsed there
+    concepts = written(made.select("path", "content").distinct(), "concepts")
+    parsed = written(parsing.parse(spread(concepts, "path")).select("path", "title", "description", "resource"), "parsed")
+    return made.join(parsed, "path").where(F.col("identity") == F.col("resource")[0]).select("path", "identity", "title", "description")
 
 
 @query(
@@ -423,7 +424,7 @@ def imported_routes(spark, sf):
     f"""SELECT 'catalog/' || {SLUG.format("c_name")} || '.md' AS path, 'urn:c:' || c_custkey AS identity, 'imported,datahub,' || {SLUG.format("c_mktsegment")} AS tags FROM customer"""
 )
 def imported_datasets(spark, sf):
-    rows = table(spark, sf, "customer").select(
+    rows = spread(table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey").select(
         F.concat(F.lit("urn:c:"), F.col("c_custkey").cast("string")).alias("urn"), F.col("c_name").alias("name"), F.lit(None).cast("string").alias("description"), F.col("c_mktsegment").alias("platform")
     )
     made = X.dataset_concepts(rows, STAMP)
@@ -454,7 +455,7 @@ def generated_paths(spark, sf):
     key = F.col("p_partkey")
     number = lambda c: F.floor(c).cast("long").cast("string")
     path = F.concat(F.when(key % 5 == 0, "A/").otherwise("a/"), number(key / 5), F.lit("-"), number(key % 5 / 4), F.lit(".md"))
-    files = table(spark, sf, "part").select(path.alias("path"), F.lit("").alias("content"), F.concat(F.lit("part "), key.cast("string")).alias("identity"))
+    files = spread(table(spark, sf, "part").select("p_partkey"), "p_partkey").select(path.alias("path"), F.lit("").alias("content"), F.concat(F.lit("part "), key.cast("string")).alias("identity"))
     made = written(X.disambiguated(files), "paths")
     total = made.agg(F.countDistinct(F.lower("path")).alias("files"))
     renamed = F.col("path").rlike(r"-[0-9a-z]{7,}(?:-[0-9]+)?\.md$")
@@ -466,7 +467,8 @@ def generated_paths(spark, sf):
 
 def _defective(spark, sf) -> DataFrame:
     """(path, content): a concept for each part, with a defect by its number modulo 40, and one that all link to."""
-    rows = table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("k"), (F.col("p_partkey") % 40).cast("int").alias("v"))
+    parts = spread(table(spark, sf, "part").select("p_partkey"), "p_partkey")
+    rows = parts.select(F.col("p_partkey").cast("long").alias("k"), (F.col("p_partkey") % 40).cast("int").alias("v"))
     number = lambda c: F.format_string("p%06d", c)
     v = F.col("v")
     name = F.concat(F.when(v == 18, "parts/P").when(v == 3, "parts/./p").otherwise("parts/p"), F.format_string("%06d", "k"), F.lit(".md"))
@@ -625,7 +627,7 @@ TARGETS = [
 def resolved_targets(spark, sf):
     from loam.functions.paths import resolve_target
 
-    return table(spark, sf, "part").select("p_partkey", resolve_target(_form("p_partkey", TARGETS, 0), _form("p_partkey", TARGETS, 1)).alias("target"))
+    return spread(table(spark, sf, "part").select("p_partkey"), "p_partkey").select("p_partkey", resolve_target(_form("p_partkey", TARGETS, 0), _form("p_partkey", TARGETS, 1)).alias("target"))
 
 
 #: A file, and whether a package leaves it out.
@@ -650,7 +652,7 @@ def written_texts(spark, sf):
     from loam.functions.paths import relative_target
 
     key = F.col("p_partkey").cast("string")
-    return table(spark, sf, "part").select(
+    return spread(table(spark, sf, "part").select("p_partkey", "p_name", "p_size"), "p_partkey").select(
         "p_partkey",
         T.escape_markdown_text(F.concat("p_name", F.lit(" ["), F.col("p_size").cast("string"), F.lit("]*"))).alias("escaped"),
         T.spaced_code_span(F.concat(F.lit("a`"), key)).alias("span"),

@@ -17,16 +17,22 @@ def tables(tmp_path_factory):
     key = pa.array(range(ROWS), pa.int64())
     name = pa.array([f"Name#{i:09}" for i in range(ROWS)])
     pq.write_table(pa.table({"c_custkey": key, "c_name": name, "c_mktsegment": name}), root / "customer.parquet")
+    pq.write_table(pa.table({"p_partkey": key, "p_name": pa.array([f"n{i % 7}" for i in range(ROWS)]), "p_brand": pa.array(["B"] * ROWS), "p_size": pa.array([1] * ROWS, pa.int32())}), root / "part.parquet")
     return str(root)
 
 
-@pytest.mark.parametrize("query", ["host_forms", "front_matter_values", "anchored_front"])
+@pytest.mark.parametrize("query", ["host_forms", "front_matter_values", "anchored_front", "imported_tables", "resolved_targets", "written_texts"])
 def test_rows_of_one_row_group_are_dealt(spark, tables, query):
     found = entry.queries()[query](spark, tables)
     assert found.rdd.getNumPartitions() >= 3
     assert found.count() == ROWS
 
 
+def test_imports_are_parsed_once_for_each_different_text(spark, tables):
+    plan = entry.queries()["imported_tables"](spark, tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "read_front_matter" not in plan
+
+
 def test_hosts_are_made_once_for_each_url(monkeypatch):
     import pandas as pd
 
