@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from loam.functions.text import HUB_DEGREE, path_dir
@@ -70,10 +75,15 @@ def isolated_clusters(cluster: DataFrame) -> DataFrame:
     return sizes.agg(F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("n") == 1).alias("single"))
 
 
+def _met(rows: DataFrame, other: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join by sorting: what is written has far more rows than its size on disk tells, and each round's would go to the driver to be broadcast."""
+    return rows.join(other.hint("merge"), on, how)
+
+
 def _peeled(edges: DataFrame) -> DataFrame:
     """Edges (a, b) whose source has an edge in and whose target has one out."""
     into, out = edges.select(F.col("b").alias("a")).distinct(), edges.select(F.col("a").alias("b")).distinct()
-    return edges.join(into, "a", "left_semi").join(out, "b", "left_semi").select("a", "b")
+    return _met(_met(edges, into, "a", "left_semi"), out, "b", "left_semi").select("a", "b")
 
 
 def _thin(edges: DataFrame) -> DataFrame:
@@ -83,17 +93,45 @@ def _thin(edges: DataFrame) -> DataFrame:
     return counted.where("n_out = 1 AND n_in = 1").select("v", "next")
 
 
+def _shortened(thin: DataFrame) -> DataFrame:
+    """(v, next, last, steps, least, head, ring), written: each thin node led to where its path leaves a batch of the nodes' order.
+
+    A task takes batches of neighbours in that order, whatever their number. A node that no other of its batch leads to is a ``head``,
+    and the others are on the way of one; a ring within a batch is done, with its least node. Where nodes that follow
+    each other have names that do, few heads are left; elsewhere all are heads, and nothing is lost.
+    """
+
+    def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, after = batch.column(0), batch.column(1)
+            at = pc.fill_null(pc.index_in(after, value_set=v), -1).to_numpy(zero_copy_only=False)
+            own = np.arange(len(at))
+            hop, steps = np.where(at < 0, own, at), (at >= 0).astype(np.int64)
+            least = own.copy()  # nodes are sorted, so a smaller node is a smaller place
+            for _ in range(len(at).bit_length()):
+                steps, least, hop = steps + steps[hop], np.minimum(least, least[hop]), hop[hop]
+            head = np.ones(len(at), bool)
+            head[at[at >= 0]] = False
+            columns = [v, after.take(pa.array(hop)), v.take(pa.array(hop)), pa.array(steps + 1), v.take(pa.array(least)), pa.array(head), pa.array(at[hop] >= 0)]
+            yield pa.RecordBatch.from_arrays(columns, ["v", "next", "last", "steps", "least", "head", "ring"])
+
+    ordered = thin.select("v", "next").repartitionByRange("v").sortWithinPartitions("v")
+    return written(ordered.mapInArrow(led, "v string, next string, last string, steps long, least string, head boolean, ring boolean"), "paths")
+
+
 def _followed(thin: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What each thin node leads to: ((v, to, last, steps), (v, root)), both written.
 
     The first has the nodes that lead out of the thin ones: where to, by which last thin node, and in how many steps. The second
-    has those that go round, with the least node of their ring. Pointers double, so a path of n nodes takes about
+    has those that go round, with the least node of their ring. Paths are first shortened, see :func:`_shortened`; then the pointers
+    of what is left double, so a path of n heads takes about
     log n rounds: in each all that are as near as the pointers reach leave, and once none does only rings are left, whose
-    least nodes are known when they no longer change.
+    least nodes are known when they no longer change. What lies on the way of a head gets the result of the head that it leads to.
     """
-    start = thin.select("v", "next", F.col("v").alias("last"), F.lit(1).cast("long").alias("steps"), F.col("v").alias("least"))
-    here = thin.select(F.col("v").alias("next"), F.lit(True).alias("inner"))
-    now = written(start.join(here, "next", "left").select("v", "next", "last", "steps", "least", F.coalesce("inner", F.lit(False)).alias("inner")), "paths")
+    short = _shortened(thin)
+    start = short.where("head").select("v", "next", "last", "steps", "least")
+    here = start.select(F.col("v").alias("next"), F.lit(True).alias("inner"))
+    now = written(_met(start, here, "next", "left").select("v", "next", "last", "steps", "least", F.coalesce("inner", F.lit(False)).alias("inner")), "paths")
     before = None
     while True:
         seen = now.where("inner").agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "least").cast("decimal(38,0)"))).first()
@@ -101,14 +139,18 @@ def _followed(thin: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         before = seen
         other = now.select(F.col("v").alias("next"), F.col("next").alias("far"), F.col("last").alias("far_last"), F.col("steps").alias("far_steps"), F.col("least").alias("far_least"), F.col("inner").alias("far_inner"))
-        moved = now.where("inner").join(other, "next").select(
+        moved = _met(now.where("inner"), other, "next").select(
             "v", F.col("far").alias("next"), F.col("far_last").alias("last"), (F.col("steps") + F.col("far_steps")).alias("steps"), F.least("least", "far_least").alias("least"), F.col("far_inner").alias("inner")
         )
         last, now = now, written(now.where("NOT inner").union(moved), "paths")
         discard(last)
-    out = written(now.where("NOT inner").select("v", F.col("next").alias("to"), "last", "steps"), "paths")
-    rings = written(now.where("inner").select("v", F.col("least").alias("root")), "rings")
-    discard(now)
+    ends = now.select(F.col("v").alias("next"), F.col("next").alias("far"), F.col("last").alias("far_last"), F.col("steps").alias("far_steps"), F.col("least").alias("root"), "inner")
+    way = written(_met(short.where("NOT head AND NOT ring"), ends, "next", "left"), "paths")
+    out = now.where("NOT inner").select("v", F.col("next").alias("to"), "last", "steps")
+    out = out.union(way.where("NOT coalesce(inner, false)").select("v", F.coalesce("far", "next").alias("to"), F.coalesce("far_last", "last").alias("last"), F.col("steps") + F.coalesce("far_steps", F.lit(0))))
+    rings = now.where("inner").select("v", F.col("least").alias("root")).union(way.where("inner").select("v", "root")).union(short.where("ring").select("v", "least"))
+    out, rings = written(out, "paths"), written(rings, "rings")
+    discard(now, way, short)
     return out, rings
 
 
@@ -121,10 +163,10 @@ def _least_reaching(edges: DataFrame) -> DataFrame:
     label = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("least", F.col("node"))
     label = written(label, "labels")
     while True:
-        sent = edges.join(label.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("least").alias("new"))
-        best = written(label.join(sent, "node", "left").select("node", F.col("least").alias("old"), F.least("least", "new").alias("least")), "labels")
+        sent = _met(edges, label.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("least").alias("new"))
+        best = written(_met(label, sent, "node", "left").select("node", F.col("least").alias("old"), F.least("least", "new").alias("least")), "labels")
         far = best.select(F.col("node").alias("least"), F.col("least").alias("jump"))
-        now = written(best.join(far, "least", "left").select("node", "old", F.least("least", "jump").alias("least")), "labels")
+        now = written(_met(best, far, "least", "left").select("node", "old", F.least("least", "jump").alias("least")), "labels")
         discard(label, best)
         label = now.select("node", "least")
         if not now.where("least < old").limit(1).count():
@@ -139,18 +181,18 @@ def _coloured(left: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     colour = _least_reaching(left)
     ends = [colour.select(F.col("node").alias(end), F.col("least").alias(f"c{end}")) for end in "ab"]
-    same = left.join(ends[0], "a").join(ends[1], "b").where("ca = cb")
+    same = _met(_met(left, ends[0], "a"), ends[1], "b").where("ca = cb")
     same = written(same.select(F.col("b").alias("a"), F.col("a").alias("b"), "ca"), "scc")  # turned round
     back = _least_reaching(same.select("a", "b"))
-    found = back.join(colour.withColumnRenamed("least", "colour"), "node").where("least = colour").select("node", F.col("least").alias("root"))
+    found = _met(back, colour.withColumnRenamed("least", "colour"), "node").where("least = colour").select("node", F.col("least").alias("root"))
     found = written(found, "scc")
     inside = [found.select(F.col("node").alias(end), F.col("root").alias(f"s{end}")) for end in "ab"]
-    cyclic = same.join(inside[0], "a").join(inside[1], "b").where("sa = sb").select(F.col("sa").alias("root")).distinct()
+    cyclic = _met(_met(same, inside[0], "a"), inside[1], "b").where("sa = sb").select(F.col("sa").alias("root")).distinct()
     rest = left
     roots = colour.where("node = least").select("node").union(found.select("node")).distinct()
     for end in "ab":
-        rest = rest.join(roots.select(F.col("node").alias(end)), end, "left_anti")
-    done, rest = written(found.join(cyclic, "root", "left_semi").select("node", "root"), "scc"), written(rest.select("a", "b"), "scc")
+        rest = _met(rest, roots.select(F.col("node").alias(end)), end, "left_anti")
+    done, rest = written(_met(found, cyclic, "root", "left_semi").select("node", "root"), "scc"), written(rest.select("a", "b"), "scc")
     discard(same, found)
     return done, rest
 
@@ -179,13 +221,13 @@ def _components(edges: DataFrame) -> DataFrame | None:
             out, rings = _followed(thin)
             inner = out.select(F.col("v").alias("b"), "to", "last")
             known = thin.select(F.col("v").alias("a"))
-            entered = written(left.join(known, "a", "left_anti").join(inner, "b", "left").select("a", F.coalesce("to", "b").alias("b"), "last"), "scc")
+            entered = written(_met(_met(left, known, "a", "left_anti"), inner, "b", "left").select("a", F.coalesce("to", "b").alias("b"), "last"), "scc")
             found = _components(written(entered.select("a", "b").distinct(), "scc"))
             rooted = rings.select(F.col("v").alias("node"), "root")
             if found is not None:
                 ends = [found.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")) for end in "ab"]
-                round_ = entered.where("last IS NOT NULL").join(ends[0], "a").join(ends[1], "b").where("ra = rb").select("last", F.col("ra").alias("root"))
-                rooted = rooted.union(out.join(round_, "last").select(F.col("v").alias("node"), "root")).union(found)
+                round_ = _met(_met(entered.where("last IS NOT NULL"), ends[0], "a"), ends[1], "b").where("ra = rb").select("last", F.col("ra").alias("root"))
+                rooted = rooted.union(_met(out, round_, "last").select(F.col("v").alias("node"), "root")).union(found)
             found = written(rooted, "scc")
         else:
             found, rest = _coloured(left)
@@ -208,7 +250,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     if found is None:
         return edges.sparkSession.createDataFrame([], "node string, scc string")
     least = found.groupBy("root").agg(F.min("node").alias("scc"))
-    return found.join(least, "root").select("node", "scc")
+    return _met(found, least, "root").select("node", "scc")
 
 
 def representative_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
@@ -228,18 +270,18 @@ def representative_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
     start = components.select(F.col("node").alias("a"), "scc")
     ends = components.select(F.col("node").alias("b"), F.col("scc").alias("other"))
     pairs = edges.select(F.col("source").cast("string").alias("a"), F.col("target").cast("string").alias("b")).distinct()
-    inner = written(pairs.join(start, "a").join(ends, "b").where("scc = other").select("scc", "a", "b"), "cycles")
+    inner = written(_met(_met(pairs, start, "a"), ends, "b").where("scc = other").select("scc", "a", "b"), "cycles")
     first = written(inner.where("a = scc").groupBy("scc").agg(F.min("b").alias("s")), "cycles")
     loops = first.where("s = scc").select("scc", F.array("scc", "scc").alias("cycle"))
     first = first.where("s <> scc")
-    ways = written(inner.where("a <> b").join(first.select("scc"), "scc", "left_semi").select("scc", "a", "b"), "cycles")
+    ways = written(_met(inner.where("a <> b"), first.select("scc"), "scc", "left_semi").select("scc", "a", "b"), "cycles")
     if not ways.limit(1).count():
         return loops
-    thin = written(_thin(ways).join(first.select(F.col("scc").alias("v")), "v", "left_anti"), "cycles")
+    thin = written(_met(_thin(ways), first.select(F.col("scc").alias("v")), "v", "left_anti"), "cycles")
     out, _ = _followed(thin)
     # from each node that isn't thin: the first node of a way, where it leads, and its length
     leads = out.select(F.col("v").alias("b"), "to", "steps")
-    arcs = ways.join(thin.select(F.col("v").alias("a")), "a", "left_anti").join(leads, "b", "left")
+    arcs = _met(_met(ways, thin.select(F.col("v").alias("a")), "a", "left_anti"), leads, "b", "left")
     arcs = written(arcs.select("scc", "a", F.col("b").alias("first"), F.coalesce("to", "b").alias("to"), (F.coalesce("steps", F.lit(0)) + 1).alias("w")), "cycles")
     far = written(first.select(F.col("scc").alias("to"), F.lit(0).cast("long").alias("d")), "cycles")
     before = None
@@ -248,22 +290,28 @@ def representative_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
         if seen == before:
             break
         before = seen
-        sent = arcs.join(far, "to").select(F.col("a").alias("to"), (F.col("w") + F.col("d")).alias("d"))
+        sent = _met(arcs, far, "to").select(F.col("a").alias("to"), (F.col("w") + F.col("d")).alias("d"))
         last, far = far, written(far.union(sent).groupBy("to").agg(F.min("d").alias("d")), "cycles")
         discard(last)
-    tight = arcs.where("a <> scc").join(far, "to").join(far.select(F.col("to").alias("a"), F.col("d").alias("own")), "a").where("w + d = own")
+    tight = _met(_met(arcs.where("a <> scc"), far, "to"), far.select(F.col("to").alias("a"), F.col("d").alias("own")), "a").where("w + d = own")
     hops = tight.groupBy("scc", F.col("a").alias("v")).agg(F.min("first").alias("next"), F.min("own").alias("d"))
-    between = out.join(far, "to").join(components.select(F.col("node").alias("v"), "scc"), "v").join(thin, "v").select("scc", "v", "next", (F.col("steps") + F.col("d")).alias("d"))
+    between = _met(_met(_met(out, far, "to"), components.select(F.col("node").alias("v"), "scc"), "v"), thin, "v").select("scc", "v", "next", (F.col("steps") + F.col("d")).alias("d"))
     hops = written(hops.union(between), "cycles")
-    on = written(first.join(hops.select("scc", F.col("v").alias("s"), "d"), ["scc", "s"]).select("scc", F.col("s").alias("v"), "d"), "cycles")
-    longest = on.agg(F.max("d")).first()[0]
-    jumps = [hops.select("v", "next")]
+    on = written(_met(first, hops.select("scc", F.col("v").alias("s"), "d"), ["scc", "s"]).select("scc", F.col("s").alias("v"), "d"), "cycles")
+    # a component of no more nodes than the cycle is all on it; pointers are doubled only in the others
+    sizes = _met(hops.groupBy("scc").agg(F.count(F.lit(1)).alias("n")), on.select("scc", "d"), "scc")
+    whole = written(sizes.where("n = d").select("scc"), "cycles")
+    round_ = _met(hops, whole, "scc", "left_semi").select("scc", "v", "d")
+    on, left = (written(_met(rows, whole, "scc", "left_anti"), "cycles") for rows in (on, hops))
+    longest = on.agg(F.coalesce(F.max("d"), F.lit(0))).first()[0]
+    jumps = [left.select("v", "next")]
     while 1 << len(jumps) < longest:
         again = jumps[-1].select(F.col("v").alias("next"), F.col("next").alias("far"))
-        jumps.append(written(jumps[-1].join(again, "next").select("v", F.col("far").alias("next")), "cycles"))  # the least node has none, so paths end there
-    for jump in reversed(jumps):
-        ahead = on.join(jump, "v").select("scc", F.col("next").alias("v")).join(hops.select("v", "d"), "v").select("scc", "v", "d")
+        jumps.append(written(_met(jumps[-1], again, "next").select("v", F.col("far").alias("next")), "cycles"))  # the least node has none, so paths end there
+    for jump in reversed(jumps if longest else []):
+        ahead = _met(_met(on, jump, "v").select("scc", F.col("next").alias("v")), left.select("v", "d"), "v").select("scc", "v", "d")
         on = written(on.union(ahead).distinct(), "cycles")
+    on = on.union(round_)
     path = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("d")).alias("d"), "v"))), lambda x: x["v"])
     found = on.groupBy("scc").agg(path.alias("path"))
     return loops.union(found.select("scc", F.concat(F.array("scc"), "path", F.array("scc")).alias("cycle")))
