@@ -40,3 +40,11 @@ def test_hosts_are_made_once_for_each_url(monkeypatch):
     monkeypatch.setattr(paths, "host_of", lambda u: asked.append(u) or u[:1])
     assert list(paths.resource_host.func(pd.Series(["ab", None, "ab", "c"], dtype=object))) == ["a", None, "a", "c"]
     assert sorted(asked) == ["ab", "c"]
+
+
+def test_defective_concepts_are_dealt(spark, tables):
+    from loam.plans.catalogue import _defective
+
+    files = _defective(spark, tables)
+    assert files.rdd.getNumPartitions() >= 3
+    assert files.count() == ROWS + 1
