@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -14,14 +15,36 @@ from loam.operators.parsing import _FENCE, _FRONT
 _MARK = "\ue000"
 
 
-def normalized_with_fences(body: Column) -> Column:
-    """The body as :func:`loam.functions.text.normalized_body` has it, with fenced blocks as they are."""
-    lf = F.regexp_replace(F.regexp_replace(body, r"\r\n|\r", "\n"), _MARK, "")
-    fences = F.regexp_extract_all(lf, F.lit(f"({_FENCE[len('(?ms)'):]})".join(["(?ms)", ""]).replace(r"\1", r"\2")), F.lit(1))
-    outside = T.normalized_body(F.regexp_replace(lf, _FENCE, _MARK))
-    pieces = F.split(outside, _MARK)
-    joined = F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(fences, i), F.lit(""))))
-    return F.array_join(joined, "")
+def _in_steps(rows: DataFrame, column: str, steps: Sequence[tuple[Column, str, str]]) -> DataFrame:
+    """A text column led through (has, pattern, replacement): a pattern is tried only where ``has`` tells that its fixed part is there.
+
+    A step is a column of its own, as one expression would hold each step many times.
+    """
+    for has, pattern, new in steps:
+        rows = rows.withColumn(column, F.when(has, F.regexp_replace(column, pattern, new)).otherwise(F.col(column)))
+    return rows
+
+
+def with_normalized_body(rows: DataFrame, body: str, into: str) -> DataFrame:
+    """``rows`` with a body as :func:`loam.functions.text.normalized_body` has it, with fenced blocks as they are.
+
+    Only texts with a fence's marks are taken apart, and blocks are found once, however many there are.
+    """
+    holds = lambda text, *marks: reduce(lambda x, y: x | y, [F.contains(text, F.lit(m)) for m in marks])
+    end = F.substring("tidy_", -3, 3)  # what a pattern's end may see: another line terminator can follow
+    pattern = f"({_FENCE[len('(?ms)'):]})".join(["(?ms)", ""]).replace(r"\1", r"\2")
+    rows = _in_steps(rows.withColumn("tidy_", F.col(body)), "tidy_", [(holds("tidy_", "\r"), r"\r\n|\r", "\n"), (holds("tidy_", _MARK), _MARK, "")])
+    rows = rows.withColumn("fences_", F.when(holds("tidy_", "```", "~~~"), F.regexp_extract_all("tidy_", F.lit(pattern), F.lit(1))))
+    steps = [
+        (F.col("fences_").isNotNull(), _FENCE, _MARK),
+        (holds("tidy_", " \n", "\t\n") | holds(end, " ", "\t"), r"[ \t]+(?=\n|$)", ""),
+        (holds("tidy_", "\n\n\n"), r"\n{3,}", "\n\n"),
+        (F.startswith("tidy_", F.lit("\n")) | holds(end, "\n"), r"^\n+|\n+$", ""),
+    ]
+    rows = _in_steps(rows, "tidy_", steps).withColumn("tidy_", F.when(F.col("tidy_") == "", F.lit("")).otherwise(F.concat("tidy_", F.lit("\n"))))
+    pieces = F.arrays_zip(F.split("tidy_", _MARK).alias("p"), F.col("fences_").alias("f"))
+    joined = F.array_join(F.transform(pieces, lambda x: F.when(x["p"].isNotNull(), F.concat(x["p"], F.coalesce(x["f"], F.lit(""))))), "")  # nulls are left out
+    return rows.withColumn(into, F.when(F.col("fences_").isNull(), F.col("tidy_")).otherwise(joined)).drop("fences_", "tidy_")
 
 
 def ordered_front(front: Column, order: Sequence[str]) -> Column:
@@ -40,19 +63,22 @@ def ordered_front(front: Column, order: Sequence[str]) -> Column:
     return F.when(flow, front).otherwise(F.coalesce(with_anchors_ordered(F.when(linked, front), order), moved))
 
 
-def formatted(files: DataFrame, order: Sequence[str] = ("type", "title", "description", "resource", "tags", "timestamp")) -> DataFrame:
+def formatted(files: DataFrame, order: Sequence[str] = ("type", "title", "description", "resource", "tags", "timestamp"), keep: Sequence[str] = ()) -> DataFrame:
     """(path, formatted, changed) of (path, content): ordered keys, whole time stamps, tidy body.
 
-    A second run changes nothing. A null content is an empty file.
+    A second run changes nothing. A null content is an empty file. Columns named in ``keep`` go along.
     """
-    content = F.coalesce("content", F.lit(""))
-    front = F.regexp_replace(F.regexp_extract(content, _FRONT, 1), r"\r\n|\r", "\n")
+    rows = files.select(*keep, "path", F.coalesce("content", F.lit("")).alias("content"))
+    content = F.col("content")
+    rows = rows.withColumn("has_", F.startswith(content, F.lit("---")) & content.rlike(_FRONT))
+    rows = rows.withColumn("front_", F.when(F.col("has_"), F.regexp_replace(F.regexp_extract(content, _FRONT, 1), r"\r\n|\r", "\n")))
+    rows = rows.withColumn("body_", F.when(F.col("has_"), F.regexp_replace(content, _FRONT, "")).otherwise(content))
+    front = F.col("front_")
     stamp = F.regexp_replace(front, r"(?m)^(timestamp:[ \t]*)([0-9]{4}-[0-9]{2}-[0-9]{2})[ \t]*$", "$1$2T00:00:00.000Z")
     real = F.try_to_timestamp(F.nullif(F.regexp_extract(front, r"(?m)^timestamp:[ \t]*([0-9]{4}-[0-9]{2}-[0-9]{2})[ \t]*$", 1), F.lit(""))).isNotNull()
-    head = ordered_front(F.when(real, stamp).otherwise(front), order)
-    has = content.rlike(_FRONT)
-    body = normalized_with_fences(F.when(has, F.regexp_replace(content, _FRONT, "")).otherwise(content))
-    made = F.when(has, F.concat(F.lit("---\n"), head, F.lit("---\n"), F.when(body == "", F.lit("")).otherwise(F.concat(F.lit("\n"), body)))).otherwise(body)
-    return files.select("path", content.alias("content"), made.alias("formatted")).select(
-        "path", "formatted", (F.col("formatted") != F.col("content")).alias("changed")
-    )
+    rows = with_normalized_body(rows.withColumn("head_", ordered_front(F.when(real, stamp).otherwise(front), order)), "body_", "tidy_body_")
+    body = F.col("tidy_body_")
+    made = F.when(F.col("has_"), F.concat(F.lit("---\n"), "head_", F.lit("---\n"), F.when(body == "", F.lit("")).otherwise(F.concat(F.lit("\n"), body)))).otherwise(body)
+    # out of an array, so that a filter on what has changed does not work it out again
+    rows = rows.select("*", F.explode(F.array(made)).alias("formatted"))
+    return rows.select(*keep, "path", "formatted", (F.col("formatted") != content).alias("changed"))

@@ -40,8 +40,8 @@ def rewritten_tree(spark, sf):
     write_files(_document_files(spark, sf), root)
     changed = formatted(read_bundle(spark, root)).where("changed").select("path", F.col("formatted").alias("content"))
     write_files(changed, root, replace=True)
-    again = read_bundle(spark, root)
-    return again.join(formatted(again).select("path", "changed"), "path").select("path", F.sha2("content", 256).alias("sha"), "changed")
+    again = read_bundle(spark, root).withColumn("sha", F.sha2("content", 256))
+    return formatted(again, keep=["sha"]).select("path", "sha", "changed")
 
 
 @query(

@@ -203,3 +203,30 @@ def test_reports_are_files(spark, tmp_path):
     assert read("graph.dot") == 'digraph bundle {\n  "a" -> "b";\n}\n'
     assert {e["ruleId"] for e in json.loads(read("diagnostics.sarif"))["runs"][0]["results"]} >= {"hygiene/missing-description"}
     assert read("graph.html").startswith("<!doctype html>") and json.loads(read("graph.json"))["edges"][0]["id"] == "a->b:markdown-link:0"
+
+
+def test_a_text_is_formatted_once(spark):
+    """However often what is made of it is named, and where only what changed is asked for."""
+    from loam.operators.formatting import formatted
+
+    plan = formatted(spark.createDataFrame([("a.md", "x")], "path string, content string")).where("changed").select("path", "formatted")
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("{3,}, ") == 1
+
+
+def test_rewritten_files_are_read_once(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([(i, f"a  \n\n\n\n```\nx \n```\n{i}", "s") for i in range(5)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = entry.queries()["rewritten_tree"](spark, str(tmp_path))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["changed"] for r in found.collect()] == [False] * 5
+
+
+def test_fenced_blocks_stay_in_their_places(spark):
+    from loam.operators.formatting import formatted
+
+    many = "".join(f"a{i}  \n```\nb{i}  \n\n\n\n```\n\n\n\n" for i in range(50))
+    tidy = "".join(f"a{i}\n```\nb{i}  \n\n\n\n```\n\n" for i in range(50))[:-1]
+    cases = [(many, tidy), ("", ""), ("\n \n", ""), ("a \u2028", "a\u2028\n"), ("x\r\ny\t\r", "x\ny\n"), ("``` \n\n\n\nopen ", "``` \n\n\n\nopen \n"), ("\ue000a", "a\n"), ("a```b \n\n\n", "a```b\n")]
+    found = formatted(spark.createDataFrame([(str(i), c) for i, (c, _) in enumerate(cases)], "path string, content string"))
+    assert [r["formatted"] for r in sorted(found.collect(), key=lambda r: int(r["path"]))] == [t for _, t in cases]
