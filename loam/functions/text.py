@@ -55,7 +55,7 @@ def ascii_slug(c: Column, fallback: str = "item") -> Column:
 def tokens(c: Column) -> Column:
     """Sorted different search terms of two characters and more."""
     split = F.split(F.lower(c), TOKEN_BREAK)
-    return F.array_sort(F.array_distinct(F.filter(split, lambda t: F.length(t) >= 2)))
+    return F.sort_array(F.array_distinct(F.filter(split, lambda t: F.length(t) >= 2)))
 
 
 def unescape_destination(c: Column) -> Column:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from loam.functions.text import tokens
-from loam.session import written
+from loam.session import small_batches, written
 
 
 def terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -42,6 +44,75 @@ def indexed(pairs: DataFrame, documents: int) -> DataFrame:
     return found.withColumn("n", F.size("ids").cast("long"))
 
 
+#: Blocks of a task that inverts documents, at least and at most, and pairs that it holds before repeats are left out.
+_BLOCKS_PER_TASK, _HELD = (4, 32), 4_000_000
+
+
+def sorted_distinct(ids: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The different ids in their order, and the place of each of ``ids`` among them."""
+    known = ids.dictionary_encode()
+    order = pc.array_sort_indices(known.dictionary)
+    places = np.empty(len(order), np.int64)
+    places[order.to_numpy()] = np.arange(len(order))
+    return known.dictionary.take(order), places[known.indices.to_numpy()]
+
+
+def cut_at(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins, and the end of the last."""
+    return np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
+
+
+def inverted(docs: DataFrame, blocks: int) -> DataFrame:
+    """(term, block, ids, n) of (id, block, terms) rows, of which an id may have several in its block: the sorted ids of each term and block.
+
+    Documents go to the task of their block whole, with one row each, and are turned into lists there, so no row is made for each
+    of their terms. A task streams its blocks; of one that has very many pairs repeats are left out meanwhile.
+    """
+    small_batches(docs.sparkSession)
+    id_type = docs.schema["id"].dataType
+    schema = StructType([StructField("term", docs.schema["terms"].dataType.elementType), docs.schema["block"], StructField("ids", ArrayType(id_type)), StructField("n", LongType())])
+
+    def turned(block: int, held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        pairs = pa.concat_tables(held).combine_chunks()
+        if not len(pairs):
+            return
+        ids, place = sorted_distinct(pairs["id"].combine_chunks())
+        terms = pairs["term"].combine_chunks().dictionary_encode()
+        keys = np.unique(terms.indices.to_numpy().astype(np.int64) * len(ids) + place)
+        cuts = cut_at(keys // len(ids))
+        for i in range(0, len(cuts) - 1, 10_000):
+            some = cuts[i : i + 10_001]
+            own = ids.take(pa.array(keys[some[0] : some[-1]] % len(ids)))
+            lists = pa.ListArray.from_arrays(pa.array((some - some[0]).astype(np.int32)), own)
+            columns = [terms.dictionary.take(pa.array(keys[some[:-1]] // len(ids))), pa.array(np.full(len(lists), block)), lists, pa.array(np.diff(some))]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "block", "ids", "n"])
+
+    def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size = None, [], 0
+        for batch in batches:
+            at = batch.column(1).to_numpy()
+            cuts = cut_at(at)
+            for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if at[start] != now:
+                    if held:
+                        yield from turned(now, held)
+                    now, held, size = at[start], [], 0
+                lists = batch.column(2).slice(start, end - start)
+                own = np.repeat(np.arange(start, end), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+                held.append(pa.table([batch.column(0).take(pa.array(own)), lists.flatten()], ["id", "term"]))
+                size += len(own)
+                if size > _HELD:
+                    held = [pa.concat_tables(held).group_by(["id", "term"]).aggregate([])]
+                    size = len(held[0]) // 2  # else nothing but repeats would be looked for where there are few
+        if held:
+            yield from turned(now, held)
+
+    least, most = _BLOCKS_PER_TASK
+    tasks = -(-blocks // min(most, max(least, blocks // 64)))
+    dealt = docs.select("id", "block", "terms").repartition(tasks, "block").sortWithinPartitions("block")
+    return dealt.mapInArrow(invert, schema)
+
+
 def _scored(asked: DataFrame, index: DataFrame, limit: int) -> DataFrame:
     """(query, block, id, score) from (query, block, term): of each query and block the best ids by how many of the terms they have.
 

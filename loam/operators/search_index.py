@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
-from loam.operators.search import BLOCK, checked_limit, indexed, ranked, terms
+from loam.functions.text import tokens
+from loam.operators.search import BLOCK, checked_limit, cut_at, inverted, ranked, sorted_distinct, terms
 from loam.session import discard, written
 
 #: What ends a segment's writing; without it a segment is not there.
@@ -15,6 +20,16 @@ DONE = "_DONE"
 _SEGMENT_BITS = 32
 
 
+def _left(lists: pa.Table, gone: pa.Table) -> tuple[np.ndarray, pa.Array]:
+    """Of the pairs of one block's lists that are not gone: the list of each, and its id."""
+    ids = lists["ids"].combine_chunks()
+    own, flat = np.repeat(np.arange(len(ids)), pc.list_value_length(ids).to_numpy()), ids.flatten()
+    if len(gone):
+        here = pc.invert(pc.is_in(flat, value_set=gone["id"].combine_chunks()))
+        own, flat = own[here.to_numpy(zero_copy_only=False)], flat.filter(here)
+    return own, flat
+
+
 class SearchIndex:
     """An index of (id, text) rows in a folder that the cluster shares.
 
@@ -56,7 +71,8 @@ class SearchIndex:
             found = rows if found is None else found.unionByName(rows)
         return found
 
-    def _write(self, kind: str, pairs: DataFrame, ids: DataFrame, gone: DataFrame | None) -> None:
+    def _write(self, kind: str, docs: DataFrame, ids: DataFrame, gone: DataFrame | None) -> None:
+        """Writes a segment of (id, terms) rows, ``ids`` being all ids. A task writes the lists of its blocks, in a file for each bucket."""
         number, folder = self._next(kind)
         count = ids.count()
         if count > BLOCK << (_SEGMENT_BITS - 1):
@@ -65,8 +81,8 @@ class SearchIndex:
         base = F.lit(number).cast("long") * F.lit(1 << _SEGMENT_BITS)
         block = F.pmod(F.xxhash64("id"), F.lit(blocks)) + base
         ids.select("id", block.alias("block")).write.parquet(f"{folder}/ids")
-        made = indexed(pairs, count).withColumn("block", F.col("block") + base).withColumn("bucket", self._bucket())
-        made.repartition("bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{folder}/postings")
+        made = inverted(docs.withColumn("block", block), blocks).withColumn("bucket", self._bucket())
+        made.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{folder}/postings")
         if gone is not None:
             gone.write.parquet(f"{folder}/gone")
         jvm, fs = self._files()
@@ -76,14 +92,35 @@ class SearchIndex:
         return F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
 
     def _gone(self) -> DataFrame | None:
-        """(block, gone): the ids of each block that a later segment replaced."""
+        """(block, id): the ids of each block that a later segment replaced."""
         found = None
         jvm, fs = self._files()
         for number, folder in self.segments():
             if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/gone")):
                 rows = self.spark.read.parquet(f"{folder}/gone")
                 found = rows if found is None else found.union(rows)
-        return None if found is None else found.groupBy("block").agg(F.collect_set("id").alias("gone"))
+        return found
+
+    def _by_block(self, found: DataFrame, gone: DataFrame | None, made, schema: StructType) -> DataFrame:
+        """``made`` of each block's lists and of what is gone of it, which a task looks up once for all of its lists."""
+        if gone is None:
+            gone = self.spark.createDataFrame([], StructType([found.schema["block"], StructField("id", found.schema["ids"].dataType.elementType)]))
+        return found.select("block", "term", "ids").groupBy("block").cogroup(gone.select("block", "id").groupBy("block")).applyInArrow(made, schema)
+
+    def _documents(self) -> DataFrame:
+        """(id, terms) of all segments without replaced ids."""
+        found = self._read("postings")
+        schema = StructType([StructField("id", found.schema["ids"].dataType.elementType), StructField("terms", ArrayType(found.schema["term"].dataType))])
+
+        def of_documents(lists: pa.Table, gone: pa.Table) -> pa.Table:
+            own, flat = _left(lists, gone)
+            ids, place = sorted_distinct(flat)
+            order = np.argsort(place, kind="stable")
+            cuts = cut_at(place[order])
+            terms_ = lists["term"].combine_chunks().take(pa.array(own[order]))
+            return pa.table([ids, pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), terms_)], ["id", "terms"])
+
+        return self._by_block(found, self._gone(), of_documents, schema)
 
     # ---- what users call
 
@@ -93,14 +130,13 @@ class SearchIndex:
         A document without any term replaces too. Rows without an id are left out.
         """
         docs = docs.where(F.col(id_col).isNotNull())
-        pairs = written(terms(docs, id_col, text_col).distinct(), "terms")
         ids = written(docs.select(F.col(id_col).alias("id")).distinct(), "ids")
         have = self._read("ids")
         gone = None
         if have is not None:
             gone = have.join(ids, "id", "left_semi").select("block", "id")
-        self._write("a", pairs, ids, gone)
-        discard(pairs, ids)
+        self._write("a", docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("terms")).where(F.size("terms") > 0), ids, gone)
+        discard(ids)
 
     def postings(self, wanted: DataFrame | None = None) -> DataFrame:
         """(term, block, ids, n) of all segments without replaced ids; only of the ``wanted`` terms if given."""
@@ -114,9 +150,16 @@ class SearchIndex:
         gone = self._gone()
         if gone is None:
             return found
-        kept = F.when(F.col("gone").isNull(), F.col("ids")).otherwise(F.array_except("ids", "gone"))
-        found = found.join(gone, "block", "left").select("term", "block", kept.alias("ids"))
-        return found.withColumn("n", F.size("ids").cast("long")).where("n > 0")
+
+        def kept(lists: pa.Table, gone_: pa.Table) -> pa.Table:
+            own, flat = _left(lists, gone_)
+            n = np.bincount(own, minlength=len(lists))
+            some = np.flatnonzero(n)
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n[some])]).astype(np.int32)), flat)
+            rows = lists.take(pa.array(some))
+            return pa.table([rows["term"], rows["block"], ids, pa.array(n[some])], ["term", "block", "ids", "n"])
+
+        return self._by_block(found, gone, kept, found.schema)
 
     def search(self, queries: DataFrame, query_col: str, text_col: str, limit: int = 10) -> DataFrame:
         """(query, id, score, rank), as :func:`loam.operators.search.search` over the documents that the index has."""
@@ -127,10 +170,9 @@ class SearchIndex:
     def merge(self) -> None:
         """One segment in place of all; ids that were replaced go, and the old folders are deleted once it counts."""
         old = self.segments()
-        pairs = written(self.postings().select("term", F.explode("ids").alias("id")), "terms")
         ids = written(self._read("ids").select("id").distinct(), "ids")
-        self._write("m", pairs, ids, None)
+        self._write("m", self._documents(), ids, None)
         jvm, fs = self._files()
         for _, folder in old:
             fs.delete(jvm.org.apache.hadoop.fs.Path(folder), True)
-        discard(pairs, ids)
+        discard(ids)

@@ -95,3 +95,29 @@ def test_bundle_search_gives_concepts(spark):
         ("a", 2, 1, "a.md", "One", None, "Note"), ("b", 1, 2, "b.md", "Two", "D", "Note"),
     ]
     assert [(r["id"], r["score"]) for r in bundle.search(" ! ").collect()] == [("a", 1), ("b", 1)] and bundle.search("", 1).count() == 1
+
+
+def test_a_segment_is_written_by_blocks(spark, monkeypatch, tmp_path):
+    """Lists of one bucket come from several tasks, and a block's pairs stay few where rows repeat; replaced ids go when segments are merged."""
+    from loam.operators import search_index as I
+
+    monkeypatch.setattr(I, "BLOCK", 16)
+    docs = corpus(n=400)
+    index = SearchIndex(spark, f"file://{tmp_path}/index", buckets=2)
+    index.add(table(spark, docs * 2, "id"), "id", "text")
+    assert len(list((tmp_path / "index/a000001/postings/bucket=0").glob("*.parquet"))) > 1
+    changed = [(i, "new words" if i % 3 else "") for i, _ in docs[:100]]
+    index.add(table(spark, changed, "id"), "id", "text")
+    now = dict(docs) | dict(changed)
+    wanted = sorted({(w, i) for i, t in now.items() for w in t.split()})
+    pairs = lambda: sorted((r["term"], i) for r in index.postings().collect() for i in r["ids"])
+    assert pairs() == wanted and all(r["n"] == len(r["ids"]) and r["ids"] == sorted(r["ids"]) for r in index.postings().collect())
+    index.merge()
+    assert pairs() == wanted and len(index.segments()) == 1
+
+
+def test_repeats_are_left_out_while_a_block_is_gathered(spark, monkeypatch):
+    rows_ = [("b", 0, ["y", "x"]), ("a", 0, ["x"]), ("a", 0, ["x", "z"]), ("a", 1, []), ("c", 1, ["x"])] * 300
+    monkeypatch.setattr(S, "_HELD", 50)
+    made = S.inverted(spark.createDataFrame(rows_, "id string, block long, terms array<string>"), 2)
+    assert sorted((r["term"], r["block"], tuple(r["ids"]), r["n"]) for r in made.collect()) == [("x", 0, ("a", "b"), 2), ("x", 1, ("c",), 1), ("y", 0, ("b",), 1), ("z", 0, ("a",), 1)]
