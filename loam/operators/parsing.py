@@ -51,11 +51,16 @@ def masked(body: Column) -> Column:
     return _if_any(body, ("`", "~~~"), F.regexp_replace(F.regexp_replace(body, _FENCE, ""), _CODE, " "), body)
 
 
+def _has_key(front: Column, key: str) -> Column:
+    """Whether the front matter may have a key: most of those asked for are absent, and patterns are tried only for the others."""
+    return F.contains(front, F.lit(f"{key}:"))
+
+
 def scalar(front: Column, key: str) -> Column:
     """A top-level scalar of the front matter, unquoted; null if absent or empty."""
     value = F.regexp_extract(front, rf"(?m)^{key}:[ \t]*(.*?)[ \t]*$", 1)
     bare = F.regexp_replace(value, r"^\"(.*)\"$|^'(.*)'$", "$1$2")
-    return F.when((bare != "") & ~value.rlike(r"^[\[{|>&*!]"), bare)
+    return F.when(_has_key(front, key), F.when((bare != "") & ~value.rlike(r"^[\[{|>&*!]"), bare))
 
 
 def sequence(front: Column, key: str) -> Column:
@@ -64,7 +69,7 @@ def sequence(front: Column, key: str) -> Column:
     block = F.regexp_extract(front, rf"(?ms)^{key}:[ \t]*\n(.*?)(?=^[^\s-]|\z)", 1)
     items = F.when(inline != "", F.split(inline, ",")).otherwise(F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]*-[ \t]+(.*?)[ \t]*$"), F.lit(1)))
     bare = F.filter(F.transform(items, lambda x: F.regexp_replace(F.trim(x), r"^[\"']|[\"']$", "")), lambda x: x != "")
-    return F.when(F.size(bare) > 0, bare)
+    return F.when(_has_key(front, key), F.when(F.size(bare) > 0, bare))
 
 
 def _needs_scan(text: Column) -> Column:
@@ -103,14 +108,10 @@ def parse(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     are scanned. A null content is an empty file. Columns named in ``keep`` go along.
     """
     content = F.coalesce("content", F.lit(""))
-    has = content.rlike(_FRONT)
-    rows = files.select(*keep, "path", content.alias("content")).withColumns(
-        {
-            "kind": T.file_kind(F.col("path")),
-            "front": F.when(has, F.regexp_extract("content", _FRONT, 1)),
-            "body": F.when(has, F.regexp_replace("content", _FRONT, "")).otherwise(F.col("content")),
-        }
-    )
+    has = F.startswith("content", F.lit("---")) & F.col("content").rlike(_FRONT)
+    rows = files.select(*keep, "path", content.alias("content"))
+    rows = rows.withColumns({"kind": T.file_kind(F.col("path")), "front": F.when(has, F.regexp_extract("content", _FRONT, 1))})
+    rows = rows.withColumn("body", F.when(F.col("front").isNotNull(), F.regexp_replace("content", _FRONT, "")).otherwise(F.col("content")))
     named = F.regexp_extract_all("front", F.lit(_KEY_LINES), F.lit(1))
     by_line = (F.length("front") < _PLAIN_LENGTH) & F.when(F.length("front") < _PLAIN_LENGTH, F.col("front").rlike(_PLAIN_FRONT))
     by_line = by_line & (F.length("front") > 0) & (F.size(F.array_distinct(named)) == F.size(named))

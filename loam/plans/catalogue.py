@@ -465,8 +465,8 @@ def generated_paths(spark, sf):
 # ---- a bundle in which every rule fires -------------------------------------------------------------
 
 
-def _defective(spark, sf) -> DataFrame:
-    """(path, content): a concept for each part, with a defect by its number modulo 40, and one that all link to."""
+def _defective_parts(spark, sf) -> DataFrame:
+    """(path, content): a concept for each part, with a defect by its number modulo 40."""
     parts = spread(table(spark, sf, "part").select("p_partkey"), "p_partkey")
     rows = parts.select(F.col("p_partkey").cast("long").alias("k"), (F.col("p_partkey") % 40).cast("int").alias("v"))
     number = lambda c: F.format_string("p%06d", c)
@@ -496,9 +496,17 @@ def _defective(spark, sf) -> DataFrame:
         .when(v == 25, F.lit(hub + "See (http://10.0.0.1/x).\n")).when(v == 33, F.lit(hub + "tokens: abcdefghij0123456789\ntoken: abcdefghij/0123456789\n"))
         .when(v == 34, F.lit(hub + "[a](x(b(c))d.md) [![i](j.md)](p.md)\n")).otherwise(F.lit(hub))
     )
-    own = rows.select(name.alias("path"), F.concat(front, body).alias("content"))
-    one = spark.range(1).select(F.lit("parts/hub.md").alias("path"), F.lit("---\ntype: Note\ntitle: Hub\ndescription: All link here.\n---\nHere.\n").alias("content"))
-    return own.union(one)
+    return rows.select(name.alias("path"), F.concat(front, body).alias("content"))
+
+
+def _hub(spark) -> DataFrame:
+    """(path, content) of the file that defective parts link to."""
+    return spark.range(1).select(F.lit("parts/hub.md").alias("path"), F.lit("---\ntype: Note\ntitle: Hub\ndescription: All link here.\n---\nHere.\n").alias("content"))
+
+
+def _defective(spark, sf) -> DataFrame:
+    """The concepts of :func:`_defective_parts`, and one that all link to."""
+    return _defective_parts(spark, sf).union(_hub(spark))
 
 
 DEFECTS = """f AS (SELECT p_partkey AS k, p_partkey % 40 AS v, CASE p_partkey % 40 WHEN 18 THEN 'parts/P' WHEN 3 THEN 'parts/./p' ELSE 'parts/p' END || printf('%06d', p_partkey::BIGINT) || '.md' AS path FROM part),

@@ -6,19 +6,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from loam.bundles import Bundles
 from loam.operators import rules as R
-from loam.plans.catalogue import NAMES, NOW_MS, _defective, _generated, query
+from loam.plans.catalogue import NAMES, NOW_MS, _defective_parts, _generated, _hub, query
 
 #: Parts of a bundle.
 EACH = 400
 
 
 def _part_bundles(spark, sf) -> Bundles:
-    """The defective concepts of :func:`loam.plans.catalogue._defective`, a bundle for each 400 parts, each with its own hub."""
-    files = _defective(spark, sf).where("path <> 'parts/hub.md'")
+    """The defective concepts of :func:`loam.plans.catalogue._defective_parts`, a bundle for each 400 parts, each with its own hub."""
+    files = _defective_parts(spark, sf)
     number = F.regexp_extract("path", "([0-9]+)", 1).try_cast("long")
     own = files.select(F.concat(F.lit("b"), F.floor(number / EACH).cast("string")).alias("bundle"), "path", "content")
-    hub = _defective(spark, sf).where("path = 'parts/hub.md'").select("path", "content")
-    hubs = own.select("bundle").distinct().join(F.broadcast(hub)).select("bundle", "path", "content")  # one row
+    hubs = own.select("bundle").distinct().join(F.broadcast(_hub(spark))).select("bundle", "path", "content")  # one row
     return Bundles(own.union(hubs), R.Config(version="9.9", allow_hosts=("ok.example",), now_ms=NOW_MS))
 
 

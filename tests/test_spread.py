@@ -48,3 +48,22 @@ def test_defective_concepts_are_dealt(spark, tables):
     files = _defective(spark, tables)
     assert files.rdd.getNumPartitions() >= 3
     assert files.count() == ROWS + 1
+
+
+def test_absent_keys_cost_no_pattern(spark):
+    """Keys of front matter are looked for before their patterns are tried, and what is found stays the same."""
+    from loam.operators import parsing
+
+    texts = ["---\ntype: T\ntitle: 'a'\ntags: [x, y]\n---\n", "---\nsubtitle: b\nretags:\n  - z\ntype: U\n---\n", "no front\n---\ntype: V\n---\n"]
+    made = parsing.parse(spark.createDataFrame([(f"{i}.md", t) for i, t in enumerate(texts)], "path string, content string"))
+    assert [(r["type"], r["title"], r["tags"]) for r in made.orderBy("path").collect()] == [("T", "a", ["x", "y"]), ("U", None, None), ("", None, None)]
+    plan = made.select("owner", "tags")._jdf.queryExecution().optimizedPlan().toString()
+    assert "owner:)" in plan and "tags:)" in plan
+
+
+def test_many_bundles_have_their_hub_without_a_second_pass(spark, tables):
+    from loam.plans.many import EACH, _part_bundles
+
+    files = _part_bundles(spark, tables).files
+    assert files.where("path = 'parts/hub.md'").count() == -(-ROWS // EACH) and files.count() == ROWS + -(-ROWS // EACH)
+    assert files._jdf.queryExecution().logical().toString().count("/part.parquet") <= 2 and files._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2
