@@ -20,6 +20,7 @@ TAG = r"^[a-z0-9]+(?:-[a-z0-9]+)*$"
 FILE_NAME = r"^[a-z0-9][a-z0-9_./-]*\.md$"
 ISO_UTC = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{3})?Z$"
 TOKEN_BREAK = r"[^\p{IsAlphabetic}\p{N}_-]+"
+WIDE_BREAK = r"[^\x00-\x7F\p{IsAlphabetic}\p{N}]+"  # that part of it which isn't ASCII
 RESERVED = ("index.md", "log.md")
 VERSIONS = ("0.1",)
 STALE_DAYS = 180
@@ -58,6 +59,11 @@ def tokens(c: Column) -> Column:
     return F.sort_array(F.array_distinct(F.filter(split, lambda t: F.length(t) >= 2)))
 
 
+def narrow_breaks(c: Column) -> Column:
+    """A text's terms as in :func:`tokens`, in place and repeated, with nothing but ASCII characters between them."""
+    return F.regexp_replace(F.lower(c), WIDE_BREAK, " ")
+
+
 def unescape_destination(c: Column) -> Column:
     return F.regexp_replace(c, r"\\([!-/:-@\[-`{-~])", "$1")
 

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from loam.functions.text import tokens
+from loam.functions.text import narrow_breaks, tokens
 from loam.session import small_batches, written
 
 
@@ -62,54 +62,98 @@ def cut_at(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
 
 
+#: Every byte of a UTF-8 text, with a space for those that are ASCII and in no term.
+_SPACED = np.array([b if b > 127 or chr(b).isalnum() or chr(b) in "_-" else 32 for b in range(256)], np.uint8)
+
+
+def _spaced(texts: pa.Array) -> pa.Array:
+    """Texts of :func:`narrow_breaks` with spaces in place of what is between terms, whose number of bytes stays."""
+    valid, offsets, data = texts.buffers()
+    if data is None:
+        return texts
+    return pa.Array.from_buffers(texts.type, len(texts), [valid, offsets, pa.py_buffer(_SPACED[np.frombuffer(data, np.uint8)])], offset=texts.offset)
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The words of at least two characters in texts with spaces between words, and the number of each one's text."""
+    own, flat = _flat(pc.split_pattern(texts, " "))
+    long = pc.greater_equal(pc.utf8_length(flat), 2)
+    return own[long.to_numpy(zero_copy_only=False)], flat.filter(long)
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The items of lists, and the number of each one's list."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    return np.repeat(np.arange(len(lists)), sizes), lists.flatten()
+
+
+def _codes(parts: list[pa.Array]) -> tuple[np.ndarray, pa.Array]:
+    """Of each value of ``parts`` its place among the different ones, and those."""
+    known = pa.chunked_array(parts).dictionary_encode().unify_dictionaries()
+    return np.concatenate([c.indices.to_numpy() for c in known.chunks]).astype(np.int64), known.chunk(0).dictionary
+
+
 def inverted(docs: DataFrame, blocks: int) -> DataFrame:
-    """(term, block, ids, n) of (id, block, terms) rows, of which an id may have several in its block: the sorted ids of each term and block.
+    """(term, block, ids, n) of (id, block, terms) or (id, block, text) rows, of which an id may have several in its block: the sorted ids of each term and block.
 
     Documents go to the task of their block whole, with one row each, and are turned into lists there, so no row is made for each
-    of their terms. A task streams its blocks; of one that has very many pairs repeats are left out meanwhile.
+    of their terms, and a text is split there too, without a list of its own. Blocks are dealt in turn, so that tasks have as many of them.
+    A task streams its blocks; of one that has very many pairs repeats are left out meanwhile.
     """
     small_batches(docs.sparkSession)
     id_type = docs.schema["id"].dataType
-    schema = StructType([StructField("term", docs.schema["terms"].dataType.elementType), docs.schema["block"], StructField("ids", ArrayType(id_type)), StructField("n", LongType())])
-
-    def turned(block: int, held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-        pairs = pa.concat_tables(held).combine_chunks()
-        if not len(pairs):
+    given = "terms" if "terms" in docs.columns else "text"
+    term_type = docs.schema["terms"].dataType.elementType if given == "terms" else docs.schema["text"].dataType
+    schema = StructType([StructField("term", term_type), docs.schema["block"], StructField("ids", ArrayType(id_type)), StructField("n", LongType())])
+    parted = _flat if given == "terms" else _words
+
+    def pairs_of(held: list[tuple]) -> tuple[pa.Array, pa.Array, np.ndarray]:
+        """The sorted ids and the terms of a block, and its pairs of them as sorted numbers: the term's times the number of ids, and the id's."""
+        ids, place = sorted_distinct(pa.chunked_array([h[0] for h in held]).combine_chunks())
+        starts = np.cumsum([0] + [len(h[0]) for h in held])
+        own = place[np.concatenate([h[1] + start for h, start in zip(held, starts.tolist())])]
+        codes, terms = _codes([h[2] for h in held])
+        keys = np.sort(codes * len(ids) + own)
+        return ids, terms, keys[cut_at(keys)[:-1]]
+
+    def turned(block: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if not any(len(h[2]) for h in held):
             return
-        ids, place = sorted_distinct(pairs["id"].combine_chunks())
-        terms = pairs["term"].combine_chunks().dictionary_encode()
-        keys = np.unique(terms.indices.to_numpy().astype(np.int64) * len(ids) + place)
+        ids, terms, keys = pairs_of(held)
         cuts = cut_at(keys // len(ids))
         for i in range(0, len(cuts) - 1, 10_000):
             some = cuts[i : i + 10_001]
             own = ids.take(pa.array(keys[some[0] : some[-1]] % len(ids)))
             lists = pa.ListArray.from_arrays(pa.array((some - some[0]).astype(np.int32)), own)
-            columns = [terms.dictionary.take(pa.array(keys[some[:-1]] // len(ids))), pa.array(np.full(len(lists), block)), lists, pa.array(np.diff(some))]
+            columns = [terms.take(pa.array(keys[some[:-1]] // len(ids))), pa.array(np.full(len(lists), block)), lists, pa.array(np.diff(some))]
             yield pa.RecordBatch.from_arrays(columns, ["term", "block", "ids", "n"])
 
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, size = None, [], 0
         for batch in batches:
             at = batch.column(1).to_numpy()
+            given_ = batch.column(2) if given == "terms" else _spaced(batch.column(2))
             cuts = cut_at(at)
             for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if at[start] != now:
                     if held:
                         yield from turned(now, held)
                     now, held, size = at[start], [], 0
-                lists = batch.column(2).slice(start, end - start)
-                own = np.repeat(np.arange(start, end), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
-                held.append(pa.table([batch.column(0).take(pa.array(own)), lists.flatten()], ["id", "term"]))
+                own, flat = parted(given_.slice(start, end - start))
+                held.append((batch.column(0).slice(start, end - start), own, flat))
                 size += len(own)
                 if size > _HELD:
-                    held = [pa.concat_tables(held).group_by(["id", "term"]).aggregate([])]
-                    size = len(held[0]) // 2  # else nothing but repeats would be looked for where there are few
+                    ids, terms, keys = pairs_of(held)
+                    held = [(ids, keys % len(ids), terms.take(pa.array(keys // len(ids))))]
+                    size = len(keys) // 2  # else nothing but repeats would be looked for where there are few
         if held:
             yield from turned(now, held)
 
     least, most = _BLOCKS_PER_TASK
     tasks = -(-blocks // min(most, max(least, blocks // 64)))
-    dealt = docs.select("id", "block", "terms").repartition(tasks, "block").sortWithinPartitions("block")
+    dealt = docs.select("id", "block", given).repartitionById(tasks, F.pmod("block", F.lit(tasks)).cast("int")).sortWithinPartitions("block")
+    if given == "text":
+        dealt = dealt.select("id", "block", narrow_breaks(F.col("text")).alias("text"))
     return dealt.mapInArrow(invert, schema)
 
 

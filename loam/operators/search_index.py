@@ -10,7 +10,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
-from loam.functions.text import tokens
 from loam.operators.search import BLOCK, checked_limit, cut_at, inverted, ranked, sorted_distinct, terms
 from loam.session import discard, written
 
@@ -72,7 +71,10 @@ class SearchIndex:
         return found
 
     def _write(self, kind: str, docs: DataFrame, ids: DataFrame, gone: DataFrame | None) -> None:
-        """Writes a segment of (id, terms) rows, ``ids`` being all ids. A task writes the lists of its blocks, in a file for each bucket."""
+        """Writes a segment of (id, terms) or (id, text) rows, ``ids`` being all ids. A task writes the lists of its blocks, in a file for each bucket.
+
+        Rows are sorted by their bucket alone, which is a number that Spark sorts without comparing rows.
+        """
         number, folder = self._next(kind)
         count = ids.count()
         if count > BLOCK << (_SEGMENT_BITS - 1):
@@ -82,7 +84,7 @@ class SearchIndex:
         block = F.pmod(F.xxhash64("id"), F.lit(blocks)) + base
         ids.select("id", block.alias("block")).write.parquet(f"{folder}/ids")
         made = inverted(docs.withColumn("block", block), blocks).withColumn("bucket", self._bucket())
-        made.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{folder}/postings")
+        made.sortWithinPartitions("bucket").write.partitionBy("bucket").parquet(f"{folder}/postings")
         if gone is not None:
             gone.write.parquet(f"{folder}/gone")
         jvm, fs = self._files()
@@ -135,7 +137,7 @@ class SearchIndex:
         gone = None
         if have is not None:
             gone = have.join(ids, "id", "left_semi").select("block", "id")
-        self._write("a", docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("terms")).where(F.size("terms") > 0), ids, gone)
+        self._write("a", docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), ids, gone)
         discard(ids)
 
     def postings(self, wanted: DataFrame | None = None) -> DataFrame:

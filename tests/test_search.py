@@ -4,7 +4,10 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from loam.bundle import Bundle
+from loam.functions.text import tokens
 from loam.operators import rules as R, search as S
 from loam.operators.search_index import SearchIndex
 
@@ -121,3 +124,30 @@ def test_repeats_are_left_out_while_a_block_is_gathered(spark, monkeypatch):
     monkeypatch.setattr(S, "_HELD", 50)
     made = S.inverted(spark.createDataFrame(rows_, "id string, block long, terms array<string>"), 2)
     assert sorted((r["term"], r["block"], tuple(r["ids"]), r["n"]) for r in made.collect()) == [("x", 0, ("a", "b"), 2), ("x", 1, ("c",), 1), ("y", 0, ("b",), 1), ("z", 0, ("a",), 1)]
+
+
+def test_texts_of_an_index_are_split_once(spark, monkeypatch, tmp_path):
+    """What is read of a document to be indexed is worked out once: no filter on its terms makes them a second time."""
+    from loam.operators import search_index as I
+
+    made = []
+    monkeypatch.setattr(I, "inverted", lambda docs, blocks: made.append(S.inverted(docs, blocks)) or made[0])
+    SearchIndex(spark, str(tmp_path / "i"), buckets=2).add(table(spark, corpus(n=50), "id"), "id", "text")
+    plan = made[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") + plan.count("regexp_replace(") == 1
+
+
+def test_blocks_are_dealt_in_turn(spark):
+    docs = spark.range(256).select("id", (F.col("id") % 32 + (5 << 32)).alias("block"), F.array(F.lit("x")).alias("terms"))
+    tasks = S.inverted(docs, 32).select(F.spark_partition_id().alias("task"), "block").groupBy("task").count().collect()
+    assert [r["count"] for r in tasks] == [4] * 8
+
+
+def test_terms_of_texts_are_those_of_tokens(spark):
+    """Every character between letters, at both ends and alone, in texts of several; empty texts and nulls have no terms."""
+    points = [p for p in [*range(1, 0x3400), *range(0xA000, 0xD7FF, 7), *range(0xE000, 0x20000), *range(0x20000, 0x110000, 997)]]
+    texts = ["".join(f"a{c}B {c}cd ef{c} {c} g{c}{c}h." for c in map(chr, points[i : i + 500])) for i in range(0, len(points), 500)] + ["", " ", None, "ΟΔΟΣ.ΑΣ İstanbul ẞß"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("block", F.col("id") % 3)
+    found = S.inverted(docs, 3).select("term", F.explode("ids").alias("id"))
+    wanted = docs.select(F.explode(tokens(F.col("text"))).alias("term"), "id")
+    assert found.count() == wanted.count() > 100_000 and found.exceptAll(wanted).count() == 0
